@@ -13,6 +13,7 @@ from pyspark.sql.window import Window
 #: Words are maximal runs without these characters; bytes.split() splits at just these six.
 SPACE = r"[\x20\x09-\x0D]+"
 WORD = r"[^\x20\x09-\x0D]+"
+BROADCAST = ("spark.sql.autoBroadcastJoinThreshold", "spark.sql.adaptive.autoBroadcastJoinThreshold")
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -36,6 +37,9 @@ def checkpoint_dir(spark: SparkSession) -> str:
 class Scratch(contextlib.AbstractContextManager):
     """Tables written to the shared folder while a query is built; all go when the block ends.
 
+    Within the block Spark broadcasts only what is marked as bounded: joins with written tables, which grow
+    with the input, have one plan at every size and are split where they are skewed.
+
     ``table`` cuts lineage with a Parquet table. ``result`` is the last thing in a block: a reliable
     checkpoint, which Spark's cleaner deletes once nothing refers to it.
     """
@@ -44,6 +48,9 @@ class Scratch(contextlib.AbstractContextManager):
         self.spark = spark
         self.path = f"{checkpoint_dir(spark).rstrip('/')}/lamina-{uuid.uuid4().hex}"
         self.n = 0
+        self.limits = {k: spark.conf.get(k, None) for k in BROADCAST}
+        for k in BROADCAST:
+            spark.conf.set(k, "-1")
 
     def table(self, df: DataFrame) -> DataFrame:
         self.n += 1
@@ -67,6 +74,8 @@ class Scratch(contextlib.AbstractContextManager):
         where.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(where, True)
 
     def __exit__(self, *_):
+        for k, v in self.limits.items():
+            self.spark.conf.unset(k) if v is None else self.spark.conf.set(k, v)
         self._delete(self.path)
 
 
