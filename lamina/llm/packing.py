@@ -9,37 +9,82 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch, ranked
+from .common import Scratch, ranked, slices
 
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long"
-CACHE = 400_000
+CACHE = 700_000
+
+
+_encoders: dict = {}  # by path: a Python worker keeps its cache from task to task
+TAIL = b".,!?;:#$%&*"
 
 
 def word_encoder(path: str):
-    """Text to the bytes of its ids (little-endian unsigned 32-bit), with a cache of words.
+    """Texts to the bytes of their ids (little-endian unsigned 32-bit), with a cache of words.
 
-    The tokenizer drops white space and never joins across it, so a text's ids are those of its words in
-    turn; the cache is emptied when full. Words are cut at the six ASCII white-space characters only.
+    The tokenizer lower-cases, drops white space and never joins across it, nor across the edge of a word's
+    letters and the marks behind them. So a text's ids are those of its words in turn, and a word's those
+    of its letters and of its tail. Words with ``<|``, which may hold a special token, are encoded as they
+    stand. Words are cut at the six ASCII white-space characters only. The cache is emptied when full.
     """
+    if path in _encoders:
+        return _encoders[path]
     import os
 
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
     from tokenizers import Tokenizer
 
     tok = Tokenizer.from_file(path)
+    ends = np.zeros(tok.get_vocab_size(), dtype=bool)
+    ends[[i for t, i in tok.get_vocab().items() if t.endswith("</w>")]] = True
     known: dict[bytes, bytes] = {}
 
-    def encode(text: bytes) -> bytes:
-        words = text.split()
+    def one_by_one(words: list[bytes]) -> None:
+        for w, e in zip(words, tok.encode_batch_fast([w.decode() for w in words], add_special_tokens=False)):
+            known[w] = np.array(e.ids, dtype="<u4").tobytes()
+
+    def letters(words: list[bytes]) -> None:
+        """Words of letters alone go as one text; each ends where a token ends a word."""
+        ids = np.array(tok.encode_batch_fast([b" ".join(words).decode()], add_special_tokens=False)[0].ids, dtype="<u4")
+        cut = np.flatnonzero(ends[ids]) + 1
+        if len(cut) != len(words) or cut[-1] != len(ids):
+            return one_by_one(words)
+        raw, at = ids.tobytes(), 0
+        for w, c in zip(words, (4 * cut).tolist()):
+            known[w] = raw[at:c]
+            at = c
+
+    def learn(new: list[bytes]) -> None:
+        plain, other, parted = set(), set(), []
+        for w in new:
+            stem = w.rstrip(TAIL)
+            last = stem.decode() if stem else ""
+            if stem and last.isalpha():
+                plain.add(stem)
+            elif stem == w or not stem or not last[-1].isalpha() or b"<|" in w:
+                other.add(w)
+                continue
+            else:
+                other.add(stem)
+            if stem != w:
+                other.add(w[len(stem) :])
+                parted.append((w, stem))
+        if missing := [w for w in plain if w not in known]:
+            letters(missing)
+        if missing := [w for w in other if w not in known]:
+            one_by_one(missing)
+        for w, stem in parted:
+            known[w] = known[stem] + known[w[len(stem) :]]
+
+    def encode(texts: list[bytes]) -> list[bytes]:
+        docs = [(t if b"<|" in t else t.lower()).split() for t in texts]
         if len(known) > CACHE:
             known.clear()
-        if new := {w for w in words if w not in known}:
-            new = list(new)
-            for w, e in zip(new, tok.encode_batch_fast([w.decode() for w in new], add_special_tokens=False)):
-                known[w] = np.array(e.ids, dtype="<u4").tobytes()
-        return b"".join(map(known.__getitem__, words))
+        if new := set().union(*docs).difference(known):
+            learn(list(new))
+        return [b"".join(map(known.__getitem__, words)) for words in docs]
 
-    return encode
+    return _encoders.setdefault(path, encode)
 
 
 def pieces(docs: DataFrame, tokenizer: str, text: str = "text", key: str = "doc_id", size: int = 2048, end_id: int = 1) -> DataFrame:
@@ -48,10 +93,10 @@ def pieces(docs: DataFrame, tokenizer: str, text: str = "text", key: str = "doc_
 
     def cut(batches):
         encode = word_encoder(tokenizer)
-        for batch in batches:
+        for batch in (s for b in batches for s in slices(b)):
             out = [[], [], [], [], []]
-            for doc, t in zip(batch.column(0).to_pylist(), batch.column(1).cast(pa.binary()).to_pylist()):
-                ids = encode(t or b"") + end
+            for doc, ids in zip(batch.column(0).to_pylist(), encode([t or b"" for t in batch.column(1).cast(pa.binary()).to_pylist()])):
+                ids += end
                 n = len(ids) // 4
                 for at in range(0, n, size):
                     part = ids[4 * at : 4 * (at + size)]
