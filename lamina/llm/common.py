@@ -93,6 +93,7 @@ def ranked(df: DataFrame, keys: list[str], counts: DataFrame, seed: int, order:
     """
     d = df.join(counts, keys).withColumn("_h", F.xxhash64(*order, F.lit(seed)))
     d = d.withColumn("_b", F.pmod(F.col("_h"), F.ceil(F.sqrt("count")).cast("long")))
+    d = d.repartition(*keys, "_b")  # else Spark is content with the join's dealing by keys alone
     before = Window.partitionBy(*keys).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
     n = d.groupBy(*keys, "_b").agg(F.count(F.lit(1)).alias("_n"))
     base = n.select(*keys, "_b", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_base"))
