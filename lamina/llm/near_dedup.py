@@ -167,8 +167,9 @@ def near_dedup(docs: DataFrame, text: str = "text", key: str = "doc_id", percent
 
     1. One pass over the texts makes each set's digest and its band keys from min-max signatures. Documents
        with equal sets are one class from here on.
-    2. Every bucket of two classes or more has its least class as leader. Pairs of a class and a leader
-       are confirmed on the full sets and make components.
+    2. A class weighs as much as its buckets hold together, and a bucket's heaviest class is its leader. Each
+       class is first confirmed, on the full sets, against the heaviest of its leaders, which makes
+       components; then against its other leaders, but for those that are in its component by now.
     3. In buckets that still hold several components, the pairs of classes in different components are
        confirmed too. Large buckets are cut into units of bounded size, and there whole signatures first
        drop pairs whose estimate lies 4.5 standard deviations below the limit. So every pair that shares a bucket has been compared or is in one component already, and
@@ -195,16 +196,22 @@ def near_dedup(docs: DataFrame, text: str = "text", key: str = "doc_id", percent
 
         # 2. buckets of several classes, and the pairs with their leaders
         held = member.where("keys is not null").select("rid", F.posexplode("keys").alias("band", "h"))
-        buckets = held.groupBy("h").agg(F.count(F.lit(1)).alias("c"), F.min("rid").alias("leader")).where("c > 1")
-        buckets = scratch.table(buckets.select("h", "leader"))
+        buckets = scratch.table(held.groupBy("h").agg(F.count(F.lit(1)).alias("c")).where("c > 1"))
         inside = scratch.table(held.join(buckets, "h"))  # classes that share a bucket, once for each such bucket
         size = member.where("keys is not null").select("rid", "n")
-        pairs = inside.where("rid <> leader").select(F.col("rid").alias("a"), F.col("leader").alias("b")).distinct()
-        pairs = scratch.table(pairs)
+        weight = scratch.table(inside.groupBy("rid").agg(F.sum("c").alias("w")))
+        leaders = inside.join(weight, "rid").groupBy("h").agg(F.max(F.struct("w", (-F.col("rid")).alias("r"))).alias("top"))
+        leaders = scratch.table(leaders.select("h", F.col("top.w").alias("w"), (-F.col("top.r")).alias("b")))
+        pairs = scratch.table(inside.select("h", F.col("rid").alias("a")).join(leaders, "h").where("a <> b").select("a", "b", "w").distinct())
+        best = pairs.groupBy("a").agg(F.max(F.struct("w", (-F.col("b")).alias("r"))).alias("top"))
+        best = scratch.table(best.select("a", (-F.col("top.r")).alias("b")))
         texts = read.select("rid", "n", "payload").join(inside.select("rid").distinct(), "rid").mapInArrow(_sketches(bands, rows), "rid long, n long, payload binary, sketch binary")
         texts = scratch.table(texts)
-        first = scratch.table(_links(pairs, texts, percent))
-        comp = scratch.table(components(first, scratch))
+        comp = components(scratch.table(_links(best, texts, percent)), scratch)
+        rest = pairs.join(best.withColumnRenamed("b", "tried"), "a").where("b <> tried")
+        for side in "ab":
+            rest = rest.join(comp.select(F.col("v").alias(side), F.col("comp").alias(f"c{side}")), side, "left").withColumn(f"c{side}", F.coalesce(f"c{side}", side))
+        comp = _merged(comp, scratch.table(rest.where("ca <> cb").select("a", "b")), texts, percent, scratch)
 
         # 3. pairs across components in one bucket
         where = inside.select("h", "band", "rid").join(comp.select(F.col("v").alias("rid"), "comp"), "rid", "left").withColumn("comp", F.coalesce("comp", "rid"))
@@ -220,13 +227,9 @@ def near_dedup(docs: DataFrame, text: str = "text", key: str = "doc_id", percent
         many = where.where(F.col("m") > SMALL)
         if not many.isEmpty():
             across = across.unionAll(_large(many, texts, percent, bands, rows))
-        across = across.distinct().join(pairs, ["a", "b"], "left_anti")
-        across = scratch.table(across)
-        if not across.isEmpty():
-            more = scratch.table(_links(across, texts, percent))
-            if not more.isEmpty():
-                joined = comp.select(F.col("v").alias("a"), F.col("comp").alias("b")).unionAll(more.select("a", "b"))
-                comp = scratch.table(components(joined, scratch))
+        tried = pairs.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
+        across = across.distinct().join(tried, ["a", "b"], "left_anti")
+        comp = _merged(comp, scratch.table(across), texts, percent, scratch)
 
         # classes to components to the least doc_id in each
         label = member.join(comp.select(F.col("v").alias("rep"), "comp"), "rep", "left").select("doc_id", "n", F.coalesce("comp", "rep").alias("comp"))
@@ -237,6 +240,16 @@ def near_dedup(docs: DataFrame, text: str = "text", key: str = "doc_id", percent
         return scratch.result(out.select("doc_id", F.col("n").alias("n_shingles"), "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept")))
 
 
+def _merged(comp: DataFrame, pairs: DataFrame, texts: DataFrame, percent: int, scratch: Scratch) -> DataFrame:
+    """Components once those of some pairs that are alike are linked too."""
+    if pairs.isEmpty():
+        return comp
+    more = scratch.table(_links(pairs, texts, percent))
+    if more.isEmpty():
+        return comp
+    return components(comp.select(F.col("v").alias("a"), F.col("comp").alias("b")).unionAll(more.select("a", "b")), scratch)
+
+
 def _large(many: DataFrame, texts: DataFrame, percent: int, bands: int, rows: int) -> DataFrame:
     """Pairs across components in large buckets, by units of at most about two ``PART`` rows.
 
