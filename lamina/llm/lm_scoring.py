@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections import Counter
 from dataclasses import dataclass
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -53,9 +54,9 @@ class WindowNetwork:
         return WindowNetwork(*out)
 
     def _hidden(self, context: np.ndarray) -> np.ndarray:
-        z = self.near[0][context[:, 0]]
+        z = self.near[0].take(context[:, 0], axis=0)
         for k in range(1, 2 * SIDE):
-            z = z + self.near[k][context[:, k]]
+            z += self.near[k].take(context[:, k], axis=0)
         out = np.empty((len(z), WIDTH + 1), dtype=np.float32)
         np.tanh(z, out=out[:, :-1])
         out[:, -1] = 1
@@ -63,51 +64,61 @@ class WindowNetwork:
 
     @staticmethod
     def _softmax(z: np.ndarray) -> np.ndarray:
-        z -= z.max(1, keepdims=True)
+        """In place. |z| stays under the limit unless training runs away; within it no exponential overflows."""
+        np.clip(z, -60, 60, out=z)
         np.exp(z, out=z)
-        z /= z.sum(1, keepdims=True)
+        z /= (z @ np.ones((z.shape[1], 1), dtype=z.dtype))
         return z
 
+    def _places(self, h: np.ndarray, cuts: list[int]) -> np.ndarray:
+        """P(place | kind) of rows that are sorted by kind; kind k has the rows cuts[k] to cuts[k + 1]."""
+        q = np.empty((len(h), EACH), dtype=self.place.dtype)
+        for k in range(KINDS):
+            if cuts[k] < cuts[k + 1]:
+                np.matmul(h[cuts[k] : cuts[k + 1]], self.place[k], out=q[cuts[k] : cuts[k + 1]])
+        return self._softmax(q)
+
+    @staticmethod
+    def _by_kind(target: np.ndarray) -> tuple[np.ndarray, np.ndarray, list[int]]:
+        """An order that sorts targets, the targets in it, and each kind's cuts; 16 bits sort by radix."""
+        order = np.argsort(target.astype(np.int16), kind="stable")
+        target = target[order].astype(np.int64)
+        return order, target, np.searchsorted(target, np.arange(KINDS + 1) * EACH).tolist()
+
     def log_prob(self, context: np.ndarray, target: np.ndarray) -> np.ndarray:
         """Of each target, which is masked: its neighbours alone are seen."""
-        h, out = self._hidden(context), np.empty(len(target), dtype=np.float32)
-        kinds = target // EACH
-        out[:] = np.log(self._softmax(h @ self.kind)[np.arange(len(target)), kinds] + 1e-30)
-        order = np.argsort(kinds, kind="stable")
-        cuts = np.searchsorted(kinds[order], np.arange(KINDS + 1))
-        for k in range(KINDS):
-            own = order[cuts[k] : cuts[k + 1]]
-            if len(own):
-                p = self._softmax(h[own] @ self.place[k])
-                out[own] += np.log(p[np.arange(len(own)), target[own] % EACH] + 1e-30)
+        order, target, cuts = self._by_kind(target)
+        h, at = self._hidden(context[order]), np.arange(len(target))
+        p = self._softmax(h @ self.kind)[at, target // EACH], self._places(h, cuts)[at, target % EACH]
+        out = np.empty(len(target), dtype=np.float32)
+        out[order] = np.log(p[0] + 1e-30) + np.log(p[1] + 1e-30)
         return out
 
     def gradients(self, context: np.ndarray, target: np.ndarray) -> tuple[list, float]:
         """Of the summed negative log-likelihood; the embeddings' as (place, ids, rows)."""
+        order, target, cuts = self._by_kind(target)
+        context = context[order]
         n, h = len(target), self._hidden(context)
-        kinds = target // EACH
-        p = self._softmax(h @ self.kind)
-        loss = -np.log(p[np.arange(n), kinds] + 1e-30).sum()
-        p[np.arange(n), kinds] -= 1
+        p, q = self._softmax(h @ self.kind), self._places(h, cuts)
+        at, kinds, places = np.arange(n), target // EACH, target % EACH
+        loss = -(np.log(p[at, kinds] + 1e-30).sum() + np.log(q[at, places] + 1e-30).sum())
+        p[at, kinds] -= 1
+        q[at, places] -= 1
         d_kind, dh = h.T @ p, p @ self.kind[:-1].T
         d_place = np.zeros_like(self.place)
-        order = np.argsort(kinds, kind="stable")
-        cuts = np.searchsorted(kinds[order], np.arange(KINDS + 1))
         for k in range(KINDS):
-            own = order[cuts[k] : cuts[k + 1]]
-            if len(own):
-                q = self._softmax(h[own] @ self.place[k])
-                at = np.arange(len(own)), target[own] % EACH
-                loss -= np.log(q[at] + 1e-30).sum()
-                q[at] -= 1
-                d_place[k] = h[own].T @ q
-                dh[own] += q @ self.place[k][:-1].T
+            if cuts[k] < cuts[k + 1]:
+                own = slice(cuts[k], cuts[k + 1])
+                np.matmul(h[own].T, q[own], out=d_place[k])
+                dh[own] += q[own] @ self.place[k][:-1].T
         dz = dh * (1 - h[:, :-1] ** 2)
         near = []
         for k in range(2 * SIDE):
-            order = np.argsort(context[:, k], kind="stable")
-            ids, first = np.unique(context[order, k], return_index=True)
-            near.append((k, ids, np.add.reduceat(dz[order], first, axis=0)))
+            ids = context[:, k].astype(np.int16)
+            order = np.argsort(ids, kind="stable")
+            ids = ids[order]
+            first = np.flatnonzero(np.concatenate([[True], ids[1:] != ids[:-1]]))
+            near.append((k, ids[first], np.add.reduceat(dz.take(order, axis=0), first, axis=0)))
         return [near, d_kind, d_place], float(loss)
 
     def step(self, context: np.ndarray, target: np.ndarray, rate: float) -> float:
@@ -135,21 +146,18 @@ class Vocabulary:
             known = self.known = dict(self.own)
         for w in set(words).difference(known):
             known[w] = N_IDS - OTHER + xxhash.xxh3_64_intdigest(w) % OTHER
-        return np.fromiter(map(known.__getitem__, words), dtype=np.int64, count=len(words))
+        return np.fromiter(map(known.__getitem__, words), dtype=np.int16, count=len(words))
 
 
 def windows(vocabulary: Vocabulary, texts: list[bytes | None]):
     """Contexts and targets of all words of some texts, end to end, and each text's words."""
     docs = [(t or b"").lower().split() for t in texts]
     lengths = np.array([len(d) for d in docs], dtype=np.int64)
-    target = vocabulary([w for d in docs for w in d])
-    ends = np.repeat(np.cumsum(lengths), lengths)
-    starts = ends - np.repeat(lengths, lengths)
-    at = np.arange(len(target))
-    context = np.full((len(target), 2 * SIDE), EDGE, dtype=np.int64)
-    for k, d in enumerate([*range(-SIDE, 0), *range(1, SIDE + 1)]):
-        ok = (at + d >= starts) & (at + d < ends)
-        context[ok, k] = target[at[ok] + d]
+    target = vocabulary(list(chain.from_iterable(docs)))
+    at = np.arange(len(target)) + SIDE * np.repeat(np.arange(1, len(docs) + 1), lengths)
+    line = np.full(len(target) + SIDE * (len(docs) + 1), EDGE, dtype=np.int16)  # SIDE edges before, between and after texts
+    line[at] = target
+    context = np.stack([line[at + d] for d in [*range(-SIDE, 0), *range(1, SIDE + 1)]], axis=1)
     return context, target, lengths
 
 
