@@ -20,7 +20,8 @@ def is_variable(term: Column) -> Column:
 def parse_atom(text: Column) -> Column:
     """``name`` or ``name(a,b)`` to an atom, null if malformed; a trailing comma in the list is allowed."""
     inner = F.regexp_extract(text, _ATOM, 2)
-    args = F.filter(F.transform(F.split(inner, ","), F.trim), lambda a: a != "")
+    # not F.trim itself: transform would hand it the place as the characters to trim
+    args = F.filter(F.transform(F.split(inner, ","), lambda a: F.trim(a)), lambda a: a != "")
     return F.when(text.rlike(_ATOM), F.struct(F.regexp_extract(text, _ATOM, 1).alias("predicate"), args.alias("args")))
 
 
