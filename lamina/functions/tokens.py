@@ -94,3 +94,44 @@ def next_power(n: Column) -> Column:
 
 def remapped_labels(y: Column, ignore: int = -100) -> Column:
     return F.transform(y, lambda v: F.when(v == 0, F.lit(ignore)).otherwise(v))
+
+
+def proposition_vocabulary(names: DataFrame) -> DataFrame:
+    """token, id from names (name): special tokens, then each proposition ``p<layer>_<n>`` whole, by layer and number.
+
+    Other names are an error; names that are repeated count once.
+    """
+    part = lambda i: F.regexp_extract("name", r"^p(\d+)_(\d+)$", i)
+    asked = names.select("name").distinct().withColumn("layer", F.when(part(1) == "", F.raise_error(F.concat(F.lit("no proposition "), F.col("name"))).cast("int")).otherwise(part(1).cast("int"))).withColumn("n", part(2).cast("int"))
+    ordered = asked.agg(F.array_sort(F.collect_list(F.struct("layer", "n", "name"))).alias("t"))  # a vocabulary, not a corpus
+    new = ordered.select(F.posexplode("t").alias("i", "t")).select(F.col("t.name").alias("token"), (F.col("i") + len(SPECIAL)).alias("id"))
+    return new.unionByName(ordered.select(F.explode(F.from_json(F.lit(_special_json()), "map<string,int>"))).select(F.col("key").alias("token"), F.col("value").alias("id")))
+
+
+def retokenized(row: Column, names: Column, ids: Column, n: int, pad: int = PAD, ignore: int = -100) -> Column:
+    """Ids to text, its words to ids of another vocabulary, cut or padded to ``n``; labels are these ids, unshifted, ``ignore`` at padding."""
+    words = F.filter(F.split(to_text(row, names, by=" "), " "), lambda w: w != "")
+    xs = pad_or_trim(to_ids(words, ids), n, pad)
+    return F.struct(xs.alias("xs"), F.transform(xs, lambda v: F.when(v == pad, F.lit(ignore)).otherwise(v)).alias("ys"))
+
+
+def length_bounds(rules: DataFrame, arities: DataFrame, start_facts: int, n_demos: int = 0, fresh: tuple[int, int] | None = None, steps: int = 1) -> DataFrame:
+    """One row of the longest lengths that a bank allows: max_atom, max_prompt, max_completion, n_seq.
+
+    ``rules`` (lhs, rhs) and ``arities`` (predicate, arity) of one or more banks. A prompt holds as many facts
+    as a query may start with or a rule derive, a goal, separators and <START>, and ``n_demos`` clauses with
+    a separator each. ``fresh`` gives the most atoms on either side of rules that are not in a bank. With
+    ``steps`` above 1 a completion holds so many clauses.
+    """
+    atom = F.struct("predicate", F.array_repeat(F.lit("a"), F.col("arity")).alias("args"))
+    a = arities.agg(F.greatest(F.lit(1), F.max(F.size(atom_tokens(atom)))).alias("max_atom"))
+    clause = rules.agg(F.max(F.size(clause_tokens(F.col("lhs"), F.col("rhs")))).alias("_clause"), F.max(F.size("rhs")).alias("_rhs"))
+    d = a.join(F.broadcast(clause))  # one row each
+    if fresh:
+        d = d.withColumn("_demo", F.greatest("_clause", F.col("max_atom") * sum(fresh) + 5)).withColumn("_one", F.greatest(F.col("_clause") + 1, F.col("max_atom") * sum(fresh) + 5))
+    else:
+        d = d.withColumn("_demo", F.col("_clause")).withColumn("_one", F.col("_clause") + 1)
+    facts = F.greatest(F.lit(start_facts), F.col("_rhs"))
+    prompt = facts * F.col("max_atom") + F.greatest(facts - 1, F.lit(0)) + F.col("max_atom") + 2 + n_demos * (F.col("_demo") + 1)
+    d = d.withColumn("max_prompt", prompt).withColumn("max_completion", (F.col("_one") - 1) * steps + steps)
+    return d.select("max_atom", "max_prompt", "max_completion", (F.col("max_prompt") + F.col("max_completion") - 1).alias("n_seq"))

@@ -95,3 +95,20 @@ def k_medoids(vectors: DataFrame, start: list[int], rounds: int = 100, sample: i
         if new == medoids:
             return best, medoids
         medoids = new
+
+
+def cluster_select(candidates: DataFrame, actual: DataFrame, ranks: DataFrame, n_rules: int, default: int, start: list[int], rounds: int = 100) -> DataFrame:
+    """qid, place, rule_id, rank: for each query, the demonstrations of the candidate medoid nearest to its own.
+
+    ``candidates`` and ``actual`` are demonstrations (qid, rule_id, place); candidates' ranking vectors are
+    clustered from the ids ``start``, and medoids, a bounded set, meet every query. Ties go to the lowest id.
+    ``ranks`` (qid, rule_id, rank) ranks the chosen rules anew for the actual query, 4 where it has none.
+    """
+    vectors = ranking_vectors(candidates, n_rules, default).withColumnRenamed("qid", "vec_id")
+    _, medoids = k_medoids(vectors, start, rounds)
+    own = ranking_vectors(actual, n_rules, default).withColumnRenamed("qid", "vec_id")
+    near = distances(own, vectors.where(F.col("vec_id").isin(*medoids))).groupBy("j").agg(F.min(F.struct("d", "i")).alias("b"))
+    chosen = near.select(F.col("j").alias("qid"), F.col("b.i").alias("medoid"))
+    shown = F.broadcast(candidates.where(F.col("qid").isin(*medoids)).select(F.col("qid").alias("medoid"), "rule_id", "place"))  # medoids' alone
+    out = chosen.join(shown, "medoid").join(ranks.select("qid", "rule_id", "rank"), ["qid", "rule_id"], "left")
+    return out.select("qid", "place", "rule_id", F.coalesce("rank", F.lit(4)).alias("rank"), "medoid")

@@ -58,6 +58,12 @@ def match_metrics(matches: DataFrame) -> DataFrame:
     return matches.agg(*out)
 
 
+def rule_membership(rows: DataFrame, rules: DataFrame) -> DataFrame:
+    """Share of rows (set_id, pred) whose vector equals one of the rules (set_id, rule, used) in use in its set; null without rows."""
+    own = rules.where("used").select("set_id", F.col("rule").alias("pred")).distinct().withColumn("_in", F.lit(1))
+    return rows.join(own, ["set_id", "pred"], "left").agg(F.avg(F.coalesce("_in", F.lit(0))).alias("membership"))
+
+
 def flatten_metrics(df: DataFrame, prefix: str) -> DataFrame:
     """One row of metrics to (metric, value); values that are no numbers become text beside a null value."""
     names = [f.name for f in df.schema]

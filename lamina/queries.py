@@ -532,3 +532,90 @@ def gen_counts(spark, sf_dir):
     return gen_problems(spark, sf_dir).groupBy("distance").agg(F.count(F.lit(1)).alias("records"), F.countDistinct("problem_id").alias("examples"))
 
 
+
+
+# --- closed loops, selection by clusters, length bounds
+
+ROLL_SQL = """r AS (SELECT c_custkey AS qid, c_custkey % 6 AS k, c_custkey, c_nationkey, n_regionkey, c_mktsegment AS seg FROM customer JOIN nation ON c_nationkey = n_nationkey),
+o AS (SELECT qid, k = 0 AS success, CASE k WHEN 1 THEN 'decode_error' WHEN 2 THEN 'wrong_rule' WHEN 3 THEN 'unknown_rule' WHEN 4 THEN 'inapplicable' WHEN 5 THEN 'goal_not_reached' END AS reason,
+CAST(CASE WHEN k IN (0, 5) THEN 2 ELSE 1 END AS INTEGER) AS n_steps, CAST(CASE WHEN k IN (0, 5) THEN 2 ELSE 0 END AS INTEGER) AS final_layer,
+CASE WHEN k = 0 THEN 'r2_1(c' || n_regionkey || ',c' || c_custkey || ')' WHEN k = 5 THEN 'r2_2(c' || c_custkey || ')' ELSE 'r0_1(c' || c_custkey || ',c' || c_nationkey || ') ∧ r0_2(c' || c_nationkey || ',c' || n_regionkey || ') ∧ r0_3(c' || c_custkey || ',c' || seg || ')' END AS final_facts FROM r)"""
+
+
+def _rollouts(spark, sf_dir):
+    """A scripted model over the customers: one in six goes right, the others fail in one way each."""
+    from .operators.rollout import rollout
+
+    c, n = table(spark, sf_dir, "customer"), table(spark, sf_dir, "nation")
+    name = lambda x: F.concat(F.lit("c"), text(x))
+    j = c.join(F.broadcast(n), c["c_nationkey"] == n["n_nationkey"])
+    facts = F.array_sort(F.array(atom("r0_1", name("c_custkey"), name("c_nationkey")), atom("r0_2", name("c_nationkey"), name("n_regionkey")), atom("r0_3", name("c_custkey"), name("c_mktsegment"))))
+    examples = j.select(F.col("c_custkey").alias("qid"), F.lit(0).alias("start_layer"), facts.alias("facts"), atom("r2_1", name("n_regionkey"), name("c_custkey")).alias("goal"))
+
+    def scripted(rows):
+        k, f = F.col("qid") % 6, lambda i: F.col("facts")[i]
+        args = lambda i, at: f(i)["args"][at]
+        say = F.format_string
+        first = F.when(k == 0, say("r0_1(%s,%s) ∧ r0_2(%s,%s) → r1_1(%s,%s)", args(0, 0), args(0, 1), args(1, 0), args(1, 1), args(0, 0), args(1, 1)))
+        first = first.when(k == 1, "r0_1(a → r1_1").when(k == 2, say("r0_7(%s,%s) → r1_8(%s)", args(2, 0), args(2, 1), args(2, 0))).when(k == 3, "r0_1(a) → r1_1(a) ∧ r1_2(a)")
+        first = first.when(k == 4, "r0_3(nobody,b) → r1_2(nobody)").otherwise(say("r0_3(%s,%s) → r1_2(%s)", args(2, 0), args(2, 1), args(2, 0)))
+        then = F.when(k == 0, say("r1_1(%s,%s) → r2_1(%s,%s)", args(0, 0), args(0, 1), args(0, 1), args(0, 0))).otherwise(say("r1_2(%s) → r2_2(%s)", args(0, 0), args(0, 0)))
+        return rows.withColumn("answer", F.when(F.col("step") == 0, first).otherwise(then))
+
+    return rollout(examples, rules(spark), scripted, 2, 2)
+
+
+@query("WITH " + ROLL_SQL + " SELECT * FROM o")
+def rollout_loop(spark, sf_dir):
+    return _rollouts(spark, sf_dir).drop("steps")
+
+
+@query("WITH " + ROLL_SQL + """ SELECT count(*) AS n, count(*) FILTER (success) AS n_success, count(*) FILTER (reason = 'decode_error') AS n_decode_error, count(*) FILTER (reason = 'unknown_rule') AS n_unknown_rule,
+count(*) FILTER (reason = 'wrong_rule') AS n_wrong_rule, count(*) FILTER (reason = 'inapplicable') AS n_inapplicable, count(*) FILTER (reason = 'goal_not_reached') AS n_goal_not_reached, round(count(*) FILTER (success) / count(*), 6) AS success_rate, round(avg(n_steps), 6) AS avg_steps FROM o""")
+def rollout_metrics(spark, sf_dir):
+    from .operators.rollout import rollout_metrics as summed
+
+    m = summed(_rollouts(spark, sf_dir))
+    return m.select(*[c for c in m.columns if c.startswith("n")], F.round("success_rate", 6).alias("success_rate"), F.round("avg_steps", 6).alias("avg_steps"))
+
+
+@query()
+def cluster_select(spark, sf_dir):
+    """Candidates are customers whose key is divisible by 50; their top demonstrations serve the nearest others."""
+    ranked = ranked_parts(spark, sf_dir)
+    shown = demos.full_rank_top(ranked, 3)
+    n = ranked.agg(F.max("rule_id")).first()[0]
+    pool = shown.where("qid % 50 = 0")
+    start = [r["qid"] for r in pool.select("qid").distinct().orderBy("qid").limit(2).collect()]
+    return demos.cluster_select(pool, shown, ranked, n, 4, start, rounds=5)
+
+
+@query("""WITH p AS (SELECT DISTINCT n_regionkey AS a, n_nationkey AS b FROM nation)
+SELECT 'p' || a || '_' || b AS token, CAST(9 + row_number() OVER (ORDER BY a, b) AS INTEGER) AS id FROM p
+UNION ALL SELECT * FROM (VALUES ('<PAD>',0),('⊢',1),('∧',2),('→',3),('(',4),(')',5),(',',6),('<SEP>',7),('<START>',8),('<EOT>',9)) v(token, id)""")
+def proposition_vocab(spark, sf_dir):
+    return T.proposition_vocabulary(table(spark, sf_dir, "nation").select(F.concat(F.lit("p"), "n_regionkey", F.lit("_"), "n_nationkey").alias("name")))
+
+
+@query("SELECT turn AS turn, conv_id, CASE role WHEN 'user' THEN '21,22,0' ELSE '23,22,0' END AS xs, CASE role WHEN 'user' THEN '21,22,-100' ELSE '23,22,-100' END AS ys FROM conversations")
+def retokenize(spark, sf_dir):
+    names = F.create_map(*[F.lit(x) for p in {11: "user", 12: "other", 13: "said"}.items() for x in p])
+    row = F.array(F.lit(T.START), F.when(F.col("role") == "user", 11).otherwise(12), F.lit(13), F.lit(T.EOT))
+    r = T.retokenized(row, names, T.id_map({"user": 21, "said": 22, "other": 23}), 3)
+    return table(spark, sf_dir, "conversations").select("conv_id", "turn", r.alias("r")).select("conv_id", "turn", F.array_join(F.col("r.xs").cast("array<string>"), ",").alias("xs"), F.array_join(F.col("r.ys").cast("array<string>"), ",").alias("ys"))
+
+
+@query("SELECT 8 AS max_atom, 63 AS max_prompt, 27 AS max_completion, 89 AS n_seq")
+def length_bounds(spark, sf_dir):
+    r = rules(spark)
+    each = F.explode(F.concat("lhs", "rhs")).alias("a")
+    arities = r.select(each).select(F.col("a.predicate").alias("predicate"), F.size("a.args").alias("arity")).distinct()
+    return T.length_bounds(r, arities, 3, n_demos=1, steps=1)
+
+
+@query("""WITH r AS (SELECT o_custkey % 7 AS a, o_custkey % 5 AS b, o_orderkey % 3 AS s FROM orders), u AS (SELECT s, x, y FROM (VALUES (0), (1), (2)) t(s), (VALUES (0), (1), (2)) v(x), (VALUES (0), (1)) w(y) WHERE x >= s)
+SELECT round(avg(CASE WHEN u.s IS NULL THEN 0.0 ELSE 1.0 END), 6) AS membership FROM r LEFT JOIN u ON r.s = u.s AND a = x AND b = y""")
+def rule_membership(spark, sf_dir):
+    o = table(spark, sf_dir, "orders").select((F.col("o_orderkey") % 3).cast("int").alias("set_id"), F.array((F.col("o_custkey") % 7).cast("int"), (F.col("o_custkey") % 5).cast("int")).alias("pred"))
+    sets = spark.createDataFrame([(s, [x, y], x >= s) for s in range(3) for x in range(3) for y in range(2)], "set_id int, rule array<int>, used boolean")
+    return metrics.rule_membership(o, sets).select(F.round("membership", 6).alias("membership"))

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from lamina.functions import atoms as A
 from lamina.functions import tokens as T
 from lamina.operators import batches as B
-from lamina.operators import chain, demos, metrics, schema_match, unify
+from lamina.operators import chain, demos, metrics, rollout, schema_match, unify
 from lamina.plans import banks, generate
 from lamina.sources import banks as bank_files
 
@@ -24,6 +24,7 @@ def test_clause_round_trip(spark):
     assert one(spark, A.clause_text(c["lhs"], c["rhs"])) == text
     s = one(spark, A.parse_sequent(F.lit("r0_1(a,b),r0_2(b,c)⊢r1_1(a,c)")))
     assert len(s["ants"]) == 2 and s["cons"]["predicate"] == "r1_1"
+    assert one(spark, A.parse_atom(F.lit("p(c0, d1,e2)")))["args"] == ["c0", "d1", "e2"]  # names may end in their place
     for bad in ("a(b", "a → b → c", "a ∧ → b", "", "1a → b"):
         assert one(spark, A.parse_clause(F.lit(bad))) is None
 
@@ -173,3 +174,37 @@ def test_segments(spark):
     assert one(spark, T.segments(F.array(*map(F.lit, [1, 2, 7, 3, 0])))) == [[1, 2], [3]]
     assert one(spark, T.next_power(F.lit(1025))) == 2048 and one(spark, T.next_power(F.lit(1024))) == 1024
     assert np.isclose(one(spark, metrics.nll(F.array(F.lit(0.0), F.lit(0.0)), F.lit(1))), np.log(2))
+
+
+def test_length_bounds_by_hand(spark):
+    bank = unify.bank(spark, ["r0_1(x1,x2) ∧ r0_2(x2) → r1_1(x1)"])
+    arities = spark.createDataFrame([("r0_1", 2), ("r0_2", 1), ("r1_1", 1)], "predicate string, arity int")
+    # the longest atom is r 0 _ 1 ( a a ), 8 tokens; the clause has 8 + 1 + 7 + 1 + 7 = 24
+    plain = T.length_bounds(bank, arities, 3).first()
+    assert tuple(plain) == (8, 3 * 8 + 2 + 1 + 8 + 1, 25, 36 + 25 - 1)
+    full = T.length_bounds(bank, arities, 3, n_demos=2, fresh=(2, 2), steps=3).first()
+    assert tuple(full) == (8, 36 + 2 * (37 + 1), 36 * 3 + 2 + 1, 112 + 111 - 1)
+
+
+def test_medoid_nearest_to_the_query(spark):
+    shape = "qid int, rule_id int, place int"
+    pool = spark.createDataFrame([(1, 1, 1), (1, 2, 2), (2, 1, 1), (2, 2, 2), (3, 3, 1), (3, 4, 2), (4, 3, 1), (4, 4, 2)], shape)
+    own = spark.createDataFrame([(7, 3, 1), (7, 4, 2), (8, 2, 2), (8, 1, 1)], shape)
+    ranks = spark.createDataFrame([(7, 3, 2), (8, 1, 1), (8, 2, 3)], "qid int, rule_id int, rank int")
+    got = {(r["qid"], r["place"]): (r["rule_id"], r["rank"], r["medoid"]) for r in demos.cluster_select(pool, own, ranks, 4, 3, [2, 4]).collect()}
+    assert got == {(7, 1): (3, 2, 3), (7, 2): (4, 4, 3), (8, 1): (1, 1, 1), (8, 2): (2, 3, 1)}
+
+
+def test_rollout_ends(spark):
+    bank = unify.bank(spark, ["r0_1(x1) → r1_1(x1)", "r1_1(x1) → r2_1(x1)"], [0, 1])
+    rows = [(1, 0, [("r0_1", ["c0"])], ("r2_1", ["c0"])), (2, 1, [("r1_1", ["a"])], ("r2_1", ["a"])), (3, 0, [("r0_1", ["b"])], ("r2_1", ["b"]))]
+    examples = spark.createDataFrame(rows, f"qid int, start_layer int, facts array<{A.ATOM_TYPE}>, goal {A.ATOM_TYPE}")
+    fact = A.conjunction_text(F.col("facts"))
+    said = F.concat(fact, F.lit(" → "), F.regexp_replace(fact, "r[01]_", F.concat(F.lit("r"), F.col("src_layer") + 1, F.lit("_"))))
+    model = lambda d: d.withColumn("answer", F.when(F.col("qid") != 3, said))
+    got = {r["qid"]: (r["success"], r["reason"], r["n_steps"], r["final_layer"], r["final_facts"]) for r in rollout.rollout(examples, bank, model, 3, 1).collect()}
+    assert got == {1: (True, None, 2, 2, "r2_1(c0)"), 2: (True, None, 1, 2, "r2_1(a)"), 3: (False, "decode_error", 1, 0, "r0_1(b)")}
+    short = {r["qid"]: r["reason"] for r in rollout.rollout(examples, bank, model, 1, 1).collect()}
+    assert short == {1: "goal_not_reached", 2: None, 3: "decode_error"}
+    none = rollout.rollout(examples.limit(0), bank, model, 2, 1)
+    assert none.count() == 0 and rollout.rollout_metrics(none).first()["success_rate"] == 0
