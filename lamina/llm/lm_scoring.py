@@ -1,4 +1,4 @@
-"""Masked pseudo-likelihood: a bidirectional window network predicts every word from both sides."""
+"""Masked pseudo-likelihood: a bidirectional window network predicts every word's id from both sides, counts the word within its id."""
 
 from __future__ import annotations
 
@@ -189,7 +189,8 @@ def _add(t: pa.Table) -> pa.Table:
 class LanguageModel:
     vocabulary: list
     network: WindowNetwork
-    spread: np.ndarray  # log of the number of words that share each id
+    shared: np.ndarray  # log of how often all words that share an id occur, and one unseen word; 0 for own ids
+    counts: DataFrame  # w, n: a written table of all words that occur more than once
 
 
 def train(docs: DataFrame, text: str = "text", rounds: int = 1, rate: float = 0.08) -> LanguageModel:
@@ -214,14 +215,15 @@ def train(docs: DataFrame, text: str = "text", rounds: int = 1, rate: float = 0.
                 ids = np.array([-1 if x in own else xxhash.xxh3_64_intdigest(x) % OTHER for x in w], dtype=np.int64)
                 m = ids >= 0
                 total = np.bincount(ids[m], np.array(n, dtype=float)[m], OTHER)
-                yield pa.RecordBatch.from_arrays([pa.array(np.arange(OTHER)), pa.array(total), pa.array(np.bincount(ids[m], minlength=OTHER))], ["id", "n", "words"])
+                yield pa.RecordBatch.from_arrays([pa.array(np.arange(OTHER)), pa.array(total)], ["id", "n"])
 
-        rest = counted.mapInArrow(share, "id long, n double, words long").groupBy("id").agg(F.sum("n").alias("n"), F.sum("words").alias("words")).collect()
-    counts, spread = np.zeros(N_IDS), np.zeros(N_IDS)
+        rest = counted.mapInArrow(share, "id long, n double").groupBy("id").agg(F.sum("n").alias("n")).collect()
+        again = scratch.result(counted.where("n > 1"))
+    counts, shared = np.zeros(N_IDS), np.zeros(N_IDS)
     counts[: len(top)] = [n for _, n in top]
     for r in rest:
         counts[N_IDS - OTHER + r["id"]] = r["n"]
-        spread[N_IDS - OTHER + r["id"]] = np.log(max(1, r["words"]))
+        shared[N_IDS - OTHER + r["id"]] = np.log(r["n"] + 1)
     words = [w for w, _ in top]
     network = WindowNetwork.new(counts)
     for k in range(rounds):
@@ -250,30 +252,45 @@ def train(docs: DataFrame, text: str = "text", rounds: int = 1, rate: float = 0.
         got = sorted(sums.collect(), key=lambda r: r["part"])
         if got:
             network = network.filled(np.concatenate([np.frombuffer(bytes(r["x"]), dtype="<f8") / r["weight"] for r in got]))
-    return LanguageModel(words, network, spread)
+    return LanguageModel(words, network, shared, again)
 
 
 def score(docs: DataFrame, model: LanguageModel, text: str = "text", key: str = "doc_id") -> DataFrame:
     """One row per input row: doc_id, n_tokens, log_prob, mean_log_prob (natural logs).
 
-    log_prob sums, over all words, the log-probability of the word given two words on either side. A word
-    that shares its id also pays the log of how many words share it. Null and wordless texts: 0 tokens,
+    log_prob sums, over all words, the log-probability of the word given two words on either side. That of a
+    word that shares its id is P(id) * n / (N + 1), n its own count and N that of all words with the id; a
+    word that training did not see has n = 1. Counts of words grow with the corpus: words meet them in a join
+    by word, which no word fills, as the frequent ones have their own ids. Null and wordless texts: 0 tokens,
     log_prob 0 and a null mean. Repeated rows and null ids are kept as they come; other columns are not read.
     """
-    held = docs.sparkSession.sparkContext.broadcast(model)  # of fixed size
+    held = docs.sparkSession.sparkContext.broadcast((model.vocabulary, model.network, model.shared))  # of fixed size
 
     def run(batches):
-        m = held.value
-        vocabulary = Vocabulary(m.vocabulary)
+        own, network, shared = held.value
+        vocabulary, n = Vocabulary(own), TaskContext.get().partitionId() << 32
         for batch in batches:
             for part in slices(batch):
-                context, target, lengths = windows(vocabulary, part.column(1).cast(pa.binary()).to_pylist())
+                texts = part.column(1).cast(pa.binary()).to_pylist()
+                context, target, lengths = windows(vocabulary, texts)
                 p = np.empty(len(target))
                 for a in range(0, len(target), 4 * BATCH):
-                    p[a : a + 4 * BATCH] = m.network.log_prob(context[a : a + 4 * BATCH], target[a : a + 4 * BATCH])
-                p -= m.spread[target]
+                    p[a : a + 4 * BATCH] = network.log_prob(context[a : a + 4 * BATCH], target[a : a + 4 * BATCH])
+                p -= shared[target]
                 total = np.diff(np.concatenate([[0], np.cumsum(p)])[np.concatenate([[0], np.cumsum(lengths)])])
-                mean = np.divide(total, lengths, out=np.full(len(total), np.nan), where=lengths > 0)
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(lengths), pa.array(total), pa.array(mean, from_pandas=True)], ["doc_id", "n_tokens", "log_prob", "mean_log_prob"])
-
-    return docs.select(F.col(key).cast("long"), F.col(text)).mapInArrow(run, "doc_id long, n_tokens long, log_prob double, mean_log_prob double")
+                rid = np.arange(n, n + len(lengths))
+                n += len(lengths)
+                # a row for each text, whose w (with a space, so no word) has no count, then one for each word with a shared id
+                w = pa.array([b" %d" % r for r in rid.tolist()], pa.binary())
+                yield pa.RecordBatch.from_arrays([pa.array(rid), part.column(0), pa.array(lengths), pa.array(total), w], names)
+                other = np.flatnonzero(target >= N_IDS - OTHER)
+                w = pa.array(chain.from_iterable((t or b"").lower().split() for t in texts), pa.binary()).take(pa.array(other))
+                rid = pa.array(np.repeat(rid, lengths)[other])
+                yield pa.RecordBatch.from_arrays([rid, *[pa.nulls(len(other), t) for t in (pa.int64(), pa.int64(), pa.float64())], w], names)
+
+    names = ["rid", "doc_id", "n_tokens", "log_prob", "w"]
+    parts = docs.select(F.col(key).cast("long"), F.col(text)).mapInArrow(run, "rid long, doc_id long, n_tokens long, log_prob double, w binary")
+    parts = parts.join(model.counts.hint("shuffle_hash"), "w", "left")
+    out = parts.groupBy("rid").agg(F.max("doc_id").alias("doc_id"), F.max("n_tokens").alias("n_tokens"), F.max("log_prob").alias("p"), F.sum(F.log("n")).alias("own"))
+    out = out.withColumn("log_prob", F.col("p") + F.coalesce("own", F.lit(0.0)))
+    return out.select("doc_id", "n_tokens", "log_prob", F.when(F.col("n_tokens") > 0, F.col("log_prob") / F.col("n_tokens")).alias("mean_log_prob"))

@@ -295,6 +295,31 @@ def test_scoring(spark, docs, none):
     assert lm_scoring.score(docs, lm_scoring.train(none)).count() == len(rows())
 
 
+def test_scoring_counts_each_word(spark):
+    """Words that share an id are scored by their own counts, against brute force."""
+    import xxhash
+
+    frequent = [f"f{i}" for i in range(lm_scoring.N_IDS - lm_scoring.OTHER)]
+    rare, i = [], 0
+    while len(rare) < 3:  # three words of one id
+        if xxhash.xxh3_64_intdigest(b"q%d" % i) % lm_scoring.OTHER == 5:
+            rare.append(f"q{i}")
+        i += 1
+    texts = [" ".join(frequent * 9), " ".join([rare[0]] * 8), rare[1]]
+    model = lm_scoring.train(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"))
+    data = [(k, w) for k, w in enumerate(rare)] + [(None, f"{rare[0]} {rare[0]} {frequent[0]} {rare[2]}"), (0, rare[0]), (7, "f1 f2")]
+    want = []
+    own, n = lm_scoring.Vocabulary(model.vocabulary), Counter(split(texts[1]) + split(texts[2]))
+    for k, t in data:
+        context, target, _ = lm_scoring.windows(own, [t.encode()])
+        p = model.network.log_prob(context, target).astype(float)
+        want.append((k is None, k or 0, len(target), float(p.sum() + sum(np.log(max(1, n[w]) / 10) for w in split(t) if w.startswith(b"q")))))
+    got = lm_scoring.score(spark.createDataFrame(data, "doc_id long, text string"), model).collect()
+    got = sorted((r["doc_id"] is None, r["doc_id"] or 0, r["n_tokens"], r["log_prob"]) for r in got)
+    for g, w in zip(got, sorted(want), strict=True):
+        assert g[:3] == w[:3] and abs(g[3] - w[3]) < 1e-4
+
+
 def test_pipeline(spark):
     import corpus_pipeline
 
