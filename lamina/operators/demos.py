@@ -73,12 +73,27 @@ def distances(vectors: DataFrame, queries: DataFrame) -> DataFrame:
     return one.select("j", "v", F.explode("qs").alias("q")).select(F.col("q.i").alias("i"), "j", footrule(F.col("q.q"), F.col("v")).alias("d"))
 
 
-def k_medoids(vectors: DataFrame, start: list[int], rounds: int = 100, sample: int = 2000) -> tuple[DataFrame, list[int]]:
+def _costs(own: DataFrame) -> DataFrame:
+    """medoid, vec_id, c: each member's summed L1 distance to all members (vec_id, medoid, v) of its cluster.
+
+    Exact without pairs: a coordinate's values are counted by cluster, and running counts n and sums s of
+    them in order give sum |x - u| = x * (2 * n - N) + S - 2 * s. A window has a coordinate's distinct values.
+    """
+    long = own.select("medoid", "vec_id", F.posexplode("v").alias("at", "x")).withColumn("x", F.col("x").cast("double"))
+    hist = long.groupBy("medoid", "at", "x").agg(F.count(F.lit(1)).alias("m"))
+    w = Window.partitionBy("medoid", "at")
+    upto = w.orderBy("x").rowsBetween(Window.unboundedPreceding, 0)
+    n, s = F.sum("m").over(upto), F.sum(F.col("m") * F.col("x")).over(upto)
+    c = F.col("x") * (2 * n - F.sum("m").over(w)) + F.sum(F.col("m") * F.col("x")).over(w) - 2 * s
+    return long.join(hist.select("medoid", "at", "x", c.alias("c")), ["medoid", "at", "x"]).groupBy("medoid", "vec_id").agg(F.sum("c").alias("c"))
+
+
+def k_medoids(vectors: DataFrame, start: list, rounds: int = 100) -> tuple[DataFrame, list]:
     """vec_id, medoid, d, and the medoids, from ids to start with.
 
     Assignment is a broadcast of k medoids. A cluster's new medoid is its member with the least summed
-    distance to the members among the first ``sample`` ids of the cluster, ties to the lowest id; an empty
-    cluster keeps its medoid; rounds end when nothing moves.
+    distance to all members, ties to the lowest id; an empty cluster keeps its medoid; rounds end when
+    nothing moves.
     """
     medoids = sorted(start)
     while True:
@@ -87,11 +102,9 @@ def k_medoids(vectors: DataFrame, start: list[int], rounds: int = 100, sample: i
         if rounds == 0:
             return best, medoids
         rounds -= 1
-        own = best.join(vectors, "vec_id").select("vec_id", "medoid", "v")
-        w = Window.partitionBy("medoid").orderBy("vec_id")
-        against = own.withColumn("n", F.row_number().over(w)).where(F.col("n") <= sample).select("medoid", F.col("v").alias("u"))
-        cost = own.join(against, "medoid").groupBy("medoid", "vec_id").agg(F.sum(footrule(F.col("v"), F.col("u"))).alias("c"))
-        new = sorted(r["b"]["vec_id"] for r in cost.groupBy("medoid").agg(F.min(F.struct("c", "vec_id")).alias("b")).collect())
+        cost = _costs(best.join(vectors, "vec_id").select("vec_id", "medoid", "v"))
+        moved = {r["medoid"]: r["b"]["vec_id"] for r in cost.groupBy("medoid").agg(F.min(F.struct("c", "vec_id")).alias("b")).collect()}
+        new = sorted(moved.get(m, m) for m in medoids)
         if new == medoids:
             return best, medoids
         medoids = new

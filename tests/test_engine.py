@@ -47,6 +47,22 @@ def test_footrule_and_medoids(spark):
     assert len(m) == 2 and m[0] in (0, 1) and m[1] in (2, 3)
 
 
+def test_medoids_count_every_member(spark):
+    """A cluster of 2500, whose first 2000 ids would draw the medoid to 0, and an empty cluster, against brute force."""
+    x = np.array([[0 if i < 1240 else 10, i % 7] for i in range(2500)] + [[900, 0], [900, 0], [900, 2]])
+    v = spark.createDataFrame([(i, r) for i, r in enumerate(x.tolist())], "vec_id long, v array<int>")
+    d = np.abs(x[:, None] - x[None]).sum(2)
+    medoids = [3, 2500, 2501]  # the last two are equal, so the last cluster is empty
+    _, got = demos.k_medoids(v, medoids, rounds=1)
+    best = d[medoids].argmin(0)
+    want = []
+    for k, m in enumerate(medoids):
+        own = np.flatnonzero(best == k)
+        want.append(int(own[d[np.ix_(own, own)].sum(1).argmin()]) if len(own) else m)
+    assert len(np.flatnonzero(best == 0)) == 2500 and x[want[0], 0] == 10
+    assert got == sorted(want)
+
+
 def test_orders_and_vectors(spark):
     r = spark.createDataFrame([(1, i + 1, k) for i, k in enumerate([3, 1, 4, 2])], "qid long, rule_id long, rank int")
     ranks = [x["rank"] for x in demos.order_demos(r, float("inf"), "s").orderBy("place").collect()]
