@@ -581,13 +581,12 @@ def rollout_metrics(spark, sf_dir):
 
 @query()
 def cluster_select(spark, sf_dir):
-    """Candidates are customers whose key is divisible by 50; their top demonstrations serve the nearest others."""
-    ranked = ranked_parts(spark, sf_dir)
+    """Candidates are all brands' top demonstrations; each brand is served by the nearest medoid among them. Brands have the ids in their names."""
+    ranked = ranked_parts(spark, sf_dir).withColumn("qid", F.regexp_extract("qid", r"(\d+)$", 1).cast("int"))
     shown = demos.full_rank_top(ranked, 3)
     n = ranked.agg(F.max("rule_id")).first()[0]
-    pool = shown.where("qid % 50 = 0")
-    start = [r["qid"] for r in pool.select("qid").distinct().orderBy("qid").limit(2).collect()]
-    return demos.cluster_select(pool, shown, ranked, n, 4, start, rounds=5)
+    start = [r["qid"] for r in shown.select("qid").distinct().orderBy("qid").limit(2).collect()]
+    return demos.cluster_select(shown, shown, ranked, n, 4, start, rounds=5)
 
 
 @query("""WITH p AS (SELECT DISTINCT n_regionkey AS a, n_nationkey AS b FROM nation)

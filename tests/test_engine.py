@@ -211,6 +211,34 @@ def test_medoid_nearest_to_the_query(spark):
     assert got == {(7, 1): (3, 2, 3), (7, 2): (4, 4, 3), (8, 1): (1, 1, 1), (8, 2): (2, 3, 1)}
 
 
+def test_registered_cluster_select(spark):
+    """The query over the parts of sf0.001, against brute force."""
+    from lamina import queries
+
+    sf = "/root/testdata/sf0.001"
+    parts = [(int(r["p_brand"][6:]), r["p_partkey"], 1 + r["p_size"] % 4) for r in spark.read.parquet(f"{sf}/part.parquet").collect()]
+    rank = {(q, i): k for q, i, k in parts}
+    ids = sorted({q for q, _, _ in parts})
+    top = {q: [i for _, i in sorted((k, i) for p, i, k in parts if p == q)[:3]][::-1] for q in ids}  # the best last
+    n = max(i for _, i, _ in parts)
+    x = np.full((len(ids), n + 1), 4)
+    for row, q in enumerate(ids):
+        for place, i in enumerate(top[q], 1):
+            x[row, i] = place
+    d = np.abs(x[:, None, 1:] - x[None, :, 1:]).sum(2)
+    medoids = [0, 1]
+    for _ in range(5):
+        best = np.array(medoids)[d[medoids].argmin(0)]
+        own = {m: np.flatnonzero(best == m) for m in medoids}
+        medoids = sorted(int(o[d[np.ix_(o, o)].sum(1).argmin()]) if len(o) else m for m, o in own.items())
+    want = []
+    for row, q in enumerate(ids):
+        m = ids[medoids[int(d[medoids, row].argmin())]]
+        want += [(q, place, i, rank.get((q, i), 4), m) for place, i in enumerate(top[m], 1)]
+    got = queries.QUERIES["cluster_select"](spark, sf).collect()
+    assert len(ids) > 2 and sorted((r["qid"], r["place"], r["rule_id"], r["rank"], r["medoid"]) for r in got) == sorted(want)
+
+
 def test_rollout_ends(spark):
     bank = unify.bank(spark, ["r0_1(x1) → r1_1(x1)", "r1_1(x1) → r2_1(x1)"], [0, 1])
     rows = [(1, 0, [("r0_1", ["c0"])], ("r2_1", ["c0"])), (2, 1, [("r1_1", ["a"])], ("r2_1", ["a"])), (3, 0, [("r0_1", ["b"])], ("r2_1", ["b"]))]
