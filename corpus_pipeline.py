@@ -11,9 +11,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lamina.llm import exact_dedup, mixing, near_dedup, packing, quality_classifier, registry
-from lamina.llm.common import Scratch
+from lamina.llm.common import Scratch, checkpoint_dir
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
+#: The least of these is the row that stays.
+FIRST = F.struct(F.col("doc_id").isNull().alias("_null"), F.col("doc_id").alias("_id"), F.col("_row"))
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -23,19 +25,25 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The first document of each group of equal texts."""
-    return _stay(docs, exact_dedup.exact_dedup(docs))
+    """One row of each group of equal texts: that of the least doc_id, null last, and one of rows that repeat it."""
+    rows = _numbered(docs)
+    kept = exact_dedup.exact_dedup(rows.withColumn("_key", FIRST), key="_key").where("kept")
+    return _stay(rows, kept.select("_key._row"))
 
 
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The first document of each component of near duplicates."""
-    return _stay(docs, near_dedup.near_dedup(docs))
+    """One row of each component of near duplicates, chosen as in ``exact``; rows linked with nothing all stay."""
+    rows = _numbered(docs)
+    found = near_dedup.near_dedup(rows, key="_row").select(F.col("doc_id").alias("_row"), "component_id")
+    first = rows.select("_row", FIRST.alias("_key")).join(found, "_row").groupBy("component_id").agg(F.min("_key").alias("_key"))
+    return _stay(rows, first.select("_key._row"))
 
 
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Each document as often as the mix takes it."""
-    taken = mixing.mix(docs).where("copies > 0").select(F.col("doc_id").alias("_id"), F.col("copies").alias("_copies"))
-    rows = docs.join(taken, F.col("doc_id") == F.col("_id"))
+    """Each row as often as the mix takes it."""
+    rows = _numbered(docs)
+    taken = mixing.mix(rows, carry=("_row",)).where("copies > 0").select("_row", F.col("copies").alias("_copies"))
+    rows = rows.join(taken, "_row")
     return rows.withColumn("_copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("_copies")))).select(*COLUMNS)
 
 
@@ -44,9 +52,14 @@ def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return packing.pack(docs, registry.tokenizer_path())
 
 
-def _stay(docs: DataFrame, result: DataFrame) -> DataFrame:
-    kept = result.where("kept").select(F.col("doc_id").alias("_id")).distinct()
-    return docs.join(kept, F.col("doc_id").eqNullSafe(F.col("_id")), "left_semi").select(*COLUMNS)
+def _numbered(docs: DataFrame) -> DataFrame:
+    """Adds ``_row``, unique, as doc_ids may be null or repeated; a checkpoint, so that every reader sees the same numbers."""
+    checkpoint_dir(docs.sparkSession)
+    return docs.select(*COLUMNS, F.monotonically_increasing_id().alias("_row")).checkpoint(eager=True)
+
+
+def _stay(rows: DataFrame, kept: DataFrame) -> DataFrame:
+    return rows.join(kept, "_row", "left_semi").select(*COLUMNS)
 
 
 STAGES = [("quality classifier", quality), ("exact dedup", exact), ("MinHash near-dedup", near), ("mixing sources", mixed), ("packing", packed)]

@@ -82,8 +82,8 @@ def fit_budget(lengths: np.ndarray, counts: np.ndarray, budget: int, window: int
     return take
 
 
-def mix(docs: DataFrame, text: str = "text", key: str = "doc_id", source: str = "source", weights=(5, 2, 1), most: int = 3, seed: int = 11) -> DataFrame:
-    """One row per input row: doc_id, size, source_size, target, taken, copies.
+def mix(docs: DataFrame, text: str = "text", key: str = "doc_id", source: str = "source", weights=(5, 2, 1), most: int = 3, seed: int = 11, carry: tuple = ()) -> DataFrame:
+    """One row per input row: doc_id, size, source_size, target, taken, copies, and the columns ``carry``.
 
     The driver gets one row per source. Each source's histogram of exact lengths (not its documents) is one
     task's work: whole copies of the source as far as the target holds them, then ``fit_budget``. The chosen
@@ -97,7 +97,7 @@ def mix(docs: DataFrame, text: str = "text", key: str = "doc_id", source: str =
     with Scratch(spark) as scratch:
         size = F.coalesce(F.regexp_count(F.col(text), F.lit(WORD)), F.lit(0)).cast("long")
         tag = F.when(F.col(source).isNull(), "0").otherwise(F.concat(F.lit("1"), F.col(source)))
-        rows = scratch.table(docs.select(F.col(key).alias("doc_id"), tag.alias("tag"), size.alias("size")))
+        rows = scratch.table(docs.select(F.col(key).alias("doc_id"), tag.alias("tag"), size.alias("size"), *carry))
         hist = scratch.table(rows.groupBy("tag", "size").count())
         sums = {r["tag"]: int(r["n"]) for r in hist.groupBy("tag").agg(F.sum(F.col("size") * F.col("count")).alias("n")).collect()}
         name = {t: None if t == "0" else t[1:] for t in sums}
@@ -114,4 +114,4 @@ def mix(docs: DataFrame, text: str = "text", key: str = "doc_id", source: str =
         out = ranked(rows, ["tag", "size"], scratch.table(fitted), seed, ["doc_id"])
         copies = F.when(F.col("size") > 0, F.col("whole") + (F.col("rank") < F.col("quota")).cast("long")).otherwise(F.lit(0).cast("long"))
         out = out.withColumn("copies", copies)
-        return scratch.result(out.select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"), "copies"))
+        return scratch.result(out.select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"), "copies", *carry))

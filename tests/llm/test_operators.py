@@ -332,3 +332,33 @@ def test_pipeline(spark):
         before = d.select("doc_id").distinct().count()
     pieces = corpus_pipeline.STAGES[-1][1](spark, d, SF)
     assert pieces.where("start = 0").count() == d.count()
+
+
+def test_pipeline_rows_without_unique_ids(spark):
+    """Stages on null and repeated ids, against brute force."""
+    import corpus_pipeline as pipeline
+
+    a, b, c = words(60, 1), words(60, 2), words(60, 3)
+    near_b = b + " end"
+    data = [(None, a), (None, a), (None, b), (None, c), (4, a), (4, a), (4, near_b), (9, near_b), (7, words(50, 4)), (7, words(40, 5)), (None, ""), (8, None)]
+    docs = spark.createDataFrame([(i, t, "en", "s", 0) for i, t in data], "doc_id long, text string, lang string, source string, n_chars long")
+    last = lambda r: (r[0] is None, r[0] or 0)
+
+    def rows_of(d):
+        return Counter((r["doc_id"], r["text"]) for r in d.collect())
+
+    want = Counter(min((r for r in data if (r[1] or "") == t), key=last) for t in {r[1] or "" for r in data})
+    assert rows_of(pipeline.exact(spark, docs, SF)) == want
+    sets = [shingle_set(t) for _, t in data]
+    alike = lambda x, y: x and y and 100 * len(x & y) >= 75 * len(x | y)
+    groups = {tuple(k for k in range(len(data)) if k == i or alike(sets[i], sets[k])) for i in range(len(data))}
+    assert rows_of(pipeline.near(spark, docs, SF)) == Counter(min((data[k] for k in g), key=last) for g in groups)
+    mixed = docs.withColumn("source", F.when(F.col("doc_id").isNull(), "x").otherwise("y")).cache()
+    copies = {}
+    for r in mixing.mix(mixed).collect():
+        copies.setdefault(r["doc_id"], []).append((r["size"], r["copies"]))
+    got = Counter()
+    for r in pipeline.mixed(spark, mixed, SF).collect():
+        got[r["doc_id"], len(split(r["text"]))] += 1
+    assert got == Counter({k: n for k, n in sum((Counter({(i, size): n}) for i, v in copies.items() for size, n in v), Counter()).items() if n})
+    assert any(i is None for i, _ in got)
