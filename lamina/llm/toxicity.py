@@ -68,20 +68,26 @@ class ToxicityModel:
         return np.clip(np.interp(self.trees.margin(x), self.knots, self.values), 0, 1)
 
 
-def lexicons(rows: DataFrame, parts: int, strong_odds: float = 4.0, weak_odds: float = 2.5, least: int = 3, most: int = 4000) -> list[tuple[frozenset, frozenset]]:
+def lexicons(rows: DataFrame, parts: int, strong_odds: float = 4.0, weak_odds: float = 2.5, least: int = 3) -> list[tuple[frozenset, frozenset]]:
     """Strong and weak words of the bounded training rows (text, y, part): without each part in turn, then of all.
 
     Words are kept by their log odds of standing in toxic documents, counted once a document. Strong words
-    must also stand in one toxic document of two hundred. Of words in ``least`` toxic documents or more,
-    the rarest beyond ``most`` are left out, in a fixed order.
+    must also stand in one toxic document of two hundred. Words in ``least`` toxic documents or more
+    all count, however rare; Spark drops those whose odds fall short, so the driver gets lexicons alone.
     """
     n = {(r["y"], r["part"]): r["n"] for r in rows.groupBy("y", "part").agg(F.count(F.lit(1)).alias("n")).collect()}
     own = F.split(F.lower("text"), r"[^\p{L}]+")
     stems = F.transform(F.filter(own, lambda w: F.length(w) > STEM), lambda w: F.concat(F.substring(w, 1, STEM), F.lit("*")))
     words = rows.select("y", "part", F.explode(F.array_distinct(F.concat(own, stems))).alias("w")).where("w <> ''")
     sums = [F.sum(F.when((F.col("y") == y) & (F.col("part") == k), 1).otherwise(0)).alias(f"n{y}_{k}") for y in (0, 1) for k in range(parts)]
-    toxic = sum(F.col(f"n1_{k}") for k in range(parts))
-    top = words.groupBy("w").agg(*sums).withColumn("t", toxic).where(F.col("t") >= least).orderBy(F.desc("t"), "w").limit(most).collect()
+    passes = F.lit(False)
+    for left in [*range(parts), None]:
+        own = [k for k in range(parts) if k != left]
+        good, bad = (sum(n.get((y, k), 0) for k in own) for y in (0, 1))
+        t, c = (sum((F.col(f"n{y}_{k}") for k in own), F.lit(0)) for y in (1, 0))
+        odds = F.log((t + 0.5) / (bad + 1)) - F.log((c + 0.5) / (good + 1))
+        passes = passes | ((t >= least) & (odds >= weak_odds - 1e-9))  # the last digit is decided below
+    top = words.groupBy("w").agg(*sums).where(passes).collect()
     out = []
     for left in [*range(parts), None]:
         own = [k for k in range(parts) if k != left]

@@ -260,6 +260,14 @@ def test_classifiers(spark, docs, none):
     assert toxicity.classify(docs, toxicity.train(none, empty)).count() == len(rows())
 
 
+def test_rare_toxic_words_stay(spark):
+    """A word of three toxic documents is in the lexicon though 4100 ordinary words stand in more."""
+    ordinary = " ".join("".join(x) for _, x in zip(range(4100), product("abcdefghijklmnopqrstuvwxyz", repeat=4)))
+    data = [(ordinary + (" zzrar" if i < 3 else ""), int(i < 20), i % 2) for i in range(80)]
+    strong, weak = toxicity.lexicons(spark.createDataFrame(data, "text string, y int, part int"), 2)[-1]
+    assert strong | weak == {"zzrar"}
+
+
 def test_isotonic_rises():
     r = np.random.default_rng(3)
     z = np.round(r.normal(size=300), 1)
