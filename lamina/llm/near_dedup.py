@@ -172,12 +172,16 @@ def near_dedup(docs: DataFrame, text: str = "text", key: str = "doc_id", percent
        components; then against its other leaders, but for those that are in its component by now.
     3. In buckets that still hold several components, the pairs of classes in different components are
        confirmed too. Large buckets are cut into units of bounded size, and there whole signatures first
-       drop pairs whose estimate lies 4.5 standard deviations below the limit. So every pair that shares a bucket has been compared or is in one component already, and
-       a bucket of near copies costs as many pairs as it has members, not their square.
+       drop pairs whose estimate lies 4.5 standard deviations below the limit. So every pair that shares a
+       bucket of at most ``SMALL`` classes has been compared or is in one component already; in a larger one
+       a pair can also be dropped by its estimate, at exactly the limit with a chance of about 3e-6 by the
+       normal tail. A bucket of near copies costs as many pairs as it has members, not their square.
 
     Buckets are found by partial sums, and rows meet them in joins with written tables, which Spark splits
-    where they are skewed. With the default bands a pair at exactly 0.75 is missed with a chance of
-    eight in a million, one at 0.8 with one in 80 million.
+    where they are skewed. With the default bands a pair of large sets at exactly 0.75 shares no
+    bucket with a chance of eight in a million, one at 0.8 with one in 80 million. In small sets the least and
+    the greatest shingle, which are different ones, rarer both agree: the chance is 3.3e-4 for 3 of 4 shingles
+    (texts of 7 and 8 words) and 4.5e-5 for 6 of 8.
 
     Null and wordless texts have an empty set and are linked with nothing. Repeated rows are linked as equal
     documents. A null doc_id is never a component's id unless all are null. Other columns are not read; an
