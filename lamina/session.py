@@ -1,8 +1,9 @@
-"""A session for local work, and cuts of long lineages."""
+"""A session for local work, the folder that all executors share, and cuts of long lineages."""
 
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -15,10 +16,41 @@ def local(cpus: int = 8, partitions: int = 8, memory: str = "8g", **conf: str) -
     return builder.getOrCreate()
 
 
+def shared_dir(spark: SparkSession) -> str:
+    """The folder named in ``spark.checkpoint.dir``, or the context's own.
+
+    Where neither is set, a local master gets a temporary folder; a cluster, whose executors could not
+    read one another's, gets an error.
+    """
+    context = spark.sparkContext
+    where = spark.conf.get("spark.checkpoint.dir", None) or context.getConf().get("spark.checkpoint.dir", None)
+    held = context._jsc.sc().getCheckpointDir()
+    if not where:
+        if held.isDefined():
+            return held.get()
+        if not context.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        where = "file://" + tempfile.mkdtemp(prefix="lamina-")
+    if not held.isDefined():
+        context.setCheckpointDir(where)
+    return where
+
+
+def new_folder(spark: SparkSession) -> str:
+    """A path in the shared folder that goes when the application ends, if not before."""
+    path = f"{shared_dir(spark).rstrip('/')}/lamina-{uuid.uuid4().hex}"
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(at)
+    return path
+
+
+def delete(spark: SparkSession, path: str) -> None:
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+
+
 def cut(df: DataFrame) -> DataFrame:
-    """A reliable checkpoint in the shared folder that the session names; one is set only where none is."""
-    context = df.sparkSession.sparkContext
-    if not context._jsc.sc().getCheckpointDir().isDefined():
-        named = df.sparkSession.conf.get("spark.checkpoint.dir", None) or context.getConf().get("spark.checkpoint.dir", None)
-        context.setCheckpointDir(named or "file://" + tempfile.mkdtemp(prefix="lamina-checkpoint-"))
-    return df.checkpoint(eager=True)
+    """The rows as a table written to the shared folder: lost executors lose nothing, and the plan starts anew."""
+    path = new_folder(df.sparkSession)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
