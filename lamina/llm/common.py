@@ -3,80 +3,74 @@
 from __future__ import annotations
 
 import contextlib
-import tempfile
-import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ..session import cut, delete, new_folder
+
 #: Words are maximal runs without these characters; bytes.split() splits at just these six.
 SPACE = r"[\x20\x09-\x0D]+"
 WORD = r"[^\x20\x09-\x0D]+"
-BROADCAST = ("spark.sql.autoBroadcastJoinThreshold", "spark.sql.adaptive.autoBroadcastJoinThreshold")
+#: Groups that hold at least this share of all rows are hot: at most as many as the share goes into one.
+HOT = 1000
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
-def checkpoint_dir(spark: SparkSession) -> str:
-    """The shared folder that the session names; one is set only where none is (tests)."""
-    conf = spark.sparkContext.getConf()
-    where = spark.conf.get("spark.checkpoint.dir", None) or conf.get("spark.checkpoint.dir", None)
-    if not where:
-        held = spark.sparkContext._jsc.sc().getCheckpointDir()
-        if held.isDefined():
-            return held.get()
-        where = "file://" + tempfile.mkdtemp(prefix="lamina-checkpoint-")
-    if not spark.sparkContext._jsc.sc().getCheckpointDir().isDefined():
-        spark.sparkContext.setCheckpointDir(where)
-    return where
-
-
 class Scratch(contextlib.AbstractContextManager):
     """Tables written to the shared folder while a query is built; all go when the block ends.
 
-    Within the block Spark broadcasts only what is marked as bounded: joins with written tables, which grow
-    with the input, have one plan at every size and are split where they are skewed.
-
-    ``table`` cuts lineage with a Parquet table. ``result`` is the last thing in a block: a reliable
-    checkpoint, which Spark's cleaner deletes once nothing refers to it.
+    ``table`` cuts lineage with a Parquet table. Its joins are merge joins at every size of the input, which
+    Spark splits where they are skewed, unless the other side is marked for broadcast. ``result`` is the last
+    thing in a block: a table that stays until the application ends.
     """
 
     def __init__(self, spark: SparkSession):
-        self.spark = spark
-        self.path = f"{checkpoint_dir(spark).rstrip('/')}/lamina-{uuid.uuid4().hex}"
-        self.n = 0
-        self.limits = {k: spark.conf.get(k, None) for k in BROADCAST}
-        for k in BROADCAST:
-            spark.conf.set(k, "-1")
+        self.spark, self.path, self.n = spark, new_folder(spark), 0
 
     def table(self, df: DataFrame) -> DataFrame:
         self.n += 1
         at = f"{self.path}/t{self.n}"
         df.write.parquet(at)
-        self.spark._jvm.System.gc()  # shuffle files of what is finished go now, not when the driver's heap fills
-        return self.spark.read.schema(df.schema).parquet(at)
+        self.spark._jvm.System.gc()  # Spark's cleaner frees shuffle files only of plans that the driver has collected
+        return self.spark.read.schema(df.schema).parquet(at).hint("merge")
 
     def result(self, df: DataFrame) -> DataFrame:
-        checkpoint_dir(self.spark)
-        return df.checkpoint(eager=True)
+        return cut(df)
 
     def drop(self, df: DataFrame) -> None:
         for at in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
             if at.startswith(self.path) or self.path.removeprefix("file://") in at:
-                self._delete(at)
-
-    def _delete(self, at: str) -> None:
-        jvm = self.spark._jvm
-        where = jvm.org.apache.hadoop.fs.Path(at)
-        where.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(where, True)
+                delete(self.spark, at)
 
     def __exit__(self, *_):
-        for k, v in self.limits.items():
-            self.spark.conf.unset(k) if v is None else self.spark.conf.set(k, v)
-        self._delete(self.path)
+        delete(self.spark, self.path)
+
+
+def long_key(docs: DataFrame, key: str):
+    """The key as a long; other types than whole numbers are an error at once, not a task's."""
+    kind = docs.schema[key].dataType.typeName()
+    if kind not in ("byte", "short", "integer", "long", "void"):
+        raise TypeError(f"{key} is of type {kind}; keys are whole numbers")
+    return F.col(key).cast("long")
+
+
+def meet(rows: DataFrame, groups: DataFrame, keys: list[str], n: str, total: int, how: str = "inner") -> DataFrame:
+    """``rows`` joined with ``groups``, a written table with one row for each value of ``keys``, which holds its size as ``n``.
+
+    Rows of hot groups, of which there are at most ``HOT``, meet them by broadcast where they lie, so no key of
+    a shuffle holds more than a thousandth of all ``total`` rows. Keys are not null.
+    """
+    hot = F.broadcast(groups.where(F.col(n) * HOT >= total).withColumn("_hot", F.lit(True)))
+    cold = groups.where(F.col(n) * HOT < total)
+    new = [c for c in groups.columns if c not in keys]
+    both = rows.join(hot, keys, "left")
+    left = both.where("_hot is null").drop("_hot", *new).join(cold, keys, how)
+    return both.where("_hot").drop("_hot").unionByName(left)
 
 
 def remainder(column: str, n: int):
@@ -84,21 +78,21 @@ def remainder(column: str, n: int):
     return F.crc32(F.coalesce(F.col(column).cast("string"), F.lit("")).cast("binary")) % n
 
 
-def ranked(df: DataFrame, keys: list[str], counts: DataFrame, seed: int, order: list[str]) -> DataFrame:
+def ranked(df: DataFrame, keys: list[str], counts: DataFrame, total: int, seed: int, order: list[str]) -> DataFrame:
     """Adds ``rank``, 0 to count - 1 within ``keys``, in an order that ``seed`` and ``order`` fix.
 
-    ``counts`` is a written table of ``keys``, ``count`` (and more columns, which stay). No group meets in
-    one task: a group of c rows is dealt by hash into about sqrt(c) buckets, buckets are counted and their
-    counts summed up, and only a bucket's own rows are sorted together.
+    ``counts`` is a written table of ``keys``, ``count`` (and more columns, which stay); ``total`` rows in all.
+    No group meets in one task: a group of c rows is dealt by hash into about sqrt(c) buckets, buckets are
+    counted and their counts summed up, and only a bucket's own rows are sorted together.
     """
-    d = df.join(counts, keys).withColumn("_h", F.xxhash64(*order, F.lit(seed)))
+    d = meet(df, counts, keys, "count", total).withColumn("_h", F.xxhash64(*order, F.lit(seed)))
     d = d.withColumn("_b", F.pmod(F.col("_h"), F.ceil(F.sqrt("count")).cast("long")))
     d = d.repartition(*keys, "_b")  # else Spark is content with the join's dealing by keys alone
     before = Window.partitionBy(*keys).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
     n = d.groupBy(*keys, "_b").agg(F.count(F.lit(1)).alias("_n"))
     base = n.select(*keys, "_b", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_base"))
     within = Window.partitionBy(*keys, "_b").orderBy("_h", *order)
-    d = d.join(base, [*keys, "_b"]).withColumn("rank", F.col("_base") + F.row_number().over(within) - 1)
+    d = d.join(base.hint("merge"), [*keys, "_b"]).withColumn("rank", F.col("_base") + F.row_number().over(within) - 1)
     return d.drop("_h", "_b", "_base")
 
 
@@ -112,7 +106,7 @@ def training_ids(labels: DataFrame, label: str, folds: int, held: int, bound: in
     n = rows.count()
     if n > bound:  # thinned first, so that the limit below sees few rows from each task
         rows = rows.where(F.pmod(h, F.lit(1_000_000)) < int(min(1.0, 1.5 * bound / n) * 1_000_000))
-    rows = rows.groupBy("doc_id").agg(F.min(label).alias("y"), F.max(label).alias("_z")).where("y = _z")
+    rows = rows.groupBy("doc_id").agg(F.min(F.col(label).cast("int")).alias("y"), F.max(F.col(label).cast("int")).alias("_z")).where("y = _z")
     return rows.select("doc_id", "y").orderBy(h, "doc_id").limit(bound)
 
 

@@ -5,9 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import SPACE, Scratch
+from .common import SPACE, Scratch, meet
 
-#: The first digit is this many bytes; each further one reaches GROWTH times as far into the text.
+#: The first digit has this many bytes; each further one reaches GROWTH times as far into the text.
 FIRST, GROWTH = 24, 32
 
 
@@ -18,12 +18,15 @@ def normalised(text):
 def exact_dedup(docs: DataFrame, text: str = "text", key: str = "doc_id", first: int = FIRST, growth: int = GROWTH) -> DataFrame:
     """One row per input row: ``key``, keep_id, group_size, kept, text_sha256.
 
-    Buckets are split by successive bytes: the first digit is where the text ends and its first bytes, and
-    every later digit takes the bytes up to ``growth`` times as far, until a bucket has one row or its texts
-    have ended. Two texts meet only by comparing bytes; text_sha256 is output, not a key. A round counts its
-    buckets with map-side partial sums, so a bucket holding a third of all rows is one row from each task,
-    and joins rows to the written counts, a join that Spark splits where it is skewed. Only rows of buckets
-    with several rows go on, so rounds grow with the logarithm of the longest repeated text.
+    Groups are split by successive bytes: the first digit is where the text ends and its first bytes, each
+    later one the bytes that follow, up to ``growth`` times as far, until a group has one row or its texts
+    have ended. A group is named by its head, the row of its smallest key, and a row takes part in a round
+    with its group's name and its next digit alone, so no byte is looked at twice. Texts meet only as
+    bytes; text_sha256 is output and joins nothing. Texts are written once and never moved.
+
+    Groups are counted with partial sums, so one with a third of all rows is one row from each task, and
+    rows of such groups meet their counts by broadcast (``meet``). Only rows of groups with several rows go
+    on, so rounds grow with the logarithm of the longest repeated text.
 
     Null text counts as empty. Null keys come last when the smallest is sought; keep_id is null if all are.
     Of repeated rows (same key and text) one stays. Other columns are not read; an empty table gives none.
@@ -31,33 +34,36 @@ def exact_dedup(docs: DataFrame, text: str = "text", key: str = "doc_id", first:
     spark = docs.sparkSession
     with Scratch(spark) as scratch:
         b = normalised(F.col(text)).cast("binary")
-        rows = docs.select(F.col(key).alias("id"), b.alias("b")).withColumn("len", F.octet_length("b"))
-        rows = rows.withColumn("sha", F.sha2("b", 256))
-        done, reach = [], first
+        base = docs.select(F.col(key).alias("id"), b.alias("b"), F.monotonically_increasing_id().alias("rid"))
+        base = scratch.table(base.withColumn("len", F.octet_length("b").cast("long")).withColumn("sha", F.sha2("b", 256)))
+        rows, on, start, reach, done = base.select("rid", "id", "len", F.substring("b", 1, first).alias("digit")), ["len", "digit"], 0, first, []
+        head = F.min(F.struct(F.col("id").isNull().alias("none"), "id", "rid")).alias("head")
+        total = base.count()
         while True:
-            digit = F.substring("b", 1, reach)
-            rows = rows.withColumn("digit", digit)
-            n = rows.groupBy("len", "digit").agg(F.count(F.lit(1)).alias("n"), F.min("id").alias("keep"))
-            n = scratch.table(n.where("n > 1"))
-            out = rows.join(n, ["len", "digit"], "left").select("id", "sha", "len", F.coalesce("n", F.lit(1)).alias("n"), F.when(F.col("n").isNull(), F.col("id")).otherwise(F.col("keep")).alias("keep"), F.when((F.col("n") > 1) & (F.col("len") > reach), F.col("b")).alias("b"), F.monotonically_increasing_id().alias("rid"))
-            out = scratch.table(out)
-            scratch.drop(n)
-            done.append(out.where("b is null").select("id", "sha", "n", "keep", "rid"))
-            rows = out.where("b is not null").select("id", "b", "len", "sha")
-            if rows.isEmpty():
+            groups = rows.groupBy(*on).agg(F.count(F.lit(1)).alias("n"), head).where("n > 1")
+            live = meet(rows, scratch.table(groups), on, "n", total)
+            live = scratch.table(live.select("rid", "id", "len", "n", F.col("head.id").alias("keep"), F.col("head.rid").alias("group")))
+            done.append(live.where(F.col("len") <= reach))
+            open_ = live.where(F.col("len") > reach)
+            if open_.isEmpty():
                 break
-            reach *= growth
-        all_rows = done[0]
-        for x in done[1:]:
-            all_rows = all_rows.unionByName(x)
-        all_rows = all_rows.withColumn("head", F.col("id").eqNullSafe(F.col("keep")))
-        heads = all_rows.where("n > 1 and head").groupBy("sha", "keep").agg(F.min("rid").alias("r0"))
-        heads = scratch.table(heads.select(F.col("sha").alias("s"), F.col("keep").alias("k"), "r0"))
-        copies = all_rows.where("n > 1").join(heads, (F.col("sha") == F.col("s")) & F.col("keep").eqNullSafe(F.col("k")), "left")
-        copies = copies.withColumn("kept", F.col("head") & (F.col("rid") == F.col("r0")))
-        single = all_rows.where("n = 1").withColumn("kept", F.lit(True))
-        cols = [F.col("id").alias(key), F.col("keep").alias("keep_id"), F.col("n").cast("long").alias("group_size"), "kept", F.col("sha").alias("text_sha256")]
-        return scratch.result(single.select(*cols).unionByName(copies.select(*cols)))
+            start, reach, on = reach, reach * growth, ["group", "digit"]
+            digits = base.where(F.col("len") > start).select("rid", F.substring("b", start + 1, reach - start).alias("digit"))
+            rows = scratch.table(open_.select("rid", "id", "len", "group").join(digits, "rid"))
+        groups = done[0]
+        for d in done[1:]:
+            groups = groups.unionByName(d)
+        out = base.select("rid", "id", "sha").join(groups.select("rid", "n", "keep", "group"), "rid", "left")
+        alone = F.col("n").isNull()
+        return scratch.result(
+            out.select(
+                F.col("id").alias(key),
+                F.when(alone, F.col("id")).otherwise(F.col("keep")).alias("keep_id"),
+                F.coalesce("n", F.lit(1)).cast("long").alias("group_size"),
+                (alone | (F.col("rid") == F.col("group"))).alias("kept"),
+                F.col("sha").alias("text_sha256"),
+            )
+        )
 
 
 def drop_copies(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
