@@ -11,8 +11,8 @@ from pyspark.sql import functions as F
 
 from .common import WORD, Scratch, ranked
 
-#: Ids of a budget that the dynamic programme fits exactly; above that, counts are taken in proportion.
-WINDOW = 60_000
+#: Words of a budget that are left to the dynamic programme at first, and the most that it ever fits.
+RESIDUE, WINDOW = 4096, 60_000
 
 
 def targets(sizes: dict, weights=(5, 2, 1), most: int = 3) -> dict:
@@ -32,47 +32,61 @@ def targets(sizes: dict, weights=(5, 2, 1), most: int = 3) -> dict:
     return out
 
 
-def fit_budget(lengths: np.ndarray, counts: np.ndarray, budget: int, window: int = WINDOW) -> np.ndarray:
+def in_proportion(lengths: np.ndarray, counts: np.ndarray, budget: int, rng) -> np.ndarray:
+    """Of each length about the same share of its documents, as whole numbers: every 1/share-th document in the order
+    of lengths, from a random start. Sums of lengths miss the budget by less than the longest document."""
+    edge = np.concatenate([[0], np.cumsum(counts)]) * (budget / int((lengths * counts).sum()))
+    take = np.diff(np.floor(edge + rng.random()).astype(np.int64))
+    return np.minimum(take, counts)
+
+
+def fit_budget(lengths: np.ndarray, counts: np.ndarray, budget: int, window: int = WINDOW, residue: int = RESIDUE, seed: int = 0) -> np.ndarray:
     """How many documents of each length to take so that the lengths add up to ``budget`` as nearly as may be.
 
-    All lengths first give the same share of their counts; what is left is filled longest first down to
-    ``window``, and bounded-knapsack dynamic programming over the remaining counts fits the rest: the
-    reachable sum nearest below the budget, found with the first length that reaches each sum.
+    All of the budget but ``residue`` words is dealt in proportion over the lengths. A sum that is too large gives
+    back one document, one that is far too small takes the longest that fit. What is then left, at most
+    ``window`` words, is fitted by bounded-knapsack dynamic programming over the remaining counts: the
+    reachable sum nearest below, lengths tried in a seeded order so that no kind is preferred. A budget of at
+    most ``residue`` words is fitted by the programme alone, so its sum is the best there is. Where no remaining
+    document fits into what is left, nothing more is taken.
     """
-    take = np.zeros(len(lengths), dtype=np.int64)
+    take, rng = np.zeros(len(lengths), dtype=np.int64), np.random.default_rng(seed)
+    counts = np.where(lengths > 0, counts, 0)
     total = int((lengths * counts).sum())
     if budget <= 0 or total == 0:
         return take
     if budget >= total:
-        return np.where(lengths > 0, counts, 0)
-    live = lengths > 0
-    take[live] = [int(c) * budget // total for c in counts[live]]
+        return counts
+    if budget > residue:
+        take = in_proportion(lengths, counts, budget - residue, rng)
     left = budget - int((take * lengths).sum())
+    while left < 0:  # the shortest document that makes up for it, or the longest taken
+        own = np.flatnonzero(take)
+        enough = own[lengths[own] >= -left]
+        i = enough[lengths[enough].argmin()] if len(enough) else own[lengths[own].argmax()]
+        take[i] -= 1
+        left += int(lengths[i])
     for i in np.argsort(-lengths, kind="stable"):
         if left <= window:
             break
-        if live[i] and (n := min(int(counts[i] - take[i]), (left - window + int(lengths[i]) - 1) // int(lengths[i]), left // int(lengths[i]))) > 0:
+        if (n := min(int(counts[i] - take[i]), (left - window + int(lengths[i]) - 1) // max(1, int(lengths[i])), left // max(1, int(lengths[i])))) > 0:
             take[i] += n
             left -= n * int(lengths[i])
+    if left > window:  # every remaining document is longer than what is left
+        return take
     # reach[s]: index of the length whose copies first made the sum s; used[s]: how many of them
     reach = np.full(left + 1, -1, dtype=np.int64)
     used = np.zeros(left + 1, dtype=np.int64)
     reach[0] = len(lengths)
-    for i in np.argsort(lengths, kind="stable"):
+    for i in rng.permutation(np.flatnonzero((lengths <= left) & (counts > take))):
         if reach[left] >= 0:
             break
         size, n = int(lengths[i]), int(counts[i] - take[i])
-        if not live[i] or n <= 0 or size > left:
-            continue
         done, step = 0, 1
-        while done < n and done * size <= left and reach[left] < 0:
-            k = min(step, n - done)
-            if k * size <= left:
-                can = np.flatnonzero(reach[: left + 1 - k * size] >= 0)
-                can = can[reach[can + k * size] < 0]
-                to = can + k * size
-                reach[to] = i
-                used[to] = k
+        while done < n and reach[left] < 0 and (k := min(step, n - done)) * size <= left:  # copies in doubling parcels
+            to = np.flatnonzero(reach[: left + 1 - k * size] >= 0) + k * size
+            to = to[reach[to] < 0]
+            reach[to], used[to] = i, k
             done, step = done + k, step * 2
     s = int(np.flatnonzero(reach >= 0)[-1])
     while s > 0:
@@ -85,7 +99,7 @@ def fit_budget(lengths: np.ndarray, counts: np.ndarray, budget: int, window: int
 def mix(docs: DataFrame, text: str = "text", key: str = "doc_id", source: str = "source", weights=(5, 2, 1), most: int = 3, seed: int = 11, carry: tuple = ()) -> DataFrame:
     """One row per input row: doc_id, size, source_size, target, taken, copies, and the columns ``carry``.
 
-    The driver gets one row per source. Each source's histogram of exact lengths (not its documents) is one
+    The driver gets one row per source, so sources must be fewer than some million. Each source's histogram of exact lengths (not its documents) is one
     task's work: whole copies of the source as far as the target holds them, then ``fit_budget``. The chosen
     number of documents of each source and length are those of lowest rank in a seeded order, and no group
     is ranked in one task.
@@ -107,11 +121,12 @@ def mix(docs: DataFrame, text: str = "text", key: str = "doc_id", source: str =
         def fit(pdf: pd.DataFrame) -> pd.DataFrame:
             want, have = round(float(pdf["target"].iloc[0])), int(pdf["source_size"].iloc[0])
             whole = min(want // have, most) if have else 0
-            take = fit_budget(pdf["size"].to_numpy(), pdf["count"].to_numpy(), want - whole * have if whole < most else 0)
+            pdf = pdf.sort_values("size")
+            take = fit_budget(pdf["size"].to_numpy(), pdf["count"].to_numpy(), want - whole * have if whole < most else 0, seed=seed)
             return pdf.assign(whole=whole, quota=take)
 
         fitted = hist.join(per_source, "tag").groupBy("tag").applyInPandas(fit, "tag string, size long, count long, source_size long, target double, whole long, quota long")
-        out = ranked(rows, ["tag", "size"], scratch.table(fitted), seed, ["doc_id"])
+        out = ranked(rows, ["tag", "size"], scratch.table(fitted), rows.count(), seed, ["doc_id"])
         copies = F.when(F.col("size") > 0, F.col("whole") + (F.col("rank") < F.col("quota")).cast("long")).otherwise(F.lit(0).cast("long"))
         out = out.withColumn("copies", copies)
         return scratch.result(out.select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"), "copies", *carry))
