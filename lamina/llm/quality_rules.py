@@ -9,16 +9,22 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import slices
+from .common import long_key, slices
 
 # Fixed values of the rules.
 SYMBOLS = b"#*$%&|<>"
 SEPARATORS = [b"|", b">", b"<", b"/", b"-", b"*", b"#"]
 END_MARKS = b".!?:;\"')]"
-BOILERPLATE = ["all rights reserved", "accept cookies", "click here", "cookie policy", "enable javascript", "log in", "privacy policy", "read more", "sign up", "subscribe now", "terms of use"]
+BOILERPLATE = [
+    "accept cookies", "all rights reserved", "click here", "cookie policy", "enable javascript", "log in", "privacy policy", "read more", "sign up", "subscribe now", "terms of use",
+    "alle rechte vorbehalten", "cookies akzeptieren", "hier klicken", "jetzt abonnieren", "javascript aktivieren", "nutzungsbedingungen",
+    "aceptar cookies", "haga clic aquí", "leer más", "política de privacidad", "todos los derechos reservados",
+    "accepter les cookies", "cliquez ici", "conditions d'utilisation", "lire la suite", "tous droits réservés",
+]
 NAV_SHARE, SYMBOL_SHARE, SHORT_LINE, CAPITALS, LEAST_KEPT = 0.2, 0.3, 3, 10, 0.5
 
-_boiler = re.compile("|".join(BOILERPLATE).encode())
+_phrase = re.compile("|".join(BOILERPLATE).encode())
+_boiler = re.compile(("(?:^|[^a-z0-9])(?:" + "|".join(BOILERPLATE) + ")(?:[^a-z0-9]|$)").encode())
 _small = bytes(range(97, 123))
 _large = bytes(range(65, 91))
 
@@ -27,8 +33,8 @@ def line_fails(line: bytes, words: list[bytes]) -> str:
     """The rule that a line with words fails, or ''. Case is ASCII case.
 
     navigation: a fifth of its words are lone separators; symbols: 30 % of its words hold one of
-    ``#*$%&|<>``; capitals: ten capitals or more and no small letter; boilerplate: one of the phrases;
-    punctuation: under three words and no end mark.
+    ``#*$%&|<>``; capitals: ten capitals or more and no small letter; boilerplate: one of the phrases as whole
+    words (English, German, Spanish, French; accented letters small); punctuation: under three words and no end mark.
     """
     n = len(words)
     if sum(map(words.count, SEPARATORS)) >= NAV_SHARE * n:
@@ -37,7 +43,7 @@ def line_fails(line: bytes, words: list[bytes]) -> str:
         return "symbols"
     if len(line) == len(line.translate(None, _small)) and len(line) - len(line.translate(None, _large)) >= CAPITALS:
         return "capitals"
-    if _boiler.search(line.lower()):
+    if _phrase.search(low := line.lower()) and _boiler.search(low):
         return "boilerplate"
     if n < SHORT_LINE and words[-1][-1:] not in END_MARKS:
         return "punctuation"
@@ -118,12 +124,12 @@ def quality_rules(docs: DataFrame, text: str = "text", key: str = "doc_id", with
                 yield pa.RecordBatch.from_arrays([part.column(0), *columns], ["doc_id", *names])
 
     kinds = dict(zip(COLUMNS, ["long"] * 5 + ["boolean"] * 2 + ["long"] * 2 + ["string"]))
-    return docs.select(F.col(key).cast("long"), F.col(text)).mapInArrow(run, "doc_id long, " + ", ".join(f"{c} {kinds[c]}" for c in names))
+    return docs.select(long_key(docs, key), F.col(text)).mapInArrow(run, "doc_id long, " + ", ".join(f"{c} {kinds[c]}" for c in names))
 
 
 def oracle() -> str:
     """DuckDB SQL for the digest columns, written from the rules' wording."""
-    boiler = "|".join(BOILERPLATE)
+    boiler = "(^|[^a-z0-9])(" + "|".join(BOILERPLATE).replace("'", "''") + ")([^a-z0-9]|$)"
     return rf"""
 WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents),
 w AS (SELECT doc_id, t, regexp_extract_all(t, '[^\x20\x09-\x0D]+') AS ws FROM d),
@@ -138,7 +144,7 @@ judged AS (SELECT doc_id, line, len(ws) AS n,
   len(list_filter(ws, lambda x: x IN ('|','>','<','/','-','*','#'))) >= {NAV_SHARE} * len(ws)
   OR (regexp_matches(line, '[#*$%&|<>]') AND len(list_filter(ws, lambda x: regexp_matches(x, '[#*$%&|<>]'))) >= {SYMBOL_SHARE} * len(ws))
   OR (NOT regexp_matches(line, '[a-z]') AND length(regexp_replace(line, '[^A-Z]', '', 'g')) >= {CAPITALS})
-  OR regexp_matches(lower(line), '{boiler}')
+  OR regexp_matches(translate(line, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '{boiler}')
   OR (len(ws) < {SHORT_LINE} AND NOT regexp_matches(ws[-1], '[.!?:;"'')\]]$')) AS bad
   FROM lw WHERE len(ws) > 0),
 lines AS (SELECT doc_id, sum(CASE WHEN bad THEN 0 ELSE n END) AS good, count(*) FILTER (bad) AS gone, count(*) - count(DISTINCT line) AS dups FROM judged GROUP BY doc_id),
