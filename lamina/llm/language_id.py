@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import remainder, slices
+from .common import long_key, remainder, slices
 
 ORDER = 4
 CACHE = 300_000
@@ -271,4 +271,4 @@ def identify(docs: DataFrame, model: CharacterModels, text: str = "text", key: s
                         lang[i] = m.langs[b]
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(lang), pa.array(score), pa.array(entropy, from_pandas=True), pa.array(out)], ["doc_id", "lang_pred", "score", "entropy", "rejected"])
 
-    return docs.select(F.col(key).cast("long"), F.col(text)).mapInArrow(run, "doc_id long, lang_pred string, score double, entropy double, rejected boolean")
+    return docs.select(long_key(docs, key), F.col(text)).mapInArrow(run, "doc_id long, lang_pred string, score double, entropy double, rejected boolean")

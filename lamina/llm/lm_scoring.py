@@ -12,7 +12,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch, slices
+from .common import Scratch, long_key, slices
 
 SIDE, WIDTH, KINDS, EACH, OTHER = 2, 16, 32, 32, 128
 N_IDS = KINDS * EACH  # frequent words have an id each; OTHER ids are shared by all other words, by hash
@@ -289,7 +289,7 @@ def score(docs: DataFrame, model: LanguageModel, text: str = "text", key: str =
                 yield pa.RecordBatch.from_arrays([rid, *[pa.nulls(len(other), t) for t in (pa.int64(), pa.int64(), pa.float64())], w], names)
 
     names = ["rid", "doc_id", "n_tokens", "log_prob", "w"]
-    parts = docs.select(F.col(key).cast("long"), F.col(text)).mapInArrow(run, "rid long, doc_id long, n_tokens long, log_prob double, w binary")
+    parts = docs.select(long_key(docs, key), F.col(text)).mapInArrow(run, "rid long, doc_id long, n_tokens long, log_prob double, w binary")
     parts = parts.join(model.counts.hint("shuffle_hash"), "w", "left")
     out = parts.groupBy("rid").agg(F.max("doc_id").alias("doc_id"), F.max("n_tokens").alias("n_tokens"), F.max("log_prob").alias("p"), F.sum(F.log("n")).alias("own"))
     out = out.withColumn("log_prob", F.col("p") + F.coalesce("own", F.lit(0.0)))

@@ -8,7 +8,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Rolling, Scratch, WordHashes, mixed, slices
+from .common import Rolling, Scratch, WordHashes, long_key, mixed, slices
 from .components import components
 
 WORDS = 5
@@ -190,7 +190,7 @@ def near_dedup(docs: DataFrame, text: str = "text", key: str = "doc_id", percent
     spark = docs.sparkSession
     with Scratch(spark) as scratch:
         schema = "rid long, doc_id long, n long, d1 long, d2 long, keys array<long>, payload binary"
-        read = scratch.table(docs.select(F.col(key).cast("long"), F.col(text)).mapInArrow(_read(bands, rows), schema))
+        read = scratch.table(docs.select(long_key(docs, key), F.col(text)).mapInArrow(_read(bands, rows), schema))
         same = read.where("n > 0").groupBy("n", "d1", "d2").agg(F.count(F.lit(1)).alias("c"), F.min("rid").alias("rep")).where("c > 1")
         same = scratch.table(same.select("n", "d1", "d2", "rep"))
         rows_ = read.select("rid", "doc_id", "n", "d1", "d2", "keys").join(same, ["n", "d1", "d2"], "left")

@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch, ranked, slices
+from .common import Scratch, long_key, ranked, slices
 
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long"
 CACHE = 700_000
@@ -104,7 +104,7 @@ def pieces(docs: DataFrame, tokenizer: str, text: str = "text", key: str = "doc_
                         column.append(v)
             yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in out], ["doc_id", "start", "length", "ids_crc32", "doc_tokens"])
 
-    return docs.select(F.col(key).cast("long"), F.col(text)).mapInArrow(cut, PIECES)
+    return docs.select(long_key(docs, key), F.col(text)).mapInArrow(cut, PIECES)
 
 
 def shortest_pack_first(counts: dict[int, int], size: int) -> list[tuple[int, tuple[int, ...]]]:
@@ -163,7 +163,7 @@ def pack(docs: DataFrame, tokenizer: str, text: str = "text", key: str = "doc_id
         counts = scratch.table(cut.groupBy("length").count())
         table = slots(shortest_pack_first({r["length"]: r["count"] for r in counts.collect()}, size))
         where = spark.createDataFrame(table or [(0, 0, 0, 0, 0)], "length long, r0 long, r1 long, s0 long, offset long")
-        out = ranked(cut, ["length"], counts, seed, ["doc_id", "start", "ids_crc32"])
+        out = ranked(cut, ["length"], counts, cut.count(), seed, ["doc_id", "start", "ids_crc32"])
         out = out.join(F.broadcast(where), "length").where("rank >= r0 and rank < r1")  # at most one slot per length and pattern
         out = out.select("doc_id", "start", "length", "ids_crc32", "doc_tokens", (F.col("s0") + F.col("rank") - F.col("r0")).alias("sequence_id"), "offset")
         return scratch.result(out)

@@ -57,7 +57,7 @@ def _feature_rows(extra: list[str]):
 def train(docs: DataFrame, labels: DataFrame, label: str = "quality", text: str = "text", folds: int = 4, held: int = 2, bound: int = 8000) -> AdditiveModel:
     """Fits on at most ``bound`` labelled rows outside the held-out fold; the driver gets their features alone."""
     ids = training_ids(labels, label, folds, held, bound)
-    rows = docs.join(F.broadcast(ids), "doc_id").select(F.col(text).alias("text"), "doc_id", "y")  # broadcast: bound rows at most
+    rows = docs.join(F.broadcast(ids), "doc_id").select(F.col(text).alias("text"), F.col("doc_id").cast("long"), F.col("y").cast("int"))  # broadcast: bound rows at most
     got = rows.mapInArrow(_feature_rows(["doc_id", "y"]), "x array<double>, doc_id long, y int").toArrow().sort_by("doc_id")
     x = np.array(got.column("x").to_pylist(), dtype=float).reshape(-1, len(FEATURES))
     y = got.column("y").to_numpy().astype(float)
@@ -69,9 +69,11 @@ def classify(docs: DataFrame, model: AdditiveModel, text: str = "text", keep: li
     """Adds score (0 to 1, higher: good likelier) and predicted (score >= ``threshold``) to ``keep`` columns.
 
     One pass, no shuffle. Null and empty texts have the score of all-zero features. Rows are kept as they
-    come, repeated ones and null ids included. Columns named score or predicted must not be kept.
+    come, repeated ones and null ids included. Columns named score or predicted can't be kept: an error.
     """
     keep = keep or ["doc_id"]
+    if {"score", "predicted"} & set(keep):
+        raise ValueError("columns named score or predicted can't be kept")
     held = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches):

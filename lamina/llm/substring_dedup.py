@@ -10,7 +10,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Rolling, Scratch, WordHashes, mixed, slices
+from .common import Rolling, Scratch, WordHashes, long_key, mixed, slices
 
 K = 8  # words of a k-mer, a node of the graph
 BLOCK = 1 << 18  # bytes of text in a block of documents
@@ -177,7 +177,7 @@ def substring_dedup(docs: DataFrame, text: str = "text", key: str = "doc_id", si
     spark = docs.sparkSession
     with Scratch(spark) as scratch:
         schema = "block long, ids array<long>, payload binary, nodes array<long>, edges array<long>"
-        blocks = scratch.table(docs.select(F.col(key).cast("long"), F.col(text)).mapInArrow(_blocks(size), schema))
+        blocks = scratch.table(docs.select(long_key(docs, key), F.col(text)).mapInArrow(_blocks(size), schema))
         met = blocks.select("block", F.posexplode(F.arrays_zip("nodes", "edges")).alias("path", "e")).select("block", "path", F.col("e.nodes").alias("node"), F.col("e.edges").alias("edge"))
         nodes = met.groupBy("node").agg(F.count(F.lit(1)).alias("n"), F.min("edge").alias("lo"), F.max("edge").alias("hi")).where("n > 1")
         nodes = scratch.table(nodes.select("node", F.when(F.col("lo") == F.col("hi"), 0).otherwise(1).alias("parts")))

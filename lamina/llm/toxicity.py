@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .boosting import BoostedTrees, isotonic
-from .common import slices, training_ids
+from .common import long_key, slices, training_ids
 
 # Words of the second person, and letters that other characters stand for.
 SECOND_PERSON = ["dein", "deine", "dich", "dir", "du", "eres", "es-tu", "euch", "ihr", "te", "ti", "toi", "ton", "tu", "u", "ur", "usted", "vos", "votre", "vous", "ya", "you", "your", "you're", "yourself"]
@@ -29,12 +29,14 @@ _spaced = re.compile(r"(?<![^\W_])(?:[^\W\d_][ .\-_*]){3,}[^\W\d_](?![^\W_])")
 _long = re.compile(r"([^\W\d_])\1{2,}")
 _standing = str.maketrans(STANDS_FOR)
 _you = frozenset(SECOND_PERSON)
+_shouted = re.compile(r"(?<![^\W\d_])[A-ZÀ-ÖØ-Þ]{2,}(?![^\W\d_])")
 _upper, _lower = bytes(range(65, 91)), bytes(range(97, 123))
 
 
 def features(text: str, strong: frozenset, weak: frozenset) -> list[float]:
     """Lexicon densities, hidden spellings (figures and signs for letters, spaced or drawn-out words), second
-    person within six words of a strong word, capitals and marks; all 0 for an empty text."""
+    person within six words of a strong word, capitals, words of two or more capitals alone, and marks; all 0 for
+    an empty text."""
     low = text.lower()
     words = _word.findall(low)
     n = len(words)
@@ -48,7 +50,7 @@ def features(text: str, strong: frozenset, weak: frozenset) -> list[float]:
     near = sum(1 for i in hits if not _you.isdisjoint(words[max(0, i - 6) : i + 7]))
     raw = text.encode()
     up, small = len(raw) - len(raw.translate(None, _upper)), len(raw) - len(raw.translate(None, _lower))
-    shouted = sum(map(str.isupper, text.split())) if up > small else 0
+    shouted = len(_shouted.findall(text)) if up > 1 else 0
     return [
         len(hits) / n, np.log1p(len(hits)), len({words[i] for i in hits}), sum(map(weak.__contains__, words)) / n, hidden / n, np.log1p(hidden), near / n,
         sum(map(_you.__contains__, words)) / n, up / max(1, up + small), shouted / n, text.count("!") / n, text.count("?") / n, (len(raw) - len(raw.translate(None, b"#*$%&@^~"))) / n, len(mixed) / n, np.log1p(n),
@@ -146,4 +148,4 @@ def classify(docs: DataFrame, model: ToxicityModel, text: str = "text", key: str
                 s = m.score(part.column(1).to_pylist())
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(s), pa.array((s >= threshold).astype(np.int32))], ["doc_id", "score", "predicted"])
 
-    return docs.select(F.col(key).cast("long"), F.col(text)).mapInArrow(run, "doc_id long, score double, predicted int")
+    return docs.select(long_key(docs, key), F.col(text)).mapInArrow(run, "doc_id long, score double, predicted int")

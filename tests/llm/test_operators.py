@@ -137,15 +137,34 @@ def test_mixing(docs, none):
 
 
 def test_budget():
+    """Small budgets against brute force over all numbers of documents; large ones meet the budget."""
     r = np.random.default_rng(1)
-    for _ in range(60):
-        lengths = np.unique(r.integers(0, 40, 8))
-        counts = r.integers(0, 6, len(lengths))
+    for seed in range(60):
+        lengths = np.unique(r.integers(0, 40, 5))
+        counts = r.integers(0, 5, len(lengths))
         budget = int(r.integers(0, max(1, (lengths * counts).sum()) + 1))
-        take = mixing.fit_budget(lengths, counts, budget, window=10_000)
-        assert (take >= 0).all() and (take <= counts).all() and (take * lengths).sum() <= budget
+        take = mixing.fit_budget(lengths, counts, budget, seed=seed)
+        best = max(x for n in product(*(range(c + 1) for c in counts)) if (x := int(np.dot(n, lengths))) <= budget)
+        assert (take >= 0).all() and (take <= counts).all() and (take * lengths).sum() == best
     many = mixing.fit_budget(np.arange(1, 500), np.full(499, 50), 1_234_567, window=600)
     assert (many * np.arange(1, 500)).sum() == 1_234_567
+    long = mixing.fit_budget(np.array([5, 3_000_000_000]), np.array([2, 4]), 5_000_000_000)  # no table as long as the budget
+    assert long.tolist() == [2, 1]
+
+
+def test_mix_takes_all_lengths_alike():
+    """The share taken of each tenth of the documents by length lies within five points of the budget's share."""
+    r = np.random.default_rng(8)
+    for share in (0.1, 0.35, 0.8):
+        sizes = np.sort(np.concatenate([r.integers(1, 900, 4000), r.integers(900, 20_000, 300), [60_000, 110_000]]))
+        lengths, counts = np.unique(sizes, return_counts=True)
+        budget = int(share * sizes.sum())
+        take = mixing.fit_budget(lengths, counts, budget)
+        assert (take * lengths).sum() == budget
+        tenth = np.minimum((np.cumsum(counts) - 1) * 10 // len(sizes), 9)
+        for k in range(10):
+            own = tenth == k
+            assert abs(take[own].sum() / counts[own].sum() - share) < 0.05
 
 
 def test_packing(docs, none):
@@ -192,6 +211,9 @@ def test_rules(docs, none):
     got = {r["doc_id"]: r for r in quality_rules.quality_rules(docs).collect()}
     assert got[0]["n_words"] == 0 and got[0]["base_failed"] and not got[0]["kept"] and got[0]["cleaned"] == ""
     assert got[19]["n_lines_removed"] == 1 and got[19]["kept"]
+    lines = {"all of it is in the catalog in that old room": "", "we read more: here it is now": "boilerplate", "it was spread more than before then": "", "READ MORE ABOUT it here": "boilerplate", "le design updates sign upon it": "", "todos los derechos reservados 2020": "boilerplate"}
+    for line, rule in lines.items():
+        assert quality_rules.line_fails(line.encode(), line.encode().split()) == rule
     for i, t, *_ in rows():
         w = split(t)
         win = Counter(tuple(w[k : k + 8]) for k in range(len(w) - 7))
@@ -255,6 +277,10 @@ def test_classifiers(spark, docs, none):
         out = f(docs, m).collect()
         assert len(out) == len(rows()) and all(0 <= r["score"] <= 1 for r in out)
         assert f(none, m).count() == 0
+    both = d.join(labels, "doc_id").select("doc_id", "text", F.col("quality").cast("long").alias("quality"), F.col("toxic").cast("long").alias("toxic")).where("doc_id < 300")
+    quality_classifier.train(both.select("doc_id", "text"), both)  # labels of another whole-number type
+    with pytest.raises(ValueError):
+        quality_classifier.classify(docs, q, keep=["doc_id", "score"])
     empty = labels.limit(0)
     assert quality_classifier.classify(docs, quality_classifier.train(none, empty)).count() == len(rows())
     assert toxicity.classify(docs, toxicity.train(none, empty)).count() == len(rows())
@@ -268,6 +294,17 @@ def test_rare_toxic_words_stay(spark):
     assert strong | weak == {"zzrar"}
 
 
+def test_shouted_words():
+    f = dict(zip(toxicity.FEATURES, toxicity.features("a quiet line of small letters with one IDIOT in it, A and i", frozenset(), frozenset())))
+    assert f["shouted_words"] == 1 / 14
+
+
+def test_keys_are_whole_numbers(spark):
+    d = spark.createDataFrame([("a", "x y")], "doc_id string, text string")
+    with pytest.raises(TypeError):
+        substring_dedup.substring_dedup(d)
+
+
 def test_isotonic_rises():
     r = np.random.default_rng(3)
     z = np.round(r.normal(size=300), 1)
