@@ -11,7 +11,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lamina.llm import exact_dedup, mixing, near_dedup, packing, quality_classifier, registry
-from lamina.llm.common import Scratch, checkpoint_dir
+from lamina.llm.common import Scratch
+from lamina.session import cut
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 #: The least of these is the row that stays.
@@ -53,9 +54,8 @@ def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def _numbered(docs: DataFrame) -> DataFrame:
-    """Adds ``_row``, unique, as doc_ids may be null or repeated; a checkpoint, so that every reader sees the same numbers."""
-    checkpoint_dir(docs.sparkSession)
-    return docs.select(*COLUMNS, F.monotonically_increasing_id().alias("_row")).checkpoint(eager=True)
+    """Adds ``_row``, unique, as doc_ids may be null or repeated; a written table, so that every reader sees the same numbers."""
+    return cut(docs.select(*COLUMNS, F.monotonically_increasing_id().alias("_row")))
 
 
 def _stay(rows: DataFrame, kept: DataFrame) -> DataFrame:
