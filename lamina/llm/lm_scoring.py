@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from collections import Counter
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 from itertools import chain
 
 import numpy as np
@@ -14,121 +14,113 @@ from pyspark.sql import functions as F
 
 from .common import Scratch, long_key, slices
 
-SIDE, WIDTH, KINDS, EACH, OTHER = 2, 16, 32, 32, 128
+SIDE, WIDTH, KINDS, EACH, OTHER = 2, 24, 32, 32, 128
 N_IDS = KINDS * EACH  # frequent words have an id each; OTHER ids are shared by all other words, by hash
 EDGE = N_IDS  # stands beyond a document's ends
-BATCH = 2048
+OFFSETS = [*range(-SIDE, 0), *range(1, SIDE + 1)]
+BATCH = 8192
+PARTS, FAN = 32, 128  # parts of a table of pairs, and how many tasks' parts are added up at a time
+STEPS, RATE, PRIOR = 120, 0.08, 30.0
+START = 0.6  # the weight of each neighbour before it is fitted
 
 
 @dataclass
 class WindowNetwork:
-    """Sums an embedding for each of the ``2 * SIDE`` neighbours, then tanh, then a two-level softmax.
-
-    An id is a kind and a place in it; the network gives log P(kind) + log P(place | kind).
-    """
+    """Each of the ``2 * SIDE`` neighbours has WIDTH hidden units tanh(near[place, id]), and the units of all neighbours,
+    weighed by ``weight``, feed a two-level softmax: log P(kind) + log P(place | kind) of the masked word's id."""
 
     near: np.ndarray  # 2 * SIDE, N_IDS + 1, WIDTH
-    kind: np.ndarray  # WIDTH + 1, KINDS
-    place: np.ndarray  # KINDS, WIDTH + 1, EACH
+    kind: np.ndarray  # WIDTH, KINDS
+    place: np.ndarray  # WIDTH, N_IDS
+    bias_kind: np.ndarray  # KINDS
+    bias_place: np.ndarray  # N_IDS
+    weight: np.ndarray  # 2 * SIDE
 
     @classmethod
     def new(cls, counts: np.ndarray, seed: int = 17) -> WindowNetwork:
-        """Small random embeddings; biases start at the log frequencies of the whole corpus."""
+        """Small random weights; biases are the log frequencies of the whole corpus."""
         r = np.random.default_rng(seed)
         p = (counts + 1.0).reshape(KINDS, EACH)
-        kind = np.concatenate([r.normal(0, 0.1, (WIDTH, KINDS)), np.log(p.sum(1) / p.sum())[None]])
-        place = np.concatenate([r.normal(0, 0.1, (KINDS, WIDTH, EACH)), np.log(p / p.sum(1, keepdims=True))[:, None]], axis=1)
-        return cls(r.normal(0, 0.1, (2 * SIDE, N_IDS + 1, WIDTH)).astype(np.float32), kind.astype(np.float32), place.astype(np.float32))
-
-    def parameters(self) -> list[np.ndarray]:
-        return [self.near, self.kind, self.place]
-
-    def flat(self) -> np.ndarray:
-        return np.concatenate([p.ravel() for p in self.parameters()])
-
-    def filled(self, flat: np.ndarray) -> WindowNetwork:
-        out, at = [], 0
-        for p in self.parameters():
-            out.append(flat[at : at + p.size].reshape(p.shape).astype(np.float32))
-            at += p.size
-        return WindowNetwork(*out)
-
-    def _hidden(self, context: np.ndarray) -> np.ndarray:
-        z = self.near[0].take(context[:, 0], axis=0)
-        for k in range(1, 2 * SIDE):
-            z += self.near[k].take(context[:, k], axis=0)
-        out = np.empty((len(z), WIDTH + 1), dtype=np.float32)
-        np.tanh(z, out=out[:, :-1])
-        out[:, -1] = 1
-        return out
+        bias = np.log(p.sum(1) / p.sum()), np.log(p / p.sum(1, keepdims=True)).ravel()
+        shapes = (2 * SIDE, N_IDS + 1, WIDTH), (WIDTH, KINDS), (WIDTH, N_IDS)
+        return cls(*(r.normal(0, s, shape).astype(np.float32) for s, shape in zip((0.5, 0.1, 0.1), shapes)), *(b.astype(np.float32) for b in bias), np.full(2 * SIDE, START))
+
+    def loss(self, pairs: np.ndarray) -> tuple[float, list[np.ndarray]]:
+        """Mean negative log-likelihood of words given one neighbour at a time, over tables of pairs (neighbour's
+        place, its id, the word's id), and its gradients by ``near``, ``kind`` and ``place``."""
+        total, out, n = 0.0, [np.zeros_like(x) for x in (self.near, self.kind, self.place)], pairs.sum()
+        for d, c in enumerate(pairs):
+            h = np.tanh(self.near[d])
+            by_kind = c.reshape(-1, KINDS, EACH).sum(2)
+            p, q = h @ self.kind + self.bias_kind, (h @ self.place + self.bias_place).reshape(-1, KINDS, EACH)
+            for z, axis in ((p, 1), (q, 2)):
+                z -= z.max(axis, keepdims=True)
+                z -= np.log(np.exp(z).sum(axis, keepdims=True))
+            total -= float((by_kind * p).sum() + (c.reshape(q.shape) * q).sum())
+            dp = np.exp(p) * by_kind.sum(1, keepdims=True) - by_kind
+            dq = (np.exp(q) * by_kind[:, :, None]).reshape(c.shape) - c
+            out[0][d] = (dp @ self.kind.T + dq @ self.place.T) * (1 - h * h) / n
+            out[1] += h.T @ dp / n
+            out[2] += h.T @ dq / n
+        return total / float(n), out
+
+    def fitted(self, pairs: np.ndarray, steps: int = STEPS, rate: float = RATE) -> WindowNetwork:
+        """After ``steps`` steps down the full gradient, each parameter at a pace of its own (Adam)."""
+        net = replace(self, near=self.near.copy(), kind=self.kind.copy(), place=self.place.copy())
+        own = [net.near, net.kind, net.place]
+        m, v = ([np.zeros_like(x) for x in own] for _ in range(2))
+        for t in range(1, steps + 1):
+            pace = rate * 0.5 * (1 + np.cos(np.pi * t / (steps + 1)))
+            for x, g, a, b in zip(own, net.loss(pairs)[1], m, v):
+                a += 0.1 * (g - a)
+                b += 0.02 * (g * g - b)
+                x -= pace * (a / (1 - 0.9**t)) / (np.sqrt(b / (1 - 0.98**t)) + 1e-9)
+        return net
+
+    def tables(self) -> Tables:
+        h = np.tanh(self.near)
+        w = self.weight.astype(np.float32)[:, None, None]
+        return Tables(w * (h @ self.kind), (w * (h @ self.place)).reshape(2 * SIDE, -1, EACH), self.bias_kind, self.bias_place.reshape(KINDS, EACH))
+
+
+@dataclass
+class Tables:
+    """What each neighbour adds to the logits, looked up by its place and id (and the target's kind)."""
 
-    @staticmethod
-    def _softmax(z: np.ndarray) -> np.ndarray:
-        """In place. |z| stays under the limit unless training runs away; within it no exponential overflows."""
-        np.clip(z, -60, 60, out=z)
-        np.exp(z, out=z)
-        z /= (z @ np.ones((z.shape[1], 1), dtype=z.dtype))
-        return z
-
-    def _places(self, h: np.ndarray, cuts: list[int]) -> np.ndarray:
-        """P(place | kind) of rows that are sorted by kind; kind k has the rows cuts[k] to cuts[k + 1]."""
-        q = np.empty((len(h), EACH), dtype=self.place.dtype)
-        for k in range(KINDS):
-            if cuts[k] < cuts[k + 1]:
-                np.matmul(h[cuts[k] : cuts[k + 1]], self.place[k], out=q[cuts[k] : cuts[k + 1]])
-        return self._softmax(q)
-
-    @staticmethod
-    def _by_kind(target: np.ndarray) -> tuple[np.ndarray, np.ndarray, list[int]]:
-        """An order that sorts targets, the targets in it, and each kind's cuts; 16 bits sort by radix."""
-        order = np.argsort(target.astype(np.int16), kind="stable")
-        target = target[order].astype(np.int64)
-        return order, target, np.searchsorted(target, np.arange(KINDS + 1) * EACH).tolist()
+    kind: np.ndarray  # 2 * SIDE, N_IDS + 1, KINDS
+    place: np.ndarray  # 2 * SIDE, (N_IDS + 1) * KINDS, EACH
+    bias_kind: np.ndarray
+    bias_place: np.ndarray
 
     def log_prob(self, context: np.ndarray, target: np.ndarray) -> np.ndarray:
         """Of each target, which is masked: its neighbours alone are seen."""
-        order, target, cuts = self._by_kind(target)
-        h, at = self._hidden(context[order]), np.arange(len(target))
-        p = self._softmax(h @ self.kind)[at, target // EACH], self._places(h, cuts)[at, target % EACH]
-        out = np.empty(len(target), dtype=np.float32)
-        out[order] = np.log(p[0] + 1e-30) + np.log(p[1] + 1e-30)
+        out, at = np.empty(len(target)), np.arange(BATCH)
+        for a in range(0, len(target), BATCH):
+            c, t = context[:, a : a + BATCH], target[a : a + BATCH].astype(np.int64)
+            kinds, places = t // EACH, t % EACH
+            p, q = self.kind[0].take(c[0], axis=0), self.place[0].take(c[0] * KINDS + kinds, axis=0)
+            for d in range(1, 2 * SIDE):
+                p += self.kind[d].take(c[d], axis=0)
+                q += self.place[d].take(c[d] * KINDS + kinds, axis=0)
+            p += self.bias_kind
+            q += self.bias_place.take(kinds, axis=0)
+            n = at[: len(t)]
+            out[a : a + BATCH] = p[n, kinds] + q[n, places] - np.log(np.exp(p).sum(1) * np.exp(q).sum(1))
         return out
 
-    def gradients(self, context: np.ndarray, target: np.ndarray) -> tuple[list, float]:
-        """Of the summed negative log-likelihood; the embeddings' as (place, ids, rows)."""
-        order, target, cuts = self._by_kind(target)
-        context = context[order]
-        n, h = len(target), self._hidden(context)
-        p, q = self._softmax(h @ self.kind), self._places(h, cuts)
-        at, kinds, places = np.arange(n), target // EACH, target % EACH
-        loss = -(np.log(p[at, kinds] + 1e-30).sum() + np.log(q[at, places] + 1e-30).sum())
-        p[at, kinds] -= 1
-        q[at, places] -= 1
-        d_kind, dh = h.T @ p, p @ self.kind[:-1].T
-        d_place = np.zeros_like(self.place)
-        for k in range(KINDS):
-            if cuts[k] < cuts[k + 1]:
-                own = slice(cuts[k], cuts[k + 1])
-                np.matmul(h[own].T, q[own], out=d_place[k])
-                dh[own] += q[own] @ self.place[k][:-1].T
-        dz = dh * (1 - h[:, :-1] ** 2)
-        near = []
-        for k in range(2 * SIDE):
-            ids = context[:, k].astype(np.int16)
-            order = np.argsort(ids, kind="stable")
-            ids = ids[order]
-            first = np.flatnonzero(np.concatenate([[True], ids[1:] != ids[:-1]]))
-            near.append((k, ids[first], np.add.reduceat(dz.take(order, axis=0), first, axis=0)))
-        return [near, d_kind, d_place], float(loss)
-
-    def step(self, context: np.ndarray, target: np.ndarray, rate: float) -> float:
-        (near, d_kind, d_place), loss = self.gradients(context, target)
-        scale = rate / len(target) ** 0.5
-        for k, ids, rows in near:
-            self.near[k][ids] -= scale * rows
-        self.kind -= scale * d_kind
-        self.place -= scale * d_place
-        return loss
+    def slope(self, context: np.ndarray, target: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Gradient and curvature of the summed log P(kind) by a factor of each neighbour's logits."""
+        g, curve = np.zeros(2 * SIDE), np.zeros((2 * SIDE, 2 * SIDE))
+        for a in range(0, len(target), BATCH):
+            c, kinds = context[:, a : a + BATCH], target[a : a + BATCH].astype(np.int64) // EACH
+            f = np.stack([self.kind[d].take(c[d], axis=0) for d in range(2 * SIDE)])
+            p = np.exp(f.sum(0) + self.bias_kind)
+            p /= p.sum(1, keepdims=True)
+            fp = f * p
+            mean = fp.sum(2).astype(float)
+            g += (f[:, np.arange(len(kinds)), kinds] - mean).sum(1)
+            curve += fp.reshape(2 * SIDE, -1).astype(float) @ f.reshape(2 * SIDE, -1).astype(float).T - mean @ mean.T  # sums in doubles: the same in any order of batches
+        return g, curve
 
 
 class Vocabulary:
@@ -149,16 +141,21 @@ class Vocabulary:
         return np.fromiter(map(known.__getitem__, words), dtype=np.int16, count=len(words))
 
 
-def windows(vocabulary: Vocabulary, texts: list[bytes | None]):
-    """Contexts and targets of all words of some texts, end to end, and each text's words."""
+def lined(vocabulary: Vocabulary, texts: list[bytes | None]):
+    """Ids of all words of some texts in a line with SIDE edges before, between and after texts; words' places in it;
+    the words; each text's number of them."""
     docs = [(t or b"").lower().split() for t in texts]
     lengths = np.array([len(d) for d in docs], dtype=np.int64)
-    target = vocabulary(list(chain.from_iterable(docs)))
-    at = np.arange(len(target)) + SIDE * np.repeat(np.arange(1, len(docs) + 1), lengths)
-    line = np.full(len(target) + SIDE * (len(docs) + 1), EDGE, dtype=np.int16)  # SIDE edges before, between and after texts
-    line[at] = target
-    context = np.stack([line[at + d] for d in [*range(-SIDE, 0), *range(1, SIDE + 1)]], axis=1)
-    return context, target, lengths
+    words = list(chain.from_iterable(docs))
+    at = np.arange(len(words)) + SIDE * np.repeat(np.arange(1, len(docs) + 1), lengths)
+    line = np.full(len(words) + SIDE * (len(docs) + 1), EDGE, dtype=np.int16)
+    line[at] = vocabulary(words)
+    return line, at, words, lengths
+
+
+def windows(line: np.ndarray, at: np.ndarray):
+    """Contexts (by neighbour, then word) and targets."""
+    return np.stack([line[at + d].astype(np.int64) for d in OFFSETS]), line[at]
 
 
 def _count(batches):
@@ -178,27 +175,64 @@ def _count(batches):
     yield out()
 
 
+CELLS = (N_IDS + 1) ** 2
+PAIRS = "distance long, part long, salt long, cell binary, n binary"
+
+
+def _packed(distance: int, part: int, salt: int, n: np.ndarray) -> pa.RecordBatch:
+    """The counts other than 0 of one part of a table."""
+    cell = np.flatnonzero(n)
+    return pa.RecordBatch.from_arrays([*(pa.array([x], pa.int64()) for x in (distance, part, salt)), *(pa.array([x.tobytes()], pa.binary()) for x in (cell.astype("<u4"), n[cell].astype("<i8")))], ["distance", "part", "salt", "cell", "n"])
+
+
+def _pairs(words: list[bytes]):
+    """How often one id stands so many places before another, in tables of all pairs, for the distances 1 to SIDE."""
+
+    def run(batches):
+        vocabulary, n = Vocabulary(words), np.zeros((SIDE, CELLS), dtype=np.int64)
+        for batch in batches:
+            for part in slices(batch, 0, 4 << 20):
+                line = lined(vocabulary, part.column(0).cast(pa.binary()).to_pylist())[0].astype(np.int64)
+                for k in range(1, SIDE + 1):
+                    n[k - 1] += np.bincount(line[:-k] * (N_IDS + 1) + line[k:], minlength=CELLS)
+        n[:, -1] = 0  # two edges
+        salt = TaskContext.get().partitionId() // FAN
+        for k in range(SIDE):
+            for i, x in enumerate(np.array_split(n[k], PARTS)):
+                if x.any():
+                    yield _packed(k, i, salt, x)
+
+    return run
+
+
 def _add(t: pa.Table) -> pa.Table:
-    """Sum of tasks' parameters, each weighed by its words."""
-    weight = t.column("weight").to_numpy()
-    x = np.frombuffer(b"".join(t.column("x").to_pylist()), dtype="<f8").reshape(len(weight), -1).sum(0)
-    return pa.table({"part": t.column("part")[:1], "salt": pa.array([0], pa.int64()), "weight": [float(weight.sum())], "x": pa.array([x.tobytes()], pa.binary())})
+    n = np.zeros(CELLS // PARTS + 1, dtype=np.int64)
+    for cell, m in zip(t.column("cell").to_pylist(), t.column("n").to_pylist()):
+        n[np.frombuffer(cell, "<u4")] += np.frombuffer(m, "<i8")
+    return pa.Table.from_batches([_packed(t["distance"][0].as_py(), t["part"][0].as_py(), t["salt"][0].as_py() // FAN, n)])
 
 
 @dataclass
 class LanguageModel:
     vocabulary: list
     network: WindowNetwork
-    shared: np.ndarray  # log of how often all words that share an id occur, and one unseen word; 0 for own ids
+    own: np.ndarray  # log of the mass of all words that share an id, but for the masked one; 0 for own ids
+    floor: float  # the mass of a word that occurs nowhere else
     counts: DataFrame  # w, n: a written table of all words that occur more than once
 
 
-def train(docs: DataFrame, text: str = "text", rounds: int = 1, rate: float = 0.08) -> LanguageModel:
+def train(docs: DataFrame, text: str = "text") -> LanguageModel:
     """Learns from every word of every document.
 
-    All words are counted over the corpus. In a round every task starts from the same network, takes
-    gradient steps over all words of its documents, and hands on its network; these are averaged by words,
-    first within salted groups of tasks, so the driver gets one network whatever the input's size.
+    1. All words are counted. The frequent ones get ids of their own.
+    2. Tables of how often each id stands one and two places before each other are added up over all tasks, in
+       steps of ``FAN`` tasks, so the driver gets ``SIDE`` tables whatever the input's size. They say all that one
+       neighbour says of a word. The network's weights are trained on them in numpy by full gradients;
+       ``PRIOR`` words of the corpus's frequencies are added to each row, so that rare neighbours say little.
+    3. One more pass over all words sums gradient and curvature of the likelihood given all neighbours by the
+       neighbours' weights, for one Newton step.
+
+    Sums of counts don't depend on partitions, and weights are rounded, so neither does the model.
     """
     spark = docs.sparkSession
     texts = docs.select(F.col(text))
@@ -211,72 +245,76 @@ def train(docs: DataFrame, text: str = "text", rounds: int = 1, rate: float = 0.
 
             own = {w for w, _ in top}
             for batch in batches:
-                w, n = batch.column(0).to_pylist(), batch.column(1).to_pylist()
+                w, n = batch.column(0).to_pylist(), batch.column(1).to_numpy()
                 ids = np.array([-1 if x in own else xxhash.xxh3_64_intdigest(x) % OTHER for x in w], dtype=np.int64)
                 m = ids >= 0
-                total = np.bincount(ids[m], np.array(n, dtype=float)[m], OTHER)
-                yield pa.RecordBatch.from_arrays([pa.array(np.arange(OTHER)), pa.array(total)], ["id", "n"])
+                sums = [np.bincount(ids[m], x[m], OTHER) for x in (n, np.ones(len(n)), n == 1)]
+                yield pa.RecordBatch.from_arrays([pa.array(np.arange(OTHER)), *map(pa.array, sums)], ["id", "n", "kinds", "once"])
 
-        rest = counted.mapInArrow(share, "id long, n double").groupBy("id").agg(F.sum("n").alias("n")).collect()
+        rest = counted.mapInArrow(share, "id long, n double, kinds double, once double").groupBy("id").agg(*(F.sum(c).alias(c) for c in ("n", "kinds", "once"))).collect()
         again = scratch.result(counted.where("n > 1"))
-    counts, shared = np.zeros(N_IDS), np.zeros(N_IDS)
+        words = [w for w, _ in top]
+        added = texts.mapInArrow(_pairs(words), PAIRS)
+        for _ in range(3):  # FAN ** 3 tasks
+            added = added.groupBy("distance", "part", "salt").applyInArrow(_add, PAIRS)
+        got = added.toArrow()
+    counts, own = np.zeros(N_IDS), np.zeros(N_IDS)
     counts[: len(top)] = [n for _, n in top]
+    n, kinds, once = (sum(r[c] for r in rest) for c in ("n", "kinds", "once"))
+    floor = min(1.0, once * n / (kinds * (n - once))) if n > once > 0 else 1.0  # the likeliest mass of a word when each is left out in turn
     for r in rest:
         counts[N_IDS - OTHER + r["id"]] = r["n"]
-        shared[N_IDS - OTHER + r["id"]] = np.log(r["n"] + 1)
-    words = [w for w, _ in top]
+        own[N_IDS - OTHER + r["id"]] = np.log(max(r["n"] - 1, 0) + floor * (r["kinds"] + 1))
     network = WindowNetwork.new(counts)
-    for k in range(rounds):
-        held = spark.sparkContext.broadcast((words, network))
-
-        def learn(batches, held=held, rate=rate / (k + 1)):
-            own, start = held.value
-            vocabulary, net = Vocabulary(own), start.filled(start.flat())
-            seen, task = 0, TaskContext.get().partitionId()
-            r = np.random.default_rng(task)
-            for batch in batches:
-                for part in slices(batch, 0):
-                    context, target, _ = windows(vocabulary, part.column(0).cast(pa.binary()).to_pylist())
-                    order = r.permutation(len(target))
-                    for a in range(0, len(order), BATCH):
-                        i = order[a : a + BATCH]
-                        net.step(context[i], target[i], rate)
-                    seen += len(target)
-            flat = net.flat().astype("<f8") * seen
-            cuts = np.array_split(flat, 16)
-            if seen:
-                yield pa.RecordBatch.from_arrays([pa.array(range(16), pa.int64()), pa.array([task % 64] * 16, pa.int64()), pa.array([float(seen)] * 16), pa.array([c.tobytes() for c in cuts], pa.binary())], ["part", "salt", "weight", "x"])
-
-        schema = "part long, salt long, weight double, x binary"
-        sums = texts.mapInArrow(learn, schema).groupBy("part", "salt").applyInArrow(_add, schema).groupBy("part").applyInArrow(_add, schema)
-        got = sorted(sums.collect(), key=lambda r: r["part"])
-        if got:
-            network = network.filled(np.concatenate([np.frombuffer(bytes(r["x"]), dtype="<f8") / r["weight"] for r in got]))
-    return LanguageModel(words, network, shared, again)
+    if not got.num_rows:
+        return LanguageModel(words, network, own, floor, again)
+    edges = np.concatenate([[0], np.cumsum([len(x) for x in np.array_split(np.empty(CELLS, bool), PARTS)])])
+    table = np.zeros((SIDE, CELLS))
+    for k, part, cell, n in zip(*(got.column(c).to_pylist() for c in ("distance", "part", "cell", "n"))):
+        table[k, edges[part] + np.frombuffer(cell, "<u4")] += np.frombuffer(n, "<i8")
+    table = table.reshape(SIDE, N_IDS + 1, N_IDS + 1)
+    pairs = np.stack([table[-d - 1] if d < 0 else table[d - 1].T for d in OFFSETS])[:, :, :N_IDS]
+    pairs += PRIOR * (counts / max(1, counts.sum()))
+    network = network.fitted(pairs.astype(np.float32))
+    held = spark.sparkContext.broadcast((words, network.tables()))
+
+    def slopes(batches):
+        own, tables = held.value
+        vocabulary, sums = Vocabulary(own), np.zeros((2 * SIDE, 2 * SIDE + 1))
+        for batch in batches:
+            for part in slices(batch, 0):
+                line, at, _, _ = lined(vocabulary, part.column(0).cast(pa.binary()).to_pylist())
+                g, curve = tables.slope(*windows(line, at))
+                sums += np.concatenate([g[:, None], curve], axis=1)
+        yield pa.RecordBatch.from_arrays([pa.array([x]) for x in sums.ravel()], columns)
 
+    columns = [f"s{i}" for i in range(2 * SIDE * (2 * SIDE + 1))]
+    sums = texts.mapInArrow(slopes, ", ".join(f"{c} double" for c in columns)).agg(*(F.sum(c) for c in columns)).first()
+    sums = np.array([x or 0.0 for x in sums]).reshape(2 * SIDE, -1)
+    step = np.linalg.solve(sums[:, 1:] + np.eye(2 * SIDE), sums[:, 0])
+    return LanguageModel(words, replace(network, weight=np.round(START * np.clip(1 + step, 0, 3), 6)), own, floor, again)
 
-def score(docs: DataFrame, model: LanguageModel, text: str = "text", key: str = "doc_id") -> DataFrame:
-    """One row per input row: doc_id, n_tokens, log_prob, mean_log_prob (natural logs).
 
-    log_prob sums, over all words, the log-probability of the word given two words on either side. That of a
-    word that shares its id is P(id) * n / (N + 1), n its own count and N that of all words with the id; a
-    word that training did not see has n = 1. Counts of words grow with the corpus: words meet them in a join
-    by word, which no word fills, as the frequent ones have their own ids. Null and wordless texts: 0 tokens,
-    log_prob 0 and a null mean. Repeated rows and null ids are kept as they come; other columns are not read.
+def score(docs: DataFrame, model: LanguageModel, text: str = "text", key: str = "doc_id") -> DataFrame:
+    """One row per input row: doc_id, n_tokens, n_unseen, log_prob, mean_log_prob (natural logs).
+
+    log_prob sums, over all words, the log-probability of the word given two words on either side and the rest
+    of the corpus. Of a word that shares its id that is P(id) times its part of the id's words, both counted
+    without the masked word itself: a word met nowhere else has the mass ``floor`` that makes the corpus
+    likeliest, and n_unseen counts such words. Counts of words grow with the corpus: words meet them in a
+    join by word, which no word fills, as the frequent ones have their own ids. Null and wordless texts: 0
+    tokens, log_prob 0 and a null mean. Repeated rows and null ids are kept as they come; other columns are not read.
     """
-    held = docs.sparkSession.sparkContext.broadcast((model.vocabulary, model.network, model.shared))  # of fixed size
+    held = docs.sparkSession.sparkContext.broadcast((model.vocabulary, model.network.tables(), model.own))  # of fixed size
 
     def run(batches):
-        own, network, shared = held.value
+        own, tables, masses = held.value
         vocabulary, n = Vocabulary(own), TaskContext.get().partitionId() << 32
         for batch in batches:
             for part in slices(batch):
-                texts = part.column(1).cast(pa.binary()).to_pylist()
-                context, target, lengths = windows(vocabulary, texts)
-                p = np.empty(len(target))
-                for a in range(0, len(target), 4 * BATCH):
-                    p[a : a + 4 * BATCH] = network.log_prob(context[a : a + 4 * BATCH], target[a : a + 4 * BATCH])
-                p -= shared[target]
+                line, at, words, lengths = lined(vocabulary, part.column(1).cast(pa.binary()).to_pylist())
+                context, target = windows(line, at)
+                p = tables.log_prob(context, target) - masses[target]
                 total = np.diff(np.concatenate([[0], np.cumsum(p)])[np.concatenate([[0], np.cumsum(lengths)])])
                 rid = np.arange(n, n + len(lengths))
                 n += len(lengths)
@@ -284,13 +322,15 @@ def score(docs: DataFrame, model: LanguageModel, text: str = "text", key: str =
                 w = pa.array([b" %d" % r for r in rid.tolist()], pa.binary())
                 yield pa.RecordBatch.from_arrays([pa.array(rid), part.column(0), pa.array(lengths), pa.array(total), w], names)
                 other = np.flatnonzero(target >= N_IDS - OTHER)
-                w = pa.array(chain.from_iterable((t or b"").lower().split() for t in texts), pa.binary()).take(pa.array(other))
+                w = pa.array(words, pa.binary()).take(pa.array(other))
                 rid = pa.array(np.repeat(rid, lengths)[other])
                 yield pa.RecordBatch.from_arrays([rid, *[pa.nulls(len(other), t) for t in (pa.int64(), pa.int64(), pa.float64())], w], names)
 
     names = ["rid", "doc_id", "n_tokens", "log_prob", "w"]
     parts = docs.select(long_key(docs, key), F.col(text)).mapInArrow(run, "rid long, doc_id long, n_tokens long, log_prob double, w binary")
     parts = parts.join(model.counts.hint("shuffle_hash"), "w", "left")
-    out = parts.groupBy("rid").agg(F.max("doc_id").alias("doc_id"), F.max("n_tokens").alias("n_tokens"), F.max("log_prob").alias("p"), F.sum(F.log("n")).alias("own"))
+    word = F.col("n_tokens").isNull()
+    mass = F.sum(F.when(word, F.log(F.coalesce(F.col("n") - 1, F.lit(0)) + F.lit(model.floor))))
+    out = parts.groupBy("rid").agg(F.max("doc_id").alias("doc_id"), F.max("n_tokens").alias("n_tokens"), F.max("log_prob").alias("p"), mass.alias("own"), F.count_if(word & F.col("n").isNull()).alias("n_unseen"))
     out = out.withColumn("log_prob", F.col("p") + F.coalesce("own", F.lit(0.0)))
-    return out.select("doc_id", "n_tokens", "log_prob", F.when(F.col("n_tokens") > 0, F.col("log_prob") / F.col("n_tokens")).alias("mean_log_prob"))
+    return out.select("doc_id", "n_tokens", "n_unseen", "log_prob", F.when(F.col("n_tokens") > 0, F.col("log_prob") / F.col("n_tokens")).alias("mean_log_prob"))
