@@ -8,12 +8,14 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Rolling, Scratch, WordHashes, long_key, mixed, slices
+from .common import Rolling, Scratch, WordHashes, long_key, meet, mixed, slices
 from .components import components
 
 WORDS = 5
 BANDS, ROWS = 60, 6  # values a signature: BANDS * ROWS, from half as many permutations
-SMALL, PART = 16, 1024  # largest bucket whose pairs a plain join makes; rows of a part of a larger one
+FEW, PART = 16, 640  # largest bucket whose pairs a plain join makes; rows of a part of a larger one
+SHORT = 32  # sets of fewer shingles are joined exactly, by their rarest shingles
+SIGMAS = 6.0  # a signature's estimate has to lie so many standard deviations below the limit to drop a pair
 _rolling, _digest = Rolling(0x9E3779B97F4A7C15), Rolling(0xC2B2AE3D27D4EB4F)
 
 
@@ -56,7 +58,7 @@ class MinMax:
         return mixed(mixed((s * self.weights).sum(1, dtype=np.uint64)) ^ self.salt).view(np.int64)
 
 
-def _read(bands: int, rows: int):
+def _read(bands: int, rows: int, longest: int):
     import zstandard
 
     def run(batches):
@@ -64,18 +66,18 @@ def _read(bands: int, rows: int):
         part = TaskContext.get().partitionId()
         for batch in batches:
             for s in slices(batch):
-                out = [[], [], [], [], [], []]
+                out = [[] for _ in range(7)]
                 for t in s.column(1).cast(pa.binary()).to_pylist():
                     words = (t or b"").lower().split()
                     x = shingles(words, hashes)
                     one = int(_digest.of(_digest.sums(x), np.array([0]), np.array([len(x)]))[0]) if len(x) else 0
                     two = int(_digest.of(_digest.sums(mixed(x)), np.array([0]), np.array([len(x)]))[0]) if len(x) else 0
-                    for column, v in zip(out, (part << 32 | n, len(x), one, two, family.keys(x) if len(x) else None, pack.compress(b" ".join(words)))):
+                    for column, v in zip(out, (part << 32 | n, len(x), one, two, family.keys(x) if len(x) else None, pack.compress(b" ".join(words)), x.view(np.int64) if 0 < len(x) <= longest else None)):
                         column.append(v)
                     n += 1
-                rid, size, one, two, keys, payload = out
+                rid, size, one, two, keys, payload, short = out
                 longs = [np.array(c, dtype=np.uint64).view(np.int64) for c in (one, two)]
-                yield pa.RecordBatch.from_arrays([pa.array(rid, pa.int64()), s.column(0), pa.array(size, pa.int64()), *map(pa.array, longs), pa.array(keys, pa.list_(pa.int64())), pa.array(payload, pa.binary())], ["rid", "doc_id", "n", "d1", "d2", "keys", "payload"])
+                yield pa.RecordBatch.from_arrays([pa.array(rid, pa.int64()), s.column(0), pa.array(size, pa.int64()), *map(pa.array, longs), pa.array(keys, pa.list_(pa.int64())), pa.array(payload, pa.binary()), pa.array(short, pa.list_(pa.int64()))], ["rid", "doc_id", "n", "d1", "d2", "keys", "payload", "short"])
 
     return run
 
@@ -94,11 +96,11 @@ def _sketches(bands: int, rows: int):
     return run
 
 
-def _across(percent: int, bands: int, rows: int, sigmas: float = 4.5):
+def _across(percent: int, bands: int, rows: int, sigmas: float = SIGMAS):
     """Pairs of one unit whose components differ and whose sketches leave the similarity possible.
 
     A unit holds part of a bucket: rows of its largest component (``main``) and others, or others alone. A
-    pair that shares several buckets comes out of that of its first common band.
+    pair that shares several buckets of bands comes out of that of its first common band.
     """
     j = percent / 100
     least = j - sigmas * (j * (1 - j) / (bands * rows)) ** 0.5
@@ -120,7 +122,7 @@ def _across(percent: int, bands: int, rows: int, sigmas: float = 4.5):
             y, same = y[ok], same[ok]
             if len(y):
                 first = same[:, : bands * rows].reshape(len(y), bands, rows).all(2).argmax(1)
-                y = y[first == h]
+                y = y[(first == h) | (h < 0)]
                 out.append(np.stack([np.maximum(rid[y], rid[x]), np.minimum(rid[y], rid[x])]))
         a, b = np.concatenate(out, axis=1) if out else np.empty((2, 0), dtype=np.int64)
         return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
@@ -136,7 +138,7 @@ def _set(payload: bytes, opener) -> set:
 
 
 def _confirm(percent: int):
-    """Pairs with both texts: those whose full sets of word shingles are alike."""
+    """Pairs with both texts: those whose full sets of word shingles are alike, as those of equal words are."""
 
     def run(batches):
         import zstandard
@@ -146,6 +148,9 @@ def _confirm(percent: int):
             a, b = batch.column(0).to_pylist(), batch.column(1).to_pylist()
             ok = []
             for y, p, q in zip(b, batch.column(2), batch.column(3)):
+                if p == q:
+                    ok.append(True)
+                    continue
                 if y not in last:
                     if len(last) > 64:
                         last.clear()
@@ -166,40 +171,47 @@ def near_dedup(docs: DataFrame, text: str = "text", key: str = "doc_id", percent
     ``percent`` / 100 or more, and components are those of these links.
 
     1. One pass over the texts makes each set's digest and its band keys from min-max signatures. Documents
-       with equal sets are one class from here on.
+       whose digests are equal and whose full sets have been compared and are equal are one class from here on.
     2. A class weighs as much as its buckets hold together, and a bucket's heaviest class is its leader. Each
        class is first confirmed, on the full sets, against the heaviest of its leaders, which makes
        components; then against its other leaders, but for those that are in its component by now.
     3. In buckets that still hold several components, the pairs of classes in different components are
        confirmed too. Large buckets are cut into units of bounded size, and there whole signatures first
-       drop pairs whose estimate lies 4.5 standard deviations below the limit. So every pair that shares a
-       bucket of at most ``SMALL`` classes has been compared or is in one component already; in a larger one
-       a pair can also be dropped by its estimate, at exactly the limit with a chance of about 3e-6 by the
-       normal tail. A bucket of near copies costs as many pairs as it has members, not their square.
+       drop pairs whose estimate lies ``SIGMAS`` standard deviations below the limit: at exactly the limit
+       with a chance of 1e-9 by the normal tail, far below that of sharing no bucket. So every pair that
+       shares a bucket has been compared or is in one component already, but for these. A bucket of near copies
+       costs as many pairs as it has members, not their square.
 
     Buckets are found by partial sums, and rows meet them in joins with written tables, which Spark splits
     where they are skewed. With the default bands a pair of large sets at exactly 0.75 shares no
     bucket with a chance of eight in a million, one at 0.8 with one in 80 million. In small sets the least and
-    the greatest shingle, which are different ones, rarer both agree: the chance is 3.3e-4 for 3 of 4 shingles
-    (texts of 7 and 8 words) and 4.5e-5 for 6 of 8.
+    the greatest shingle, which are different ones, rarer both agree (3.3e-4 for 3 of 4 shingles), so sets of
+    fewer than ``SHORT`` shingles have more buckets: two sets alike must share one of the rarest shingles of
+    either, as many as the limit lets differ and one. Pairs with such a set are all found, whatever the hashing.
 
     Null and wordless texts have an empty set and are linked with nothing. Repeated rows are linked as equal
     documents. A null doc_id is never a component's id unless all are null. Other columns are not read; an
     empty table gives no rows.
     """
     spark = docs.sparkSession
+    longest = (SHORT - 1) * 100 // percent  # sets that can be alike to a short one
     with Scratch(spark) as scratch:
-        schema = "rid long, doc_id long, n long, d1 long, d2 long, keys array<long>, payload binary"
-        read = scratch.table(docs.select(long_key(docs, key), F.col(text)).mapInArrow(_read(bands, rows), schema))
+        schema = "rid long, doc_id long, n long, d1 long, d2 long, keys array<long>, payload binary, short array<long>"
+        read = scratch.table(docs.select(long_key(docs, key), F.col(text)).mapInArrow(_read(bands, rows, longest), schema))
         same = read.where("n > 0").groupBy("n", "d1", "d2").agg(F.count(F.lit(1)).alias("c"), F.min("rid").alias("rep")).where("c > 1")
-        same = scratch.table(same.select("n", "d1", "d2", "rep"))
-        rows_ = read.select("rid", "doc_id", "n", "d1", "d2", "keys").join(same, ["n", "d1", "d2"], "left")
-        rep = F.coalesce("rep", "rid")
-        member = scratch.table(rows_.select("rid", "doc_id", "n", rep.alias("rep"), F.when(rep == F.col("rid"), F.col("keys")).alias("keys")))
+        same = scratch.table(same.select("n", "d1", "d2", "c", "rep"))
+        digests = meet(read.select("rid", "n", "d1", "d2"), same, ["n", "d1", "d2"], "c", read.count())
+        pairs = scratch.table(digests.where("rid <> rep").select(F.col("rid").alias("a"), F.col("rep").alias("b")))
+        equal = scratch.table(_links(pairs, read.select("rid", "n", "payload"), 100).select(F.col("a").alias("rid"), F.col("b").alias("rep")))
         scratch.drop(same)
+        scratch.drop(pairs)
+        rows_ = read.select("rid", "doc_id", "n", "keys", "short").join(equal, "rid", "left")
+        alone = F.col("rep").isNull()
+        member = scratch.table(rows_.select("rid", "doc_id", "n", F.coalesce("rep", "rid").alias("rep"), F.when(alone, F.col("keys")).alias("keys"), F.when(alone, F.col("short")).alias("short")))
 
         # 2. buckets of several classes, and the pairs with their leaders
-        held = member.where("keys is not null").select("rid", F.posexplode("keys").alias("band", "h"))
+        rare = _rarest(member, percent, scratch)
+        held = member.where("keys is not null").select("rid", F.posexplode("keys").alias("band", "h")).unionByName(rare)
         buckets = scratch.table(held.groupBy("h").agg(F.count(F.lit(1)).alias("c")).where("c > 1"))
         inside = scratch.table(held.join(buckets, "h"))  # classes that share a bucket, once for each such bucket
         size = member.where("keys is not null").select("rid", "n")
@@ -224,11 +236,11 @@ def near_dedup(docs: DataFrame, text: str = "text", key: str = "doc_id", percent
         counts = counts.groupBy("h").agg(F.max(F.struct("c", "comp")).alias("top"), F.sum("c").alias("m")).where("top.c < m")
         counts = scratch.table(counts.select("h", "m", F.col("top.c").alias("d"), F.col("top.comp").alias("top")))
         where = scratch.table(where.join(counts, "h").join(size, "rid"))
-        few = where.where(F.col("m") <= SMALL)
+        few = where.where(F.col("m") <= FEW)
         x, y = few.select("h", F.col("rid").alias("a"), F.col("comp").alias("ca"), F.col("n").alias("na")), few.select("h", F.col("rid").alias("b"), F.col("comp").alias("cb"), F.col("n").alias("nb"))
         across = x.join(y, "h").where((F.col("ca") < F.col("cb")) & (100 * F.least("na", "nb") >= percent * F.greatest("na", "nb")))
         across = across.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
-        many = where.where(F.col("m") > SMALL)
+        many = where.where(F.col("m") > FEW)
         if not many.isEmpty():
             across = across.unionAll(_large(many, texts, percent, bands, rows))
         tried = pairs.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
@@ -244,6 +256,15 @@ def near_dedup(docs: DataFrame, text: str = "text", key: str = "doc_id", percent
         return scratch.result(out.select("doc_id", F.col("n").alias("n_shingles"), "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept")))
 
 
+def _rarest(member: DataFrame, percent: int, scratch: Scratch) -> DataFrame:
+    """rid, band (-1), h: for each short set its rarest shingles, one more than two alike sets may lack of each other."""
+    shingle = member.where("short is not null").select("rid", "n", F.explode("short").alias("s"))
+    often = scratch.table(shingle.groupBy("s").agg(F.count(F.lit(1)).alias("c")).where("c > 1"))
+    order = shingle.join(often, "s", "left").groupBy("rid", "n").agg(F.array_sort(F.collect_list(F.struct(F.coalesce("c", F.lit(1)).alias("c"), "s"))).alias("o"))
+    most = (F.col("n") - F.ceil(F.col("n") * percent / 100) + 1).cast("int")
+    return order.select("rid", F.explode(F.slice("o", F.lit(1), most)).alias("x")).where("x.c > 1").select("rid", F.lit(-1).alias("band"), F.xxhash64("x.s").alias("h"))
+
+
 def _merged(comp: DataFrame, pairs: DataFrame, texts: DataFrame, percent: int, scratch: Scratch) -> DataFrame:
     """Components once those of some pairs that are alike are linked too."""
     if pairs.isEmpty():

@@ -98,12 +98,27 @@ def test_near_large_bucket(spark, monkeypatch):
             if 100 * len(sets[a] & sets[b]) >= 75 * len(sets[a] | sets[b]) and group[a] != group[b]:
                 lo, hi = sorted((group[a], group[b]))
                 group = [lo if g == hi else g for g in group]
-    monkeypatch.setattr(near_dedup, "SMALL", 2)
+    monkeypatch.setattr(near_dedup, "FEW", 2)
     monkeypatch.setattr(near_dedup, "PART", 16)
     got = {x["doc_id"]: x["component_id"] for x in near_dedup.near_dedup(d).collect()}
     assert got == dict(enumerate(group))
 
 
+def test_near_short_texts(spark):
+    """Every pair of short texts at the limit or above it is linked, however unlucky the hashing: 200 pairs by one band each."""
+    r = np.random.default_rng(9)
+    data = []
+    for k in range(200):
+        n = int(r.integers(4, 31))
+        own = [f"a{k}x{i}" for i in range(n + 4)]
+        data += [(2 * k, " ".join(own)), (2 * k + 1, " ".join(own[: n + 4 - n // 4]))]  # n and n - n // 4 shingles
+    sets = [shingle_set(t) for _, t in data]
+    got = {x["doc_id"]: x["component_id"] for x in near_dedup.near_dedup(spark.createDataFrame(data, "doc_id long, text string"), bands=1).collect()}
+    for k in range(200):
+        a, b = sets[2 * k], sets[2 * k + 1]
+        assert (got[2 * k] == got[2 * k + 1]) == (100 * len(a & b) >= 75 * len(a | b))
+
+
 def test_components(spark):
     edges = [(i, i + 1) for i in range(40)] + [(100, k) for k in range(101, 130)] + [(7, 7), (200, 201), (201, 200)]
     with Scratch(spark) as s:
