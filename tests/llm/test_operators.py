@@ -126,7 +126,7 @@ def test_components(spark):
     assert got == {i: 0 for i in range(41)} | {k: 100 for k in range(100, 130)} | {200: 200, 201: 200}
 
 
-@pytest.mark.parametrize("size", [35, 9])
+@pytest.mark.parametrize("size", [35, 9, 5])
 def test_substring(docs, none, size):
     data = [(r[0], split(r[1])) for r in rows()]
     seen = Counter(tuple(w[i : i + size]) for _, w in data for i in range(len(w) - size + 1))
