@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Callable
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -13,21 +14,25 @@ RULE_TYPE = f"struct<lhs:array<{ATOM_TYPE}>,rhs:array<{ATOM_TYPE}>>"
 _ATOM = rf"^\s*({NAME})\s*(?:\(\s*((?:{NAME}\s*,\s*)*(?:{NAME})?)\s*\))?\s*$"
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value that is worked out once, however often the body names it."""
+    return F.transform(F.array(value), lambda v: body(v))[0]
+
+
 def is_variable(term: Column) -> Column:
     return term.startswith("x")
 
 
 def parse_atom(text: Column) -> Column:
     """``name`` or ``name(a,b)`` to an atom, null if malformed; a trailing comma in the list is allowed."""
-    inner = F.regexp_extract(text, _ATOM, 2)
     # not F.trim itself: transform would hand it the place as the characters to trim
-    args = F.filter(F.transform(F.split(inner, ","), lambda a: F.trim(a)), lambda a: a != "")
-    return F.when(text.rlike(_ATOM), F.struct(F.regexp_extract(text, _ATOM, 1).alias("predicate"), args.alias("args")))
+    args = lambda t: F.filter(F.transform(F.split(F.regexp_extract(t, _ATOM, 2), ","), lambda a: F.trim(a)), lambda a: a != "")
+    return let(text, lambda t: F.when(t.rlike(_ATOM), F.struct(F.regexp_extract(t, _ATOM, 1).alias("predicate"), args(t).alias("args"))))
 
 
 def _atoms(text: Column, by: str) -> Column:
-    parts = F.transform(F.split(text, by), parse_atom)
-    return F.when(F.forall(parts, lambda a: a.isNotNull()), F.array_sort(parts))
+    parts = F.transform(F.split(text, by), lambda t: parse_atom(t))
+    return let(parts, lambda p: F.when(F.forall(p, lambda a: a.isNotNull()), F.array_sort(p)))
 
 
 def parse_conjunction(text: Column) -> Column:
@@ -35,18 +40,19 @@ def parse_conjunction(text: Column) -> Column:
     return _atoms(text, "∧")
 
 
+def _pair(left: Column, right: Column, a: str, b: str, ok: Column) -> Column:
+    both = F.struct(F.when(ok, left).alias(a), F.when(ok, right).alias(b))
+    return let(both, lambda p: F.when(p[a].isNotNull() & p[b].isNotNull(), p))
+
+
 def parse_clause(text: Column) -> Column:
     """``a ∧ b → c ∧ d``, with exactly one arrow, to a struct of sorted sides."""
-    sides = F.split(text, "→")
-    lhs, rhs = parse_conjunction(sides[0]), parse_conjunction(F.element_at(sides, -1))
-    return F.when((F.size(sides) == 2) & lhs.isNotNull() & rhs.isNotNull(), F.struct(lhs.alias("lhs"), rhs.alias("rhs")))
+    return let(F.split(text, "→"), lambda s: _pair(parse_conjunction(s[0]), parse_conjunction(F.element_at(s, -1)), "lhs", "rhs", F.size(s) == 2))
 
 
 def parse_sequent(text: Column) -> Column:
     """``a,b⊢c`` to a struct of sorted antecedents and a consequent; commas within arguments don't split."""
-    sides = F.split(text, "⊢")
-    ants, cons = _atoms(sides[0], r",(?![^(]*\))"), parse_atom(F.element_at(sides, -1))
-    return F.when((F.size(sides) == 2) & ants.isNotNull() & cons.isNotNull(), F.struct(ants.alias("ants"), cons.alias("cons")))
+    return let(F.split(text, "⊢"), lambda s: _pair(_atoms(s[0], r",(?![^(]*\))"), parse_atom(F.element_at(s, -1)), "ants", "cons", F.size(s) == 2))
 
 
 def atom_text(atom: Column) -> Column:
@@ -74,6 +80,11 @@ def predicates(atoms: Column) -> Column:
     return F.array_distinct(F.transform(atoms, lambda a: a["predicate"]))
 
 
+def merged(a: Column, b: Column) -> Column:
+    """Both maps; where they share a key, the second's value."""
+    return F.map_concat(F.map_filter(a, lambda k, _: ~F.map_contains_key(b, k)), b)
+
+
 def subset(a: Column, b: Column) -> Column:
     return F.size(F.array_except(a, b)) == 0
 

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .atoms import let
+
 # Fixed ids of the token language.
 SPECIAL = {"<PAD>": 0, "⊢": 1, "∧": 2, "→": 3, "(": 4, ")": 5, ",": 6, "<SEP>": 7, "<START>": 8, "<EOT>": 9}
 PAD, SEP, START, EOT = 0, 7, 8, 9
@@ -135,3 +137,114 @@ def length_bounds(rules: DataFrame, arities: DataFrame, start_facts: int, n_demo
     prompt = facts * F.col("max_atom") + F.greatest(facts - 1, F.lit(0)) + F.col("max_atom") + 2 + n_demos * (F.col("_demo") + 1)
     d = d.withColumn("max_prompt", prompt).withColumn("max_completion", (F.col("_one") - 1) * steps + steps)
     return d.select("max_atom", "max_prompt", "max_completion", (F.col("max_prompt") + F.col("max_completion") - 1).alias("n_seq"))
+
+
+# --- vocabularies as JSON
+
+VERSION = 1
+
+
+def vocabulary_json(vocab: dict[str, int]) -> str:
+    import json
+
+    return json.dumps({"version": VERSION, "tokens": [t for t, _ in sorted(checked(vocab).items(), key=lambda p: p[1])]}, ensure_ascii=False)
+
+
+def vocabulary_from_json(text: str) -> dict[str, int]:
+    """Another version, repeated tokens or special tokens out of place are errors."""
+    import json
+
+    d = json.loads(text)
+    if d.get("version") != VERSION:
+        raise ValueError(f"vocabulary version {d.get('version')!r}")
+    return checked({t: i for i, t in enumerate(d["tokens"])}, len(d["tokens"]))
+
+
+def checked(vocab: dict[str, int], n: int | None = None) -> dict[str, int]:
+    if sorted(vocab.values()) != list(range(len(vocab))) or (n is not None and n != len(vocab)):
+        raise ValueError("ids must be 0 to the number of tokens less one, each once")
+    if any(vocab.get(t) != i for t, i in SPECIAL.items()):
+        raise ValueError("special tokens have fixed ids")
+    return vocab
+
+
+def collected(vocab: DataFrame) -> dict[str, int]:
+    """A vocabulary table (token, id) on the driver, checked; a vocabulary is configuration."""
+    return checked({r["token"]: r["id"] for r in vocab.collect()})
+
+
+def name_map(vocab: dict[str, int]) -> Column:
+    """id to token."""
+    return F.create_map(*[F.lit(x) for t, i in vocab.items() for x in (i, t)])
+
+
+def bank_names(arities: DataFrame, constants: list[str], variables: int) -> DataFrame:
+    """name, is_predicate of a bank's predicates (predicate), constants and variables x1 to xn, for ``vocabulary``."""
+    other = [*constants, *(f"x{i + 1}" for i in range(variables))]
+    names = arities.select(F.col("predicate").alias("name"), F.lit(True).alias("is_predicate")).distinct()
+    return names.unionByName(arities.sparkSession.createDataFrame([(x, False) for x in other], "name string, is_predicate boolean"))
+
+
+def sentinels(length: int = 4) -> list[str]:
+    """Predicates that hold all 36 characters of fresh names, for a vocabulary of banks that are still to come."""
+    letters = "abcdefghijklmnopqrstuvwxyz0123456789"
+    return ["r_" + letters[i : i + length].ljust(length, letters[0]) for i in range(0, len(letters), length)]
+
+
+# --- rows for evaluation
+
+
+def predicate_index(name: Column, layer: int) -> Column:
+    """n of ``r<layer>_<n>``; null for another layer or form."""
+    n = F.regexp_extract(name, rf"^r{int(layer)}_(\d+)$", 1)
+    return F.when(n != "", n.cast("int"))
+
+
+def prompt_only(row: Column, n: int, strict: bool = False) -> Column:
+    """The row cut or padded to ``n`` ids, <PAD> behind its one <START>; with ``strict`` a longer prompt is an error."""
+
+    def read(cut: Column) -> Column:
+        bad = F.size(F.filter(cut, lambda t: t == START)) != 1
+        if strict:
+            bad = bad | (F.array_position(row, F.lit(START)) > n)
+        at = F.array_position(cut, F.lit(START))
+        return let(at, lambda a: F.when(bad, F.raise_error(F.lit("exactly one <START> is needed within the length")).cast("array<int>")).otherwise(F.transform(cut, lambda t, i: F.when(i < a, t).otherwise(F.lit(PAD)))))
+
+    return let(pad_or_trim(row, n), read)
+
+
+def first_eot(row: Column) -> Column:
+    """Place of the first <EOT>, from 0; a row without one is an error."""
+    at = F.array_position(row, F.lit(EOT)).cast("int")
+    return F.when(at > 0, at - 1).otherwise(F.raise_error(F.lit("<EOT> is missing")).cast("int"))
+
+
+def completion_of_labels(ys: Column) -> Column:
+    """The ids of a label row that are not masked; none is an error."""
+    own = F.filter(ys, lambda y: y != 0)
+    return F.when(F.size(own) > 0, own).otherwise(F.raise_error(F.lit("a completion is empty")).cast("array<int>"))
+
+
+def completion_target(ys: Column, n: int) -> Column:
+    """struct<target, length>: a label row's completion, padded to ``n`` ids with <EOT>; a longer one is an error."""
+    own = completion_of_labels(ys)
+    fits = F.when(F.size(own) <= n, own).otherwise(F.raise_error(F.lit("a completion is longer than the target")).cast("array<int>"))
+    return F.struct(pad_or_trim(fits, n, EOT).alias("target"), F.size(own).alias("length"))
+
+
+def padded_target(row: Column, n: int) -> Column:
+    """A completion cut or padded to ``n`` ids with <EOT>; its first <EOT> must lie within."""
+    return F.when(first_eot(row) < n, pad_or_trim(row, n, EOT)).otherwise(F.raise_error(F.lit("<EOT> lies beyond the length")).cast("array<int>"))
+
+
+def answer_pairs(rows: DataFrame, autoregressive: bool = True) -> DataFrame:
+    """Adds predicted and gold completions to rows (xs, ys, preds).
+
+    Autoregressive rows are masked: where ys is not 0, preds and ys are the completions; rows without any go.
+    Otherwise both are whole rows up to their first <EOT>, and every row stays.
+    """
+    if not autoregressive:
+        return rows.withColumn("predicted", up_to_eot(F.col("preds"))).withColumn("gold", up_to_eot(F.col("ys")))
+    both = F.filter(F.arrays_zip("preds", "ys"), lambda p: p["ys"] != 0)
+    out = rows.withColumn("_p", both).where(F.size("_p") > 0)
+    return out.withColumn("predicted", F.col("_p.preds")).withColumn("gold", F.col("_p.ys")).drop("_p")

@@ -27,13 +27,13 @@ def all_at_once(records: DataFrame) -> DataFrame:
     return records.withColumn("xs", F.col("prompt")).withColumn("ys", F.when(ok, F.col("completion")).otherwise(F.raise_error(F.lit("a completion must end in <EOT>")).cast("array<int>")))
 
 
-def shuffled_batches(records: DataFrame, key: str, size: int, seed: int, epoch: int = 0, drop_last: bool = True) -> DataFrame:
+def shuffled_batches(records: DataFrame, key: str, size: int, seed: int, epoch: int = 0, drop_last: bool = True, seed_text: str | None = None) -> DataFrame:
     """Adds batch_id and row_idx in an order that seed + epoch fixes.
 
     The order is by a hashed uniform. Rows are dealt by ranges of it into buckets, buckets are counted, and
     a row's place is the rows before its bucket and its place within; no task sorts all rows.
     """
-    d = records.withColumn("_u", uniform(F.concat_ws("|", F.lit(str(seed + epoch)), F.col(key)))).withColumn("_b", F.floor(F.col("_u") * BUCKETS))
+    d = records.withColumn("_u", uniform(F.concat_ws("|", F.lit(seed_text or str(seed + epoch)), F.col(key)))).withColumn("_b", F.floor(F.col("_u") * BUCKETS))
     n = d.groupBy("_b").agg(F.count(F.lit(1)).alias("_n"))
     base = n.select("_b", (F.sum("_n").over(Window.orderBy("_b")) - F.col("_n")).alias("_base"), F.sum("_n").over(Window.partitionBy()).alias("_all"))  # BUCKETS rows at most
     d = d.join(F.broadcast(base), "_b").withColumn("_r", F.col("_base") + F.row_number().over(Window.partitionBy("_b").orderBy("_u", key)) - 1)
@@ -76,6 +76,60 @@ def with_phase(steps: DataFrame, phases: list[tuple[int, int]], step: str = "ste
     return steps.withColumn("d_max", out)
 
 
+def manual_phases(phases: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    """Phases (start step, greatest depth) as given, checked: the first starts at 0, steps rise, depths are 1 or more."""
+    steps = [s for s, _ in phases]
+    if not phases or steps[0] != 0 or steps != sorted(set(steps)) or any(d < 1 for _, d in phases):
+        raise ValueError("phases start at step 0, rise, and have depths of 1 or more")
+    return list(phases)
+
+
+def up_to_depth(records: DataFrame, steps: DataFrame, phases: list[tuple[int, int]]) -> DataFrame:
+    """Records (distance) that each step (step) may draw on: those up to its phase's depth; one row a pair of step and record's distance."""
+    own = with_phase(steps, phases)
+    depths = records.select("distance").distinct()
+    return own.join(F.broadcast(depths), F.col("distance") <= F.col("d_max"))  # distances are few
+
+
+def batched(records: DataFrame, objective: str, mask_prompt: bool = True) -> DataFrame:
+    """xs and ys by objective: autoregressive or all_at_once."""
+    if objective not in ("autoregressive", "all_at_once"):
+        raise ValueError(f"no objective {objective!r}")
+    return autoregressive(records, mask_prompt) if objective == "autoregressive" else all_at_once(records)
+
+
+def mapped(batches: DataFrame, xs=None, ys=None) -> DataFrame:
+    """Batches with other inputs and targets, each a function of the old column."""
+    out = batches
+    for name, f in (("xs", xs), ("ys", ys)):
+        out = out.withColumn(name, f(F.col(name))) if f else out
+    return out
+
+
+def one_completion(records: DataFrame, seed: str, key: str) -> DataFrame:
+    """Adds completion, one of completions by seed and key; a record with one keeps that."""
+    at = F.floor(uniform(F.concat_ws("|", F.lit(seed), F.col(key).cast("string"))) * F.size("completions")).cast("int") + 1
+    return records.withColumn("completion", F.element_at("completions", at))
+
+
+def resolved_length(explicit: int | None, metadata: int | None, bound: int | None) -> int:
+    """The fixed length of rows: as given, else the longest that the data's metadata names, else what the bank allows."""
+    for n in (explicit, metadata, bound):
+        if n is not None:
+            return int(n)
+    raise ValueError("no length is known")
+
+
 def split_chunk(rows: DataFrame, key: str, parts: int, seed: str) -> DataFrame:
-    """Adds chunk: contiguous parts of a seeded order, the first ones a row longer where it doesn't divide."""
-    return rows.withColumn("chunk", F.ntile(parts).over(Window.orderBy(uniform(F.concat_ws("|", F.lit(seed), F.col(key))), key)))
+    """Adds chunk: contiguous parts of a seeded order, the first ones a row longer where it doesn't divide.
+
+    The order is worked out as in ``shuffled_batches``: rows are dealt by ranges of a hashed uniform, and counts give
+    each range its start, so no task sorts all rows.
+    """
+    d = shuffled_batches(rows, key, 1, 0, drop_last=False, seed_text=seed)
+    n = rows.agg(F.count(F.lit(1)).alias("_n"))
+    d = d.join(F.broadcast(n))  # one row
+    short, longer = F.floor(F.col("_n") / parts), F.col("_n") % parts
+    at = F.col("batch_id")
+    chunk = F.when(at < longer * (short + 1), F.floor(at / (short + 1))).otherwise(longer + F.floor((at - longer * (short + 1)) / F.greatest(short, F.lit(1))))
+    return d.withColumn("chunk", (chunk + 1).cast("int")).drop("batch_id", "row_idx", "_n")

@@ -8,7 +8,7 @@ from pyspark.sql.window import Window
 
 from ..functions.atoms import predicates, subset
 from ..functions.chance import uniform
-from .unify import facts_of, fire, substitutions
+from .unify import bounded, facts_of, fire, small, substitutions
 
 
 def reachable(rules: DataFrame, n_layers: int) -> DataFrame:
@@ -18,7 +18,7 @@ def reachable(rules: DataFrame, n_layers: int) -> DataFrame:
     each round is one broadcast join of frontiers with a layer's rules.
     """
     state = rules.select("rule_id", (F.col("src_layer") + 1).alias("layer"), F.array_sort(predicates(F.col("rhs"))).alias("frontier"))
-    out, nxt = state, F.broadcast(rules.select(F.col("src_layer").alias("layer"), predicates(F.col("lhs")).alias("need"), predicates(F.col("rhs")).alias("gives")))
+    out, nxt = state, bounded(rules).select(F.col("src_layer").alias("layer"), predicates(F.col("lhs")).alias("need"), predicates(F.col("rhs")).alias("gives"))
     for _ in range(n_layers):
         fired = state.join(nxt, "layer").where(subset(F.col("need"), F.col("frontier")))
         state = fired.groupBy("rule_id", "layer").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_set("gives")))).alias("frontier")).withColumn("layer", F.col("layer") + 1)
@@ -70,9 +70,9 @@ def rank_rules(facts: DataFrame, rules: DataFrame, goal: str, most_lhs: int, n_l
     from .unify import applicable
 
     own = rules.where(F.col("src_layer") == layer)
-    reach = F.broadcast(goal_reachable(rules, goal, n_layers))
-    ids = [r["rule_id"] for r in own.select("rule_id").collect()]  # a bank's rules of one layer
-    asked = facts.select("qid").distinct().withColumn("rule_id", F.explode(F.array(*map(F.lit, ids)))).join(reach, "rule_id")
+    reach = own.select("rule_id").join(goal_reachable(rules, goal, n_layers), "rule_id").withColumn("_o", F.lit(1))
+    reach = F.broadcast(reach) if small(rules) else reach
+    asked = facts.select("qid").distinct().withColumn("_o", F.lit(1)).join(reach, "_o").drop("_o")
     can = applicable(facts, own, most_lhs).withColumn("can", F.lit(True))
     rank = F.when(F.col("can") & F.col("reaches"), 1).when(F.col("can"), 2).when(F.col("reaches"), 3).otherwise(4)
     return asked.join(can, ["qid", "rule_id"], "left").withColumn("can", F.coalesce("can", F.lit(False))).select("qid", "rule_id", rank.alias("rank"))
@@ -82,15 +82,15 @@ def validate_path(paths: DataFrame) -> DataFrame:
     """From path_id, facts, goal and steps (array of struct<known, lhs, rhs>, texts): success, n_steps, reason.
 
     A fold: a step must be a known rule and its left side hold in the facts, which its right side then
-    replaces; the goal ends the path. The first failure names the reason.
+    replaces; the first step that derives the goal ends the path. The first failure names the reason; its step counts.
     """
-    start = F.struct(F.col("facts").alias("facts"), F.lit(0).alias("n"), F.array_contains("facts", F.col("goal")).alias("won"), F.lit("").alias("why"))
+    start = F.struct(F.col("facts").alias("facts"), F.lit(0).alias("n"), F.lit(False).alias("won"), F.lit("").alias("why"))
 
     def step(s, x):
         over = s["won"] | (s["why"] != "")
         why = F.when(over, s["why"]).when(~x["known"], "unknown_rule").when(F.size(F.array_except(x["lhs"], s["facts"])) > 0, "inapplicable").otherwise("")
         go = ~over & (why == "")
-        return F.struct(F.when(go, x["rhs"]).otherwise(s["facts"]).alias("facts"), F.when(go, s["n"] + 1).otherwise(s["n"]).alias("n"), (s["won"] | (go & F.array_contains(x["rhs"], F.col("goal")))).alias("won"), why.alias("why"))
+        return F.struct(F.when(go, x["rhs"]).otherwise(s["facts"]).alias("facts"), F.when(over, s["n"]).otherwise(s["n"] + 1).alias("n"), (s["won"] | (go & F.array_contains(x["rhs"], F.col("goal")))).alias("won"), why.alias("why"))
 
     end = F.aggregate("steps", start, step)
     return paths.select("path_id", end["won"].alias("success"), end["n"].alias("n_steps"), F.when(end["won"], "").when(end["why"] != "", end["why"]).otherwise("goal_not_reached").alias("reason"))

@@ -11,7 +11,7 @@ from ..functions.atoms import conjunction_text, parse_clause, subset, substitute
 from ..session import cut
 from .metrics import rate
 from .schema_match import schema_matches
-from .unify import facts_of, substitutions, supported
+from .unify import bounded, facts_of, substitutions, supported
 
 REASONS = ("decode_error", "unknown_rule", "wrong_rule", "inapplicable", "goal_not_reached")
 
@@ -21,7 +21,7 @@ def instances(clauses: DataFrame, rules: DataFrame, most_lhs: int) -> DataFrame:
     facts = facts_of(clauses.select(F.col("key").alias("qid"), F.col("lhs").alias("atoms")))
     hit = supported(substitutions(facts, rules, most_lhs, once=True), rules)
     hit = hit.select(F.col("qid").alias("key"), "rule_id", substitute(F.col("lhs"), F.col("binding")).alias("_l"), substitute(F.col("rhs"), F.col("binding")).alias("_r"))
-    hit = hit.join(F.broadcast(rules.select("rule_id", "src_layer")), "rule_id")
+    hit = hit.join(bounded(rules).select("rule_id", "src_layer"), "rule_id")
     return clauses.join(hit, ["key", "src_layer"]).where((F.col("_l") == F.col("lhs")) & (F.col("_r") == F.col("rhs"))).groupBy("key").agg(F.min("rule_id").alias("rule_id"))
 
 

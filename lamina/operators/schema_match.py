@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.atoms import RULE_TYPE
+from .unify import bounded
 
 
 def isomorphic(template: dict, rule: dict) -> bool:
@@ -45,7 +46,7 @@ def schema_matches(rules: DataFrame, bank: DataFrame) -> DataFrame:
         rows = zip(t["lhs"], t["rhs"], r["lhs"], r["rhs"])
         return pd.Series([isomorphic({"lhs": plain(a), "rhs": plain(b)}, {"lhs": plain(c), "rhs": plain(d)}) for a, b, c, d in rows], dtype=bool)
 
-    b = F.broadcast(bank.select(signature(F.col("lhs"), F.col("rhs")).alias("sig"), F.struct("lhs", "rhs").cast(RULE_TYPE).alias("t")))
+    b = bounded(bank).select(signature(F.col("lhs"), F.col("rhs")).alias("sig"), F.struct("lhs", "rhs").cast(RULE_TYPE).alias("t"))
     r = rules.select("key", signature(F.col("lhs"), F.col("rhs")).alias("sig"), F.struct("lhs", "rhs").cast(RULE_TYPE).alias("r"))
     found = r.join(b, "sig").where(same("t", "r")).select("key").distinct().withColumn("matched", F.lit(True))
     return rules.select("key").join(found, "key", "left").select("key", F.coalesce("matched", F.lit(False)).alias("matched"))

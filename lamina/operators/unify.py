@@ -9,6 +9,7 @@ from pyspark.sql.window import Window
 from ..functions.atoms import RULE_TYPE, is_variable, parse_rule, subset, substitute, variables
 
 MOST_RULES = 100_000  # a bank is configuration; larger ones are joined without broadcast
+_counted: dict[int, bool] = {}  # by a plan's semantic hash
 
 
 def bank(spark: SparkSession, texts: list[str], layers: list[int] | None = None) -> DataFrame:
@@ -21,6 +22,33 @@ def bank(spark: SparkSession, texts: list[str], layers: list[int] | None = None)
     return spark.createDataFrame(rows, f"rule_id int, src_layer int, {side}")
 
 
+def small(rules: DataFrame) -> bool:
+    """Whether a bank has at most ``MOST_RULES`` rules; counted once for each plan, at most one row beyond the limit."""
+    key = rules.semanticHash()
+    if key not in _counted:
+        _counted[key] = rules.limit(MOST_RULES + 1).count() <= MOST_RULES
+    return _counted[key]
+
+
+def bounded(rules: DataFrame) -> DataFrame:
+    """The rules, marked for broadcast if they are few enough."""
+    return F.broadcast(rules) if small(rules) else rules
+
+
+def _shape(terms) -> list:
+    """What an atom's terms ask of a fact's arguments: vars (each once), at (their first places, from 1), same (pairs of places
+    with one variable) and fixed (places with a constant). Worked out once a rule, not once a fact."""
+    at = F.transform(terms, lambda t, i: F.struct(t.alias("t"), (i + 1).alias("i"), F.array_position(terms, t).cast("int").alias("j")))
+    first = F.filter(at, lambda x: is_variable(x["t"]) & (x["i"] == x["j"]))
+    same = F.filter(at, lambda x: is_variable(x["t"]) & (x["i"] != x["j"]))
+    return [F.transform(first, lambda x: x["t"]).alias("vars"), F.transform(first, lambda x: x["i"]).alias("at"), same.alias("same"), F.filter(at, lambda x: ~is_variable(x["t"])).alias("fixed")]
+
+
+def _agrees(args):
+    """Whether arguments, as many as there are terms, fit the shape in columns vars, at, same and fixed."""
+    return F.forall("same", lambda x: F.element_at(args, x["i"]) == F.element_at(args, x["j"])) & F.forall("fixed", lambda x: F.element_at(args, x["i"]) == x["t"])
+
+
 def _match(args, terms):
     """Pairs of term and constant, and whether they agree: constants equal, each variable with one value."""
     pairs = F.array_distinct(F.zip_with(terms, args, lambda v, c: F.struct(v.alias("v"), c.alias("c"))))
@@ -37,22 +65,25 @@ def substitutions(facts: DataFrame, rules: DataFrame, most_lhs: int, cap: int |
     then one more atom at a time within their query. Facts may serve several atoms unless ``once``. Beyond
     ``cap`` solutions of a query and rule, those last in the order of fact positions are left out.
     """
-    atoms = F.broadcast(rules.select("rule_id", F.size("lhs").alias("k"), F.posexplode("lhs").alias("pos", "atom")).select("rule_id", "k", "pos", F.col("atom.predicate").alias("p"), F.col("atom.args").alias("terms")))
-    facts = facts.select("qid", "fact_idx", F.col("predicate").alias("p"), "args")
+    atoms = rules.select("rule_id", F.size("lhs").alias("k"), F.posexplode("lhs").alias("pos", "atom")).select("rule_id", "k", "pos", F.col("atom.predicate").alias("p"), F.size("atom.args").alias("arity"), *_shape(F.col("atom.args")))
+    few = small(rules)
+    facts = facts.select("qid", "fact_idx", F.col("predicate").alias("p"), F.size("args").alias("arity"), "args")
     state, done = None, []
     for pos in range(most_lhs):
-        own = atoms.where(F.col("pos") == pos)
+        own = atoms.where(F.col("pos") == pos).drop("pos")
+        own = F.broadcast(own) if few else own
+        value = F.transform("at", lambda i: F.element_at("args", i))
         if state is None:
-            met = facts.join(own, "p").withColumn("binding", F.create_map().cast("map<string,string>")).withColumn("used", F.array().cast("array<int>"))
+            met = facts.join(own, ["p", "arity"]).where(_agrees(F.col("args")))
+            state = met.select("qid", "rule_id", "k", F.map_from_arrays("vars", value).alias("binding"), F.array("fact_idx").alias("used"))
         else:
-            met = state.join(own.drop("k"), "rule_id").join(facts, ["qid", "p"])
-        bound, ok = _match(F.col("args"), F.col("terms"))
-        met = met.where((F.size("args") == F.size("terms")) & ok).withColumn("_b", F.map_from_entries(bound))
-        agree = F.forall(F.map_keys("_b"), lambda v: F.coalesce(F.try_element_at(F.col("binding"), v) == F.try_element_at(F.col("_b"), v), F.lit(True)))
-        if once:
-            agree &= ~F.array_contains("used", F.col("fact_idx"))
-        fresh = F.map_filter("_b", lambda v, c: ~F.map_contains_key(F.col("binding"), v))
-        state = met.where(agree).select("qid", "rule_id", "k", F.map_concat("binding", fresh).alias("binding"), F.concat("used", F.array("fact_idx")).alias("used"))
+            met = state.join(own.drop("k"), "rule_id").join(facts, ["qid", "p", "arity"]).where(_agrees(F.col("args")))
+            held = F.transform("vars", lambda v, i: F.coalesce(F.try_element_at("binding", v) == F.element_at("args", F.element_at("at", i + 1)), F.lit(True)))
+            fits = F.forall(held, lambda x: x)
+            if once:
+                fits &= ~F.array_contains("used", F.col("fact_idx"))
+            fresh = F.map_filter(F.map_from_arrays("vars", value), lambda v, c: ~F.map_contains_key(F.col("binding"), v))
+            state = met.where(fits).select("qid", "rule_id", "k", F.map_concat("binding", fresh).alias("binding"), F.concat("used", F.array("fact_idx")).alias("used"))
         done.append(state.where(F.col("k") == pos + 1))
         state = state.where(F.col("k") > pos + 1)
     out = done[0]
@@ -67,7 +98,7 @@ def substitutions(facts: DataFrame, rules: DataFrame, most_lhs: int, cap: int |
 
 def supported(matches: DataFrame, rules: DataFrame) -> DataFrame:
     """Matches that bind every variable of the right side."""
-    rhs = F.broadcast(rules.select("rule_id", "lhs", "rhs"))
+    rhs = bounded(rules).select("rule_id", "lhs", "rhs")
     return matches.join(rhs, "rule_id").where(subset(variables(F.col("rhs")), F.map_keys("binding")))
 
 

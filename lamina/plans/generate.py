@@ -129,19 +129,44 @@ def with_completions(steps: DataFrame, form: str = "single") -> DataFrame:
     return steps.withColumn("completions", F.collect_list("statement").over(w))
 
 
-def write_dataset(records: DataFrame, path: str, per_file: int = 10_000, meta: dict | None = None) -> None:
-    """Parquet by distance, files of at most ``per_file`` records, beside a metadata table with counts and the configuration."""
-    records.repartition("distance", F.pmod(F.xxhash64("problem_id"), F.lit(64))).write.partitionBy("distance").option("maxRecordsPerFile", per_file).parquet(f"{path}/records")
-    spark = records.sparkSession
-    stats = spark.read.parquet(f"{path}/records").groupBy("distance").agg(F.countDistinct("problem_id").alias("examples"), F.count(F.lit(1)).alias("records"), F.max(F.length("statement")).alias("max_statement"))
-    stats.withColumn("config", F.lit(json.dumps(meta or {}))).coalesce(1).write.json(f"{path}/metadata")
-
-
-def read_dataset(spark: SparkSession, path: str, distances: list[int] | None = None) -> DataFrame:
+def write_dataset(records: DataFrame, path: str, per_file: int = 10_000, meta: dict | None = None, overwrite: bool = False) -> None:
+    """Parquet by distance, files of at most ``per_file`` records, beside a metadata table: counts and longest rows by
+    distance and over all (distance null), and the configuration. A folder that exists is an error unless ``overwrite``."""
+    mode = "overwrite" if overwrite else "errorifexists"
+    records.repartition("distance", F.pmod(F.xxhash64("problem_id"), F.lit(64))).write.mode(mode).partitionBy("distance").option("maxRecordsPerFile", per_file).parquet(f"{path}/records")
+    written = records.sparkSession.read.parquet(f"{path}/records")
+    size = lambda c: F.max(F.size(c)) if c in written.columns else F.lit(None).cast("int")
+    both = {"prompt", "completion"} <= set(written.columns)
+    seq = F.max(F.size("prompt") + F.size("completion") - 1) if both else F.lit(None).cast("int")
+    top = F.max(F.greatest(F.array_max("prompt"), F.array_max("completion"))) if both else F.lit(None).cast("int")
+    stats = written.groupingSets([[F.col("distance")], []], "distance").agg(F.countDistinct("problem_id").alias("examples"), F.count(F.lit(1)).alias("records"), F.max(F.length("statement")).alias("max_statement"), size("prompt").alias("max_prompt"), size("completion").alias("max_completion"), seq.alias("max_seq"), top.alias("max_token"))
+    stats.withColumn("config", F.lit(json.dumps(meta or {}))).coalesce(1).write.mode(mode).json(f"{path}/metadata")
+
+
+META = "distance int, examples long, records long, max_statement int, max_prompt int, max_completion int, max_seq int, max_token int, config string"
+
+
+def read_metadata(spark: SparkSession, path: str, distances: list[int] | None = None, form: str | None = None) -> dict:
+    """config, and the longest rows over the distances asked for (all if none are). A dataset without metadata, without a
+    distance, or with completions of another form than asked for, is an error."""
+    from pyspark.errors import AnalysisException
+
+    try:
+        rows = spark.read.schema(META).json(f"{path}/metadata").collect()
+    except AnalysisException as e:
+        raise FileNotFoundError(f"no metadata at {path}") from e
+    config = json.loads(rows[0]["config"]) if rows else {}
+    if form is not None and config.get("completion_format", "single") != form:
+        raise ValueError(f"completions are {config.get('completion_format', 'single')!r}, not {form!r}")
+    by = {r["distance"]: r for r in rows}
+    if missing := sorted(set(distances or []) - set(by)):
+        raise ValueError(f"no records of distances {missing}")
+    own = [by[d] for d in distances] if distances else [r for d, r in by.items() if d is not None]
+    names = [c.split()[0] for c in META.split(", ") if c.startswith("max_")]
+    return {"config": config} | {n: max((r[n] for r in own if r[n] is not None), default=None) for n in names}
+
+
+def read_dataset(spark: SparkSession, path: str, distances: list[int] | None = None, form: str | None = None) -> DataFrame:
+    read_metadata(spark, path, distances, form)
     df = spark.read.parquet(f"{path}/records")
-    if distances is None:
-        return df
-    have = {r["distance"] for r in spark.read.schema("distance int").json(f"{path}/metadata").collect()}
-    if set(distances) - have:
-        raise ValueError(f"no records of distances {sorted(set(distances) - have)}")
-    return df.where(F.col("distance").isin(*distances))
+    return df if distances is None else df.where(F.col("distance").isin(*distances))

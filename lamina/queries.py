@@ -208,7 +208,7 @@ def _paths(spark, sf_dir):
 
 
 PATH_SQL = """WITH p AS (SELECT l_orderkey AS path_id, bool_or(l_linestatus = 'O') AS o, max(l_returnflag) AS flag FROM lineitem GROUP BY 1),
-r AS (SELECT path_id, flag <> 'N' AND o AS success, CASE WHEN flag <> 'N' AND o THEN 2 ELSE 1 END AS n_steps, CASE WHEN flag = 'N' THEN 'unknown_rule' WHEN NOT o THEN 'inapplicable' ELSE '' END AS reason FROM p)"""
+r AS (SELECT path_id, flag <> 'N' AND o AS success, 2 AS n_steps, CASE WHEN flag = 'N' THEN 'unknown_rule' WHEN NOT o THEN 'inapplicable' ELSE '' END AS reason FROM p)"""
 
 
 @query(PATH_SQL + " SELECT * FROM r")
@@ -336,13 +336,13 @@ def encode_completion(spark, sf_dir):
 def turn_records(spark, sf_dir):
     """Each turn's word lengths (from 10 on) as ids: the conversation's first turn prompts, every later turn completes."""
     ids = lambda c: F.transform(F.filter(F.split(c, r"[ \t\n\r]+"), lambda w: w != ""), lambda w: F.length(w) + 10)
-    c = table(spark, sf_dir, "conversations").where("text is not null").select("conv_id", "turn", F.slice(ids("text"), 1, 40).alias("ids"))
+    c = table(spark, sf_dir, "conversations").where("text is not null").select("conv_id", "turn", ids("text").alias("ids"))
     first = c.groupBy("conv_id").agg(F.min_by("ids", "turn").alias("p"), F.min("turn").alias("t0"))
     j = c.join(first, "conv_id").where("turn > t0")
     return j.select("conv_id", "turn", F.concat("p", F.array(F.lit(T.START))).alias("prompt"), F.concat("ids", F.array(F.lit(T.EOT))).alias("completion"))
 
 
-TURNS_SQL = r"""c AS (SELECT conv_id, turn, list_slice(list_transform(list_filter(regexp_split_to_array(text, '[ \t\n\r]+'), lambda w: w <> ''), lambda w: CAST(length(w) + 10 AS INTEGER)), 1, 40) AS ids FROM conversations WHERE text IS NOT NULL),
+TURNS_SQL = r"""c AS (SELECT conv_id, turn, list_transform(list_filter(regexp_split_to_array(text, '[ \t\n\r]+'), lambda w: w <> ''), lambda w: CAST(length(w) + 10 AS INTEGER)) AS ids FROM conversations WHERE text IS NOT NULL),
 f AS (SELECT conv_id, arg_min(ids, turn) AS p, min(turn) AS t0 FROM c GROUP BY 1),
 t AS (SELECT c.conv_id, turn, list_append(p, 8) AS prompt, list_append(ids, 9) AS completion FROM c JOIN f USING (conv_id) WHERE turn > t0)"""
 
@@ -618,3 +618,6 @@ def rule_membership(spark, sf_dir):
     o = table(spark, sf_dir, "orders").select((F.col("o_orderkey") % 3).cast("int").alias("set_id"), F.array((F.col("o_custkey") % 7).cast("int"), (F.col("o_custkey") % 5).cast("int")).alias("pred"))
     sets = spark.createDataFrame([(s, [x, y], x >= s) for s in range(3) for x in range(3) for y in range(2)], "set_id int, rule array<int>, used boolean")
     return metrics.rule_membership(o, sets).select(F.round("membership", 6).alias("membership"))
+
+
+from . import evaluation_queries  # noqa: E402, F401  registers its queries
