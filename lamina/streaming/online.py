@@ -84,14 +84,14 @@ class Records:
         self.close()
 
 
-def each_batch(stream: DataFrame, *hooks, checkpoint: str | None = None):
+def each_batch(stream: DataFrame, *hooks, mode: str = "append", checkpoint: str | None = None):
     """A running query that calls every hook with (batch, number) for each micro-batch, in turn: metrics, prints, summaries."""
 
     def run(batch: DataFrame, number: int) -> None:
         for hook in hooks:
             hook(batch, number)
 
-    writer = stream.writeStream.foreachBatch(run)
+    writer = stream.writeStream.outputMode(mode).foreachBatch(run)
     return (writer.option("checkpointLocation", checkpoint) if checkpoint else writer).start()
 
 
