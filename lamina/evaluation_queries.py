@@ -251,21 +251,27 @@ def cluster_grid(spark, sf_dir):
     ids = rules.where("src_layer = 0").select("rule_id")
     actual = ids.withColumn("rank", 1 + F.col("rule_id") % 4)
     pool = cluster.candidate_rankings(spark, bank, 0, 2, 12, 5, 2, actual)
-    return cluster.select_grid(pool, actual, ids.count(), [0.0, 1.0], [2, 3], [1, 3], "7", rounds=5)
+    return cluster.select_grid(pool, actual, ids.count(), [0.0, 1.0], [3], [1, 3], "7", rounds=3)
 
 
 # --- token rows
 
-@query(f"WITH {TURNS_SQL}, m AS (SELECT conv_id, turn, prompt || completion AS a, len(prompt) AS k FROM t) SELECT conv_id, turn, array_to_string(list_resize(list_resize(a[:k], least(k, 600), 0), 600, 0), ',') AS xs FROM m WHERE k <= 600")
+def _longest(rows, column):
+    """Of all rows; the fixed length of the queries below."""
+    return rows.agg(F.max(F.size(column))).first()[0] or 1
+
+
+@query(f"WITH {TURNS_SQL}, m AS (SELECT max(len(prompt)) AS n FROM t) SELECT conv_id, turn, array_to_string(list_resize(prompt, n, 0), ',') AS xs FROM t, m")
 def prompt_only_rows(spark, sf_dir):
-    r = batches.autoregressive(turn_records(spark, sf_dir)).where(F.size("prompt") <= 600)
-    return r.select("conv_id", "turn", T.prompt_only(F.concat("prompt", "completion"), 600).alias("xs")).select("conv_id", "turn", *shown("xs"))
+    r = turn_records(spark, sf_dir)
+    return r.select("conv_id", "turn", T.prompt_only(F.concat("prompt", "completion"), _longest(r, "prompt")).alias("xs")).select("conv_id", "turn", *shown("xs"))
 
 
-@query(f"WITH {TURNS_SQL} SELECT conv_id, turn, array_to_string(list_resize(completion, 700, 9), ',') AS target, CAST(len(completion) AS INTEGER) AS length, CAST(len(completion) - 1 AS INTEGER) AS eot FROM t WHERE len(completion) <= 700")
+@query(f"WITH {TURNS_SQL}, m AS (SELECT max(len(completion)) AS n FROM t) SELECT conv_id, turn, array_to_string(list_resize(completion, n, 9), ',') AS target, CAST(len(completion) AS INTEGER) AS length, CAST(len(completion) - 1 AS INTEGER) AS eot FROM t, m")
 def completion_targets(spark, sf_dir):
-    r = batches.autoregressive(turn_records(spark, sf_dir)).where(F.size("completion") <= 700).withColumn("t", T.completion_target(F.col("ys"), 700))
-    return r.select("conv_id", "turn", F.col("t.target").alias("target"), F.col("t.length").alias("length"), T.first_eot(F.col("t.target")).alias("eot")).select("conv_id", "turn", *shown("target"), "length", "eot")
+    r = turn_records(spark, sf_dir)
+    d = batches.autoregressive(r).withColumn("t", T.completion_target(F.col("ys"), _longest(r, "completion")))
+    return d.select("conv_id", "turn", F.col("t.target").alias("target"), F.col("t.length").alias("length"), T.first_eot(F.col("t.target")).alias("eot")).select("conv_id", "turn", *shown("target"), "length", "eot")
 
 
 def _predicted(spark, sf_dir):
