@@ -3,6 +3,10 @@
 Rows are documents from stage to stage; only the last returns pieces. A document that the quality
 classifier rejects goes; of equal texts, and of each group of near duplicates, one document stays; mixing
 leaves out documents and repeats others, as whole rows, until sources have their target shares.
+
+Every stage takes rows as they are: a doc_id may be null or repeated, a text null, empty or very long, and rows
+may be equal. Decisions are matched to rows by a number that each stage gives them. Columns of other names are
+dropped at the first stage, so none can clash with a stage's own. A stage on an empty table returns an empty one.
 """
 
 from __future__ import annotations
@@ -20,20 +24,29 @@ FIRST = F.struct(F.col("doc_id").isNull().alias("_null"), F.col("doc_id").alias(
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose score is 0.7 or more. Labels come from ``labels``, texts from ``docs``."""
+    """Documents whose score is 0.7 or more. Labels come from ``labels``, texts from ``docs``.
+
+    Null and empty texts are scored as such; equal rows have equal scores and stay or go together.
+    """
     model = quality_classifier.train(docs, registry.labels(spark, sf_dir))
     return quality_classifier.classify(docs, model, keep=COLUMNS).where("predicted = 1").select(*COLUMNS)
 
 
 def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One row of each group of equal texts: that of the least doc_id, null last, and one of rows that repeat it."""
+    """One row of each group of equal texts: that of the least doc_id, null last, and one of rows that repeat it.
+
+    Null texts equal empty ones.
+    """
     rows = _numbered(docs)
     kept = exact_dedup.exact_dedup(rows.withColumn("_key", FIRST), key="_key").where("kept")
     return _stay(rows, kept.select("_key._row"))
 
 
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One row of each component of near duplicates, chosen as in ``exact``; rows linked with nothing all stay."""
+    """One row of each component of near duplicates, chosen as in ``exact``.
+
+    Rows linked with nothing, such as those without words, all stay.
+    """
     rows = _numbered(docs)
     found = near_dedup.near_dedup(rows, key="_row").select(F.col("doc_id").alias("_row"), "component_id")
     first = rows.select("_row", FIRST.alias("_key")).join(found, "_row").groupBy("component_id").agg(F.min("_key").alias("_key"))
@@ -41,7 +54,7 @@ def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Each row as often as the mix takes it."""
+    """Each row as often as the mix takes it: not at all, once or up to three times. Rows without words are never taken."""
     rows = _numbered(docs)
     taken = mixing.mix(rows, carry=("_row",)).where("copies > 0").select("_row", F.col("copies").alias("_copies"))
     rows = rows.join(taken, "_row")
@@ -49,7 +62,7 @@ def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of documents in sequences of 2048 tokens."""
+    """Pieces of documents in sequences of 2048 tokens. A null text is an empty document, of its end id alone."""
     return packing.pack(docs, registry.tokenizer_path())
 
 
