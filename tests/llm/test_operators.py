@@ -466,3 +466,18 @@ def test_pipeline_rows_without_unique_ids(spark):
         got[r["doc_id"], len(split(r["text"]))] += 1
     assert got == Counter({k: n for k, n in sum((Counter({(i, size): n}) for i, v in copies.items() for size, n in v), Counter()).items() if n})
     assert any(i is None for i, _ in got)
+
+
+def test_pipeline_on_odd_tables(spark):
+    """Extra columns with clashing names are dropped, very long texts pass, and an empty table stays empty through all stages."""
+    import corpus_pipeline as pipeline
+
+    wide = ", ".join(f"{c} string" for c in ("_row", "_key", "_copies", "_copy", "predicted", "score", "component_id", "size", "tag", "rank", "count"))
+    data = [(i, words(20_000 if i == 3 else 40 + i, i + 1), "en", "s" if i % 2 else None, 1, *["x"] * 11) for i in range(8)]
+    docs = spark.createDataFrame(data + [data[2]], "doc_id long, text string, lang string, source string, n_chars long, " + wide)
+    for name, stage in pipeline.STAGES[1:4]:
+        out = stage(spark, docs, SF)
+        assert out.columns == pipeline.COLUMNS, name
+        assert out.count() == {"exact dedup": 8, "MinHash near-dedup": 8}.get(name, out.count())
+    for name, stage in pipeline.STAGES:
+        assert stage(spark, docs.limit(0), SF).count() == 0, name
