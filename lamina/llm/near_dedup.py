@@ -15,6 +15,7 @@ WORDS = 5
 BANDS, ROWS = 60, 6  # values a signature: BANDS * ROWS, from half as many permutations
 FEW, PART = 16, 640  # largest bucket whose pairs a plain join makes; rows of a part of a larger one
 SHORT = 32  # sets of fewer shingles are joined exactly, by their rarest shingles
+FINE = 1688  # values of a longer signature, which rows of large buckets get beside that of the bands
 SIGMAS = 6.0  # a signature's estimate has to lie so many standard deviations below the limit to drop a pair
 _rolling, _digest = Rolling(0x9E3779B97F4A7C15), Rolling(0xC2B2AE3D27D4EB4F)
 
@@ -83,15 +84,16 @@ def _read(bands: int, rows: int, longest: int):
 
 
 def _sketches(bands: int, rows: int):
-    """Adds each text's signature, the low byte of every value."""
+    """From rid, payload: each text's signatures, that of the bands and a longer one, the low byte of every value."""
 
     def run(batches):
         import zstandard
 
-        opener, hashes, family = zstandard.ZstdDecompressor(), WordHashes(), MinMax(bands, rows)
+        opener, hashes, families = zstandard.ZstdDecompressor(), WordHashes(), (MinMax(bands, rows), MinMax(1, FINE, seed=2))
         for batch in batches:
-            sketch = [family.signature(shingles(opener.decompress(p.as_py()).split(), hashes)).astype(np.uint8).tobytes() for p in batch.column(2)]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(sketch, pa.binary())], ["rid", "n", "payload", "sketch"])
+            sets = [shingles(opener.decompress(p.as_py()).split(), hashes) for p in batch.column(1)]
+            sketch = [b"".join(f.signature(x).astype(np.uint8).tobytes() for f in families) for x in sets]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sketch, pa.binary())], ["rid", "sketch"])
 
     return run
 
@@ -102,8 +104,8 @@ def _across(percent: int, bands: int, rows: int, sigmas: float = SIGMAS):
     A unit holds part of a bucket: rows of its largest component (``main``) and others, or others alone. A
     pair that shares several buckets of bands comes out of that of its first common band.
     """
-    j = percent / 100
-    least = j - sigmas * (j * (1 - j) / (bands * rows)) ** 0.5
+    j, coarse = percent / 100, 2 * ((bands * rows + 1) // 2)
+    least = lambda n: j - sigmas * (j * (1 - j) / n) ** 0.5
 
     def run(t: pa.Table) -> pa.Table:
         rid, comp, n = (t.column(c).to_numpy() for c in ("rid", "comp", "n"))
@@ -117,8 +119,10 @@ def _across(percent: int, bands: int, rows: int, sigmas: float = SIGMAS):
             y = against[(comp[against] != comp[x]) & (100 * np.minimum(n[against], n[x]) >= percent * np.maximum(n[against], n[x]))]
             if not main.any():  # others among themselves: each pair once, and only of different parts if the unit has two
                 y = y[(rid[y] < rid[x]) & ((left[y] != left[x]) | (t.column("alone")[0].as_py()))]
-            same = sketch[y] == sketch[x]
-            ok = same.mean(1) >= least
+            same = sketch[y, :coarse] == sketch[x, :coarse]
+            ok = same.mean(1) >= least(coarse)
+            y, same = y[ok], same[ok]
+            ok = (sketch[y] == sketch[x]).mean(1) >= least(sketch.shape[1])
             y, same = y[ok], same[ok]
             if len(y):
                 first = same[:, : bands * rows].reshape(len(y), bands, rows).all(2).argmax(1)
@@ -176,7 +180,7 @@ def near_dedup(docs: DataFrame, text: str = "text", key: str = "doc_id", percent
        class is first confirmed, on the full sets, against the heaviest of its leaders, which makes
        components; then against its other leaders, but for those that are in its component by now.
     3. In buckets that still hold several components, the pairs of classes in different components are
-       confirmed too. Large buckets are cut into units of bounded size, and there whole signatures first
+       confirmed too. Large buckets are cut into units of bounded size, and there signatures of ``FINE`` more values first
        drop pairs whose estimate lies ``SIGMAS`` standard deviations below the limit: at exactly the limit
        with a chance of 1e-9 by the normal tail, far below that of sharing no bucket. So every pair that
        shares a bucket has been compared or is in one component already, but for these. A bucket of near copies
@@ -221,8 +225,7 @@ def near_dedup(docs: DataFrame, text: str = "text", key: str = "doc_id", percent
         pairs = scratch.table(inside.select("h", F.col("rid").alias("a")).join(leaders, "h").where("a <> b").select("a", "b", "w").distinct())
         best = pairs.groupBy("a").agg(F.max(F.struct("w", (-F.col("b")).alias("r"))).alias("top"))
         best = scratch.table(best.select("a", (-F.col("top.r")).alias("b")))
-        texts = read.select("rid", "n", "payload").join(inside.select("rid").distinct(), "rid").mapInArrow(_sketches(bands, rows), "rid long, n long, payload binary, sketch binary")
-        texts = scratch.table(texts)
+        texts = scratch.table(read.select("rid", "n", "payload").join(inside.select("rid").distinct(), "rid"))
         comp = components(scratch.table(_links(best, texts, percent)), scratch)
         rest = pairs.join(best.withColumnRenamed("b", "tried"), "a").where("b <> tried")
         for side in "ab":
@@ -242,7 +245,8 @@ def near_dedup(docs: DataFrame, text: str = "text", key: str = "doc_id", percent
         across = across.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
         many = where.where(F.col("m") > FEW)
         if not many.isEmpty():
-            across = across.unionAll(_large(many, texts, percent, bands, rows))
+            sketches = texts.select("rid", "payload").join(many.select("rid").distinct(), "rid").mapInArrow(_sketches(bands, rows), "rid long, sketch binary")
+            across = across.unionAll(_large(many, scratch.table(sketches), percent, bands, rows))
         tried = pairs.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
         across = across.distinct().join(tried, ["a", "b"], "left_anti")
         comp = _merged(comp, scratch.table(across), texts, percent, scratch)
@@ -275,7 +279,7 @@ def _merged(comp: DataFrame, pairs: DataFrame, texts: DataFrame, percent: int, s
     return components(comp.select(F.col("v").alias("a"), F.col("comp").alias("b")).unionAll(more.select("a", "b")), scratch)
 
 
-def _large(many: DataFrame, texts: DataFrame, percent: int, bands: int, rows: int) -> DataFrame:
+def _large(many: DataFrame, sketches: DataFrame, percent: int, bands: int, rows: int) -> DataFrame:
     """Pairs across components in large buckets, by units of at most about two ``PART`` rows.
 
     The bucket's largest component and the rest are dealt into parts by hash. Units are every part of the
@@ -291,7 +295,7 @@ def _large(many: DataFrame, texts: DataFrame, percent: int, bands: int, rows: in
     among = each("cr", lambda j: unit(-1 - F.least(j, F.col("p")), F.greatest(j, F.col("p"))))
     units = F.when(F.col("main"), each("cr", lambda j: unit(F.col("p"), j))).otherwise(F.concat(with_main, among))
     many = many.withColumn("u", F.explode(units)).select("h", "band", "rid", "comp", "n", "main", F.col("u.i").alias("i"), F.col("u.j").alias("j"), (F.col("p") == -1 - F.col("u.i")).alias("left"), (F.col("u.j") == -1 - F.col("u.i")).alias("alone"))
-    return many.join(texts.select("rid", "sketch"), "rid").groupBy("h", "i", "j").applyInArrow(_across(percent, bands, rows), "a long, b long")
+    return many.join(sketches, "rid").groupBy("h", "i", "j").applyInArrow(_across(percent, bands, rows), "a long, b long")
 
 
 def _links(pairs: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
