@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+from itertools import compress
 
 import numpy as np
 import pyarrow as pa
@@ -28,9 +29,12 @@ class Sums:
     def keys(self, at: np.ndarray, size: int):
         """Distinct 128-bit keys of the windows at some places in order, as two arrays; each window's among them; their counts."""
         one, two = (r.of(s, at, at + size).view(np.int64) for r, s in ((_one, self.one), (_two, self.two)))
-        order = np.lexsort((two, one))
+        order = np.argsort(one, kind="stable")
         one, two = one[order], two[order]
         new = np.ones(len(at), dtype=bool)
+        if ((one[1:] == one[:-1]) & (two[1:] != two[:-1])).any():  # keys that agree in their first half
+            again = np.lexsort((two, one))
+            order, one, two = order[again], one[again], two[again]
         new[1:] = (one[1:] != one[:-1]) | (two[1:] != two[:-1])
         inverse = np.empty(len(at), dtype=np.int64)
         inverse[order] = np.cumsum(new) - 1
@@ -92,10 +96,21 @@ def _blocks(size: int):
     return run
 
 
-def _open(payload: bytes):
+def _open(payload: bytes) -> bytes:
+    """A block's words, documents by lines."""
     import zstandard
 
-    return [x.split(b" ") if x else [] for x in zstandard.ZstdDecompressor().decompress(payload).split(b"\n")]
+    return zstandard.ZstdDecompressor().decompress(payload)
+
+
+def _windows(words: list[bytes], hashes: WordHashes, starts, counts, met: np.ndarray, size: int):
+    """Places of the windows of branching nodes' edges, and hashes and places among the words that such windows cover."""
+    parted = met[met & 1 == 1] >> 1
+    starts, counts = np.array(starts), np.array(counts)
+    at = _places(starts, counts, parted)
+    edge = np.bincount(starts[parted], minlength=len(words) + 1) - np.bincount(starts[parted] + counts[parted] - 1 + size, minlength=len(words) + 1)
+    cover = np.cumsum(edge)[: len(words)] > 0
+    return at, Sums(list(compress(words, cover.tolist())), hashes), (np.cumsum(cover) - 1)[at]
 
 
 def _places(starts: np.ndarray, counts: np.ndarray, edges: np.ndarray) -> np.ndarray:
@@ -161,7 +176,7 @@ def _texts(size: int):
         pack = zstandard.ZstdCompressor(level=1)
         for batch in batches:
             for payload, starts, counts, own in zip(*(batch.column(i).to_pylist() for i in range(4))):
-                words = [w for d in _open(payload) for w in d]
+                words = _open(payload).split()
                 text = [pack.compress(b" ".join(words[slice(*_between(starts, counts, x["edge"], x["length"], size))])) for x in own]
                 yield pa.RecordBatch.from_arrays([pa.array([x["head"] for x in own], pa.int64()), pa.array(text, pa.binary())], ["head", "text"])
 
@@ -175,9 +190,8 @@ def _ask(size: int):
         hashes = WordHashes()
         for batch in batches:
             for block, payload, starts, counts, met in zip(*(batch.column(i).to_pylist() for i in range(5))):
-                met = np.array(met)
-                at = _places(np.array(starts), np.array(counts), met[met & 1 == 1] >> 1)
-                one, two, _, n = Sums([w for d in _open(payload) for w in d], hashes).keys(at, size)
+                _, sums, at = _windows(_open(payload).split(), hashes, starts, counts, np.array(met), size)
+                one, two, _, n = sums.keys(at, size)
                 lists = [_row(x[m]) for m in (n == 1, n > 1) for x in (one, two)]
                 yield pa.RecordBatch.from_arrays([pa.array([block]), *lists], ["block", "ask_a", "ask_b", "tell_a", "tell_b"])
 
@@ -191,8 +205,8 @@ def _remove(size: int):
         hashes, opener = WordHashes(), zstandard.ZstdDecompressor()
         for batch in batches:
             for ids, payload, starts, counts, met, a, c, spans in zip(*(batch.column(i).to_pylist() for i in range(8))):
-                docs = _open(payload)
-                words = [w for d in docs for w in d]
+                text = _open(payload)
+                words = text.split()
                 gone = np.zeros(len(words) + 1, dtype=np.int64)
                 for x in spans or []:
                     i, j = _between(starts, counts, x["edge"], x["length"], size)
@@ -200,10 +214,9 @@ def _remove(size: int):
                         gone[i] += 1
                         gone[j] -= 1
                 met = np.array(met or [], dtype=np.int64)
-                parted = met[met & 1 == 1] >> 1
-                if len(parted):
-                    at = _places(np.array(starts), np.array(counts), parted)
-                    one, two, inverse, n = Sums(words, hashes).keys(at, size)
+                if (met & 1).any():
+                    at, sums, among = _windows(words, hashes, starts, counts, met, size)
+                    one, two, inverse, n = sums.keys(among, size)
                     found = n > 1
                     if a:
                         a, c = np.array(a), np.array(c)
@@ -214,15 +227,14 @@ def _remove(size: int):
                     at = at[found[inverse]]
                     gone[: len(words)] += np.bincount(at, minlength=len(words))[: len(words)]
                     gone -= np.bincount(at + size, minlength=len(words) + 1)
-                cut = np.cumsum(gone)[: len(words)] > 0
+                keep = np.cumsum(gone)[: len(words)] <= 0
+                left = np.concatenate([[0], np.cumsum(keep)]).tolist()
                 rows, at = [[], [], [], []], 0
-                for own in docs:
-                    n = len(own)
-                    c_ = cut[at : at + n]
-                    removed = int(c_.sum())
-                    kept = own if not removed else [w for w, g in zip(own, c_.tolist()) if not g]
-                    text = b" ".join(kept)
-                    for column, v in zip(rows, (n, removed, hashlib.sha256(text).hexdigest(), text)):
+                for own in text.split(b"\n"):
+                    n = own.count(b" ") + 1 if own else 0
+                    removed = n - left[at + n] + left[at]
+                    kept = own if not removed else b"" if removed == n else b" ".join(compress(words[at : at + n], keep[at : at + n].tolist()))
+                    for column, v in zip(rows, (n, removed, hashlib.sha256(kept).hexdigest(), kept)):
                         column.append(v)
                     at += n
                 yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(rows[0], pa.int64()), pa.array(rows[1], pa.int64()), pa.array(rows[2]), pa.array(rows[3], pa.binary()).cast(pa.string())], ["doc_id", "n_words", "n_removed", "kept_sha256", "kept_text"])
