@@ -19,8 +19,6 @@ from lamina.llm.common import Scratch
 from lamina.session import cut
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
-#: The least of these is the row that stays.
-FIRST = F.struct(F.col("doc_id").isNull().alias("_null"), F.col("doc_id").alias("_id"), F.col("_row"))
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -38,7 +36,7 @@ def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     Null texts equal empty ones.
     """
     rows = _numbered(docs)
-    kept = exact_dedup.exact_dedup(rows.withColumn("_key", FIRST), key="_key").where("kept")
+    kept = exact_dedup.exact_dedup(rows.withColumn("_key", _first()), key="_key").where("kept")
     return _stay(rows, kept.select("_key._row"))
 
 
@@ -49,7 +47,7 @@ def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """
     rows = _numbered(docs)
     found = near_dedup.near_dedup(rows, key="_row").select(F.col("doc_id").alias("_row"), "component_id")
-    first = rows.select("_row", FIRST.alias("_key")).join(found, "_row").groupBy("component_id").agg(F.min("_key").alias("_key"))
+    first = rows.select("_row", _first().alias("_key")).join(found, "_row").groupBy("component_id").agg(F.min("_key").alias("_key"))
     return _stay(rows, first.select("_key._row"))
 
 
@@ -66,6 +64,11 @@ def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return packing.pack(docs, registry.tokenizer_path())
 
 
+def _first():
+    """The least of these is the row that stays."""
+    return F.struct(F.col("doc_id").isNull().alias("_null"), F.col("doc_id").alias("_id"), F.col("_row"))
+
+
 def _numbered(docs: DataFrame) -> DataFrame:
     """Adds ``_row``, unique, as doc_ids may be null or repeated; a written table, so that every reader sees the same numbers."""
     return cut(docs.select(*COLUMNS, F.monotonically_increasing_id().alias("_row")))
