@@ -18,7 +18,7 @@ SIDE, WIDTH, KINDS, EACH, OTHER = 2, 24, 32, 32, 128
 N_IDS = KINDS * EACH  # frequent words have an id each; OTHER ids are shared by all other words, by hash
 EDGE = N_IDS  # stands beyond a document's ends
 OFFSETS = [*range(-SIDE, 0), *range(1, SIDE + 1)]
-BATCH = 8192
+BATCH = 2048  # words whose tables of logits stay in a core's cache
 PARTS, FAN = 32, 128  # parts of a table of pairs, and how many tasks' parts are added up at a time
 STEPS, RATE, PRIOR = 120, 0.08, 30.0
 START = 0.6  # the weight of each neighbour before it is fitted
@@ -111,8 +111,8 @@ class Tables:
     def slope(self, context: np.ndarray, target: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Gradient and curvature of the summed log P(kind) by a factor of each neighbour's logits."""
         g, curve = np.zeros(2 * SIDE), np.zeros((2 * SIDE, 2 * SIDE))
-        for a in range(0, len(target), BATCH):
-            c, kinds = context[:, a : a + BATCH], target[a : a + BATCH].astype(np.int64) // EACH
+        for a in range(0, len(target), BATCH // 2):
+            c, kinds = context[:, a : a + BATCH // 2], target[a : a + BATCH // 2].astype(np.int64) // EACH
             f = np.stack([self.kind[d].take(c[d], axis=0) for d in range(2 * SIDE)])
             p = np.exp(f.sum(0) + self.bias_kind)
             p /= p.sum(1, keepdims=True)
