@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exact_dedup, language_id, lm_scoring, mixing, near_dedup, packing, quality_classifier, quality_rules, substring_dedup, toxicity
+from . import exact_dedup, fill_middle, language_id, license_scan, lm_scoring, mixing, near_dedup, packing, phrases, quality_classifier, quality_rules, substring_dedup, toxicity
 from .common import documents, remainder
 
 TOKENIZER = "word_bpe_49k.json"
@@ -68,7 +68,20 @@ def op10_toxicity(spark, sf_dir):
     return out.select("doc_id", (remainder("doc_id", 5) == 0).alias("held_out"), "score", "predicted")
 
 
-QUERIES = {f.__name__: f for f in (op1_language_id, op2_substring_dedup, op3_near_dedup, op4_mixing, op5_packing, op6_exact_dedup, op7_quality_classifier, op8_lm_scoring, op9_quality_rules, op10_toxicity)}
+def op11_phrases(spark, sf_dir):
+    return phrases.collocations(documents(spark, sf_dir))
+
+
+def op12_fill_middle(spark, sf_dir):
+    rows = fill_middle.restored(fill_middle.fill_middle(documents(spark, sf_dir)))
+    return rows.select("doc_id", "n", "form", "prefix_chars", "middle_chars", F.sha2("output", 256).alias("output_sha256"), F.sha2("restored", 256).alias("restored_sha256"))
+
+
+def op13_license_scan(spark, sf_dir):
+    return license_scan.license_scan(documents(spark, sf_dir)).withColumn("n_spans", F.size("spans").cast("long")).drop("spans")
+
+
+QUERIES = {f.__name__: f for f in (op1_language_id, op2_substring_dedup, op3_near_dedup, op4_mixing, op5_packing, op6_exact_dedup, op7_quality_classifier, op8_lm_scoring, op9_quality_rules, op10_toxicity, op11_phrases, op12_fill_middle, op13_license_scan)}
 
 OP2_SQL = r"""
 WITH w AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS ws FROM documents),
@@ -90,4 +103,4 @@ SELECT doc_id, min(doc_id) OVER (PARTITION BY t) AS keep_id, count(*) OVER (PART
   row_number() OVER (PARTITION BY t ORDER BY doc_id) = 1 AS kept, sha256(t) AS text_sha256
 FROM d"""
 
-ORACLE_SQL = {"op2_substring_dedup": OP2_SQL, "op6_exact_dedup": OP6_SQL, "op9_quality_rules": quality_rules.oracle()}
+ORACLE_SQL = {"op2_substring_dedup": OP2_SQL, "op6_exact_dedup": OP6_SQL, "op9_quality_rules": quality_rules.oracle(), "op11_phrases": phrases.SQL, "op12_fill_middle": fill_middle.SQL}
