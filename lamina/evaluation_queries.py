@@ -436,6 +436,6 @@ def hybrid_icl_prompts(spark, sf_dir):
 def previews(spark, sf_dir):
     f = tasks.TaskFactory(13, SMALL, 2, 3)
     vocab = tasks.vocabulary_of(spark, f.bank)
-    return tasks.previews(tasks.token_records(f.steps(spark, "icl", 20), T.id_map(vocab)), T.name_map(vocab), "train", 5)
+    return tasks.previews(tasks.token_records(f.steps(spark, "icl", 20), T.id_map(vocab)), T.name_map(vocab), 5)
 
 

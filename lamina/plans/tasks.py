@@ -7,7 +7,6 @@ import json
 import math
 from collections.abc import Mapping
 from dataclasses import asdict, dataclass, field, fields, is_dataclass, replace
-from pathlib import PurePath
 from typing import Protocol
 
 import numpy as np
@@ -21,7 +20,6 @@ from ..functions.chance import uniform
 from ..functions.decode import decode_completion, prompt_info, sequent_text
 from ..operators.augment import DISTRIBUTIONS, resolved_beta
 from ..operators.unify import bounded
-from ..session import cut
 from .banks import POOLS, Bank, BankSpec, build, build_hybrid
 from .generate import STEP, problems, with_completions
 
@@ -166,43 +164,14 @@ def options_from_args(argv: list[str]) -> tuple[Options, BankSpec]:
     return Options(**{f.name: a[f.name] for f in fields(Options)}), BankSpec(**{k: a[k] for k in spec})
 
 
-_NOTHING = object()
-
-
-def plain(value):
-    """A value as JSON holds it: numbers that are not finite as text, paths as text, data classes and sets by their parts;
-    functions and whatever else go."""
-    if value is None or isinstance(value, (bool, int, str)):
-        return value
-    if isinstance(value, float):
-        return value if math.isfinite(value) else str(value)
-    if isinstance(value, PurePath):
-        return str(value)
-    if is_dataclass(value) and not isinstance(value, type):
-        return plain(asdict(value))
-    if isinstance(value, Mapping):
-        return {str(k): v for k, v in ((k, plain(v)) for k, v in value.items()) if v is not _NOTHING}
-    if isinstance(value, (list, tuple, set, frozenset)):
-        return [v for v in map(plain, value) if v is not _NOTHING]
-    if isinstance(value, np.generic):
-        return plain(value.item())
-    return _NOTHING
-
-
 def run_config(run_id: int | str, experiment: str, **parts) -> str:
-    """What a run was told, as JSON: its id, its experiment and named parts that are not None."""
-    return json.dumps(plain({"run_id": run_id, "experiment": experiment} | {k: v for k, v in parts.items() if v is not None}))
-
+    """What a run was told, as JSON: its id, its experiment and named parts that are not None.
 
-def flat(prefix: str, metrics: Mapping | None) -> dict:
-    """Nested metrics to ``prefix/key/...``; what is no plain value goes."""
-    out = {}
-    for k, v in (metrics or {}).items():
-        if isinstance(v, Mapping):
-            out |= flat(f"{prefix}/{k}", v)
-        elif (x := plain(v)) is not _NOTHING and not isinstance(x, (list, dict)) and x is not None:
-            out[f"{prefix}/{k}"] = x
-    return out
+    Data classes are written by their fields; numbers that JSON lacks, and whatever else it lacks, as text.
+    """
+    told = {"run_id": run_id, "experiment": experiment, **{k: v for k, v in parts.items() if v is not None}}
+    text = json.dumps(told, default=lambda v: asdict(v) if is_dataclass(v) else str(v))
+    return json.dumps(json.loads(text, parse_constant=str))
 
 
 # --- records
@@ -237,15 +206,14 @@ def vocabulary_of(spark: SparkSession, *banks: Bank, sentinel_length: int | None
     return T.collected(T.vocabulary(T.bank_names(names, constants, max(b.spec.variables for b in banks))))
 
 
-def previews(records: DataFrame, names: Column, role: str, n: int = 3) -> DataFrame:
-    """Texts of the first ``n`` records (problem_id, distance, prompt, completion) for people to read: a report of n rows."""
-    r = records.orderBy("problem_id").limit(n).withColumn("_p", prompt_info(F.col("prompt"), names)).withColumn("_d", decode_completion(F.col("completion"), names)).withColumn("_s", T.segments(F.col("prompt")))
-    demo = lambda x: decode_completion(F.concat(x, F.array(F.lit(T.EOT))), names)["texts"][0]
-    r = cut(r.withColumn("_demos", F.transform(F.slice("_s", F.lit(1), F.size("_s") - 1), lambda x: demo(x))))
-    line = lambda name, c: F.transform(c, lambda t, i: F.concat(F.lit(f"  {name}["), i.cast("string"), F.lit("]: "), t))
-    head = F.format_string(f"[{role}] distance=%d src_layer=%d prompt_len=%d completion_len=%d n_steps=%d n_demos=%d", "distance", "_p.src_layer", F.size("prompt"), F.size("completion"), F.size("_d.texts"), F.size("_demos"))
-    sequent = F.concat(F.lit("  sequent: "), sequent_text(F.col("_p.ants"), F.col("_p.cons")))
-    return r.select("problem_id", F.array_join(F.concat(F.array(head, sequent), line("completion", F.col("_d.texts")), line("demo", F.col("_demos"))), "\n").alias("preview"))
+def previews(records: DataFrame, names: Column, n: int = 3) -> DataFrame:
+    """The first ``n`` records (problem_id, distance, prompt, completion) as columns for people to read: the sequent, the
+    completion's and the demonstrations' statements, and the layer that the prompt starts from. A report of n rows."""
+    r = records.orderBy("problem_id").limit(n).withColumn("_p", prompt_info(F.col("prompt"), names)).withColumn("_s", T.segments(F.col("prompt")))
+    told = lambda x: decode_completion(F.concat(x, F.array(F.lit(T.EOT))), names)["texts"][0]
+    demos = F.transform(F.slice("_s", F.lit(1), F.size("_s") - 1), lambda x: told(x))
+    texts = decode_completion(F.col("completion"), names)["texts"]
+    return r.select("problem_id", "distance", F.col("_p.src_layer").alias("src_layer"), sequent_text(F.col("_p.ants"), F.col("_p.cons")).alias("sequent"), texts.alias("statements"), demos.alias("demos"), F.size("prompt").alias("n_prompt"), F.size("completion").alias("n_completion"))
 
 
 def rollout_examples(steps: DataFrame, most_steps: int | None = None) -> DataFrame:

@@ -620,4 +620,4 @@ def rule_membership(spark, sf_dir):
     return metrics.rule_membership(o, sets).select(F.round("membership", 6).alias("membership"))
 
 
-from . import evaluation_queries  # noqa: E402, F401  registers its queries
+from . import evaluation_queries, table_queries  # noqa: E402, F401  they register theirs
