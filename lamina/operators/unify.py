@@ -7,9 +7,10 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions.atoms import RULE_TYPE, is_variable, parse_rule, subset, substitute, variables
+from ..session import cut
+from .bodies import PLAN, Bodies, plan, used_by, values
 
 MOST_RULES = 100_000  # a bank is configuration; larger ones are joined without broadcast
-_counted: dict[int, bool] = {}  # by a plan's semantic hash
 
 
 def bank(spark: SparkSession, texts: list[str], layers: list[int] | None = None) -> DataFrame:
@@ -23,11 +24,8 @@ def bank(spark: SparkSession, texts: list[str], layers: list[int] | None = None)
 
 
 def small(rules: DataFrame) -> bool:
-    """Whether a bank has at most ``MOST_RULES`` rules; counted once for each plan, at most one row beyond the limit."""
-    key = rules.semanticHash()
-    if key not in _counted:
-        _counted[key] = rules.limit(MOST_RULES + 1).count() <= MOST_RULES
-    return _counted[key]
+    """Whether a bank has at most ``MOST_RULES`` rules; counts at most one row beyond the limit."""
+    return rules.limit(MOST_RULES + 1).count() <= MOST_RULES
 
 
 def bounded(rules: DataFrame) -> DataFrame:
@@ -58,42 +56,83 @@ def _match(args, terms):
     return F.filter(bound, lambda p, i: F.array_position(names, p["v"]) == i + 1), ok  # one pair a variable, also where they disagree
 
 
-def substitutions(facts: DataFrame, rules: DataFrame, most_lhs: int, cap: int | None = 128, once: bool = False) -> DataFrame:
-    """qid, rule_id, binding, used for each way in which a rule's left side holds in a query's facts.
+def _plans(rules: DataFrame, most_lhs: int) -> tuple[DataFrame, dict, bool]:
+    """rule_id and the rules' plans, what of them is in use, and whether they are few enough for broadcast.
 
-    ``facts`` (qid, fact_idx, predicate, args) meet the first atom of every rule by predicate and arity, and
-    then one more atom at a time within their query. Facts may serve several atoms unless ``once``. Beyond
-    ``cap`` solutions of a query and rule, those last in the order of fact positions are left out.
+    Few rules are planned on the driver, which holds the bank for broadcast anyway; more are by tasks.
     """
-    atoms = rules.select("rule_id", F.size("lhs").alias("k"), F.posexplode("lhs").alias("pos", "atom")).select("rule_id", "k", "pos", F.col("atom.predicate").alias("p"), F.size("atom.args").alias("arity"), *_shape(F.col("atom.args")))
-    few = small(rules)
+    spark, own = rules.sparkSession, rules.select("rule_id", "lhs").where(F.size("lhs").between(1, most_lhs))
+    kind = f"rule_id {rules.schema['rule_id'].dataType.simpleString()}, {PLAN}"
+    head = own.limit(MOST_RULES + 1).collect()
+    if len(head) <= MOST_RULES:
+        rows = [(r["rule_id"], *plan(r["lhs"])) for r in head]
+        return F.broadcast(spark.createDataFrame(rows, kind)), used_by([r[3] for r in rows]), True
+    made = F.udf(lambda lhs: plan(lhs), f"struct<{PLAN.replace(' ', ':', 1).replace(', twins ', ',twins:').replace(', stages ', ',stages:')}>", useArrow=True)
+    plans = cut(own.select("rule_id", made("lhs").alias("p")).select("rule_id", "p.*"))
+    return plans, used_by([r["stages"] for r in plans.select("stages").distinct().collect()]), False
+
+
+def relation(facts: DataFrame, atoms: DataFrame, keys: list[str], given: DataFrame | None) -> DataFrame:
+    """``keys``, fact_idx, b: facts that agree with an atom's terms, and, where ``given``, with the values asked for."""
+    met = facts.join(atoms, ["p", "arity"]).where(_agrees(F.col("args"))).withColumn("b", F.map_from_arrays("vars", F.transform("at", lambda i: F.element_at("args", i))))
+    if given is not None:
+        met = met.join(given, ["qid", "rule_id"]).where(F.forall(F.map_entries(F.col("need")), lambda e: F.coalesce(F.try_element_at(F.col("b"), e["key"]) == e["value"], F.lit(True))))
+    return met.select(*keys, "fact_idx", "b")
+
+
+def _prepared(facts: DataFrame, rules: DataFrame, most_lhs: int, given: DataFrame | None) -> Bodies:
+    plans, used, few = _plans(rules, most_lhs)
+    keys = ["qid", "rule_id"] + (["gid"] if given is not None else [])
+    atoms = rules.where(F.size("lhs").between(1, most_lhs)).select("rule_id", F.posexplode("lhs").alias("pos", "atom")).select("rule_id", "pos", F.col("atom.predicate").alias("p"), F.size("atom.args").alias("arity"), *_shape(F.col("atom.args")))
     facts = facts.select("qid", "fact_idx", F.col("predicate").alias("p"), F.size("args").alias("arity"), "args")
-    state, done = None, []
-    for pos in range(most_lhs):
+    rel = []
+    for pos in range(max(used["steps"], default=-1) + 2):
         own = atoms.where(F.col("pos") == pos).drop("pos")
-        own = F.broadcast(own) if few else own
-        value = F.transform("at", lambda i: F.element_at("args", i))
-        if state is None:
-            met = facts.join(own, ["p", "arity"]).where(_agrees(F.col("args")))
-            state = met.select("qid", "rule_id", "k", F.map_from_arrays("vars", value).alias("binding"), F.array("fact_idx").alias("used"))
-        else:
-            met = state.join(own.drop("k"), "rule_id").join(facts, ["qid", "p", "arity"]).where(_agrees(F.col("args")))
-            held = F.transform("vars", lambda v, i: F.coalesce(F.try_element_at("binding", v) == F.element_at("args", F.element_at("at", i + 1)), F.lit(True)))
-            fits = F.forall(held, lambda x: x)
+        r = relation(facts, F.broadcast(own) if few else own, keys, given)
+        rel.append(cut(r) if len(used["steps"]) > 1 else r)
+    return Bodies(rel, plans, keys, used)
+
+
+def substitutions(facts: DataFrame, rules: DataFrame, most_lhs: int, cap: int | None = 128, once: bool = False, given: DataFrame | None = None) -> DataFrame:
+    """qid, rule_id, binding, used for each way in which a rule's left side holds in a query's facts.
+
+    ``facts`` (qid, fact_idx, predicate, args) meet the atoms of every rule by predicate and arity; then one more atom at a
+    time joins within query and rule by the variables it shares. Facts may serve several atoms unless ``once``.
+    Beyond ``cap`` solutions of a query and rule, those last in the order of fact positions are left out: after each
+    atom only the first ``cap`` choices stay that lead to a solution, so no more are ever joined than ``cap`` times
+    an atom's facts. (With ``once``, rules with two atoms of one predicate and arity are cut at the end alone.)
+    Uncapped bodies with a cycle bind its variables first, by the atom with the fewest values.
+    ``given`` (qid, rule_id, gid, need: variable to value) restricts queries to these rules and values; gid tells
+    several needs of a query and rule apart. Bodies of no atom or more than ``most_lhs`` match nothing.
+    """
+    b = _prepared(facts, rules, most_lhs, given)
+    state = b.rel[0].join(b.plans.select("rule_id", "k", "twins"), "rule_id").select(*b.keys, "k", "twins", F.col("b").alias("binding"), F.array("fact_idx").alias("used"))
+    done = []
+    for i in range(len(b.rel)):
+        if cap is not None:
+            state = b.open_prefixes(state, i) if b.used["steps"].get(i) or b.used["core"].get(i) else state
+            n = F.row_number().over(Window.partitionBy(*b.keys).orderBy("used"))
             if once:
-                fits &= ~F.array_contains("used", F.col("fact_idx"))
-            fresh = F.map_filter(F.map_from_arrays("vars", value), lambda v, c: ~F.map_contains_key(F.col("binding"), v))
-            state = met.where(fits).select("qid", "rule_id", "k", F.map_concat("binding", fresh).alias("binding"), F.concat("used", F.array("fact_idx")).alias("used"))
-        done.append(state.where(F.col("k") == pos + 1))
-        state = state.where(F.col("k") > pos + 1)
+                n = F.when(F.col("twins") & (F.col("k") > i + 1), 0).otherwise(n)
+            state = state.withColumn("_n", n).where(F.col("_n") <= cap).drop("_n")
+        elif i == 0:
+            state = b.closed_cycles(state, 0)
+        done.append(state.where(F.col("k") == i + 1))
+        if i + 1 == len(b.rel):
+            break
+        names = F.get("stages", F.lit(i))["full" if cap is None else "join"].alias("_names")
+        by = b.plans.select("rule_id", names)
+        nxt = b.rel[i + 1].join(by, "rule_id").select(*b.keys, "fact_idx", "b", values(F.col("b"), F.col("_names")).alias("_key"))
+        state = state.where(F.col("k") > i + 1).join(by, "rule_id").withColumn("_key", values(F.col("binding"), F.col("_names")))
+        met = state.drop("_names").join(nxt, [*b.keys, "_key"])
+        if once:
+            met = met.where(~F.array_contains("used", F.col("fact_idx")))
+        fresh = F.map_filter("b", lambda v, _: ~F.map_contains_key(F.col("binding"), v))
+        state = met.select(*b.keys, "k", "twins", F.map_concat("binding", fresh).alias("binding"), F.concat("used", F.array("fact_idx")).alias("used"))
     out = done[0]
     for d in done[1:]:
         out = out.unionByName(d)
-    out = out.drop("k")
-    if cap is not None:
-        order = Window.partitionBy("qid", "rule_id").orderBy("used")
-        out = out.withColumn("_n", F.row_number().over(order)).where(F.col("_n") <= cap).drop("_n")
-    return out
+    return out.drop("k", "twins")
 
 
 def supported(matches: DataFrame, rules: DataFrame) -> DataFrame:
@@ -102,9 +141,17 @@ def supported(matches: DataFrame, rules: DataFrame) -> DataFrame:
     return matches.join(rhs, "rule_id").where(subset(variables(F.col("rhs")), F.map_keys("binding")))
 
 
-def applicable(facts: DataFrame, rules: DataFrame, most_lhs: int) -> DataFrame:
-    """qid, rule_id of rules that apply: a semi-join, so no number of solutions matters."""
-    return supported(substitutions(facts, rules, most_lhs, cap=None), rules).select("qid", "rule_id").distinct()
+def applicable(facts: DataFrame, rules: DataFrame, most_lhs: int, given: DataFrame | None = None) -> DataFrame:
+    """qid, rule_id of rules that apply: their first atoms' facts, held against all other atoms. No solution is ever built.
+
+    Variables of the right side must be on the left side too.
+    """
+    b = _prepared(facts, rules, most_lhs, given)
+    bound = rules.where(subset(variables(F.col("rhs")), variables(F.col("lhs")))).select("rule_id")
+    state = b.rel[0].select(*b.keys, F.col("b").alias("binding")).join(bounded(bound), "rule_id")
+    if b.used["steps"].get(0) or b.used["core"].get(0):
+        state = b.open_prefixes(state, 0)
+    return state.select("qid", "rule_id").distinct()
 
 
 def fire(matches: DataFrame, rules: DataFrame) -> DataFrame:

@@ -4,8 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from .operators import nested
-from .queries import query, table
+from .operators import nested, unify
+from .queries import atom, query, table
 
 NESTED_SQL = """WITH e AS (SELECT event_id, event_type, value, user_id, CAST(props->>'$.k' AS DOUBLE) AS k FROM events),
 r AS (SELECT event_id, 'log/event/' || event_type || '/value' AS metric, value, CAST(NULL AS VARCHAR) AS text FROM e WHERE value IS NOT NULL
@@ -26,3 +26,18 @@ def nested_metrics(spark, sf_dir):
     kind = F.when(F.col("event_id") % 2 == 0, F.concat(F.lit(',"kind":"'), "event_type", F.lit('"'))).otherwise(F.lit(',"kind":null'))
     text = F.concat(F.lit('{"event":{"'), "event_type", F.lit('":{"value":'), number("value"), F.lit(","), inner, F.lit('}},"user":{"id":'), number("user_id"), F.lit(',"even":'), even, F.lit('},"all":[1,{"x":2}]'), kind, F.lit("}"))
     return nested.metric_rows(e.select("event_id", F.parse_json(text).alias("m")), ["event_id"], "m", "log")
+
+
+# --- matching
+
+
+@query("""WITH l AS (SELECT DISTINCT l_linestatus AS qid, l_orderkey AS o, l_partkey AS p, l_suppkey AS s FROM lineitem),
+a AS (SELECT DISTINCT qid, o, p FROM l), b AS (SELECT DISTINCT qid, p, s FROM l), c AS (SELECT DISTINCT qid, s, o FROM l)
+SELECT a.qid, CAST(a.o AS VARCHAR) AS x1, CAST(a.p AS VARCHAR) AS x2, CAST(b.s AS VARCHAR) AS x3 FROM a JOIN b ON a.qid = b.qid AND a.p = b.p JOIN c ON c.qid = a.qid AND c.o = a.o AND c.s = b.s""")
+def unify_triangle(spark, sf_dir):
+    """Orders, their parts and those of their suppliers that supply such a part to anyone: a cycle of three atoms in two large queries."""
+    li = table(spark, sf_dir, "lineitem").select(F.col("l_linestatus").alias("qid"), "l_orderkey", "l_partkey", "l_suppkey")
+    each = F.explode(F.array(atom("r0_1", "l_orderkey", "l_partkey"), atom("r0_2", "l_partkey", "l_suppkey"), atom("r0_3", "l_suppkey", "l_orderkey"))).alias("a")
+    facts = li.select("qid", each).select("qid", "a.*").distinct().withColumn("fact_idx", F.xxhash64("predicate", "args"))
+    m = unify.substitutions(facts, unify.bank(spark, ["r0_1(x1,x2) ∧ r0_2(x2,x3) ∧ r0_3(x3,x1) → r1_1(x1,x2,x3)"]), 3, cap=None)
+    return m.select("qid", *[F.element_at("binding", v).alias(v) for v in ("x1", "x2", "x3")])
