@@ -8,6 +8,7 @@ from pyspark.sql.window import Window
 
 from ..functions.atoms import predicates, subset
 from ..functions.chance import uniform
+from .goals import interned
 from .unify import bounded, facts_of, fire, small, substitutions
 
 
@@ -37,15 +38,19 @@ def goal_reachable(rules: DataFrame, goal: str, n_layers: int, last_only: bool =
 def exact_steps(facts: DataFrame, rules: DataFrame, steps: int, most_lhs: int) -> DataFrame:
     """qid, atoms: every state after exactly ``steps`` steps, a step replacing the facts by one rule's right side.
 
-    ``facts`` are of layer 0. Equal states meet once a round.
+    ``facts`` are of layer 0. Equal states of a query meet once a round, by content. Without a goal all states are asked
+    for; ``goals.reaches_goal`` is the search for one.
     """
-    facts = facts.withColumn("qid", F.struct("qid", F.lit(0).cast("bigint").alias("state")))
+    if steps == 0:
+        return facts.groupBy("qid").agg(F.array_sort(F.collect_set(F.struct("predicate", "args"))).alias("atoms"))
+    facts, names = facts.withColumnRenamed("qid", "sid"), None
     for k in range(steps):
         own = rules.where(F.col("src_layer") == k)
-        fired = fire(substitutions(facts, own, most_lhs, cap=None), own).select(F.col("qid.qid").alias("qid"), F.col("rhs").alias("atoms")).distinct()
-        state = fired.select(F.struct("qid", F.xxhash64("atoms").alias("state")).alias("qid"), "atoms")  # a query's states stay apart
-        facts = facts_of(state)
-    return state.select("qid.qid", "atoms")
+        fired = fire(substitutions(facts.withColumnRenamed("sid", "qid"), own, most_lhs, cap=None), own).select(F.col("qid").alias("sid"), F.col("rhs").alias("atoms"))
+        fired = fired.withColumnRenamed("sid", "qid") if names is None else fired.join(names, "sid").drop("sid")
+        state = interned(fired.select("qid", "atoms"))
+        names, facts = state.select("sid", "qid"), facts_of(state.select(F.col("sid").alias("qid"), "atoms")).withColumnRenamed("qid", "sid")
+    return state.select("qid", "atoms")
 
 
 def sample_chain(facts: DataFrame, rules: DataFrame, distance: int, most_lhs: int, seed: str) -> DataFrame:

@@ -9,9 +9,10 @@ from pyspark.sql import functions as F
 from ..functions.atoms import RULE_TYPE, clause_text, conjunction_text, let, parse_clause
 from ..functions.decode import decode_completion, prompt_info
 from ..session import cut
+from .goals import reaches_goal  # noqa: F401  a score like the others
 from .metrics import rate
 from .schema_match import isomorphic, signature
-from .unify import bounded, facts_of, fire, substitutions
+from .unify import bounded
 
 #: Candidate rules are tried in this order.
 SOURCES = ("active", "fixed", "demo")
@@ -181,27 +182,6 @@ def completions_valid(rows: DataFrame, names: Column, bank: DataFrame, form: str
     return match_rules(asked.withColumn("expected", F.lit(None).cast("string")), bank, contexts).select("key", "valid")
 
 
-def reaches_goal(states: DataFrame, bank: DataFrame, most_steps: int, most_lhs: int) -> DataFrame:
-    """qid, reaches from states (qid, atoms, goal, steps): whether the goal holds after exactly so many more steps.
-
-    Each step replaces the atoms by the right side of any rule that applies; equal states of a query meet once a
-    round. Fewer than no steps reach nothing; more than ``most_steps`` are an error.
-    """
-    over = F.when(F.col("steps") > most_steps, F.raise_error(F.lit("more steps than most_steps")).cast("int")).otherwise(F.col("steps"))
-    asked = cut(states.select("qid", "goal", over.alias("steps"), F.array_sort("atoms").alias("atoms")))
-    open_, won = asked, None
-    for k in range(most_steps + 1):
-        here = open_.where((F.col("steps") == k) & F.array_contains("atoms", F.col("goal"))).select("qid")
-        won = here if won is None else won.unionByName(here)
-        if k == most_steps:
-            break
-        go = open_.where(F.col("steps") > k).withColumn("state", F.struct("qid", F.xxhash64("atoms").alias("h")))
-        fired = fire(substitutions(facts_of(go.select(F.col("state").alias("qid"), "atoms")), bank, most_lhs, cap=None), bank)
-        new = fired.select(F.col("qid.qid").alias("qid"), F.col("rhs").alias("atoms")).distinct()
-        open_ = cut(new.join(asked.select("qid", "goal", "steps"), "qid"))
-    return asked.select("qid").distinct().join(won.distinct().withColumn("_w", F.lit(True)), "qid", "left").select("qid", F.coalesce("_w", F.lit(False)).alias("reaches"))
-
-
 def first_transitions(rows: DataFrame) -> DataFrame:
     """Rows (src_layer) of the first transition."""
     return rows.where("src_layer = 0")
