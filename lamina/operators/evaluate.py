@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -11,8 +10,8 @@ from ..functions.decode import decode_completion, prompt_info
 from ..session import cut
 from .goals import reaches_goal  # noqa: F401  a score like the others
 from .metrics import rate
-from .schema_match import isomorphic, signature
-from .unify import bounded
+from .schema_match import alike_by, keyed_templates, signature
+from .unify import _match, bounded, substitutions
 
 #: Candidate rules are tried in this order.
 SOURCES = ("active", "fixed", "demo")
@@ -26,89 +25,94 @@ def rules_of_texts(texts: Column) -> Column:
     return F.transform(good, lambda p: F.struct(p["pos"].alias("pos"), p["c"]["lhs"].alias("lhs"), p["c"]["rhs"].alias("rhs")))
 
 
-def candidates(answers: DataFrame, bank: DataFrame, contexts: DataFrame | None = None) -> DataFrame:
-    """key, prio, pos, lhs, rhs: the rules an answer (key, src_layer) may be an instance of, by source.
-
-    The bank's rules of the answer's layer are active, unless the answer's context (key and the arrays
-    ``TEXTS``) brings active rules of its own, be they none. A context's fixed and demonstrated rules
-    come after. At most one context a key: a second is an error. Bank rules have their rule_id for pos.
-    """
-    rules = bounded(bank).select("src_layer", F.lit(0).alias("prio"), F.col("rule_id").alias("pos"), "lhs", "rhs")
+def _sources(answers: DataFrame, contexts: DataFrame | None) -> tuple[DataFrame, DataFrame | None]:
+    """Answers with ``_bank`` (the bank's rules are their active ones) and the contexts' rules: key, prio, pos, t."""
     if contexts is None:
-        return answers.select("key", "src_layer").join(rules, "src_layer").drop("src_layer")
+        return answers.withColumn("_bank", F.lit(True)), None
     one = contexts.groupBy("key").agg(F.count(F.lit(1)).alias("_n"), *(F.first(c).alias(c) for c in TEXTS.values()))
     one = one.withColumn("_n", F.when(F.col("_n") > 1, F.raise_error(F.lit("one context for each example")).cast("long")).otherwise(F.col("_n")))
-    both = answers.select("key", "src_layer").join(one.where("_n >= 0"), "key", "left")
-    out = both.where(F.col(TEXTS["active"]).isNull()).select("key", "src_layer").join(rules, "src_layer").drop("src_layer")
-    for prio, source in enumerate(SOURCES):
-        own = both.select("key", F.explode(rules_of_texts(F.col(TEXTS[source]))).alias("r"))
-        out = out.unionByName(own.select("key", F.lit(prio).alias("prio"), "r.pos", "r.lhs", "r.rhs"))
-    return out
+    both = cut(answers.join(one.where("_n >= 0"), "key", "left"))
+    each = F.array(*(F.transform(rules_of_texts(F.col(TEXTS[source])), lambda r: F.struct(F.lit(prio).alias("prio"), r["pos"].alias("pos"), F.struct(r["lhs"].alias("lhs"), r["rhs"].alias("rhs")).cast(RULE_TYPE).alias("t"))) for prio, source in enumerate(SOURCES)))  # noqa: B023
+    own = both.select("key", F.explode(F.flatten(F.filter(each, lambda x: x.isNotNull()))).alias("r")).select("key", "r.*")
+    return both.select(*answers.columns, F.col(TEXTS["active"]).isNull().alias("_bank")), own
+
 
+def _names(rule: Column) -> Column:
+    """Equal for a rule and its instances: the predicates of either side with their arities, sorted."""
+    side = lambda s: F.array_join(F.array_sort(_kinds(s)), " ")
+    return F.concat_ws("|", side(rule["lhs"]), side(rule["rhs"]))
 
-def binding_of(template: dict, ground: dict) -> dict | None:
-    """Values of the template's variables that make it the ground rule, each ground atom used once; else None."""
-    todo = [(a, k) for k in ("lhs", "rhs") for a in template[k]]
 
-    def go(at: int, binding: dict, left: dict) -> dict | None:
-        if at == len(todo):
-            return binding
-        atom, side = todo[at]
-        for i, other in enumerate(left[side]):
-            if other["predicate"] != atom["predicate"] or len(other["args"]) != len(atom["args"]):
-                continue
-            b = dict(binding)
-            if all((b.setdefault(v, c) if v.startswith("x") else v) == c for v, c in zip(atom["args"], other["args"])):
-                if (found := go(at + 1, b, left | {side: left[side][:i] + left[side][i + 1 :]})) is not None:
-                    return found
-        return None
+def _kinds(atoms: Column) -> Column:
+    return F.transform(atoms, lambda a: F.concat(a["predicate"], F.lit("/"), F.size(a["args"]).cast("string")))
 
-    if any(len(template[k]) != len(ground[k]) for k in ("lhs", "rhs")):
-        return None
-    return go(0, {}, ground)
 
+def _twins(rule: Column) -> Column:
+    """Whether a side has two atoms of one predicate and arity, so that more than one order of atoms may match."""
+    twice = lambda s: F.size(F.array_distinct(_kinds(s))) < F.size(s)
+    return twice(rule["lhs"]) | twice(rule["rhs"])
 
-def _over_pairs(test):
-    @F.pandas_udf("boolean")
-    def run(t: pd.DataFrame, g: pd.DataFrame) -> pd.Series:
-        plain = lambda s: [{"predicate": a["predicate"], "args": list(a["args"])} for a in s]
-        rows = zip(t["lhs"], t["rhs"], g["lhs"], g["rhs"])
-        return pd.Series([bool(test({"lhs": plain(a), "rhs": plain(b)}, {"lhs": plain(c), "rhs": plain(d)})) for a, b, c, d in rows], dtype=bool)
 
-    return run
+def _terms(rule: Column) -> Column:
+    """All terms of a rule, its atoms in the order of predicate and arity."""
+    placed = lambda s: F.array_sort(F.transform(s, lambda a: F.struct(a["predicate"].alias("p"), F.size(a["args"]).alias("n"), a["args"].alias("args"))))
+    return F.concat(*(F.flatten(F.transform(placed(rule[side]), lambda a: a["args"])) for side in ("lhs", "rhs")))
 
 
-def _names(lhs: Column, rhs: Column) -> Column:
-    """Equal for a rule and its instances: the predicates of either side, sorted."""
-    side = lambda s: F.array_join(F.array_sort(F.transform(s, lambda a: F.concat(a["predicate"], F.lit("/"), F.size(a["args"]).cast("string")))), " ")
-    return F.concat_ws("|", side(lhs), side(rhs))
+def instances(pairs: DataFrame) -> DataFrame:
+    """Those of pairs (key, prio, pos, t, g, of equal names) where g is t with values for its variables, each atom used once.
+
+    Where predicates differ within a side, sorted atoms stand opposite one another and terms are compared in place.
+    Other pairs are matched as bodies are: g's atoms are facts that serve one atom of t each.
+    """
+    plain = pairs.where(~_twins(F.col("t")) & _match(_terms(F.col("g")), _terms(F.col("t")))[1]).select("key", "prio", "pos")
+    hard = pairs.where(_twins(F.col("t")))
+    if hard.isEmpty():
+        return plain
+    hard = cut(hard)
+    tag = lambda r: F.concat(*(F.transform(r[side], lambda a: F.struct(F.concat(F.lit(side), a["predicate"]).alias("predicate"), a["args"].alias("args"))) for side in ("lhs", "rhs")))  # noqa: E731, B023
+    rules = cut(hard.select("t").distinct().withColumn("rule_id", F.monotonically_increasing_id()))
+    given = hard.join(rules, "t").select(F.col("key").alias("qid"), "rule_id", "prio", "pos")
+    facts = hard.select("key", "g").distinct().select(F.col("key").alias("qid"), F.posexplode(tag(F.col("g"))).alias("fact_idx", "a")).select("qid", "fact_idx", "a.predicate", "a.args")
+    most = hard.agg(F.max(F.size("t.lhs") + F.size("t.rhs"))).first()[0]
+    found = substitutions(facts, rules.select("rule_id", tag(F.col("t")).alias("lhs")), most, cap=1, once=True, given=given.select("qid", "rule_id").distinct().select("*", F.lit(0).alias("gid"), F.create_map().cast("map<string,string>").alias("need")))
+    return plain.unionByName(given.join(found.select("qid", "rule_id"), ["qid", "rule_id"]).select(F.col("qid").alias("key"), "prio", "pos"))
 
 
 def match_rules(answers: DataFrame, bank: DataFrame, contexts: DataFrame | None = None) -> DataFrame:
     """One row for each answer: key, src_layer, statement, pos, match_source, decode_error, unknown, wrong, valid, correct.
 
     ``answers`` has a unique key, src_layer, statement (text, null if it could not be decoded) and expected (text or
-    null). An answer that is no clause is a decode error. One that is an instance of a candidate is valid, by the first
-    source and rule it is an instance of, and wrong if another statement was expected. Else it is wrong if only the
-    predicates' names differ from some candidate's, and unknown if not even that. Pairs are made by equal predicates,
-    or by equal shapes for what is left, so an answer meets few of its candidates.
+    null). The bank's rules of an answer's layer are active, with their rule_id for pos, unless the answer's context
+    (key and the arrays ``TEXTS``) brings active rules of its own, be they none; a context's fixed and demonstrated rules
+    come after. At most one context a key: a second is an error. An answer that is no clause is a decode error. One that is
+    an instance of a candidate is valid, by the first source and rule it is an instance of, and wrong if another statement
+    was expected. Else it is wrong if only the predicates' names differ from some candidate's, and unknown if not even
+    that. Rules and answers meet by equal predicates, and what is left by equal structures: both are equi-joins.
     """
     said = cut(answers.withColumn("c", parse_clause(F.col("statement"))))
     ground = said.where("c is not null").select("key", "src_layer", F.struct("c.lhs", "c.rhs").cast(RULE_TYPE).alias("g"))
-    rules = candidates(ground, bank, contexts).select("key", "prio", "pos", F.struct("lhs", "rhs").cast(RULE_TYPE).alias("t"))
-    named = lambda d, c: d.withColumn("_s", _names(F.col(f"{c}.lhs"), F.col(f"{c}.rhs")))
-    exact = named(ground, "g").join(named(rules, "t"), ["key", "_s"]).where(_over_pairs(lambda t, g: binding_of(t, g) is not None)("t", "g"))
-    exact = cut(exact.groupBy("key").agg(F.min(F.struct("prio", "pos")).alias("m")))
-    shaped = lambda d, c: d.withColumn("_s", signature(F.col(f"{c}.lhs"), F.col(f"{c}.rhs")))
-    left = shaped(ground.join(exact, "key", "left_anti"), "g")
-    like = left.join(shaped(rules, "t"), ["key", "_s"]).where(_over_pairs(isomorphic)("t", "g")).select("key").distinct().withColumn("alike", F.lit(True))
-    j = said.join(exact, "key", "left").join(like, "key", "left")
+    ground, own = _sources(ground.withColumn("_s", _names(F.col("g"))), contexts)
+    rules = bank.select("src_layer", F.lit(0).alias("prio"), F.col("rule_id").alias("pos"), F.struct("lhs", "rhs").cast(RULE_TYPE).alias("t"))
+    pairs = ground.where("_bank").join(bounded(rules.withColumn("_s", _names(F.col("t")))), ["src_layer", "_s"]).select("key", "prio", "pos", "t", "g")
+    if own is not None:
+        pairs = pairs.unionByName(ground.join(own.withColumn("_s", _names(F.col("t"))), ["key", "_s"]).select("key", "prio", "pos", "t", "g"))
+    exact = cut(instances(pairs).groupBy("key").agg(F.min(F.struct("prio", "pos")).alias("m")))
+    left = ground.join(exact, "key", "left_anti").withColumn("_sig", signature(F.col("g.lhs"), F.col("g.rhs"))).drop("_s")
+    shapes = keyed_templates(rules.select("src_layer", "t.lhs", "t.rhs")).select("src_layer", "_key", "_named", signature(F.col("lhs"), F.col("rhs")).alias("_sig")).distinct()
+    alike = alike_by(left.where("_bank"), shapes, ["src_layer"], bounded)
+    if own is not None:
+        asked = own.join(left.select("key"), "key", "left_semi")
+        texts = keyed_templates(asked.select("t").distinct().select("t", "t.lhs", "t.rhs"))  # each once, however many contexts it is in
+        by_key = asked.select("key", "t").join(texts.select("t", "_key", "_named", signature(F.col("lhs"), F.col("rhs")).alias("_sig")), "t").drop("t").distinct()
+        alike = alike.unionByName(alike_by(left, by_key, ["key"], lambda d: d)).distinct()
+    j = said.join(exact, "key", "left").join(alike.withColumn("alike", F.lit(True)), "key", "left")
     failed, valid = F.col("c").isNull(), F.col("m").isNotNull()
     text = F.when(~failed, clause_text(F.col("c.lhs"), F.col("c.rhs")))
     other = valid & F.col("expected").isNotNull() & (text != F.col("expected"))
-    alike = F.coalesce("alike", F.lit(False))
+    alike_ = F.coalesce("alike", F.lit(False))
     source = F.element_at(F.array(*map(F.lit, SOURCES)), F.col("m.prio") + 1)
-    return j.select("key", "src_layer", text.alias("statement"), F.col("m.pos").alias("pos"), F.when(valid, source).alias("match_source"), failed.alias("decode_error"), (~failed & ~valid & ~alike).alias("unknown"), ((~failed & ~valid & alike) | F.coalesce(other, F.lit(False))).alias("wrong"), valid.alias("valid"), (valid & ~F.coalesce(other, F.lit(False))).alias("correct"))
+    return j.select("key", "src_layer", text.alias("statement"), F.col("m.pos").alias("pos"), F.when(valid, source).alias("match_source"), failed.alias("decode_error"), (~failed & ~valid & ~alike_).alias("unknown"), ((~failed & ~valid & alike_) | F.coalesce(other, F.lit(False))).alias("wrong"), valid.alias("valid"), (valid & ~F.coalesce(other, F.lit(False))).alias("correct"))
 
 
 def answers_of_rows(rows: DataFrame, names: Column, single: bool = True) -> DataFrame:

@@ -109,14 +109,26 @@ def instantiate_rules(spark, sf_dir):
     return j.select("n_nationkey", A.clause_text(A.substitute(c["lhs"], b), A.substitute(c["rhs"], b)).alias("statement"))
 
 
-@query("""SELECT rule_id, layer, frontier FROM (VALUES (1,1,'r1_1'),(1,2,'r2_1'),(2,1,'r1_2'),(2,2,'r2_2'),(3,1,'r1_1'),(3,2,'r2_1'),(4,1,'r1_3'),(5,2,'r2_1'),(6,2,'r2_2')) v(rule_id, layer, frontier)""")
+BANK_SQL = """b AS (SELECT n_nationkey AS rule_id, 0 AS src_layer, 'r1_' || n_regionkey AS gives FROM nation UNION ALL SELECT 1000 + r_regionkey, 1, 'r2_' || (r_regionkey % 2) FROM region),
+f AS (SELECT rule_id, src_layer + 1 AS layer, gives AS frontier FROM b UNION ALL SELECT n_nationkey, 2, 'r2_' || (n_regionkey % 2) FROM nation)"""
+
+
+def trade_rules(spark, sf_dir):
+    """A rule from every nation's predicate to its region's, and from every region's on to one of two."""
+    n, r = table(spark, sf_dir, "nation"), table(spark, sf_dir, "region")
+    one = n.select(F.col("n_nationkey").cast("int").alias("rule_id"), F.lit(0).alias("src_layer"), F.format_string("r0_%s(x1) → r1_%s(x1)", text("n_nationkey"), text("n_regionkey")).alias("s"))
+    two = r.select((1000 + F.col("r_regionkey")).cast("int").alias("rule_id"), F.lit(1).alias("src_layer"), F.format_string("r1_%s(x1) → r2_%s(x1)", text("r_regionkey"), (F.col("r_regionkey") % 2).cast("string")).alias("s"))
+    return one.unionByName(two).withColumn("c", A.parse_clause(F.col("s"))).select("rule_id", "src_layer", "c.lhs", "c.rhs")
+
+
+@query(f"WITH {BANK_SQL} SELECT rule_id, layer, frontier FROM f")
 def reachable_predicates(spark, sf_dir):
-    return chain.reachable(rules(spark), 3).select("rule_id", "layer", F.array_join("frontier", ",").alias("frontier"))
+    return chain.reachable(trade_rules(spark, sf_dir), 3).select("rule_id", "layer", F.array_join("frontier", ",").alias("frontier"))
 
 
-@query("SELECT rule_id, rule_id IN (1, 3, 5) AS reaches FROM range(1, 7) t(rule_id)")
+@query(f"WITH {BANK_SQL} SELECT rule_id, max((frontier = 'r2_1')::INT) = 1 AS reaches FROM f GROUP BY 1")
 def goal_reachable(spark, sf_dir):
-    return chain.goal_reachable(rules(spark), "r2_1", 3).select(F.col("rule_id").cast("long").alias("rule_id"), "reaches")
+    return chain.goal_reachable(trade_rules(spark, sf_dir), "r2_1", 3)
 
 
 @query("""SELECT c_custkey AS qid, r AS rule_id,
@@ -144,58 +156,73 @@ def exact_steps_reachability(spark, sf_dir):
 
 # --- parsing and matching
 
-STATEMENTS = ["r0_1(a,b) ∧ r0_2(b,c) → r1_1(a,c) ∧ r1_2(c,c)", "r3_20(alice,bob) → r4_1(alice,bob)", "r_a1b2(a,b) → r1_1(a,b)", "r0_2(a,) ∧ r0_1() → r1_1(b)", "r0_1(a → r1_1(a)", "r0_1(a) → r1_1(a) → r2_1(a)", "plain → other"]
-PREDICATES = ["r0_1", "r12_3", "r_ab9", "r_", "other", "r1_x"]
+STATEMENTS = ["r0_1(%1$s,b) ∧ r0_2(b,%2$s) → r1_1(%1$s,%2$s) ∧ r1_2(%2$s,%2$s)", "r3_20(%1$s,bob) → r4_1(%2$s,bob)", "r_a1b2(%1$s,b) → r1_1(%1$s,b)", "r0_2(%1$s,) ∧ r0_1() → r1_1(b)", "r0_1(%1$s → r1_1(a)", "r0_1(a) → r1_1(%1$s) → r2_1(a)", "plain → other"]
 
 
-@query("""SELECT p AS predicate, CASE WHEN regexp_matches(p, '^r[0-9]+_[0-9]+$') THEN CAST(regexp_extract(p, '^r([0-9]+)_', 1) AS INTEGER) WHEN regexp_matches(p, '^r_[a-z0-9]+$') THEN 0 END AS layer
-FROM (VALUES ('r0_1'), ('r12_3'), ('r_ab9'), ('r_'), ('other'), ('r1_x')) v(p)""")
+@query("""WITH n AS (SELECT n_nationkey, CASE n_nationkey % 4 WHEN 0 THEN 'r' || n_nationkey || '_' || n_regionkey WHEN 1 THEN 'r_' || lower(n_name) WHEN 2 THEN n_name ELSE 'r' || n_nationkey || '_x' END AS p FROM nation)
+SELECT p AS predicate, CASE WHEN regexp_matches(p, '^r[0-9]+_[0-9]+$') THEN CAST(regexp_extract(p, '^r([0-9]+)_', 1) AS INTEGER) WHEN regexp_matches(p, '^r_[a-z0-9]+$') THEN 0 END AS layer FROM n""")
 def parse_layer(spark, sf_dir):
-    return spark.createDataFrame([(p,) for p in PREDICATES], "predicate string").select("predicate", A.predicate_layer(F.col("predicate")).alias("layer"))
+    k, n = F.col("n_nationkey") % 4, F.col("n_nationkey")
+    name = F.when(k == 0, F.concat(F.lit("r"), n, F.lit("_"), "n_regionkey")).when(k == 1, F.concat(F.lit("r_"), F.lower("n_name"))).when(k == 2, F.col("n_name")).otherwise(F.concat(F.lit("r"), n, F.lit("_x")))
+    return table(spark, sf_dir, "nation").select(name.alias("predicate")).select("predicate", A.predicate_layer(F.col("predicate")).alias("layer"))
 
 
-@query("""SELECT * FROM (VALUES (0, 'r0_1(a,b) ∧ r0_2(b,c) → r1_1(a,c) ∧ r1_2(c,c)', 2), (1, 'r3_20(alice,bob) → r4_1(alice,bob)', 1), (2, 'r_a1b2(a,b) → r1_1(a,b)', 1), (3, 'r0_1 ∧ r0_2(a) → r1_1(b)', 2), (4, NULL, NULL), (5, NULL, NULL), (6, 'plain → other', 1)) v(i, canonical, n_lhs)""")
+@query("""WITH p AS (SELECT n_nationkey AS i, 'n' || n_nationkey AS a, 'g' || n_regionkey AS c, n_nationkey % 7 AS k FROM nation)
+SELECT i, CASE k WHEN 0 THEN 'r0_1(' || a || ',b) ∧ r0_2(b,' || c || ') → r1_1(' || a || ',' || c || ') ∧ r1_2(' || c || ',' || c || ')' WHEN 1 THEN 'r3_20(' || a || ',bob) → r4_1(' || c || ',bob)' WHEN 2 THEN 'r_a1b2(' || a || ',b) → r1_1(' || a || ',b)'
+WHEN 3 THEN 'r0_1 ∧ r0_2(' || a || ') → r1_1(b)' WHEN 6 THEN 'plain → other' END AS canonical, CASE k WHEN 0 THEN 2 WHEN 1 THEN 1 WHEN 2 THEN 1 WHEN 3 THEN 2 WHEN 6 THEN 1 END AS n_lhs FROM p""")
 def parse_clause(spark, sf_dir):
-    c = A.parse_clause(F.col("s"))
-    df = spark.createDataFrame(list(enumerate(STATEMENTS)), "i int, s string").withColumn("c", c)
+    c, names = A.parse_clause(F.col("s")), [F.concat(F.lit("n"), text("n_nationkey")), F.concat(F.lit("g"), text("n_regionkey"))]
+    said = F.get(F.array(*[F.format_string(p, *names) for p in STATEMENTS]), (F.col("n_nationkey") % 7).cast("int"))
+    df = table(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("i"), said.alias("s")).withColumn("c", c)
     return df.select("i", F.when(F.col("c").isNotNull(), A.clause_text(F.col("c.lhs"), F.col("c.rhs"))).alias("canonical"), F.when(F.col("c").isNotNull(), F.size("c.lhs")).alias("n_lhs"))
 
 
-PREDICTED = ["r0_1(a,b) ∧ r0_2(b,c) → r1_1(a,c)", "r0_1(a,b) ∧ r0_2(c,b) → r1_1(a,b)", "r0_3(a,b) → r1_2(b)", "r0_3(a,b) → r1_2(a)", "r0_7(a,b) → r1_8(a)", "r0_1(a → r1_1"]
-EXPECTED = [1, 1, 2, 2, 2, 1]
+#: What is said of each customer, by key: its nation and region stand in for b and c.
+PREDICTED = ["r0_1(%1$s,%2$s) ∧ r0_2(%2$s,%3$s) → r1_1(%1$s,%3$s)", "r0_1(%1$s,%2$s) ∧ r0_2(%3$s,%2$s) → r1_1(%1$s,%2$s)", "r0_3(%1$s,%2$s) → r1_2(%2$s)", "r0_3(%1$s,%2$s) → r1_2(%1$s)", "r0_7(%1$s,%2$s) → r1_8(%1$s)", "r0_1(%1$s → r1_1"]
+MATCH_SQL = """m AS (SELECT c_custkey AS key, c_custkey % 6 AS k FROM customer), r AS (SELECT key, CASE k WHEN 0 THEN 1 WHEN 3 THEN 2 END AS rule_id, k = 5 AS decode_error, k IN (1, 2) AS unknown, k = 4 AS wrong, k IN (0, 3) AS correct FROM m)"""
+
 
+def _said(spark, sf_dir, patterns):
+    """key and c, a customer's statement: one of the patterns by key, of customer, nation and region."""
+    c, n = table(spark, sf_dir, "customer"), table(spark, sf_dir, "nation")
+    j = c.join(F.broadcast(n), c["c_nationkey"] == n["n_nationkey"])
+    names = [F.concat(F.lit(p), text(x)) for p, x in (("c", "c_custkey"), ("n", "c_nationkey"), ("g", "n_regionkey"))]
+    said = F.get(F.array(*[F.format_string(p, *names) for p in patterns]), (F.col("c_custkey") % len(patterns)).cast("int"))
+    return j.select(F.col("c_custkey").alias("key"), said.alias("statement"))
 
-def _matched(spark):
-    """Predictions against the bank: exact instance of which rule, structure, decode errors."""
-    df = spark.createDataFrame([(i, s, e) for i, (s, e) in enumerate(zip(PREDICTED, EXPECTED))], "key int, s string, expected int").withColumn("c", A.parse_clause(F.col("s")))
-    bank = rules(spark).where("src_layer = 0")
-    parsed = df.where("c is not null").select("key", "expected", "c.lhs", "c.rhs")
-    facts = unify.facts_of(parsed.select(F.col("key").alias("qid"), F.col("lhs").alias("atoms")))
-    hit = unify.supported(unify.substitutions(facts, bank, 2, once=True), bank).select(F.col("qid").alias("key"), "rule_id", A.substitute(F.col("lhs"), F.col("binding")).alias("l"), A.substitute(F.col("rhs"), F.col("binding")).alias("r"))
-    exact = parsed.join(hit, "key").where((F.col("l") == F.col("lhs")) & (F.col("r") == F.col("rhs"))).groupBy("key").agg(F.min("rule_id").alias("rule_id"))
-    like = schema_match.schema_matches(parsed, bank)
-    j = df.select("key", "expected", F.col("c").isNull().alias("decode_error")).join(exact, "key", "left").join(like, "key", "left")
-    unknown = ~F.col("decode_error") & F.col("rule_id").isNull() & ~F.coalesce("matched", F.lit(False))
-    correct = F.coalesce(F.col("rule_id") == F.col("expected"), F.lit(False))
-    return j.select("key", "rule_id", "decode_error", unknown.alias("unknown"), (~F.col("decode_error") & ~unknown & ~correct).alias("wrong"), correct.alias("correct"))
 
+def _matched(spark, sf_dir):
+    """Statements against the bank: exact instance of which rule, structure, decode errors."""
+    from .operators import evaluate
 
-@query("""SELECT * FROM (VALUES (0, 1, false, false, false, true), (1, NULL, false, true, false, false), (2, NULL, false, true, false, false), (3, 2, false, false, false, true), (4, NULL, false, false, true, false), (5, NULL, true, false, false, false)) v(key, rule_id, decode_error, unknown, wrong, correct)""")
+    said = _said(spark, sf_dir, PREDICTED).select("key", F.lit(0).alias("src_layer"), "statement", F.lit(None).cast("string").alias("expected"))
+    return evaluate.match_rules(said, rules(spark)).select("key", F.col("pos").alias("rule_id"), "decode_error", "unknown", "wrong", "correct")
+
+
+@query(f"WITH {MATCH_SQL} SELECT * FROM r")
 def match_rules(spark, sf_dir):
-    return _matched(spark)
+    return _matched(spark, sf_dir)
 
 
-@query("""SELECT 6::BIGINT AS n, 1::BIGINT AS n_decode_error, 2::BIGINT AS n_unknown, 1::BIGINT AS n_wrong, 2::BIGINT AS n_correct, 3::BIGINT AS n_valid,
-round(1/6, 6)::DOUBLE AS decode_error_rate, round(2/6, 6)::DOUBLE AS unknown_rate, round(1/6, 6)::DOUBLE AS wrong_rate, round(2/6, 6)::DOUBLE AS correct_rate, 0.5::DOUBLE AS invalid_rate, round(2/3, 6)::DOUBLE AS correct_given_valid""")
+@query(f"""WITH {MATCH_SQL} SELECT count(*) AS n, count(*) FILTER (decode_error) AS n_decode_error, count(*) FILTER (unknown) AS n_unknown, count(*) FILTER (wrong) AS n_wrong, count(*) FILTER (correct) AS n_correct, count(*) FILTER (NOT decode_error AND NOT unknown) AS n_valid,
+round(count(*) FILTER (decode_error) / count(*), 6) AS decode_error_rate, round(count(*) FILTER (unknown) / count(*), 6) AS unknown_rate, round(count(*) FILTER (wrong) / count(*), 6) AS wrong_rate, round(count(*) FILTER (correct) / count(*), 6) AS correct_rate,
+round(count(*) FILTER (decode_error OR unknown) / count(*), 6) AS invalid_rate, round(count(*) FILTER (correct) / count(*) FILTER (NOT decode_error AND NOT unknown), 6) AS correct_given_valid FROM r""")
 def match_metrics(spark, sf_dir):
-    m = metrics.match_metrics(_matched(spark))
+    m = metrics.match_metrics(_matched(spark, sf_dir))
     return m.select(*[F.round(c, 6).alias(c) if t == "double" else c for c, t in m.dtypes])
 
 
-@query()
+SHAPES = ["u(k%1$s,k%2$s) → w(k%1$s,k%1$s)", "u(%1$s,%2$s) → w(%2$s,%1$s)", "v(%2$s,c) ∧ u(%1$s,%2$s) → w(%1$s,c)", "u(%1$s,%2$s) ∧ u(%2$s,c) → w(%1$s,c)", "u(%1$s) → u(%1$s)", "z(%1$s) → a(%1$s)"]
+
+
+@query("""SELECT c_custkey AS key, CASE c_custkey % 6 WHEN 0 THEN n_nationkey = n_regionkey WHEN 1 THEN true WHEN 2 THEN true WHEN 5 THEN true ELSE false END AS matched FROM customer JOIN nation ON c_nationkey = n_nationkey""")
 def schema_match_rules(spark, sf_dir):
-    p = spark.createDataFrame(list(enumerate(PREDICTED[:5])), "key int, s string").withColumn("c", A.parse_clause(F.col("s")))
-    return schema_match.schema_matches(p.select("key", "c.lhs", "c.rhs"), rules(spark))
+    """Rules of other predicates with the structure of one of the bank's; in every sixth only if nation and region are numbered alike."""
+    c, n = table(spark, sf_dir, "customer"), table(spark, sf_dir, "nation")
+    j = c.join(F.broadcast(n), c["c_nationkey"] == n["n_nationkey"])
+    own = [F.format_string(p, text("n_nationkey"), text("n_regionkey")) if p.startswith("u(k") else F.format_string(p, F.concat(F.lit("n"), "n_nationkey"), F.concat(F.lit("g"), "n_regionkey")) for p in SHAPES]
+    r = j.select(F.col("c_custkey").alias("key"), A.parse_clause(F.get(F.array(*own), (F.col("c_custkey") % 6).cast("int"))).alias("c"))
+    return schema_match.schema_matches(r.select("key", "c.lhs", "c.rhs"), rules(spark))
 
 
 def _paths(spark, sf_dir):
@@ -499,9 +526,13 @@ def split_disjointness(spark, sf_dir):
     return table(spark, sf_dir, "benchmark").select("text").distinct().join(table(spark, sf_dir, "documents").select("text"), "text", "left_semi").agg(F.count(F.lit(1)).alias("shared"))
 
 
-@query("""SELECT mode, pool FROM (VALUES ('train', 'train'), ('rule_gen', 'eval_rule'), ('pred_gen', 'eval_pred')) v(mode, pool)""")
+@query("SELECT c_custkey, CASE c_custkey % 3 WHEN 0 THEN 'train' WHEN 1 THEN 'rule_gen' ELSE 'pred_gen' END AS mode, CASE c_custkey % 3 WHEN 0 THEN 'train' WHEN 1 THEN 'eval_rule' ELSE 'eval_pred' END AS pool FROM customer")
 def hybrid_pool_routing(spark, sf_dir):
-    return spark.createDataFrame([(m, p) for m, own in banks.POOLS.items() for p in own], "mode string, pool string")
+    """Each customer's mode, and the pools that the mode draws on."""
+    modes = F.create_map(*[F.lit(x) for i, m in enumerate(("train", "rule_gen", "pred_gen")) for x in (i, m)])
+    pools = F.create_map(*[x for m, own in banks.POOLS.items() for x in (F.lit(m), F.array(*map(F.lit, own)))])
+    c = table(spark, sf_dir, "customer").select("c_custkey", F.element_at(modes, (F.col("c_custkey") % 3).cast("int")).alias("mode"))
+    return c.select("c_custkey", "mode", F.explode(F.element_at(pools, F.col("mode"))).alias("pool"))
 
 
 @query("""WITH m AS (SELECT avg(quality)::DOUBLE AS q, avg(toxic)::DOUBLE AS t, count(*)::DOUBLE AS n FROM labels)

@@ -92,9 +92,9 @@ def test_samplers_refuse_and_empty(spark):
 def test_random_constants_are_instances(spark, bank):
     rules = bank.frames(spark)["rules"].where("pool = 'base'")
     ground = augment.with_random_constants(rules, ["a", "b"], "s", "rule_id").select("rule_id", F.struct("lhs", "rhs").alias("g"))
-    for r in rules.select("rule_id", F.struct("lhs", "rhs").alias("t")).join(ground, "rule_id").collect():
-        plain = lambda x: {k: [{"predicate": a["predicate"], "args": list(a["args"])} for a in x[k]] for k in ("lhs", "rhs")}
-        assert evaluate.binding_of(plain(r["t"]), plain(r["g"])) is not None
+    pairs = rules.select("rule_id", F.struct("lhs", "rhs").cast(A.RULE_TYPE).alias("t")).join(ground, "rule_id")
+    pairs = pairs.select(F.col("rule_id").alias("key"), F.lit(0).alias("prio"), F.col("rule_id").alias("pos"), "t", F.col("g").cast(A.RULE_TYPE).alias("g"))
+    assert evaluate.instances(pairs).select("key").distinct().count() == rules.count()
 
 
 def test_adapter_sees_demonstrations(spark):
