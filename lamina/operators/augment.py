@@ -11,7 +11,7 @@ from pyspark.sql.window import Window
 from ..functions.atoms import clause_text, substitute, variables
 from ..functions.chance import gumbel, uniform
 from ..functions.tokens import clause_tokens
-from .demos import order_demos, rank_weights
+from .demos import order_demos, rank_weights, with_replacement
 from .unify import _match, bounded
 
 RANKED = ("zipf", "zipf_headless", "zipf_per_rule", "zipf_per_rule_headless", "full_rank")
@@ -90,13 +90,12 @@ def sample_demos(ranked: DataFrame, n: int | str, distribution: str, seed: str,
         key = F.when(own, F.lit(NEVER)).otherwise(F.log("weight") + gumbel(_key(seed, "qid", "rule_id")))
         drawn = w.withColumn("_n", F.row_number().over(by.orderBy(F.desc(key), "rule_id"))).where("_n <= _want").withColumn("_draw", F.lit(0))
     else:
-        run = by.orderBy("rule_id").rowsBetween(Window.unboundedPreceding, 0)
-        w = w.withColumn("_hi", F.sum("weight").over(run) / F.sum("weight").over(by)).withColumn("_lo", F.coalesce(F.lag("_hi").over(by.orderBy("rule_id")), F.lit(0.0)))
         others = F.col("_want") - F.when(F.col("_oracle").isNotNull(), 1).otherwise(0)
-        draws = F.transform(F.when(others > 0, F.sequence(F.lit(1), others)).otherwise(F.array().cast("array<int>")), lambda i: F.struct(i.alias("i"), uniform(F.concat_ws("|", F.lit(seed), F.col("qid").cast("string"), i.cast("string"))).alias("u")))
-        hit = F.filter(draws, lambda d: (d["u"] >= F.col("_lo")) & (d["u"] < F.col("_hi")))
-        forced = F.when(own & (F.col("_want") > 0), F.array(F.lit(0))).otherwise(F.array().cast("array<int>"))
-        drawn = w.withColumn("_draw", F.explode(F.concat(forced, F.transform(hit, lambda d: d["i"]))))
+        each = F.explode(F.when(others > 0, F.sequence(F.lit(1), others)).otherwise(F.array().cast("array<int>"))).alias("_draw")
+        draws = rows.groupBy("qid").agg(F.first("_want").alias("_want"), F.first("_oracle").alias("_oracle")).select("qid", "_want", "_oracle", each)
+        draws = draws.withColumn("u", uniform(_key(seed, "qid", "_draw")))
+        forced = w.where(own & (F.col("_want") > 0)).select("qid", "rule_id", "rank", "_oracle", F.lit(0).alias("_draw"))
+        drawn = with_replacement(w, draws, ["rule_id", "rank"]).select("qid", "rule_id", "rank", "_oracle", "_draw").unionByName(forced)
     drawn = drawn.withColumn("rank", F.when(own & ((F.col("_draw") == 0) | F.lit(unique)), 1).otherwise(F.col("rank"))).withColumn("_id", F.concat_ws("#", "rule_id", "_draw"))
     return order_demos(drawn, beta, f"{seed}|order", "_id").select("qid", "rule_id", "rank", "place")
 

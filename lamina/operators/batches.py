@@ -8,8 +8,7 @@ from pyspark.sql.window import Window
 
 from ..functions.chance import uniform
 from ..functions.tokens import EOT, PAD, next_power, pad_or_trim
-
-BUCKETS = 4096
+from .scan import latest, running
 
 
 def autoregressive(records: DataFrame, mask_prompt: bool = True) -> DataFrame:
@@ -30,17 +29,15 @@ def all_at_once(records: DataFrame) -> DataFrame:
 def shuffled_batches(records: DataFrame, key: str, size: int, seed: int, epoch: int = 0, drop_last: bool = True, seed_text: str | None = None) -> DataFrame:
     """Adds batch_id and row_idx in an order that seed + epoch fixes.
 
-    The order is by a hashed uniform. Rows are dealt by ranges of it into buckets, buckets are counted, and
-    a row's place is the rows before its bucket and its place within; no task sorts all rows.
+    The order is by a hashed uniform; places along it are counted in blocks, as many as the shuffle has partitions.
     """
-    d = records.withColumn("_u", uniform(F.concat_ws("|", F.lit(seed_text or str(seed + epoch)), F.col(key)))).withColumn("_b", F.floor(F.col("_u") * BUCKETS))
-    n = d.groupBy("_b").agg(F.count(F.lit(1)).alias("_n"))
-    base = n.select("_b", (F.sum("_n").over(Window.orderBy("_b")) - F.col("_n")).alias("_base"), F.sum("_n").over(Window.partitionBy()).alias("_all"))  # BUCKETS rows at most
-    d = d.join(F.broadcast(base), "_b").withColumn("_r", F.col("_base") + F.row_number().over(Window.partitionBy("_b").orderBy("_u", key)) - 1)
+    d = records.withColumn("_u", uniform(F.concat_ws("|", F.lit(seed_text or str(seed + epoch)), F.col(key))))
+    d = running(d, [], ["_u", key], {"_r": F.lit(1)})
     d = d.withColumn("batch_id", F.floor(F.col("_r") / size)).withColumn("row_idx", (F.col("_r") % size).cast("int"))
     if drop_last:
-        d = d.where(F.col("batch_id") < F.floor(F.col("_all") / size))
-    return d.drop("_u", "_b", "_base", "_r", "_all")
+        d = d.join(F.broadcast(records.agg(F.count(F.lit(1)).alias("_all"))))  # one row
+        d = d.where(F.col("batch_id") < F.floor(F.col("_all") / size)).drop("_all")
+    return d.drop("_u", "_r")
 
 
 def padded(batches: DataFrame, mode: str = "batch_max", length: int | None = None, y_pad: int = PAD) -> DataFrame:
@@ -76,6 +73,12 @@ def with_phase(steps: DataFrame, phases: list[tuple[int, int]], step: str = "ste
     return steps.withColumn("d_max", out)
 
 
+def with_phase_of(steps: DataFrame, phases: DataFrame, by: list[str], step: str = "step", start: str = "start", depth: str = "d_max") -> DataFrame:
+    """Adds the depth of the last phase that has begun, from a table of phases (``by``, start, depth) of any size, such as one
+    curriculum a user; null before the first."""
+    return latest(steps, phases, by, step, start, [depth])
+
+
 def manual_phases(phases: list[tuple[int, int]]) -> list[tuple[int, int]]:
     """Phases (start step, greatest depth) as given, checked: the first starts at 0, steps rise, depths are 1 or more."""
     steps = [s for s, _ in phases]
@@ -123,8 +126,7 @@ def resolved_length(explicit: int | None, metadata: int | None, bound: int | Non
 def split_chunk(rows: DataFrame, key: str, parts: int, seed: str) -> DataFrame:
     """Adds chunk: contiguous parts of a seeded order, the first ones a row longer where it doesn't divide.
 
-    The order is worked out as in ``shuffled_batches``: rows are dealt by ranges of a hashed uniform, and counts give
-    each range its start, so no task sorts all rows.
+    The order is worked out as in ``shuffled_batches``, so no task sorts all rows.
     """
     d = shuffled_batches(rows, key, 1, 0, drop_last=False, seed_text=seed)
     n = rows.agg(F.count(F.lit(1)).alias("_n"))

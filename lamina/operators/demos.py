@@ -7,15 +7,19 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions.chance import gumbel, uniform
+from .scan import latest, running
 
 
 def rank_weights(ranked: DataFrame, alpha: float, per_rule: bool = True, without: tuple = ()) -> DataFrame:
-    """Adds weight = rank ** -alpha, shared out among a rank's rules unless ``per_rule``, normalised by query."""
+    """Adds weight = rank ** -alpha, shared out among a rank's rules unless ``per_rule``, normalised by query.
+
+    Rules are counted by query and rank first, so a query of many rules meets in no task.
+    """
     r = ranked.where(~F.col("rank").isin(*without)) if without else ranked
-    raw = F.pow("rank", F.lit(-alpha))
-    if not per_rule:
-        raw = raw / F.count(F.lit(1)).over(Window.partitionBy("qid", "rank"))
-    return r.withColumn("_w", raw).withColumn("weight", F.col("_w") / F.sum("_w").over(Window.partitionBy("qid"))).drop("_w")
+    n = r.groupBy("qid", "rank").agg(F.count(F.lit(1)).alias("_n"))
+    raw = F.pow("rank", F.lit(-alpha)) / (F.lit(1) if per_rule else F.col("_n"))
+    total = F.sum(raw * F.col("_n")).over(Window.partitionBy("qid"))  # of a query's ranks, not its rules
+    return r.join(n.select("qid", "rank", (raw / total).alias("weight")), ["qid", "rank"]).select(*r.columns, "weight")
 
 
 def sample_distinct(weighted: DataFrame, n: int, seed: str) -> DataFrame:
@@ -25,15 +29,24 @@ def sample_distinct(weighted: DataFrame, n: int, seed: str) -> DataFrame:
     return weighted.withColumn("_k", key).withColumn("draw", F.row_number().over(w)).where(F.col("draw") <= n).drop("_k")
 
 
+def with_replacement(pool: DataFrame, draws: DataFrame, take: list[str]) -> DataFrame:
+    """Draws (qid, u from 0 to below 1, ...) with ``take`` of a rule of the query's pool (qid, rule_id, weight, ...), by weight.
+
+    A draw falls on the rule in whose share of the running weights it lies. Weights are summed up in blocks and draws
+    meet them in an as-of join, so pools and numbers of draws may be of any size; results depend on
+    rules, weights and u alone. Rules without weight are never drawn; draws of a query without rules go.
+    """
+    pool = pool.where("weight > 0")
+    edges = running(pool, ["qid"], ["rule_id"], {"_lo": F.col("weight")})
+    scaled = draws.join(pool.groupBy("qid").agg(F.sum("weight").alias("_all")), "qid").withColumn("_at", F.col("u") * F.col("_all"))
+    return latest(scaled, edges, ["qid"], "_at", "_lo", take).drop("_at", "_all")
+
+
 def sample_repeated(weighted: DataFrame, n: int, seed: str) -> DataFrame:
     """``n`` draws of each query with replacement, by where a uniform falls among cumulative weights."""
-    w = Window.partitionBy("qid").orderBy("rule_id")
-    edges = weighted.withColumn("hi", F.sum("weight").over(w.rowsBetween(Window.unboundedPreceding, 0))).withColumn("lo", F.col("hi") - F.col("weight"))
-    last = F.max("hi").over(Window.partitionBy("qid"))
-    edges = edges.withColumn("hi", F.when(F.col("hi") == last, F.lit(2.0)).otherwise(F.col("hi")))
-    draws = F.transform(F.sequence(F.lit(1), F.lit(n)), lambda i: F.struct(i.alias("draw"), uniform(F.concat_ws("|", F.lit(seed), F.col("qid"), i)).alias("u")))
-    hit = F.filter(draws, lambda d: (d["u"] >= F.col("lo")) & (d["u"] < F.col("hi")))
-    return edges.withColumn("d", F.explode(hit)).select("qid", "rule_id", "rank", "weight", F.col("d.draw").alias("draw"))
+    each = F.explode(F.sequence(F.lit(1), F.lit(n))).alias("draw")
+    draws = weighted.select("qid").distinct().select("qid", each).withColumn("u", uniform(F.concat_ws("|", F.lit(seed), "qid", "draw")))
+    return with_replacement(weighted, draws, ["rule_id", "rank", "weight"]).select("qid", "rule_id", "rank", "weight", "draw")
 
 
 def order_demos(demos: DataFrame, beta: float, seed: str, at: str = "rule_id") -> DataFrame:

@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
+
+from .scan import running
 
 
 def rate(n: Column, of: Column) -> Column:
@@ -42,11 +43,16 @@ def calibration_error(rows: DataFrame, bins: int = 10) -> DataFrame:
 
 
 def exit_distribution(halts: DataFrame, key: str, step: str, p: str = "halt_prob") -> DataFrame:
-    """Adds exit_prob: halting at a step after no earlier one, the last step taking what remains."""
-    w = Window.partitionBy(key).orderBy(step)
-    stay = F.exp(F.coalesce(F.sum(F.log(1 - F.col(p))).over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0)))
-    last = F.lead(step).over(w).isNull()
-    return halts.withColumn("exit_prob", F.when(last, stay).otherwise(F.col(p) * stay))
+    """Adds exit_prob: halting at a step after no earlier one, the last step taking what remains.
+
+    Survival is the exponential of a running sum of logarithms, scanned in blocks, so an episode may be of any length; steps
+    are distinct within a key. After a step that halts for certain nothing remains.
+    """
+    sure = F.col(p) >= 1
+    costs = {"_log": F.when(~sure, F.log(1 - F.col(p))), "_sure": sure.cast("long")}
+    d = running(halts, [key], [step], costs, last="_last")
+    stay = F.when(F.col("_sure") > 0, 0.0).otherwise(F.exp("_log"))
+    return d.withColumn("exit_prob", F.when(F.col("_last"), stay).otherwise(F.col(p) * stay)).drop("_log", "_sure", "_last")
 
 
 def match_metrics(matches: DataFrame) -> DataFrame:

@@ -332,7 +332,7 @@ def param_sweep(spark, sf_dir):
 
 # --- tokens: turns of conversations and words of documents
 
-WORDS = r"[A-Za-z]+"
+WORDS_OF = r"[\x20\x09-\x0D]+"
 
 
 @query("""WITH n AS (SELECT DISTINCT 'r' || n_regionkey || '_' || n_nationkey AS p, replace(n_name, ' ', '') AS c FROM nation),

@@ -4,8 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from .operators import nested, unify
-from .queries import atom, query, table
+from .functions.chance import uniform_sql
+from .operators import batches, budget, nested, unify
+from .queries import WORDS_OF, atom, query, table
 
 NESTED_SQL = """WITH e AS (SELECT event_id, event_type, value, user_id, CAST(props->>'$.k' AS DOUBLE) AS k FROM events),
 r AS (SELECT event_id, 'log/event/' || event_type || '/value' AS metric, value, CAST(NULL AS VARCHAR) AS text FROM e WHERE value IS NOT NULL
@@ -41,3 +42,49 @@ def unify_triangle(spark, sf_dir):
     facts = li.select("qid", each).select("qid", "a.*").distinct().withColumn("fact_idx", F.xxhash64("predicate", "args"))
     m = unify.substitutions(facts, unify.bank(spark, ["r0_1(x1,x2) ∧ r0_2(x2,x3) ∧ r0_3(x3,x1) → r1_1(x1,x2,x3)"]), 3, cap=None)
     return m.select("qid", *[F.element_at("binding", v).alias(v) for v in ("x1", "x2", "x3")])
+
+
+# --- order: phases, batches by tokens
+
+
+@query("""WITH p AS (SELECT o_custkey AS user_id, o_orderkey AS start, CAST(max(1 + o_orderkey % 5) AS INTEGER) AS d_max FROM orders GROUP BY 1, 2)
+SELECT e.event_id, e.user_id, p.d_max FROM (SELECT * FROM events WHERE user_id IS NOT NULL) e ASOF LEFT JOIN p ON e.user_id = p.user_id AND e.event_id >= p.start
+UNION ALL SELECT event_id, user_id, NULL FROM events WHERE user_id IS NULL""")
+def phases_of_users(spark, sf_dir):
+    """Events as steps, under the phase that their user's last order has begun."""
+    o = table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("user_id"), F.col("o_orderkey").alias("start"), (1 + F.col("o_orderkey") % 5).cast("int").alias("d_max"))
+    return batches.with_phase_of(table(spark, sf_dir, "events").select("event_id", "user_id"), o, ["user_id"], "event_id")
+
+
+BUDGET = 32768
+LENGTHS_SQL = f"""n AS (SELECT doc_id, CAST(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS BIGINT) AS n FROM documents),
+s AS (SELECT doc_id, n, greatest(n, 1) - 1 AS m, greatest(length(bin(greatest(n, 1) - 1)) - 3, 0) AS sh FROM n),
+c AS (SELECT doc_id, n, least(((m >> sh) + 1) << sh, {BUDGET}) AS pad_to, {uniform_sql("'b|'||doc_id")} AS u FROM s)"""
+PADDED_SQL = f"""{LENGTHS_SQL}, r AS (SELECT *, row_number() OVER (PARTITION BY pad_to ORDER BY u, doc_id) - 1 AS r, {BUDGET} // pad_to AS k FROM c),
+b AS (SELECT pad_to, (max(r // k) + 1)::BIGINT AS many FROM r GROUP BY 1), o AS (SELECT pad_to, coalesce(sum(many) OVER (ORDER BY pad_to ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS base FROM b),
+t AS (SELECT doc_id, n, pad_to, base + r // k AS batch_id, CAST(r % k AS INTEGER) AS row_idx FROM r JOIN o USING (pad_to))"""
+
+
+def _lengths(spark, sf_dir):
+    return table(spark, sf_dir, "documents").select("doc_id", F.size(F.filter(F.split(F.coalesce("text", F.lit("")), WORDS_OF), lambda w: w != "")).cast("long").alias("n"))
+
+
+@query(f"WITH {PADDED_SQL} SELECT * FROM t")
+def token_budget_batches(spark, sf_dir):
+    """Documents in padded batches of at most 32,768 words."""
+    return budget.token_batches(_lengths(spark, sf_dir), "doc_id", "n", BUDGET, "b")
+
+
+@query(f"WITH {PADDED_SQL} SELECT count(DISTINCT batch_id) AS batches, count(*) AS rows, CAST(sum(n) AS BIGINT) AS tokens, CAST(sum(pad_to) AS BIGINT) AS padded, round(1 - sum(n) / sum(pad_to), 9) AS share FROM t")
+def token_budget_padding(spark, sf_dir):
+    p = budget.padding(token_budget_batches(spark, sf_dir), "n")
+    return p.withColumn("share", F.round("share", 9))
+
+
+@query(f"""WITH {LENGTHS_SQL}, r AS (SELECT *, CAST(coalesce(sum(greatest(n, 1)) OVER (PARTITION BY pad_to ORDER BY u, doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) // ({BUDGET} - pad_to + 1) AS k FROM c),
+b AS (SELECT pad_to, max(k) + 1 AS many FROM r GROUP BY 1), o AS (SELECT pad_to, coalesce(sum(many) OVER (ORDER BY pad_to ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS base FROM b)
+SELECT base + k AS batch_id, count(*) AS rows, CAST(sum(n) AS BIGINT) AS tokens FROM r JOIN o USING (pad_to) GROUP BY 1""")
+def ragged_budget_batches(spark, sf_dir):
+    """Batches of as many documents as 32,768 words hold without padding."""
+    b = budget.token_batches(_lengths(spark, sf_dir), "doc_id", "n", BUDGET, "b", ragged=True)
+    return b.groupBy("batch_id").agg(F.count(F.lit(1)).alias("rows"), F.sum("n").alias("tokens"))
