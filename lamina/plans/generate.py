@@ -131,9 +131,9 @@ def with_completions(steps: DataFrame, form: str = "single") -> DataFrame:
 
 def write_dataset(records: DataFrame, path: str, per_file: int = 10_000, meta: dict | None = None, overwrite: bool = False) -> None:
     """Parquet by distance, files of at most ``per_file`` records, beside a metadata table: counts and longest rows by
-    distance and over all (distance null), and the configuration. A folder that exists is an error unless ``overwrite``."""
+    distance and over all (distance null), and the configuration. Writers share out distances and problems by ranges. A folder that exists is an error unless ``overwrite``."""
     mode = "overwrite" if overwrite else "errorifexists"
-    records.repartition("distance", F.pmod(F.xxhash64("problem_id"), F.lit(64))).write.mode(mode).partitionBy("distance").option("maxRecordsPerFile", per_file).parquet(f"{path}/records")
+    records.repartitionByRange("distance", "problem_id").write.mode(mode).partitionBy("distance").option("maxRecordsPerFile", per_file).parquet(f"{path}/records")
     written = records.sparkSession.read.parquet(f"{path}/records")
     size = lambda c: F.max(F.size(c)) if c in written.columns else F.lit(None).cast("int")
     both = {"prompt", "completion"} <= set(written.columns)

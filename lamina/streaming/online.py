@@ -45,45 +45,6 @@ def curriculum_stream(events: DataFrame, phases: list[tuple[int, int]], watermar
     return e.withWatermark("ts", watermark).groupBy(F.window("ts", "1 hour"), "d_max").agg(F.count(F.lit(1)).alias("n"))
 
 
-class Records:
-    """Rows of a DataFrame one batch after the other on the driver, the next partition being worked on meanwhile.
-
-    Closing is done once, however often it is asked for, and ends the iteration; an error closes.
-    """
-
-    def __init__(self, df: DataFrame, size: int):
-        if size < 1:
-            raise ValueError("a batch has 1 row or more")
-        self.rows, self.size, self.closed = df.toLocalIterator(prefetchPartitions=True), size, False
-
-    def __iter__(self) -> Records:
-        return self
-
-    def __next__(self) -> list:
-        from itertools import islice
-
-        if self.closed:
-            raise StopIteration
-        try:
-            batch = list(islice(self.rows, self.size))
-        except Exception:
-            self.close()
-            raise
-        if not batch:
-            self.close()
-            raise StopIteration
-        return batch
-
-    def close(self) -> None:
-        self.closed, self.rows = True, iter(())
-
-    def __enter__(self) -> Records:
-        return self
-
-    def __exit__(self, *_) -> None:
-        self.close()
-
-
 def each_batch(stream: DataFrame, *hooks, mode: str = "append", checkpoint: str | None = None):
     """A running query that calls every hook with (batch, number) for each micro-batch, in turn: metrics, prints, summaries."""
 

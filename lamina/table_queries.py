@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 from .functions.chance import uniform_sql
 from .operators import batches, budget, nested, unify
 from .queries import WORDS_OF, atom, query, table
+from .session import new_folder
+from .sources import record_files as records
 
 NESTED_SQL = """WITH e AS (SELECT event_id, event_type, value, user_id, CAST(props->>'$.k' AS DOUBLE) AS k FROM events),
 r AS (SELECT event_id, 'log/event/' || event_type || '/value' AS metric, value, CAST(NULL AS VARCHAR) AS text FROM e WHERE value IS NOT NULL
@@ -88,3 +90,15 @@ def ragged_budget_batches(spark, sf_dir):
     """Batches of as many documents as 32,768 words hold without padding."""
     b = budget.token_batches(_lengths(spark, sf_dir), "doc_id", "n", BUDGET, "b", ragged=True)
     return b.groupBy("batch_id").agg(F.count(F.lit(1)).alias("rows"), F.sum("n").alias("tokens"))
+
+
+# --- files
+
+
+@query("SELECT doc_id, lang, n_chars, sha256(text) AS text_sha256 FROM documents")
+def record_files(spark, sf_dir):
+    """Documents written as record files indexed by length, and read back."""
+    path = new_folder(spark)
+    records.register(spark)
+    table(spark, sf_dir, "documents").write.format("records").option("index", "n_chars").mode("append").save(path)
+    return spark.read.format("records").load(path).select("doc_id", "lang", "n_chars", F.sha2("text", 256).alias("text_sha256"))

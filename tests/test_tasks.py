@@ -288,17 +288,6 @@ def test_collate_names_what_it_skips(spark, tmp_path):
     assert df.count() == 5 and set(df.columns) == {"id", "x"} and [k[-1] for k in skipped] == ["c", "d"]
 
 
-def test_records_iterator(spark):
-    from lamina.streaming.online import Records
-
-    with Records(spark.range(10), 4) as r:
-        assert [len(b) for b in r] == [4, 4, 2]
-    assert list(r) == []
-    r.close()
-    with pytest.raises(ValueError):
-        Records(spark.range(1), 0)
-
-
 def test_streams(spark, tmp_path):
     from lamina.streaming.online import curriculum_stream, each_batch, metrics_table, problem_stream
 
