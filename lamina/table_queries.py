@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from .functions.chance import uniform_sql
-from .operators import batches, budget, nested, unify
+from .operators import batches, budget, nested, subwords, unify
 from .queries import WORDS_OF, atom, query, table
 from .session import new_folder
 from .sources import record_files as records
@@ -102,3 +102,17 @@ def record_files(spark, sf_dir):
     records.register(spark)
     table(spark, sf_dir, "documents").write.format("records").option("index", "n_chars").mode("append").save(path)
     return spark.read.format("records").load(path).select("doc_id", "lang", "n_chars", F.sha2("text", 256).alias("text_sha256"))
+
+
+# --- subwords
+
+
+@query()
+def retokenize_subwords(spark, sf_dir):
+    """Turns of conversations as rows of 256 subword ids and their labels; no SQL says what ranked merges make of a word."""
+    import public_tokenizers
+
+    own = subwords.Subwords.load(spark, public_tokenizers.path("word_bpe_49k.json"))
+    r = subwords.model_rows(subwords.subword_ids(table(spark, sf_dir, "conversations").select("conv_id", "turn", "text"), "text", own), "ids", 256)
+    shown = lambda c: F.array_join(F.col(c).cast("array<string>"), ",").alias(c)
+    return r.select("conv_id", "turn", F.size("ids").alias("n"), shown("xs"), shown("ys"))
