@@ -10,8 +10,8 @@ from .functions import decode as D
 from .functions import tokens as T
 from .functions.chance import gumbel_sql, uniform_sql
 from .operators import augment, batches, cluster, evaluate, generation, unify
-from .plans import banks, generate, propositions, tasks
-from .queries import RANKED_SQL, SMALL, TURNS_SQL, atom, query, ranked_parts, shown, table, turn_records
+from .plans import tasks
+from .queries import RANKED_SQL, TURNS_SQL, atom, query, ranked_parts, shown, table, turn_records
 
 # --- a customer's nation and region as constants; facts r0_1(nation, region) and r0_2(region, nation)
 
@@ -245,13 +245,13 @@ def rule_contexts(spark, sf_dir):
 
 @query()
 def cluster_grid(spark, sf_dir):
-    """Selection by clusters over a grid of weights, numbers and clusters; a test holds it against brute force."""
-    bank = banks.build(SMALL, 13)
-    rules = bank.frames(spark)["rules"]
-    ids = rules.where("src_layer = 0").select("rule_id")
-    actual = ids.withColumn("rank", 1 + F.col("rule_id") % 4)
-    pool = cluster.candidate_rankings(spark, bank, 0, 2, 12, 5, 2, actual)
-    return cluster.select_grid(pool, actual, ids.count(), [0.0, 1.0], [3], [1, 3], "7", rounds=3)
+    """Selection by clusters over a grid of weights, numbers and clusters: brands are the candidates, all parts by price the
+    actual query's ranks; a test holds the operator against brute force."""
+    brand = F.regexp_extract("qid", r"(\d+)$", 1).cast("long")
+    pool = ranked_parts(spark, sf_dir).select(brand.alias("qid"), (F.col("rule_id") + 1).alias("rule_id"), "rank")
+    actual = table(spark, sf_dir, "part").select((F.col("p_partkey") + 1).alias("rule_id"), (1 + F.floor("p_retailprice") % 4).cast("int").alias("rank"))
+    n = actual.agg(F.max("rule_id")).first()[0]
+    return cluster.select_grid(pool, actual, n, [0.0, 1.0], [3], [1, 3], "7")
 
 
 # --- token rows
@@ -410,32 +410,10 @@ def greedy_decode(spark, sf_dir):
     return generation.predict(c, model, 16, 8).select("key", *shown("completion"))
 
 
-# --- generators: no SQL draws as they do; tests check that every step is a derivation
-
-@query()
-def proposition_problems(spark, sf_dir):
-    return propositions.problems(spark, propositions.build(5, 5, 8, 2, 2, 3), [1, 2, 3], 40, 7)
-
-
-@query()
-def fresh_bank_records(spark, sf_dir):
-    base = banks.build(banks.BankSpec(n_layers=3, predicates_per_layer=4, rules_per_transition=8, k_in=(1, 2), k_out=(1, 2)), 1)
-    return tasks.Fresh(base).steps(spark, tasks.FreshOptions(role="eval"), 60)
-
-
-@query()
-def hybrid_icl_prompts(spark, sf_dir):
-    f = tasks.TaskFactory(13, SMALL, 2, 3)
-    steps = generate.problems(spark, f.hybrid_bank(), [2, 3], 30, 5, mode="train")
-    rules = f.bank.frames(spark)["rules"]
-    noise = steps.select(F.col("problem_id").alias("qid")).distinct().join(F.broadcast(rules.where("src_layer = 0").select("rule_id", F.lit(2).alias("rank"))))
-    return tasks.hybrid_prompts(steps, tasks.one_step(steps, "z"), noise, rules, ["a", "b"], 4, "s").select("qid", F.array_join("prompt", " ").alias("prompt"), "n_fresh")
-
-
-@query()
+@query(f"""WITH {CUSTOMERS}, f AS (SELECT * FROM u WHERE key % 6 = 0 ORDER BY key LIMIT 5)
+SELECT key AS problem_id, CAST(2 AS INTEGER) AS distance, CAST(0 AS INTEGER) AS src_layer, {FACTS.replace("sep", "','")} || '⊢r2_1(' || a || ')' AS sequent,
+'r0_1(' || a || ',' || b || ') ∧ r0_2(' || b || ',' || a || ') → r1_1(' || a || ',' || a || '); r1_1(' || a || ',' || a || ') → r2_1(' || a || ')' AS statements, CAST(0 AS INTEGER) AS n_demos FROM f""")
 def previews(spark, sf_dir):
-    f = tasks.TaskFactory(13, SMALL, 2, 3)
-    vocab = tasks.vocabulary_of(spark, f.bank)
-    return tasks.previews(tasks.token_records(f.steps(spark, "icl", 20), T.id_map(vocab)), T.name_map(vocab), 5)
-
-
+    """The first five customers' problems for people to read."""
+    r = _path_rows(spark, sf_dir).where("key % 6 = 0").select(F.col("key").alias("problem_id"), F.lit(2).alias("distance"), "prompt", "completion")
+    return tasks.previews(r, _names(), 5).select("problem_id", "distance", "src_layer", "sequent", F.array_join("statements", "; ").alias("statements"), F.size("demos").alias("n_demos"))

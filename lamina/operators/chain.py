@@ -9,7 +9,7 @@ from pyspark.sql.window import Window
 from ..functions.atoms import predicates, subset
 from ..functions.chance import uniform
 from .goals import interned
-from .unify import bounded, facts_of, fire, small, substitutions
+from .unify import bounded, facts_of, fire, paired, substitutions
 
 
 def reachable(rules: DataFrame, n_layers: int) -> DataFrame:
@@ -75,9 +75,8 @@ def rank_rules(facts: DataFrame, rules: DataFrame, goal: str, most_lhs: int, n_l
     from .unify import applicable
 
     own = rules.where(F.col("src_layer") == layer)
-    reach = own.select("rule_id").join(goal_reachable(rules, goal, n_layers), "rule_id").withColumn("_o", F.lit(1))
-    reach = F.broadcast(reach) if small(rules) else reach
-    asked = facts.select("qid").distinct().withColumn("_o", F.lit(1)).join(reach, "_o").drop("_o")
+    reach = own.select("rule_id").join(goal_reachable(rules, goal, n_layers), "rule_id")
+    asked = paired(facts.select("qid").distinct(), reach)
     can = applicable(facts, own, most_lhs).withColumn("can", F.lit(True))
     rank = F.when(F.col("can") & F.col("reaches"), 1).when(F.col("can"), 2).when(F.col("reaches"), 3).otherwise(4)
     return asked.join(can, ["qid", "rule_id"], "left").withColumn("can", F.coalesce("can", F.lit(False))).select("qid", "rule_id", rank.alias("rank"))

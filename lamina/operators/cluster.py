@@ -15,7 +15,7 @@ from ..session import cut
 from .augment import sample_demos
 from .chain import reachable
 from .demos import distances, k_medoids, ranking_vectors
-from .unify import applicable, facts_of
+from .unify import applicable, bounded, facts_of, paired
 
 
 def fresh_queries(spark: SparkSession, bank: Bank, layer: int, distance: int, n: int, seed: int, most_facts: int = 3) -> DataFrame:
@@ -49,7 +49,7 @@ def ranks_of(queries: DataFrame, rules: DataFrame, layer: int, n_layers: int, mo
     """
     own = rules.where(F.col("src_layer") == layer)
     last = reachable(rules, n_layers).groupBy("rule_id").agg(F.max_by("frontier", "layer").alias("frontier"))
-    asked = queries.select("qid", "goal").join(F.broadcast(own.select("rule_id").join(last, "rule_id").withColumn("_o", F.lit(1))), F.lit(1) == F.col("_o")).drop("_o")
+    asked = paired(queries.select("qid", "goal"), own.select("rule_id").join(last, "rule_id"))
     fits = applicable(facts_of(queries.select("qid", "atoms")), own, most_lhs).withColumn("can", F.lit(True))
     can, reach = F.coalesce("can", F.lit(False)), F.array_contains("frontier", F.col("goal"))
     rank = F.when(can & reach, 1).when(can, 2).when(reach, 3).otherwise(4)
@@ -61,7 +61,7 @@ def candidate_rankings(spark: SparkSession, bank: Bank, layer: int, distance: in
     rules = bank.frames(spark)["rules"]
     q = cut(fresh_queries(spark, bank, layer, distance, n, seed))
     ranked = ranks_of(q.where("goal is not null"), rules, layer, bank.spec.n_layers, most_lhs)
-    failed = q.where("goal is null").select("qid").join(F.broadcast(actual.select("rule_id", "rank").withColumn("_o", F.lit(1))), F.lit(1) == F.col("_o")).drop("_o")
+    failed = paired(q.where("goal is null").select("qid"), actual.select("rule_id", "rank"))
     return cut(ranked.unionByName(failed.select("qid", "rule_id", "rank")))
 
 
@@ -90,7 +90,7 @@ def select_grid(candidates: DataFrame, actual: DataFrame, n_rules: int, alphas:
                 medoids = k_medoids(v.where("vec_id >= 0"), start, rounds)[1] if start else []
                 near = distances(v.where("vec_id = -1"), v.where(F.col("vec_id").isin(*medoids) if medoids else F.col("vec_id") == -1)).agg(F.min(F.struct("d", "i")).alias("b"))
                 own = shown.join(F.broadcast(near.select(F.col("b.i").alias("qid"))), "qid").select("place", "rule_id")
-                ranks = own.join(F.broadcast(actual.select("rule_id", "rank")), "rule_id", "left")  # a bank's rules
+                ranks = own.join(bounded(actual.select("rule_id", "rank")), "rule_id", "left")
                 one = ranks.select(F.lit(k).alias("k"), F.lit(alpha).alias("alpha"), F.lit(n).alias("n_demos"), "place", "rule_id", F.coalesce("rank", F.lit(4)).alias("rank"))
                 out = one if out is None else out.unionByName(one)
     return out

@@ -79,22 +79,26 @@ def footrule(a: Column, b: Column) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: F.abs(x - y).cast("double")), F.lit(0.0), lambda s, x: s + x)
 
 
-QUERIES = 512  # query vectors of a block
+QUERIES, VECTORS = 512, 10_000  # of a block and of a part
 
 
 def distances(vectors: DataFrame, queries: DataFrame) -> DataFrame:
     """i, j, d from each of a stated set of query vectors to every vector.
 
-    Queries go in blocks of about ``QUERIES`` rows, which meet every vector: a block is one row, and one block alone is
-    broadcast; of more, each vector is dealt to all.
+    Queries go in blocks of about ``QUERIES`` rows, one row each. One block alone is broadcast; of more, each vector is
+    dealt to all, and each block to parts of about ``VECTORS`` vectors, so that a task has one block and one part.
     """
     n = queries.count()
     blocks = max(1, -(-n // QUERIES))
     q = queries.withColumn("_o", F.pmod(F.xxhash64("vec_id"), F.lit(blocks)).cast("int"))
     q = q.groupBy("_o").agg(F.collect_list(F.struct(F.col("vec_id").alias("i"), F.col("v").alias("q"))).alias("qs"))
     v = vectors.select(F.col("vec_id").alias("j"), "v")
-    v = v.withColumn("_o", F.lit(0)) if blocks == 1 else v.withColumn("_o", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
-    one = v.join(F.broadcast(q) if blocks == 1 else q, "_o")
+    if blocks == 1:
+        one = v.withColumn("_o", F.lit(0)).join(F.broadcast(q), "_o")
+    else:
+        parts = 1 + vectors.count() // VECTORS
+        v = v.withColumn("_s", F.pmod(F.xxhash64("j"), F.lit(parts)).cast("int")).withColumn("_o", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
+        one = v.join(q.withColumn("_s", F.explode(F.sequence(F.lit(0), F.lit(parts - 1)))), ["_o", "_s"])
     return one.select("j", "v", F.explode("qs").alias("q")).select(F.col("q.i").alias("i"), "j", footrule(F.col("q.q"), F.col("v")).alias("d"))
 
 

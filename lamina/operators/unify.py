@@ -33,6 +33,18 @@ def bounded(rules: DataFrame) -> DataFrame:
     return F.broadcast(rules) if small(rules) else rules
 
 
+def paired(rows: DataFrame, rules: DataFrame) -> DataFrame:
+    """Each row with every rule (rule_id, ...) of a bank, where that is the result asked for: ranks of all rules.
+
+    A bank that is few is broadcast; a larger one is dealt into parts of some ten thousand rules, and rows to each part.
+    """
+    if small(rules):
+        return rows.withColumn("_o", F.lit(1)).join(F.broadcast(rules.withColumn("_o", F.lit(1))), "_o").drop("_o")
+    parts = 1 + rules.count() // 10_000
+    own = rules.withColumn("_o", F.pmod(F.xxhash64("rule_id"), F.lit(parts)).cast("int"))
+    return rows.withColumn("_o", F.explode(F.sequence(F.lit(0), F.lit(parts - 1)))).join(own, "_o").drop("_o")
+
+
 def _shape(terms) -> list:
     """What an atom's terms ask of a fact's arguments: vars (each once), at (their first places, from 1), same (pairs of places
     with one variable) and fixed (places with a constant). Worked out once a rule, not once a fact."""

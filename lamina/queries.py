@@ -11,7 +11,7 @@ from .functions import tokens as T
 from .functions.chance import gumbel_sql, uniform, uniform_sql
 from .operators import batches as B
 from .operators import chain, demos, metrics, schema_match, unify
-from .plans import banks, generate
+from .plans import banks
 
 QUERIES: dict = {}
 ORACLES: dict = {}
@@ -310,11 +310,16 @@ def footrule_matrix(spark, sf_dir):
     return demos.distances(v, v.where("vec_id % 50 = 0"))
 
 
+def seeded(rows: DataFrame, key: str, n: int, seed: str) -> list:
+    """``n`` keys by seeded hash."""
+    return [r[0] for r in rows.select(key).distinct().orderBy(uniform(F.concat_ws("|", F.lit(seed), key)), key).limit(n).collect()]
+
+
 @query()
 def k_medoids(spark, sf_dir):
+    """Embeddings by the nearest of four medoids, from seeded ones until none moves; a test holds it against brute force."""
     v = _vectors(spark, sf_dir)
-    start = [r["vec_id"] for r in v.select("vec_id").orderBy("vec_id").limit(4).collect()]
-    return demos.k_medoids(v, start, rounds=3)[0]
+    return demos.k_medoids(v, seeded(v, "vec_id", 4, "3"))[0]
 
 
 @query(f"""WITH {RANKED_SQL}, g AS (SELECT a, n FROM (VALUES (0.0), (1.0), (2.0)) x(a), (VALUES (2), (4)) y(n)),
@@ -542,29 +547,6 @@ def metric_flatten(spark, sf_dir):
     return metrics.flatten_metrics(m, "eval")
 
 
-# --- generators
-
-SMALL = banks.BankSpec(n_layers=6, predicates_per_layer=4, rules_per_transition=8, arity=(1, 2), variables=3, constants=("a", "b", "c"), k_in=(1, 2), k_out=(1, 2))
-
-
-@query()
-def gen_problems(spark, sf_dir):
-    return generate.problems(spark, banks.build(SMALL, 13), [1, 2, 3], 40, seed=13)
-
-
-@query()
-def gen_records(spark, sf_dir):
-    bank, _ = banks.build_hybrid(banks.build(SMALL, 13), 5013)
-    return generate.with_completions(generate.problems(spark, bank, [2, 3], 40, seed=13, salt=16_000_000, mode="train"), "full")
-
-
-@query("SELECT CAST(d AS INTEGER) AS distance, CAST(40 * d AS BIGINT) AS records, CAST(40 AS BIGINT) AS examples FROM range(1, 4) t(d)")
-def gen_counts(spark, sf_dir):
-    return gen_problems(spark, sf_dir).groupBy("distance").agg(F.count(F.lit(1)).alias("records"), F.countDistinct("problem_id").alias("examples"))
-
-
-
-
 # --- closed loops, selection by clusters, length bounds
 
 ROLL_SQL = """r AS (SELECT c_custkey AS qid, c_custkey % 6 AS k, c_custkey, c_nationkey, n_regionkey, c_mktsegment AS seg FROM customer JOIN nation ON c_nationkey = n_nationkey),
@@ -616,8 +598,7 @@ def cluster_select(spark, sf_dir):
     ranked = ranked_parts(spark, sf_dir).withColumn("qid", F.regexp_extract("qid", r"(\d+)$", 1).cast("int"))
     shown = demos.full_rank_top(ranked, 3)
     n = ranked.agg(F.max("rule_id")).first()[0]
-    start = [r["qid"] for r in shown.select("qid").distinct().orderBy("qid").limit(2).collect()]
-    return demos.cluster_select(shown, shown, ranked, n, 4, start, rounds=5)
+    return demos.cluster_select(shown, shown, ranked, n, 4, seeded(shown, "qid", 2, "5"))
 
 
 @query("""WITH p AS (SELECT DISTINCT n_regionkey AS a, n_nationkey AS b FROM nation)
@@ -635,9 +616,11 @@ def retokenize(spark, sf_dir):
     return table(spark, sf_dir, "conversations").select("conv_id", "turn", r.alias("r")).select("conv_id", "turn", F.array_join(F.col("r.xs").cast("array<string>"), ",").alias("xs"), F.array_join(F.col("r.ys").cast("array<string>"), ",").alias("ys"))
 
 
-@query("SELECT 8 AS max_atom, 63 AS max_prompt, 27 AS max_completion, 89 AS n_seq")
+@query("""WITH r AS (SELECT 'r0_' || n_nationkey AS l, 'r1_' || n_regionkey AS r FROM nation UNION ALL SELECT 'r1_' || r_regionkey, 'r2_' || (r_regionkey % 2) FROM region),
+m AS (SELECT CAST(max(greatest(length(l), length(r))) + 3 AS INTEGER) AS a, CAST(max(length(l) + length(r)) + 7 AS INTEGER) AS c FROM r)
+SELECT a AS max_atom, 4 * a + 4 + c + 1 AS max_prompt, c + 1 AS max_completion, 4 * a + 4 + c + 1 + c AS n_seq FROM m""")
 def length_bounds(spark, sf_dir):
-    r = rules(spark)
+    r = trade_rules(spark, sf_dir)
     each = F.explode(F.concat("lhs", "rhs")).alias("a")
     arities = r.select(each).select(F.col("a.predicate").alias("predicate"), F.size("a.args").alias("arity")).distinct()
     return T.length_bounds(r, arities, 3, n_demos=1, steps=1)

@@ -1,9 +1,12 @@
 """Goldens and invariants of the engine's operators."""
 
+import hashlib
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from lamina import queries
 from lamina.functions import atoms as A
 from lamina.functions import tokens as T
 from lamina.operators import batches as B
@@ -213,7 +216,6 @@ def test_medoid_nearest_to_the_query(spark):
 
 def test_registered_cluster_select(spark):
     """The query over the parts of sf0.001, against brute force."""
-    from lamina import queries
 
     sf = "/root/testdata/sf0.001"
     parts = [(int(r["p_brand"][6:]), r["p_partkey"], 1 + r["p_size"] % 4) for r in spark.read.parquet(f"{sf}/part.parquet").collect()]
@@ -226,11 +228,7 @@ def test_registered_cluster_select(spark):
         for place, i in enumerate(top[q], 1):
             x[row, i] = place
     d = np.abs(x[:, None, 1:] - x[None, :, 1:]).sum(2)
-    medoids = [0, 1]
-    for _ in range(5):
-        best = np.array(medoids)[d[medoids].argmin(0)]
-        own = {m: np.flatnonzero(best == m) for m in medoids}
-        medoids = sorted(int(o[d[np.ix_(o, o)].sum(1).argmin()]) if len(o) else m for m, o in own.items())
+    medoids = settled(d, sorted(by_hash("5", ids, 2)))
     want = []
     for row, q in enumerate(ids):
         m = ids[medoids[int(d[medoids, row].argmin())]]
@@ -239,6 +237,50 @@ def test_registered_cluster_select(spark):
     assert len(ids) > 2 and sorted((r["qid"], r["place"], r["rule_id"], r["rank"], r["medoid"]) for r in got) == sorted(want)
 
 
+def by_hash(seed, keys, n):
+    """Places of the ``n`` keys of least seeded hash."""
+    return sorted(range(len(keys)), key=lambda i: (hashlib.md5(f"{seed}|{keys[i]}".encode()).hexdigest()[:8], keys[i]))[:n]
+
+
+def settled(d, medoids):
+    while True:
+        best = np.array(medoids)[d[medoids].argmin(0)]
+        own = {m: np.flatnonzero(best == m) for m in medoids}
+        new = sorted(int(o[d[np.ix_(o, o)].sum(1).argmin()]) if len(o) else m for m, o in own.items())
+        if new == medoids:
+            return medoids
+        medoids = new
+
+
+def test_k_medoids_query(spark):
+    """From seeded starts to the end, where medoids have moved."""
+    rows = sorted((r["vec_id"], [round(float(np.float32(x) * np.float32(100))) for x in r["embedding"]]) for r in spark.read.parquet("/root/testdata/sf0.001/embeddings.parquet").collect())
+    got = {r["vec_id"]: (r["medoid"], r["d"]) for r in queries.QUERIES["k_medoids"](spark, "/root/testdata/sf0.001").collect()}
+    v = {r["vec_id"]: r["v"] for r in queries._vectors(spark, "/root/testdata/sf0.001").collect()}
+    ids = [i for i, _ in rows]
+    x = np.array([v[i] for i in ids])
+    d = np.abs(x[:, None] - x[None]).sum(2).astype(float)
+    start = sorted(by_hash("3", ids, 4))
+    medoids = settled(d, start)
+    assert medoids != start
+    assert got == {i: (ids[medoids[int(d[medoids, k].argmin())]], d[medoids, k].min()) for k, i in enumerate(ids)}
+
+
+def test_blocks_of_queries(spark, monkeypatch):
+    v = spark.createDataFrame([(i, [i % 7, i * i % 11]) for i in range(60)], "vec_id int, v array<int>")
+    want = {tuple(r) for r in demos.distances(v, v.where("vec_id < 20")).collect()}
+    monkeypatch.setattr(demos, "QUERIES", 6)
+    monkeypatch.setattr(demos, "VECTORS", 9)
+    assert {tuple(r) for r in demos.distances(v, v.where("vec_id < 20")).collect()} == want and len(want) == 1200
+
+
+def test_every_row_with_every_rule(spark, monkeypatch):
+    rows, rules = spark.range(7).toDF("qid"), spark.range(25).toDF("rule_id")
+    want = {tuple(r) for r in unify.paired(rows, rules).collect()}
+    monkeypatch.setattr(unify, "MOST_RULES", 3)
+    assert {tuple(r) for r in unify.paired(rows, rules).collect()} == want and len(want) == 175
+
+
 def test_rollout_ends(spark):
     bank = unify.bank(spark, ["r0_1(x1) → r1_1(x1)", "r1_1(x1) → r2_1(x1)"], [0, 1])
     rows = [(1, 0, [("r0_1", ["c0"])], ("r2_1", ["c0"])), (2, 1, [("r1_1", ["a"])], ("r2_1", ["a"])), (3, 0, [("r0_1", ["b"])], ("r2_1", ["b"]))]
