@@ -317,8 +317,8 @@ def seeded(rows: DataFrame, key: str, n: int, seed: str) -> list:
 
 @query()
 def k_medoids(spark, sf_dir):
-    """Embeddings by the nearest of four medoids, from seeded ones until none moves; a test holds it against brute force."""
-    v = _vectors(spark, sf_dir)
+    """Parts, by size and price, by the nearest of four medoids, from seeded ones until none moves; a test holds it against brute force."""
+    v = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("vec_id"), F.array("p_size", F.floor(F.col("p_retailprice") / 10).cast("int")).alias("v"))
     return demos.k_medoids(v, seeded(v, "vec_id", 4, "3"))[0]
 
 

@@ -254,10 +254,9 @@ def settled(d, medoids):
 
 def test_k_medoids_query(spark):
     """From seeded starts to the end, where medoids have moved."""
-    rows = sorted((r["vec_id"], [round(float(np.float32(x) * np.float32(100))) for x in r["embedding"]]) for r in spark.read.parquet("/root/testdata/sf0.001/embeddings.parquet").collect())
     got = {r["vec_id"]: (r["medoid"], r["d"]) for r in queries.QUERIES["k_medoids"](spark, "/root/testdata/sf0.001").collect()}
-    v = {r["vec_id"]: r["v"] for r in queries._vectors(spark, "/root/testdata/sf0.001").collect()}
-    ids = [i for i, _ in rows]
+    v = {r["p_partkey"]: [r["p_size"], int(r["p_retailprice"] // 10)] for r in spark.read.parquet("/root/testdata/sf0.001/part.parquet").collect()}
+    ids = sorted(v)
     x = np.array([v[i] for i in ids])
     d = np.abs(x[:, None] - x[None]).sum(2).astype(float)
     start = sorted(by_hash("3", ids, 4))
