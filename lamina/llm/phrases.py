@@ -199,9 +199,9 @@ def scored(grams: DataFrame, longest: int, percent: int) -> DataFrame:
 
 
 def best(rows: DataFrame, n: int, total: int) -> DataFrame:
-    """Adds rank, 1 to n by language. Shares of about 100,000 rows are cut to their first n before a language's rows meet."""
+    """Adds rank, 1 to n by language. Shares of about 4 n rows are cut to their first n before a language's rows meet."""
     order = [F.desc("score"), F.desc("a"), "phrase"]
-    share = F.pmod(F.xxhash64("phrase"), F.lit(1 + total // 100_000))
+    share = F.pmod(F.xxhash64("phrase"), F.lit(1 + total // (4 * n)))
     rows = rows.withColumn("_s", share).withColumn("_n", F.row_number().over(Window.partitionBy("lang", "_s").orderBy(*order))).where(F.col("_n") <= n)
     rank = F.row_number().over(Window.partitionBy("lang").orderBy(*order)).cast("long")
     return rows.withColumn("rank", rank).where(F.col("rank") <= n).drop("_s", "_n")
