@@ -103,13 +103,25 @@ def training_ids(labels: DataFrame, label: str, folds: int, held: int, bound: in
     """
     rows = labels.where(F.col("doc_id").isNotNull() & F.col(label).isin(0, 1) & (remainder("doc_id", folds) != held))
     h = F.xxhash64("doc_id", F.lit(seed))
-    n = rows.count()
+    n = rows.select("doc_id").distinct().count()
     if n > bound:  # thinned first, so that the limit below sees few rows from each task
         rows = rows.where(F.pmod(h, F.lit(1_000_000)) < int(min(1.0, 1.5 * bound / n) * 1_000_000))
     rows = rows.groupBy("doc_id").agg(F.min(F.col(label).cast("int")).alias("y"), F.max(F.col(label).cast("int")).alias("_z")).where("y = _z")
     return rows.select("doc_id", "y").orderBy(h, "doc_id").limit(bound)
 
 
+def one_row(rows: DataFrame, key: str, columns: list[str]) -> DataFrame:
+    """``key`` and ``columns`` of one row for each key, that of least hash."""
+    best = F.min(F.struct(F.xxhash64(*columns).alias("_h"), *columns))
+    return rows.groupBy(key).agg(best.alias("_r")).select(key, *(F.col(f"_r.{c}").alias(c) for c in columns))
+
+
+def training_rows(docs: DataFrame, ids: DataFrame, text: str) -> DataFrame:
+    """doc_id, text, y: one row of ``docs`` for each of ``ids``, however many rows repeat an id."""
+    met = docs.select("doc_id", F.col(text).alias("text")).join(F.broadcast(ids), "doc_id")  # broadcast: a bound's rows at most
+    return one_row(met, "doc_id", ["text", "y"])
+
+
 def slices(batch, column: int = 1, limit: int = 1 << 20):
     """Rows of an Arrow batch in slices whose texts hold about ``limit`` bytes, so that Python sees few at once."""
     import numpy as np

@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import long_key, remainder, slices
+from .common import long_key, one_row, remainder, slices
 
 ORDER = 4
 CACHE = 300_000
@@ -207,16 +207,17 @@ def train(docs: DataFrame, text: str = "text", lang: str = "lang", per_language:
     """Fits on at most ``per_language`` whole documents of each language outside the held-out fold.
 
     Four fifths of them give word counts for the models, the rest sharpness and the rejection limits.
-    Executors count words; the driver gets the distinct words of the bounded sample.
+    Of rows that repeat a doc_id one counts, the same in every run. Executors count words; the driver gets the distinct
+    words of the bounded sample.
     """
     rows = docs.where(F.col(lang).isNotNull() & F.col(text).isNotNull() & (remainder("doc_id", folds) != held)).select("doc_id", F.col(text).alias("text"), F.col(lang).alias("lang"))
     h = F.xxhash64("doc_id", F.lit(seed))
-    sizes = rows.groupBy("lang").count()
+    sizes = rows.groupBy("lang").agg(F.approx_count_distinct("doc_id", 0.02).alias("count"))
     thin = F.least(F.lit(1.0), F.lit(1.5 * per_language) / F.col("count"))
     chosen = rows.select("doc_id", "lang").join(F.broadcast(sizes), "lang").where(F.pmod(h, F.lit(1_000_000)) < thin * 1_000_000)
     chosen = chosen.withColumn("r", F.row_number().over(Window.partitionBy("lang").orderBy(h, "doc_id"))).where(F.col("r") <= per_language)
     chosen = chosen.select("doc_id").distinct()  # at most per_language rows a language
-    sample = rows.join(F.broadcast(chosen), "doc_id", "left_semi").withColumn("fit", F.pmod(F.xxhash64("doc_id", F.lit(seed + 1)), F.lit(5)) > 0)
+    sample = one_row(rows.join(F.broadcast(chosen), "doc_id", "left_semi"), "doc_id", ["lang", "text"]).withColumn("fit", F.pmod(F.xxhash64("doc_id", F.lit(seed + 1)), F.lit(5)) > 0)
     words = sample.where("fit").select("lang", F.explode(F.split(F.lower("text"), r"[^\p{L}]+")).alias("w")).where("w <> ''").groupBy("lang", "w").count().toArrow()
     table = {}
     for name in words.column("lang").unique().to_pylist():

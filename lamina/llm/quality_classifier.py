@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .boosting import AdditiveModel
-from .common import slices, training_ids
+from .common import slices, training_ids, training_rows
 
 FEATURES = [
     "log_words", "mean_word", "distinct_words", "doubled_words", "distinct_pairs", "symbols", "exclamations", "capitals", "digits",
@@ -55,9 +55,11 @@ def _feature_rows(extra: list[str]):
 
 
 def train(docs: DataFrame, labels: DataFrame, label: str = "quality", text: str = "text", folds: int = 4, held: int = 2, bound: int = 8000) -> AdditiveModel:
-    """Fits on at most ``bound`` labelled rows outside the held-out fold; the driver gets their features alone."""
-    ids = training_ids(labels, label, folds, held, bound)
-    rows = docs.join(F.broadcast(ids), "doc_id").select(F.col(text).alias("text"), F.col("doc_id").cast("long"), F.col("y").cast("int"))  # broadcast: bound rows at most
+    """Fits on at most ``bound`` labelled rows outside the held-out fold; the driver gets their features alone.
+
+    Of rows that repeat a doc_id one counts, the same in every run.
+    """
+    rows = training_rows(docs, training_ids(labels, label, folds, held, bound), text).select("text", F.col("doc_id").cast("long"), F.col("y").cast("int"))
     got = rows.mapInArrow(_feature_rows(["doc_id", "y"]), "x array<double>, doc_id long, y int").toArrow().sort_by("doc_id")
     x = np.array(got.column("x").to_pylist(), dtype=float).reshape(-1, len(FEATURES))
     y = got.column("y").to_numpy().astype(float)

@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .boosting import BoostedTrees, isotonic
-from .common import long_key, slices, training_ids
+from .common import long_key, slices, training_ids, training_rows
 
 # Words of the second person, and letters that other characters stand for.
 SECOND_PERSON = ["dein", "deine", "dich", "dir", "du", "eres", "es-tu", "euch", "ihr", "te", "ti", "toi", "ton", "tu", "u", "ur", "usted", "vos", "votre", "vous", "ya", "you", "your", "you're", "yourself"]
@@ -109,10 +109,10 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", text: str =
 
     Features of each of ``parts`` parts come from lexicons of the others, so that words which by chance stand
     in few toxic documents are seen to say little; margins for the isotonic fit come from trees grown
-    without the part. The model itself has the lexicons and trees of all.
+    without the part. The model itself has the lexicons and trees of all. Of rows that repeat a doc_id one counts, the
+    same in every run.
     """
-    ids = training_ids(labels, label, folds, held, bound)
-    rows = docs.join(F.broadcast(ids), "doc_id").select(F.coalesce(F.col(text), F.lit("")).alias("text"), "doc_id", F.col("y").cast("int").alias("y"))  # broadcast: bound rows at most
+    rows = training_rows(docs, training_ids(labels, label, folds, held, bound), text).select(F.coalesce("text", F.lit("")).alias("text"), "doc_id", F.col("y").cast("int").alias("y"))
     rows = rows.withColumn("part", F.pmod(F.xxhash64("doc_id", F.lit(13)), F.lit(parts)))
     words = lexicons(rows, parts)
 

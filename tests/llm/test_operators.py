@@ -481,3 +481,30 @@ def test_pipeline_on_odd_tables(spark):
         assert out.count() == {"exact dedup": 8, "MinHash near-dedup": 8}.get(name, out.count())
     for name, stage in pipeline.STAGES:
         assert stage(spark, docs.limit(0), SF).count() == 0, name
+
+
+def test_training_bounds_hold(spark, monkeypatch):
+    """Rows that repeat an id thousands of times count once."""
+    r = np.random.default_rng(4)
+    texts = [f"w{i} " + words(30, i) + ("" if i % 2 else " you idiot") for i in range(40)]
+    rows = [(i, texts[i], "en" if i < 30 else "de") for i in range(40) for _ in range(3000 if i < 2 else 1)] + [(5, "other " + words(20, 99), "en")]
+    docs = spark.createDataFrame([rows[i] for i in r.permutation(len(rows))], "doc_id long, text string, lang string").repartition(4)
+    labels = spark.createDataFrame([(i, i % 2, 1 - i % 2) for i in range(40)] * 2, "doc_id long, quality int, toxic int")
+    seen = []
+    monkeypatch.setattr(quality_classifier.AdditiveModel, "fit", classmethod(lambda cls, x, y: seen.append(x.copy())))
+    for bound in (2, 7, 100):
+        for _ in range(2):
+            quality_classifier.train(docs, labels, bound=bound)
+        assert len(seen[-1]) <= bound and (seen[-1] == seen[-2]).all()
+    held = sum(zlib.crc32(str(i).encode()) % 4 == 2 for i in range(40))
+    assert len(seen[-1]) == 40 - held
+    counts = []
+    inner = toxicity.lexicons
+    monkeypatch.setattr(toxicity, "lexicons", lambda d, parts: (counts.append(d.count()), inner(d, parts))[1])
+    toxicity.train(docs, labels, bound=12)
+    assert counts[0] <= 12
+    sizes = []
+    monkeypatch.setattr(language_id.CharacterModels, "fit", classmethod(lambda cls, table, order: (sizes.append({k: int(v[1].sum()) for k, v in table.items()}), 1 / 0)))
+    with pytest.raises(ZeroDivisionError):
+        language_id.train(docs, per_language=500)
+    assert 0 < sizes[0]["en"] < 31 * 40
