@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import and_
+
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
@@ -13,10 +16,8 @@ from .components import components
 
 WORDS = 5
 BANDS, ROWS = 60, 6  # values a signature: BANDS * ROWS, from half as many permutations
-FEW, PART = 16, 640  # largest bucket whose pairs a plain join makes; rows of a part of a larger one
+FEW, PART = 16, 640  # most sets of a shingle whose pairs a plain join makes; rows of a part of more
 SHORT = 32  # sets of fewer shingles are joined exactly, by their rarest shingles
-FINE = 1688  # values of a longer signature, which rows of large buckets get beside that of the bands
-SIGMAS = 6.0  # a signature's estimate has to lie so many standard deviations below the limit to drop a pair
 _rolling, _digest = Rolling(0x9E3779B97F4A7C15), Rolling(0xC2B2AE3D27D4EB4F)
 
 
@@ -83,51 +84,47 @@ def _read(bands: int, rows: int, longest: int):
     return run
 
 
-def _sketches(bands: int, rows: int):
-    """From rid, payload: each text's signatures, that of the bands and a longer one, the low byte of every value."""
+def _hashed():
+    """From rid, n, comp, payload: a row for each shingle of the text."""
 
     def run(batches):
         import zstandard
 
-        opener, hashes, families = zstandard.ZstdDecompressor(), WordHashes(), (MinMax(bands, rows), MinMax(1, FINE, seed=2))
+        opener, hashes = zstandard.ZstdDecompressor(), WordHashes()
         for batch in batches:
-            sets = [shingles(opener.decompress(p.as_py()).split(), hashes) for p in batch.column(1)]
-            sketch = [b"".join(f.signature(x).astype(np.uint8).tobytes() for f in families) for x in sets]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sketch, pa.binary())], ["rid", "sketch"])
+            for s in slices(batch, 3):
+                sets = [shingles(opener.decompress(p.as_py()).split(), hashes) for p in s.column(3)]
+                each = pa.array(np.repeat(np.arange(len(sets)), [len(x) for x in sets]))
+                yield pa.RecordBatch.from_arrays([*(s.column(i).take(each) for i in range(3)), pa.array(np.concatenate(sets).view(np.int64))], ["rid", "n", "comp", "s"])
 
     return run
 
 
-def _across(percent: int, bands: int, rows: int, sigmas: float = SIGMAS):
-    """Pairs of one unit whose components differ and whose sketches leave the similarity possible.
+def _fits(na, pa_, nb, pb, percent: int):
+    """Whether sets whose first common shingle lies at ``pa_`` and ``pb`` of their orders can be alike: as many
+    as the shorter rest holds can be common at most, and alike sets have percent / (100 + percent) of both sizes."""
+    least = percent * (na + nb)
+    return (100 + percent) * (na - pa_) >= least, (100 + percent) * (nb - pb) >= least, 100 * na >= percent * nb, 100 * nb >= percent * na
+
+
+def _across(percent: int):
+    """Pairs of one unit whose components differ and whose sizes and places leave the similarity possible.
 
-    A unit holds part of a bucket: rows of its largest component (``main``) and others, or others alone. A
-    pair that shares several buckets of bands comes out of that of its first common band.
+    A unit holds part of the rows with one shingle: rows of its largest component (``main``) and others, or others alone.
     """
-    j, coarse = percent / 100, 2 * ((bands * rows + 1) // 2)
-    least = lambda n: j - sigmas * (j * (1 - j) / n) ** 0.5
 
     def run(t: pa.Table) -> pa.Table:
-        rid, comp, n = (t.column(c).to_numpy() for c in ("rid", "comp", "n"))
+        rid, comp, n, p = (t.column(c).to_numpy() for c in ("rid", "comp", "n", "p"))
         main, left = t.column("main").to_numpy(zero_copy_only=False), t.column("left").to_numpy(zero_copy_only=False)
-        h = t.column("band")[0].as_py()
-        sketch = np.frombuffer(b"".join(t.column("sketch").to_pylist()), dtype=np.uint8).reshape(len(rid), -1)
         others = np.flatnonzero(~main)
         against = np.flatnonzero(main) if main.any() else np.arange(len(rid))
         out = []
         for x in others:
-            y = against[(comp[against] != comp[x]) & (100 * np.minimum(n[against], n[x]) >= percent * np.maximum(n[against], n[x]))]
+            y = against[comp[against] != comp[x]]
             if not main.any():  # others among themselves: each pair once, and only of different parts if the unit has two
                 y = y[(rid[y] < rid[x]) & ((left[y] != left[x]) | (t.column("alone")[0].as_py()))]
-            same = sketch[y, :coarse] == sketch[x, :coarse]
-            ok = same.mean(1) >= least(coarse)
-            y, same = y[ok], same[ok]
-            ok = (sketch[y] == sketch[x]).mean(1) >= least(sketch.shape[1])
-            y, same = y[ok], same[ok]
-            if len(y):
-                first = same[:, : bands * rows].reshape(len(y), bands, rows).all(2).argmax(1)
-                y = y[(first == h) | (h < 0)]
-                out.append(np.stack([np.maximum(rid[y], rid[x]), np.minimum(rid[y], rid[x])]))
+            y = y[np.logical_and.reduce(_fits(n[x], p[x], n[y], p[y], percent))]
+            out.append(np.stack([np.maximum(rid[y], rid[x]), np.minimum(rid[y], rid[x])]))
         a, b = np.concatenate(out, axis=1) if out else np.empty((2, 0), dtype=np.int64)
         return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
 
@@ -179,19 +176,18 @@ def near_dedup(docs: DataFrame, text: str = "text", key: str = "doc_id", percent
     2. A class weighs as much as its buckets hold together, and a bucket's heaviest class is its leader. Each
        class is first confirmed, on the full sets, against the heaviest of its leaders, which makes
        components; then against its other leaders, but for those that are in its component by now.
-    3. In buckets that still hold several components, the pairs of classes in different components are
-       confirmed too. Large buckets are cut into units of bounded size, and there signatures of ``FINE`` more values first
-       drop pairs whose estimate lies ``SIGMAS`` standard deviations below the limit: at exactly the limit
-       with a chance of 1e-9 by the normal tail, far below that of sharing no bucket. So every pair that
-       shares a bucket has been compared or is in one component already, but for these. A bucket of near copies
-       costs as many pairs as it has members, not their square.
+    3. In buckets that still hold several components, the classes are searched for pairs of different
+       components by their rarest shingles: two sets that are alike must share one of the first of either,
+       and where they lie in the order bounds how many they can have in common. The bounds are exact, so
+       every pair that shares a bucket and is alike is found, whatever the size of the bucket; what they
+       leave is confirmed on the full sets. A bucket of near copies costs as many pairs as it has members,
+       not their square, and unlike texts around one passage have no rare shingle in common.
 
     Buckets are found by partial sums, and rows meet them in joins with written tables, which Spark splits
     where they are skewed. With the default bands a pair of large sets at exactly 0.75 shares no
     bucket with a chance of eight in a million, one at 0.8 with one in 80 million. In small sets the least and
     the greatest shingle, which are different ones, rarer both agree (3.3e-4 for 3 of 4 shingles), so sets of
-    fewer than ``SHORT`` shingles have more buckets: two sets alike must share one of the rarest shingles of
-    either, as many as the limit lets differ and one. Pairs with such a set are all found, whatever the hashing.
+    fewer than ``SHORT`` shingles have more buckets, one for each of their rarest shingles. Pairs with such a set are all found, whatever the hashing.
 
     Null and wordless texts have an empty set and are linked with nothing. Repeated rows are linked as equal
     documents. A null doc_id is never a component's id unless all are null. Other columns are not read; an
@@ -233,20 +229,12 @@ def near_dedup(docs: DataFrame, text: str = "text", key: str = "doc_id", percent
         comp = _merged(comp, scratch.table(rest.where("ca <> cb").select("a", "b")), texts, percent, scratch)
 
         # 3. pairs across components in one bucket
-        where = inside.select("h", "band", "rid").join(comp.select(F.col("v").alias("rid"), "comp"), "rid", "left").withColumn("comp", F.coalesce("comp", "rid"))
+        where = inside.select("h", "rid").join(comp.select(F.col("v").alias("rid"), "comp"), "rid", "left").withColumn("comp", F.coalesce("comp", "rid"))
         where = scratch.table(where)
-        counts = where.groupBy("h", "comp").agg(F.count(F.lit(1)).alias("c"))
-        counts = counts.groupBy("h").agg(F.max(F.struct("c", "comp")).alias("top"), F.sum("c").alias("m")).where("top.c < m")
-        counts = scratch.table(counts.select("h", "m", F.col("top.c").alias("d"), F.col("top.comp").alias("top")))
-        where = scratch.table(where.join(counts, "h").join(size, "rid"))
-        few = where.where(F.col("m") <= FEW)
-        x, y = few.select("h", F.col("rid").alias("a"), F.col("comp").alias("ca"), F.col("n").alias("na")), few.select("h", F.col("rid").alias("b"), F.col("comp").alias("cb"), F.col("n").alias("nb"))
-        across = x.join(y, "h").where((F.col("ca") < F.col("cb")) & (100 * F.least("na", "nb") >= percent * F.greatest("na", "nb")))
-        across = across.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
-        many = where.where(F.col("m") > FEW)
-        if not many.isEmpty():
-            sketches = texts.select("rid", "payload").join(many.select("rid").distinct(), "rid").mapInArrow(_sketches(bands, rows), "rid long, sketch binary")
-            across = across.unionAll(_large(many, scratch.table(sketches), percent, bands, rows))
+        unlike = where.groupBy("h").agg(F.count(F.lit(1)).alias("c"), F.min("comp").alias("x"), F.max("comp").alias("y")).where("x < y")
+        where = meet(where, scratch.table(unlike.select("h", "c")), ["h"], "c", where.count()).join(size, "rid")
+        mixed_ = where.select("rid", "n", "comp").distinct()
+        across = _sharing(texts.select("rid", "payload").join(mixed_, "rid").select("rid", "n", "comp", "payload"), percent, scratch)
         tried = pairs.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
         across = across.distinct().join(tried, ["a", "b"], "left_anti")
         comp = _merged(comp, scratch.table(across), texts, percent, scratch)
@@ -260,13 +248,42 @@ def near_dedup(docs: DataFrame, text: str = "text", key: str = "doc_id", percent
         return scratch.result(out.select("doc_id", F.col("n").alias("n_shingles"), "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept")))
 
 
-def _rarest(member: DataFrame, percent: int, scratch: Scratch) -> DataFrame:
-    """rid, band (-1), h: for each short set its rarest shingles, one more than two alike sets may lack of each other."""
-    shingle = member.where("short is not null").select("rid", "n", F.explode("short").alias("s"))
+def _prefixes(shingle: DataFrame, percent: int, scratch: Scratch) -> DataFrame:
+    """From (rid, n, s) and more columns: s, c, p for each set's rarest shingles that other sets have too.
+
+    Shingles are ordered by their number of sets (c), then hash; p is the place in that order, from 0. Two alike
+    sets share one of the first of either, as many as such a set may lack and one.
+    """
     often = scratch.table(shingle.groupBy("s").agg(F.count(F.lit(1)).alias("c")).where("c > 1"))
-    order = shingle.join(often, "s", "left").groupBy("rid", "n").agg(F.array_sort(F.collect_list(F.struct(F.coalesce("c", F.lit(1)).alias("c"), "s"))).alias("o"))
-    most = (F.col("n") - F.ceil(F.col("n") * percent / 100) + 1).cast("int")
-    return order.select("rid", F.explode(F.slice("o", F.lit(1), most)).alias("x")).where("x.c > 1").select("rid", F.lit(-1).alias("band"), F.xxhash64("x.s").alias("h"))
+    own = [c for c in shingle.columns if c != "s"]
+    met = meet(shingle, often, ["s"], "c", shingle.select("rid").distinct().count())
+    order = met.groupBy(*own).agg(F.array_sort(F.collect_list(F.struct("c", "s"))).alias("o"))
+    single = F.col("n") - F.size("o")  # shingles of this set alone come first
+    most = (F.col("n") - F.ceil(F.col("n") * percent / 100) + 1 - single).cast("int")
+    return order.where(most > 0).withColumn("_single", single).select(*own, "_single", F.posexplode(F.slice("o", F.lit(1), most)).alias("p", "x")).select(*own, "x.s", "x.c", (F.col("p") + F.col("_single")).alias("p"))
+
+
+def _rarest(member: DataFrame, percent: int, scratch: Scratch) -> DataFrame:
+    """rid, band (-1), h: a bucket of each short set for each of its rarest shingles."""
+    shingle = scratch.table(member.where("short is not null").select("rid", "n", F.explode("short").alias("s")))
+    return _prefixes(shingle, percent, scratch).select("rid", F.lit(-1).alias("band"), F.xxhash64("s").alias("h"))
+
+
+def _sharing(sets: DataFrame, percent: int, scratch: Scratch) -> DataFrame:
+    """Of sets (rid, n, comp, payload), pairs of different components that can be alike: none that is alike is left out."""
+    shingle = scratch.table(sets.mapInArrow(_hashed(), "rid long, n long, comp long, s long"))
+    first = scratch.table(_prefixes(shingle, percent, scratch))
+    scratch.drop(shingle)
+    counts = first.groupBy("s", "comp").agg(F.count(F.lit(1)).alias("c"))
+    counts = counts.groupBy("s").agg(F.max(F.struct("c", "comp")).alias("top"), F.sum("c").alias("m")).where("top.c < m")
+    counts = scratch.table(counts.select("s", "m", F.col("top.c").alias("d"), F.col("top.comp").alias("top")))
+    first = scratch.table(meet(first.drop("c"), counts, ["s"], "m", first.count()))
+    few = first.where(F.col("m") <= FEW)
+    x, y = (few.select("s", *(F.col(c).alias(v + side) for c, v in (("rid", ""), ("comp", "c"), ("n", "n"), ("p", "p")))) for side in "ab")
+    ok = (F.col("ca") < F.col("cb"),) + _fits(F.col("na"), F.col("pa"), F.col("nb"), F.col("pb"), percent)
+    pairs = x.join(y, "s").where(reduce(and_, ok)).select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
+    many = first.where(F.col("m") > FEW)
+    return pairs if many.isEmpty() else pairs.unionAll(_large(many, percent))
 
 
 def _merged(comp: DataFrame, pairs: DataFrame, texts: DataFrame, percent: int, scratch: Scratch) -> DataFrame:
@@ -279,23 +296,23 @@ def _merged(comp: DataFrame, pairs: DataFrame, texts: DataFrame, percent: int, s
     return components(comp.select(F.col("v").alias("a"), F.col("comp").alias("b")).unionAll(more.select("a", "b")), scratch)
 
 
-def _large(many: DataFrame, sketches: DataFrame, percent: int, bands: int, rows: int) -> DataFrame:
-    """Pairs across components in large buckets, by units of at most about two ``PART`` rows.
+def _large(many: DataFrame, percent: int) -> DataFrame:
+    """Pairs across components that share a frequent shingle, by units of at most about two ``PART`` rows.
 
-    The bucket's largest component and the rest are dealt into parts by hash. Units are every part of the
+    The shingle's largest component and the rest are dealt into parts by hash. Units are every part of the
     one with every part of the other, and every two parts of the rest.
     """
     parts = lambda n: F.ceil(n / PART).cast("long")
     main = F.col("comp") == F.col("top")
     many = many.withColumn("main", main).withColumn("cd", parts(F.col("d"))).withColumn("cr", parts(F.col("m") - F.col("d")))
-    many = many.withColumn("p", F.pmod(F.xxhash64("rid"), F.when(F.col("main"), F.col("cd")).otherwise(F.col("cr"))))
+    many = many.withColumn("part", F.pmod(F.xxhash64("rid"), F.when(F.col("main"), F.col("cd")).otherwise(F.col("cr"))))
     each = lambda n, f: F.transform(F.sequence(F.lit(0).cast("long"), F.col(n) - 1), f)
     unit = lambda a, b: F.struct(a.alias("i"), b.alias("j"))
-    with_main = each("cd", lambda i: unit(i, F.col("p")))
-    among = each("cr", lambda j: unit(-1 - F.least(j, F.col("p")), F.greatest(j, F.col("p"))))
-    units = F.when(F.col("main"), each("cr", lambda j: unit(F.col("p"), j))).otherwise(F.concat(with_main, among))
-    many = many.withColumn("u", F.explode(units)).select("h", "band", "rid", "comp", "n", "main", F.col("u.i").alias("i"), F.col("u.j").alias("j"), (F.col("p") == -1 - F.col("u.i")).alias("left"), (F.col("u.j") == -1 - F.col("u.i")).alias("alone"))
-    return many.join(sketches, "rid").groupBy("h", "i", "j").applyInArrow(_across(percent, bands, rows), "a long, b long")
+    with_main = each("cd", lambda i: unit(i, F.col("part")))
+    among = each("cr", lambda j: unit(-1 - F.least(j, F.col("part")), F.greatest(j, F.col("part"))))
+    units = F.when(F.col("main"), each("cr", lambda j: unit(F.col("part"), j))).otherwise(F.concat(with_main, among))
+    many = many.withColumn("u", F.explode(units)).select("s", "rid", "comp", "n", "p", "main", F.col("u.i").alias("i"), F.col("u.j").alias("j"), (F.col("part") == -1 - F.col("u.i")).alias("left"), (F.col("u.j") == -1 - F.col("u.i")).alias("alone"))
+    return many.groupBy("s", "i", "j").applyInArrow(_across(percent), "a long, b long")
 
 
 def _links(pairs: DataFrame, texts: DataFrame, percent: int) -> DataFrame:

@@ -8,6 +8,7 @@ from itertools import product
 
 import numpy as np
 import pytest
+import zstandard
 from pyspark.sql import functions as F
 
 from lamina.llm import boosting, components, exact_dedup, language_id, lm_scoring, mixing, near_dedup, packing, quality_classifier, quality_rules, registry, substring_dedup, toxicity
@@ -104,6 +105,26 @@ def test_near_large_bucket(spark, monkeypatch):
     assert got == dict(enumerate(group))
 
 
+def test_near_pairs_in_unlike_buckets(spark):
+    """Texts around one long passage share buckets; of them, all pairs at the limit or just above it are found, in one bucket of any size."""
+    r = np.random.default_rng(12)
+    head, data = words(60, 13).split(), []
+    for k in range(150):
+        own = [f"t{k}x{i}" for i in range(int(r.integers(20, 90)))]
+        n = len(head) + len(own) - 4
+        out = n // 7 + int(r.integers(-1, 2))  # of n shingles each, so many that the other lacks: 0.75 at a seventh
+        data += [(2 * k, " ".join(head + own)), (2 * k + 1, " ".join(head + own[:-out] + [f"u{k}x{i}" for i in range(out)]))]
+    sets = [shingle_set(t) for _, t in data]
+    alike = {(a, b) for a in range(len(data)) for b in range(a) if 100 * len(sets[a] & sets[b]) >= 75 * len(sets[a] | sets[b])}
+    with Scratch(spark) as s:
+        rows = s.table(spark.createDataFrame([(i, len(x), i, zstandard.compress(data[i][1].encode())) for i, x in enumerate(sets)], "rid long, n long, comp long, payload binary"))
+        got = {(x["a"], x["b"]) for x in near_dedup._sharing(rows, 75, s).collect()}
+    assert 50 < len(alike) < 150 and alike <= got and len(got) < 600  # of 44,850
+    want = {i: min([i, *(b for a, b in alike if a == i)]) for i in range(len(data))}
+    found = {x["doc_id"]: x["component_id"] for x in near_dedup.near_dedup(spark.createDataFrame(data, "doc_id long, text string")).collect()}
+    assert found == want
+
+
 def test_near_short_texts(spark):
     """Every pair of short texts at the limit or above it is linked, however unlucky the hashing: 200 pairs by one band each."""
     r = np.random.default_rng(9)
