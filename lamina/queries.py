@@ -10,7 +10,7 @@ from .functions import atoms as A
 from .functions import tokens as T
 from .functions.chance import gumbel_sql, uniform, uniform_sql
 from .operators import batches as B
-from .operators import chain, demos, metrics, schema_match, unify
+from .operators import chain, demos, division, metrics, schema_match, unify
 from .plans import banks
 
 QUERIES: dict = {}
@@ -93,10 +93,9 @@ r AS (SELECT * FROM (VALUES (1, ['AF']), (2, ['NO', 'RF']), (3, ['AF', 'RF'])) v
 SELECT l_orderkey, rule_id FROM f, r WHERE list_has_all(have, need)""")
 def rule_subset_division(spark, sf_dir):
     """Propositional rules whose left side is a subset of an order's states."""
-    f = table(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(F.collect_set(F.concat("l_returnflag", "l_linestatus")).alias("have"))
-    need = {1: ["AF"], 2: ["NO", "RF"], 3: ["AF", "RF"]}
-    each = F.array(*[F.struct(F.lit(k).alias("rule_id"), F.array(*map(F.lit, v)).alias("need")) for k, v in need.items()])
-    return f.withColumn("r", F.explode(each)).where(A.subset(F.col("r.need"), F.col("have"))).select("l_orderkey", "r.rule_id")
+    facts = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("qid"), F.concat("l_returnflag", "l_linestatus").alias("fact"))
+    asked = spark.createDataFrame([(1, ["AF"]), (2, ["NO", "RF"]), (3, ["AF", "RF"])], "rule_id int, need array<string>")
+    return division.applicable(facts, asked).select(F.col("qid").alias("l_orderkey"), "rule_id")
 
 
 @query("""SELECT n_nationkey, 'r0_1(' || n_name || ',' || r_name || ') ∧ r0_2(' || r_name || ',' || n_regionkey || ') → r1_1(' || n_name || ',x9)' AS statement

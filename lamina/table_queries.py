@@ -4,8 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from .functions import propositions as P
+from .functions import tokens as T
 from .functions.chance import uniform_sql
-from .operators import batches, budget, nested, subwords, unify
+from .operators import batches, budget, division, nested, subwords, unify
 from .queries import WORDS_OF, atom, query, table
 from .session import new_folder
 from .sources import record_files as records
@@ -116,3 +118,34 @@ def retokenize_subwords(spark, sf_dir):
     r = subwords.model_rows(subwords.subword_ids(table(spark, sf_dir, "conversations").select("conv_id", "turn", "text"), "text", own), "ids", 256)
     shown = lambda c: F.array_join(F.col(c).cast("array<string>"), ",").alias(c)
     return r.select("conv_id", "turn", F.size("ids").alias("n"), shown("xs"), shown("ys"))
+
+
+# --- propositions
+
+
+@query("""WITH f AS (SELECT DISTINCT l_orderkey, l_linenumber AS k FROM lineitem)
+SELECT l_orderkey, string_agg(CAST(9 + k AS VARCHAR), ',6,' ORDER BY k) || ',1,' || (17 + l_orderkey % 5) || ',8' AS ids,
+string_agg('p0_' || k, ';' ORDER BY k) AS ants, 'p1_' || (l_orderkey % 5) AS cons FROM f GROUP BY l_orderkey""")
+def proposition_rows(spark, sf_dir):
+    """Every order's lines as antecedents of a sequent, to ids by the vocabulary of all lines, and decoded from them."""
+    line = table(spark, sf_dir, "lineitem").select("l_orderkey", F.col("l_linenumber").cast("string").alias("k"), (F.col("l_orderkey") % 5).cast("string").alias("goal"))
+    named = line.select(F.explode(F.array(F.concat(F.lit("p0_"), "k"), F.concat(F.lit("p1_"), "goal"))).alias("name")).distinct()
+    vocabulary = T.collected(T.proposition_vocabulary(named))
+    ants = F.array_join(F.transform(F.array_sort(F.collect_set(F.col("k").cast("int"))), lambda k: F.concat(F.lit("p0_"), k.cast("string"))), ",")
+    rows = line.groupBy("l_orderkey", "goal").agg(ants.alias("a")).withColumn("row", P.prompt_ids(F.concat("a", F.lit("⊢p1_"), "goal"), T.id_map(vocabulary)))
+    read = rows.withColumn("d", P.decode_prompt(F.col("row"), T.name_map(vocabulary)))
+    return read.select("l_orderkey", F.array_join(F.col("row").cast("array<string>"), ",").alias("ids"), F.array_join("d.ants", ";").alias("ants"), "d.cons")
+
+
+@query("""WITH f AS (SELECT DISTINCT o_custkey AS c, o_orderpriority AS x FROM orders UNION SELECT DISTINCT o_custkey, o_orderstatus FROM orders),
+n AS (SELECT DISTINCT l_suppkey AS r, o_orderpriority AS x FROM lineitem JOIN orders ON l_orderkey = o_orderkey WHERE l_quantity > 45 UNION
+SELECT DISTINCT l_suppkey, o_orderstatus FROM lineitem JOIN orders ON l_orderkey = o_orderkey WHERE l_quantity > 45),
+size AS (SELECT r, count(*) AS k FROM n GROUP BY r)
+SELECT c AS qid, CAST(r AS BIGINT) AS rule_id FROM f JOIN n USING (x) JOIN size USING (r) GROUP BY c, r, k HAVING count(*) = k""")
+def rules_by_division(spark, sf_dir):
+    """Suppliers of large lines as rules that need all priorities and states of their orders, against each customer's."""
+    o = table(spark, sf_dir, "orders")
+    states = F.explode(F.array("o_orderpriority", "o_orderstatus"))
+    large = table(spark, sf_dir, "lineitem").where("l_quantity > 45").join(o, F.col("l_orderkey") == F.col("o_orderkey"))
+    asked = large.select(F.col("l_suppkey").cast("long").alias("rule_id"), states.alias("x")).groupBy("rule_id").agg(F.collect_set("x").alias("need"))
+    return division.applicable(o.select(F.col("o_custkey").alias("qid"), states.alias("fact")), asked)
