@@ -88,6 +88,47 @@ def predict(prompts: DataFrame, model: Model, n_seq: int, most: int, way: str =
     return prompts.select(F.col("key").cast("long"), F.col("prompt").cast("array<int>")).mapInArrow(run, "key long, prompt array<int>, completion array<int>")
 
 
+class Stepwise(Protocol):
+    """A model that keeps what it has read. A state is a tuple of arrays whose first axis is that of the rows."""
+
+    def begin(self, rows: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, tuple[np.ndarray, ...]]:
+        """Logits (rows, ids) behind each row's first ``lengths`` ids, and the state there."""
+
+    def step(self, state: tuple[np.ndarray, ...], ids: np.ndarray) -> tuple[np.ndarray, tuple[np.ndarray, ...]]:
+        """Logits and state once each row has one id more."""
+
+
+def predict_stepwise(prompts: DataFrame, model: Stepwise, n_seq: int, most: int, temperature: float = 0.0, seed: int = 0) -> DataFrame:
+    """As ``predict`` does id after id, with the same draws, but a prompt is read once and then each new id once.
+
+    Rows that have ended leave the batch with their state. Null prompts, those without exactly one <START> and those
+    longer than ``n_seq`` are an error.
+    """
+
+    def run(batches):
+        for batch in batches:
+            keys, rows = batch.column(0).to_pylist(), batch.column(1).to_pylist()
+            if any(r is None or r.count(START) != 1 or len(r) > n_seq for r in rows):
+                raise ValueError("a prompt needs one <START> and must fit the model")
+            out, open_ = [[] for _ in rows], np.arange(len(rows))
+            rngs = [np.random.default_rng([seed, k or 0]) for k in keys]
+            lengths = np.array([len(r) for r in rows], dtype=np.int64)
+            if rows and most > 0:
+                z, state = model.begin(_grid(rows, int(lengths.max())), lengths)
+            while len(open_) and most > 0:
+                ids = np.array([int(_drawn(z[j], temperature, rngs[i])) for j, i in enumerate(open_)], dtype=np.int32)
+                for i, t in zip(open_, ids.tolist()):
+                    out[i].append(t)
+                done = np.array([len(out[i]) for i in open_])
+                on = (ids != EOT) & (done < most) & (lengths[open_] + done < n_seq + 1)
+                open_, ids, state = open_[on], ids[on], tuple(x[on] for x in state)
+                if len(open_):
+                    z, state = model.step(state, ids)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1).cast(pa.list_(pa.int32())), pa.array(out, pa.list_(pa.int32()))], ["key", "prompt", "completion"])
+
+    return prompts.select(F.col("key").cast("long"), F.col("prompt").cast("array<int>")).mapInArrow(run, "key long, prompt array<int>, completion array<int>")
+
+
 def fill(rows: DataFrame, model: Model, at: int = 1, beta: float = 1.0, seed: int = 0) -> DataFrame:
     """Rows (key, xs) whose places behind ``at`` are drawn one after the other by softmax(beta * logits) of the place before."""
 
