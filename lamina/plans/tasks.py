@@ -5,7 +5,7 @@ from __future__ import annotations
 import argparse
 import json
 import math
-from collections.abc import Mapping
+from collections.abc import Callable, Mapping
 from dataclasses import asdict, dataclass, field, fields, is_dataclass, replace
 from typing import Protocol
 
@@ -18,7 +18,7 @@ from ..functions import tokens as T
 from ..functions.atoms import ATOM_TYPE, let, parse_atom, parse_clause, parse_sequent
 from ..functions.chance import uniform
 from ..functions.decode import decode_completion, prompt_info, sequent_text
-from ..operators.augment import DISTRIBUTIONS, resolved_beta
+from ..operators.augment import DISTRIBUTIONS, augment, demo_adapter, resolved_beta
 from ..operators.unify import bounded
 from .banks import POOLS, Bank, BankSpec, build, build_hybrid
 from .generate import STEP, problems, with_completions
@@ -253,6 +253,36 @@ def hybrid_prompts(steps: DataFrame, chosen: DataFrame, noise: DataFrame, rules:
     return augmented(prompts, ground).join(n.select("qid", "n_fresh"), "qid")
 
 
+OF_DEMOS = ("least_demos", "most_demos", "include_oracle", "distribution", "alpha", "in_order", "beta", "demo_all", "unique")
+
+
+def demonstrated(base: Callable[[DataFrame], DataFrame], options: Options, candidates: Callable[[DataFrame], DataFrame], rules: DataFrame, constants: list[str], oracle: Callable[[DataFrame], DataFrame] | None = None, **other) -> Callable[[DataFrame], DataFrame]:
+    """An adapter for ``rollout`` whose model sees the demonstrations that ``options`` ask for, each setting of ``OF_DEMOS`` unless
+    ``other`` gives one for this adapter. Together they are checked as options are.
+
+    ``candidates`` gives the rules that open rows can be shown (qid, rule_id, rank), ``oracle`` the one to be among them
+    (qid, rule_id), ``rules`` their schemas. Draws differ from step to step. ``base`` gets rows with a prompt (tokens).
+    The distribution ``cluster`` is an error here once rows are asked for; its selection is ``cluster.select``.
+    """
+    if unknown := sorted(set(other) - set(OF_DEMOS)):
+        raise ValueError(f"no settings of demonstrations: {unknown}")
+    own = replace(options, **other)
+    if own.include_oracle and oracle is None:
+        raise ValueError("include_oracle needs an oracle")
+    how = {"alpha": own.alpha, "unique": own.unique, "beta": own.beta, "in_order": own.in_order}
+
+    def add(rows: DataFrame) -> DataFrame:
+        prompts = rows.withColumn("prompt", T.prompt_tokens(F.col("facts"), F.col("goal")))
+        if not own.most_demos and not own.demo_all:
+            return prompts
+        best = oracle(rows) if own.include_oracle and not own.demo_all else None
+        least = max(own.least_demos, 1) if best is not None else own.least_demos
+        step = rows.agg(F.max("step")).first()[0]  # all open rows are at one step
+        return augment(prompts, candidates(rows), rules, constants, least, max(own.most_demos, least), own.distribution, f"{own.seed}|{step}", everything=own.demo_all, oracle=best, **how)
+
+    return demo_adapter(base, add)
+
+
 # --- splits and tasks
 
 

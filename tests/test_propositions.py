@@ -1,12 +1,12 @@
 """Propositional rows and division against definitions by hand and brute force."""
 
+import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from lamina.functions import propositions as P
 from lamina.functions import tokens as T
 from lamina.operators import division
-import numpy as np
-import pytest
 
 
 @pytest.fixture(scope="module")
