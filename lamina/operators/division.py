@@ -5,24 +5,49 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..session import cut, spread
+from .unify import small
+
+SHARES = 64  # of the queries of a set, where a bank is too large for broadcast
 
-def applicable(facts: DataFrame, rules: DataFrame) -> DataFrame:
-    """qid, rule_id for each rule (rule_id, need: array) all of whose propositions are facts (qid, fact) of the query.
+
+def _met(facts: DataFrame, rules: DataFrame) -> DataFrame:
+    """qid, rule_id of rules (rule_id, need: distinct, none null) whose needs are all among a query's facts (qid, fact: distinct).
 
     A rule meets queries by the rarest proposition that it needs, so it costs as many rows as that has queries,
-    and only these are asked for the others: each is a fact to be met, and a rule holds where all are. A rule that needs
-    nothing holds for every query. Repeated facts and needs count once; null ones are never met, and a rule
-    with a null need never holds. Rules are told apart by rule_id.
+    and only these are asked for the others: each is a fact to be met, and a rule holds where all are.
     """
-    have = facts.select("qid", "fact").where("fact is not null").distinct()
-    asked = rules.select("rule_id", F.array_distinct("need").alias("need"))
-    often = have.groupBy("fact").agg(F.count(F.lit(1)).alias("n"))
-    needs = asked.select("rule_id", "need", F.explode("need").alias("fact")).where(~F.exists("need", lambda x: x.isNull()))
+    often = facts.groupBy("fact").agg(F.count(F.lit(1)).alias("n"))
+    needs = rules.select("rule_id", "need", F.explode("need").alias("fact"))
     rarest = needs.join(often, "fact").groupBy("rule_id").agg(F.count(F.lit(1)).alias("known"), F.min(F.struct("n", "fact")).alias("r"), F.first("need").alias("need"))
     rarest = rarest.where(F.col("known") == F.size("need")).select("rule_id", F.col("r.fact").alias("fact"), F.array_except("need", F.array("r.fact")).alias("rest"))
-    met = have.join(rarest, "fact").select("qid", "rule_id", "rest")
+    met = facts.join(rarest, "fact").select("qid", "rule_id", "rest")
     open_ = met.where(F.size("rest") > 0).select("qid", "rule_id", F.size("rest").alias("_size"), F.explode("rest").alias("fact"))
-    full = open_.join(have, ["qid", "fact"]).groupBy("qid", "rule_id", "_size").agg(F.count(F.lit(1)).alias("n")).where("n = _size")
-    free = asked.where(F.size("need") == 0).select("rule_id", F.lit(True).alias("_all"))
-    every = facts.select("qid").distinct().withColumn("_all", F.lit(True)).join(free, "_all")
-    return met.where(F.size("rest") == 0).select("qid", "rule_id").unionByName(full.select("qid", "rule_id")).unionByName(every.select("qid", "rule_id"))
+    full = open_.join(facts, ["qid", "fact"]).groupBy("qid", "rule_id", "_size").agg(F.count(F.lit(1)).alias("n")).where("n = _size")
+    return met.where(F.size("rest") == 0).select("qid", "rule_id").unionByName(full.select("qid", "rule_id"))
+
+
+def applicable(facts: DataFrame, rules: DataFrame) -> DataFrame:
+    """qid, rule_id for each rule (rule_id, need: array) all of whose propositions are facts (qid, fact) of the query.
+
+    Queries with the same facts, of those that any rule needs, are asked once, as are rules with the same needs: sets of
+    facts meet sets of needs, and then each query gets the rules of its set. A rule that needs nothing holds for every
+    query. Repeated facts and needs count once; null ones are never met, and a rule with a null need never holds.
+    Rules are told apart by rule_id.
+    """
+    asked = rules.where(F.col("need").isNotNull() & ~F.exists("need", lambda x: x.isNull()))
+    asked = cut(asked.select("rule_id", F.array_sort(F.array_distinct("need")).alias("need")))
+    needed = asked.select(F.explode("need").alias("fact")).distinct().withColumn("_in", F.lit(True))
+    have = facts.select("qid", "fact").distinct().join(needed, "fact", "left")
+    own = cut(have.groupBy("qid").agg(F.array_sort(F.collect_set(F.when(F.col("_in"), F.col("fact")))).alias("_f")))
+    sets = cut(own.select("_f").distinct().withColumn("_q", F.monotonically_increasing_id()))
+    needs = cut(asked.select("need").distinct().withColumn("_r", F.monotonically_increasing_id()))
+    met = _met(sets.select(F.col("_q").alias("qid"), F.explode("_f").alias("fact")), needs.select(F.col("_r").alias("rule_id"), "need"))
+    free = F.broadcast(needs.where(F.size("need") == 0).select("_r"))  # one row at most
+    met = cut(met.select(F.col("qid").alias("_q"), F.col("rule_id").alias("_r")).unionByName(sets.select("_q").crossJoin(free)))
+    queries = spread(own.join(sets, "_f").select("qid", "_q")).join(met, "_q").select("qid", "_r")
+    of = asked.join(needs, "need").select("rule_id", "_r")
+    if small(asked):
+        return queries.join(F.broadcast(of), "_r").select("qid", "rule_id")
+    queries = queries.withColumn("_s", F.pmod(F.xxhash64("qid"), F.lit(SHARES)).cast("int"))
+    return queries.join(of.withColumn("_s", F.explode(F.sequence(F.lit(0), F.lit(SHARES - 1)))), ["_r", "_s"]).select("qid", "rule_id")

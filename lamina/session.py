@@ -1,4 +1,4 @@
-"""A session for local work, the folder that all executors share, and cuts of long lineages."""
+"""A session for local work, the folder that all executors share, cuts of long lineages, and rows dealt to all cores."""
 
 from __future__ import annotations
 
@@ -54,3 +54,9 @@ def cut(df: DataFrame) -> DataFrame:
     path = new_folder(df.sparkSession)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """The rows dealt evenly over all cores: a table's small file is one task, however much work its rows are."""
+    spark = df.sparkSession
+    return df.repartition(max(4 * spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions"))))

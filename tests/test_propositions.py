@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from lamina.functions import propositions as P
 from lamina.functions import tokens as T
-from lamina.operators import division
+from lamina.operators import division, unify
 
 
 @pytest.fixture(scope="module")
@@ -74,3 +74,31 @@ def test_division(spark):
     got = division.applicable(spark.createDataFrame(facts, "qid long, fact string"), spark.createDataFrame(rules, "rule_id int, need array<string>"))
     rows = [tuple(x) for x in got.collect()]
     assert set(rows) == want and len(rows) == len(want)
+
+
+def shuffled(spark, df):
+    """Rows that the stages of a query hand on, all of them together."""
+    store, array = spark.sparkContext._jsc.sc().statusStore(), spark.sparkContext._gateway.new_array(spark.sparkContext._jvm.double, 0)
+    total = lambda: sum(s.shuffleWriteRecords() for s in (all_.apply(i) for all_ in [store.stageList(None, False, False, array, None)] for i in range(all_.size())))
+    before = total()
+    rows = df().collect()
+    return rows, total() - before
+
+
+def test_division_asks_equal_sets_once(spark):
+    """Queries and rules of few sets: 22,500 pairs, whose needs are not held against facts pair by pair."""
+    n, names = 150, [f"p{i}" for i in range(6)]
+    facts = spark.createDataFrame([(q, f) for q in range(n) for f in names], "qid long, fact string")
+    rules = spark.createDataFrame([(r, names) for r in range(n)], "rule_id int, need array<string>")
+    got, moved = shuffled(spark, lambda: division.applicable(facts, rules))
+    assert {(r["qid"], r["rule_id"]) for r in got} == {(q, r) for q in range(n) for r in range(n)} and len(got) == n * n
+    assert moved < n * n
+
+
+def test_division_without_broadcast(spark, monkeypatch):
+    facts = spark.createDataFrame([(q, f"p{i}") for q in range(20) for i in range(q % 4)] + [(30, None), (None, "p0")], "qid long, fact string")
+    rules = spark.createDataFrame([(r, [f"p{i}" for i in range(r % 3)]) for r in range(9)] + [(20, ["p0", None]), (21, None), (22, ["q"])], "rule_id int, need array<string>")
+    want = sorted(map(str, division.applicable(facts, rules).collect()))
+    monkeypatch.setattr(unify, "MOST_RULES", 3)
+    assert sorted(map(str, division.applicable(facts, rules).collect())) == want
+    assert len(want) == sum(sum(r % 3 <= q % 4 for r in range(9)) for q in range(20) if q % 4) + 3 + 6
