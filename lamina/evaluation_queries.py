@@ -12,6 +12,7 @@ from .functions.chance import gumbel_sql, uniform_sql
 from .operators import augment, batches, cluster, evaluate, generation, unify
 from .plans import tasks
 from .queries import RANKED_SQL, TURNS_SQL, atom, query, ranked_parts, shown, table, turn_records
+from .session import spread
 
 # --- a customer's nation and region as constants; facts r0_1(nation, region) and r0_2(region, nation)
 
@@ -35,7 +36,7 @@ def _ids(tokens):
 
 def _customers(spark, sf_dir):
     """key, a (nation), b (region), ants, goal."""
-    c, n = table(spark, sf_dir, "customer"), table(spark, sf_dir, "nation")
+    c, n = spread(table(spark, sf_dir, "customer")), table(spark, sf_dir, "nation")
     j = c.join(F.broadcast(n), c["c_nationkey"] == n["n_nationkey"]).select(F.col("c_custkey").cast("long").alias("key"), F.concat(F.lit("n"), "n_nationkey").alias("a"), F.concat(F.lit("g"), "n_regionkey").alias("b"))
     return j.withColumn("ants", F.array(atom("r0_1", "a", "b"), atom("r0_2", "b", "a"))).withColumn("goal", atom("r2_1", "a"))
 
@@ -79,9 +80,9 @@ def decode_completion(spark, sf_dir):
     one, two = ([F.col("ants")[0], F.col("ants")[1]], [atom("r1_1", "a", "a")]), ([atom("r1_1", "a", "a")], [atom("r2_1", "a")])
     plain = _ids(F.concat(T.atom_tokens(atom("r1_1", "a", "a")), F.array(F.lit("<EOT>"))))
     rows = _by_kind(F.col("key") % 6, [_said(one, two), _said(one), plain, F.filter(_said(one), lambda t: t != T.EOT), F.concat(F.array(F.lit(T.SEP)), _said(one)), F.concat(F.array(F.lit(T.PAD)), _said(one))])
-    d = c.select("key", rows.alias("row"))
-    single = A.let(D.decode_clause(F.col("row"), _names()), lambda c: F.when(c["error"].isNull(), A.clause_text(c["lhs"], c["rhs"])))
-    return d.select("key", D.display_text(F.col("row"), _names()).alias("display"), single.alias("single"), D.decode_completion(F.col("row"), _names())["error"].alias("error"))
+    d = c.select("key", D.decode_completion(rows, _names()).alias("d"))
+    single = A.let(D.clause_of(F.col("d")), lambda c: F.when(c["error"].isNull(), A.clause_text(c["lhs"], c["rhs"])))
+    return d.select("key", D.shown_of(F.col("d")).alias("display"), single.alias("single"), F.col("d.error").alias("error"))
 
 
 def _path_rows(spark, sf_dir):

@@ -100,16 +100,22 @@ def decode_completion(row: Column, names: Column) -> Column:
     return let(row, read)
 
 
+def clause_of(d: Column) -> Column:
+    """struct<lhs, rhs, error> of a decoded completion (struct<texts, error>) with one statement, a clause."""
+    error = lambda c: F.coalesce(d["error"], F.when(F.size(d["texts"]) != 1, "more than one statement").when(c.isNull(), "no clause"))
+    return let(parse_clause(d["texts"][0]), lambda c: let(error(c), lambda e: F.struct(F.when(e.isNull(), c["lhs"]).alias("lhs"), F.when(e.isNull(), c["rhs"]).alias("rhs"), e.alias("error"))))
+
+
 def decode_clause(row: Column, names: Column) -> Column:
     """struct<lhs, rhs, error> of a completion with one statement, a clause."""
+    return let(decode_completion(row, names), clause_of)
 
-    def read(d: Column) -> Column:
-        error = lambda c: F.coalesce(d["error"], F.when(F.size(d["texts"]) != 1, "more than one statement").when(c.isNull(), "no clause"))
-        return let(parse_clause(d["texts"][0]), lambda c: let(error(c), lambda e: F.struct(F.when(e.isNull(), c["lhs"]).alias("lhs"), F.when(e.isNull(), c["rhs"]).alias("rhs"), e.alias("error"))))
 
-    return let(decode_completion(row, names), read)
+def shown_of(d: Column, single: bool = False) -> Column:
+    """A decoded completion's statements joined by `` <SEP> ``; null where it is malformed or, if ``single``, has several."""
+    return F.when(d["error"].isNull() & ((F.size(d["texts"]) == 1) if single else F.lit(True)), F.array_join(d["texts"], " <SEP> "))
 
 
 def display_text(row: Column, names: Column, single: bool = False) -> Column:
     """Statements joined by `` <SEP> ``; null where the row is malformed or, if ``single``, has several."""
-    return let(decode_completion(row, names), lambda d: F.when(d["error"].isNull() & ((F.size(d["texts"]) == 1) if single else F.lit(True)), F.array_join(d["texts"], " <SEP> ")))
+    return let(decode_completion(row, names), lambda d: shown_of(d, single))
