@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.atoms import RULE_TYPE, clause_text, conjunction_text, let, parse_clause
 from ..functions.decode import decode_completion, prompt_info
-from ..session import cut
+from ..session import cut, spread
 from .goals import reaches_goal  # noqa: F401  a score like the others
 from .metrics import rate
 from .schema_match import alike_by, keyed_templates, signature
@@ -90,7 +90,7 @@ def match_rules(answers: DataFrame, bank: DataFrame, contexts: DataFrame | None
     was expected. Else it is wrong if only the predicates' names differ from some candidate's, and unknown if not even
     that. Rules and answers meet by equal predicates, and what is left by equal structures: both are equi-joins.
     """
-    said = cut(answers.withColumn("c", parse_clause(F.col("statement"))))
+    said = cut(spread(answers).withColumn("c", parse_clause(F.col("statement"))))
     ground = said.where("c is not null").select("key", "src_layer", F.struct("c.lhs", "c.rhs").cast(RULE_TYPE).alias("g"))
     ground, own = _sources(ground.withColumn("_s", _names(F.col("g"))), contexts)
     rules = bank.select("src_layer", F.lit(0).alias("prio"), F.col("rule_id").alias("pos"), F.struct("lhs", "rhs").cast(RULE_TYPE).alias("t"))
@@ -123,7 +123,7 @@ def answers_of_rows(rows: DataFrame, names: Column, single: bool = True) -> Data
     from ..functions.decode import display_text
 
     layer = let(prompt_info(F.col("xs"), names), lambda p: F.when(p["error"].isNull(), p["src_layer"]).otherwise(F.raise_error(F.concat(F.lit("prompt: "), p["error"])).cast("int")))
-    return rows.select("key", layer.alias("src_layer"), display_text(F.col("predicted"), names, single).alias("statement"), display_text(F.col("gold"), names, single).alias("expected"))
+    return spread(rows).select("key", layer.alias("src_layer"), display_text(F.col("predicted"), names, single).alias("statement"), display_text(F.col("gold"), names, single).alias("expected"))
 
 
 def completion_paths(rows: DataFrame, names: Column, bank: DataFrame, contexts: DataFrame | None = None) -> DataFrame:
@@ -136,7 +136,7 @@ def completion_paths(rows: DataFrame, names: Column, bank: DataFrame, contexts:
     """
     info, done = prompt_info(F.col("prompt"), names), decode_completion(F.col("completion"), names)
     ok = F.when(F.col("p.error").isNotNull(), F.raise_error(F.concat(F.lit("prompt: "), F.col("p.error"))).cast("boolean")).otherwise(F.lit(True))
-    d = cut(rows.select("key", info.alias("p"), done.alias("d")).where(ok))
+    d = cut(spread(rows).select("key", info.alias("p"), done.alias("d")).where(ok))
     steps = d.where("d.error is null").select("key", "p.src_layer", F.posexplode("d.texts").alias("step", "statement"))
     asked = steps.select(F.struct("key", "step").alias("key"), (F.col("src_layer") + F.col("step")).alias("src_layer"), "statement", F.lit(None).cast("string").alias("expected"))
     by_step = contexts
