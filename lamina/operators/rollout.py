@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.atoms import conjunction_text, parse_clause, subset, substitute
-from ..session import cut
+from ..session import cut, spread
 from .metrics import rate
 from .schema_match import schema_matches
 from .unify import bounded, facts_of, substitutions, supported
@@ -37,7 +37,7 @@ def rollout(examples: DataFrame, rules: DataFrame, adapter: Callable[[DataFrame]
 
     Each step is cut from its history, so plans stay of one size and only open rows are read again.
     """
-    state = examples.select("qid", F.lit(0).alias("step"), F.col("start_layer").cast("int").alias("src_layer"), "facts", "goal", F.array().cast("array<string>").alias("steps"))
+    state = spread(examples).select("qid", F.lit(0).alias("step"), F.col("start_layer").cast("int").alias("src_layer"), "facts", "goal", F.array().cast("array<string>").alias("steps"))
     ended = []
     close = lambda d, reason: d.select("qid", F.isnull(reason).alias("success"), reason.alias("reason"), F.col("step").alias("n_steps"), F.col("src_layer").alias("final_layer"), conjunction_text(F.col("facts")).alias("final_facts"), "steps")
     for _ in range(most_steps):

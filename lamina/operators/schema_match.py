@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.atoms import RULE_TYPE
+from ..session import spread
 from .unify import bounded
 
 #: Templates with more variables than these have too many groupings to list (21147 for 9).
@@ -159,6 +160,6 @@ def schema_matches(rules: DataFrame, bank: DataFrame) -> DataFrame:
     """
     sig = signature(F.col("lhs"), F.col("rhs")).alias("_sig")
     templates = keyed_templates(bank.select("lhs", "rhs")).select("_key", "_named", sig).distinct()
-    own = rules.where("lhs is not null and rhs is not null").select("key", F.struct("lhs", "rhs").cast(RULE_TYPE).alias("g"), sig)
+    own = spread(rules).where("lhs is not null and rhs is not null").select("key", F.struct("lhs", "rhs").cast(RULE_TYPE).alias("g"), sig)
     found = alike_by(own, templates, [], bounded).withColumn("matched", F.lit(True))
     return rules.select("key").join(found, "key", "left").select("key", F.coalesce("matched", F.lit(False)).alias("matched"))
