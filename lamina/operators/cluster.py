@@ -66,9 +66,9 @@ def candidate_rankings(spark: SparkSession, bank: Bank, layer: int, distance: in
 
 
 def vectors_of(demos: DataFrame, n_rules: int, unselected: int, seed: str) -> DataFrame:
-    """vec_id, v from demonstrations (qid, rule_id, rank): places from 1 by rank, weakest first, ties at random."""
+    """vec_id, v from demonstrations (qid, rule_id, rank): places from 1 by rank, weakest first, ties at random. A vector has the rules that any of them shows."""
     w = Window.partitionBy("qid").orderBy(F.desc("rank"), uniform(F.concat_ws("|", F.lit(seed), F.col("qid").cast("string"), F.col("rule_id").cast("string"))), "rule_id")
-    return ranking_vectors(demos.withColumn("place", F.row_number().over(w)), n_rules, unselected).withColumnRenamed("qid", "vec_id")
+    return ranking_vectors(demos.withColumn("place", F.row_number().over(w)), n_rules, unselected, demos).withColumnRenamed("qid", "vec_id")
 
 
 def select_grid(candidates: DataFrame, actual: DataFrame, n_rules: int, alphas: list[float], numbers: list[int], ks: list[int], seed: str, distribution: str = "zipf_per_rule", unselected: int | None = None, unique: bool = True, rounds: int = 100) -> DataFrame:

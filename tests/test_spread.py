@@ -29,3 +29,26 @@ def test_operators_spread_rows(spark, monkeypatch):
     assert evaluate.completion_paths(one.limit(0).select("key", none.alias("prompt"), none.alias("completion")), names, bank).count() == 0 and seen[0]
     clause = one.select("key", F.array().cast("array<struct<predicate:string,args:array<string>>>").alias("lhs")).withColumn("rhs", F.col("lhs"))
     assert "Repartition" in plan(schema_match.schema_matches(clause, bank))
+
+
+def test_ranking_vectors_of_shown_rules(spark):
+    """A bank of 100,000 rules of which four are shown: distances as of whole vectors, in vectors of four places."""
+    from lamina.operators import cluster, demos
+
+    d = spark.createDataFrame([(q, 25_000 * (1 + (q + p) % 4), p + 1, 1) for q in range(4) for p in range(2)], "qid long, rule_id int, place int, rank int")
+    whole, short = (demos.ranking_vectors(d, 100_000, 3, among).withColumnRenamed("qid", "vec_id") for among in (None, d))
+    of = lambda v: {(r["i"], r["j"]): r["d"] for r in demos.distances(v, v).collect()}
+    assert of(whole) == of(short) and {len(r["v"]) for r in short.collect()} == {4}
+    assert {len(r["v"]) for r in cluster.vectors_of(d, 100_000, 3, "1").collect()} == {4}
+    near = {r["vec_id"]: (r["medoid"], r["d"]) for r in demos.nearest(short, short.where("vec_id in (0, 2)")).collect()}
+    want = of(whole)
+    assert near == {j: min(((i, want[i, j]) for i in (0, 2)), key=lambda x: (x[1], x[0])) for j in range(4)}
+
+
+def test_medoids_without_a_join_of_vectors(spark):
+    """Assigning vectors to medoids and costing them meets no shuffled or broadcast table of all assignments."""
+    from lamina.operators import demos
+
+    v = spark.createDataFrame([(i, [i % 7, i // 7]) for i in range(60)], "vec_id long, v array<int>")
+    best, _ = demos.k_medoids(v, [1, 50], 3)
+    assert "Aggregate [vec_id" not in plan(best) and "Aggregate [j" not in plan(best)
