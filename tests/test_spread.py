@@ -52,3 +52,19 @@ def test_medoids_without_a_join_of_vectors(spark):
     v = spark.createDataFrame([(i, [i % 7, i // 7]) for i in range(60)], "vec_id long, v array<int>")
     best, _ = demos.k_medoids(v, [1, 50], 3)
     assert "Aggregate [vec_id" not in plan(best) and "Aggregate [j" not in plan(best)
+
+
+def test_distances_in_blocks(spark, monkeypatch):
+    """More queries than are broadcast, with null, short and broken vectors: pairs in blocks and parts as by definition."""
+    from lamina.operators import demos
+
+    monkeypatch.setattr(demos, "QUERIES", 7)
+    monkeypatch.setattr(demos, "VECTORS", 9)
+    own = {i: [i * i % 11, -i, i % 3] for i in range(20)} | {20: None, 21: [1], 22: [1, None, 3], 23: [], 24: []}
+    v = spark.createDataFrame(list(own.items()), "vec_id long, v array<int>")
+    got = demos.distances(v, v)
+    ok = lambda a, b: a is not None and b is not None and len(a) == len(b) and None not in a + b
+    want = {(i, j): float(sum(abs(x - y) for x, y in zip(a, b))) if ok(a, b) else None for i, a in own.items() for j, b in own.items()}
+    rows = got.collect()
+    assert {(r["i"], r["j"]): r["d"] for r in rows} == want and len(rows) == len(want)
+    assert "CoGroup" in plan(got) or "FlatMapCoGroups" in plan(got)
