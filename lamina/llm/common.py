@@ -138,6 +138,8 @@ def slices(batch, column: int = 1, limit: int = 1 << 20):
 class WordHashes:
     """64-bit hashes of words (bytes), in turn, with a cache that is emptied when full."""
 
+    most_laid = 64  # bytes of a word that are hashed in step with other words'
+
     def __init__(self, seed: int = 0, most: int = 400_000):
         import xxhash
 
@@ -154,6 +156,26 @@ class WordHashes:
             known[w] = f(w, seed)
         return np.fromiter(map(known.__getitem__, words), dtype=np.uint64, count=len(words))
 
+    def laid(self, words):
+        """Other hashes, of a large binary Arrow array's words, for all of them at once: a polynomial over their bytes, then mixed."""
+        import numpy as np
+
+        if not len(words):
+            return np.zeros(0, np.uint64)
+        _, offsets, data = words.buffers()
+        offsets = np.frombuffer(offsets, np.int64)[words.offset : words.offset + len(words) + 1]
+        data, start, size = np.frombuffer(data, np.uint8), offsets[:-1], np.diff(offsets)
+        h = np.full(len(words), self.seed + 1, np.uint64)
+        live = np.flatnonzero(size <= self.most_laid)
+        for j in range(self.most_laid):
+            live = live[size[live] > j]
+            if not len(live):
+                break
+            h[live] = h[live] * np.uint64(0x9E3779B97F4A7C15) + data[start[live] + j] + np.uint64(1)
+        for i in np.flatnonzero(size > self.most_laid).tolist():
+            h[i] = self.hash(data[offsets[i] : offsets[i + 1]].tobytes(), self.seed)
+        return mixed(h)
+
 
 class Rolling:
     """Hashes of runs of words: a polynomial modulo 2**64 over word hashes, then mixed."""

@@ -1,4 +1,4 @@
-"""Collocations: merged count-min sketches name the phrases that may be frequent, a second pass counts just those."""
+"""Collocations: merged count-min sketches name the phrases that may be frequent, a last pass counts just those."""
 
 from __future__ import annotations
 
@@ -15,30 +15,35 @@ from pyspark.sql.window import Window
 from .common import Scratch, WordHashes, mixed, slices
 
 #: A sketch has two rows of one cell for so many bytes of text, within these bounds; its bitmap is a quarter of a byte a cell.
-BYTES_A_CELL, LEAST_CELLS, MOST_CELLS, ROWS = 16, 1 << 16, 1 << 25, 2
+BYTES_A_CELL, LEAST_CELLS, MOST_CELLS, ROWS = 64, 1 << 16, 1 << 29, 2
 BLOCK = 1 << 16  # cells of a sketch that are merged together
-TASK_BYTES = 1 << 30  # of text for one sketch, unless that leaves cores idle
+HELD = 1 << 22  # hashes that a task holds before it hands on their cells
+SHORT = 2  # words of the runs in the first sketch; longer ones are in the second
 SLICE = 1 << 22  # bytes of text that are counted together
 BREAK = b"\xff"  # no byte of UTF-8
 _table = bytes(255 if 10 <= b <= 13 or b in b".,;:!?" else 32 if b == 9 else b + 32 if 65 <= b <= 90 else b for b in range(256))
 _up = np.uint64(0x9E3779B97F4A7C15)
 
 
-def _words(texts: list[bytes]) -> list[bytes]:
-    """Small-lettered words of texts, with a ``BREAK`` between pieces."""
-    return BREAK.join(texts).translate(_table).replace(BREAK, b" \xff ").split()
+def _words(texts: list[bytes]) -> pa.Array:
+    """Small-lettered words of texts, with a ``BREAK`` between pieces. No word is a Python object: bytes are laid end to end."""
+    text = np.frombuffer(BREAK.join(texts).translate(_table).replace(BREAK, b" \xff "), np.uint8)
+    keep = np.concatenate([[False], text != 32, [False]])
+    edges = np.flatnonzero(keep[1:] != keep[:-1])
+    offsets = np.concatenate([[0], np.cumsum(edges[1::2] - edges[::2])]).astype(np.int64)
+    return pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(offsets) - 1, [None, pa.py_buffer(offsets), pa.py_buffer(text[keep[1:-1]])])
 
 
 class Grams:
     """Runs of words of one language in one slice: word numbers, where runs of each length may start, and their hashes."""
 
-    def __init__(self, lang: str, words: list[bytes], hashes: WordHashes):
+    def __init__(self, lang: str, words: pa.Array | list[bytes], hashes: WordHashes):
         self.lang = lang
-        self.kinds = list(set(words))
-        number = dict(zip(self.kinds, range(len(self.kinds))))
-        self.ids = np.fromiter(map(number.__getitem__, words), dtype=np.int64, count=len(words))
-        self.own = hashes(self.kinds)[self.ids] if words else np.zeros(0, np.uint64)
-        self.word = self.ids != number.get(BREAK, -1)
+        numbered = (words if isinstance(words, pa.Array) else pa.array(words, pa.large_binary())).dictionary_encode()
+        self.kinds = numbered.dictionary
+        self.ids = numbered.indices.to_numpy().astype(np.int64)
+        self.own = hashes.laid(self.kinds)[self.ids]
+        self.word = self.ids != self.kinds.index(BREAK).as_py()
         self.salt = mixed(np.array([zlib.crc32(lang.encode()) + len(lang.encode())], dtype=np.uint64))
 
     def sizes(self, longest: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
@@ -66,49 +71,82 @@ def _cells(h: np.ndarray, row: int, width: int) -> np.ndarray:
     return ((h >> np.uint64(32 * row)) & np.uint64(width - 1)).astype(np.uint32)
 
 
-def sketch(docs: DataFrame, width: int, least: int, longest: int) -> np.ndarray:
-    """ROWS bitmaps of ``width`` cells: which cells of the merged count-min sketch reach ``least``.
-
-    A task keeps one sketch of counts that stop at ``least``, which changes no answer, and hands it on in blocks.
-    Blocks are added up in two steps, so that none meets more than about the root of all sketches' blocks.
-    The driver gets the bitmaps alone: at most ROWS * MOST_CELLS / 8 bytes, 8 MB.
+def _asked(g: Grams, first: int, longest: int, before: np.ndarray | None) -> Iterator[np.ndarray]:
+    """Hashes of the runs of ``first`` to ``longest`` words all of whose runs of ``first`` - 1 words pass the sketch ``before``."""
+    held = None
+    for n, can, h in g.sizes(longest):
+        if n == first - 1:
+            can[can] = survivors(before, h[can])
+            held = can
+        elif n >= first:
+            if held is not None:
+                can = held = can & held[:-1] & held[1:]
+            yield h[can]
+
+
+def sketch(docs: DataFrame, width: int, least: int, longest: int, first: int = 1, before=None) -> np.ndarray:
+    """ROWS bitmaps of ``width`` cells: which cells of the count-min sketch of runs of ``first`` to ``longest`` words reach ``least``.
+
+    ``before``, a broadcast sketch of shorter runs, leaves out runs that hold one that is not frequent.
+    A task never holds a whole sketch: it hands on the cells of ``HELD`` hashes at a time, by blocks, as sorted places and counts that
+    stop at ``least``, which changes no answer. So what is shuffled follows the text and not the tasks times the cells.
+    Blocks are added up in two steps, so that none meets more than about the root of all tasks' blocks.
+    The driver gets the bitmaps alone: ROWS * width / 8 bytes.
     """
     kind = np.dtype(np.uint8 if least < 256 else np.uint32)
     tasks = max(1, docs.rdd.getNumPartitions())
     step = max(1, round(tasks**0.5))
+    schema = pa.schema([("r", pa.int32()), ("b", pa.int32()), ("part", pa.int32()), ("cells", pa.binary())])
+
+    def packed(at: np.ndarray, n: np.ndarray) -> bytes:
+        gaps = np.diff(at, prepend=at[:1]).astype(np.uint16)
+        gaps[:1] = at[:1]
+        return zlib.compress(gaps.tobytes() + n.astype(kind).tobytes(), 1)
+
+    def cells_of(held: list[np.ndarray], part: int) -> Iterator[pa.RecordBatch]:
+        h = np.concatenate(held)
+        for r in range(ROWS):
+            at, n = np.unique(_cells(h, r, width), return_counts=True)
+            n, block = np.minimum(n, least), at // BLOCK
+            cuts = [0, *(np.flatnonzero(np.diff(block)) + 1).tolist(), len(at)]
+            rows = [{"r": r, "b": int(block[a]), "part": part, "cells": packed(at[a:z] % BLOCK, n[a:z])} for a, z in zip(cuts, cuts[1:]) if z > a]
+            yield pa.RecordBatch.from_pylist(rows, schema)
 
     def build(batches):
         from pyspark import TaskContext
 
-        cells = np.zeros((ROWS, width), kind)
-        for g in _each(batches, SLICE):
-            for _, can, h in g.sizes(longest):
-                h = h[can]
-                for r in range(ROWS):
-                    at, n = np.unique(_cells(h, r, width), return_counts=True)
-                    cells[r, at] = np.minimum(cells[r, at].astype(np.int64) + n, least)
         part = TaskContext.get().partitionId() % step
-        for r in range(ROWS):
-            for b in range(width // BLOCK):
-                own = cells[r, b * BLOCK : (b + 1) * BLOCK]
-                if own.any():
-                    yield pa.RecordBatch.from_pylist([{"r": r, "b": b, "part": part, "cells": zlib.compress(own.tobytes(), 1)}], schema)
+        held, size = [], 0
+        for g in _each(batches, SLICE):
+            for h in _asked(g, first, longest, before.value if before else None):
+                held.append(h)
+                size += len(h)
+                if size >= HELD:
+                    yield from cells_of(held, part)
+                    held, size = [], 0
+        if size:
+            yield from cells_of(held, part)
 
     def added(table: pa.Table) -> np.ndarray:
         total = np.zeros(BLOCK, np.int64)
         for x in table.column("cells"):
-            total = np.minimum(total + np.frombuffer(zlib.decompress(x.as_py()), kind), least)
+            raw = zlib.decompress(x.as_py())
+            k = len(raw) // (2 + kind.itemsize)
+            at = np.cumsum(np.frombuffer(raw[: 2 * k], np.uint16), dtype=np.int64)
+            total[at] = np.minimum(total[at] + np.frombuffer(raw[2 * k :], kind), least)
         return total
 
+    def row(table: pa.Table, cells: bytes) -> pa.Table:
+        return pa.Table.from_pylist([{"r": table.column("r")[0].as_py(), "b": table.column("b")[0].as_py(), "part": 0, "cells": cells}], schema)
+
     def merge(table: pa.Table) -> pa.Table:
-        row = {"r": table.column("r")[0].as_py(), "b": table.column("b")[0].as_py(), "part": 0, "cells": zlib.compress(added(table).astype(kind).tobytes(), 1)}
-        return pa.Table.from_pylist([row], schema)
+        total = added(table)
+        at = np.flatnonzero(total)
+        return row(table, packed(at, total[at]))
 
     def end(table: pa.Table) -> pa.Table:
-        row = {"r": table.column("r")[0].as_py(), "b": table.column("b")[0].as_py(), "part": 0, "cells": np.packbits(added(table) >= least, bitorder="little").tobytes()}
-        return pa.Table.from_pylist([row], schema)
+        return row(table, np.packbits(added(table) >= least, bitorder="little").tobytes())
 
-    schema = pa.schema([("r", pa.int32()), ("b", pa.int32()), ("part", pa.int32()), ("cells", pa.binary())])
     form = "r int, b int, part int, cells binary"
     out = docs.mapInArrow(build, form).groupBy("r", "b", "part").applyInArrow(merge, form).groupBy("r", "b").applyInArrow(end, form)
     bits = np.zeros((ROWS, width // 8), np.uint8)
@@ -125,14 +163,14 @@ def survivors(bits: np.ndarray, h: np.ndarray) -> np.ndarray:
     return ok
 
 
-def counted(g: Grams, bits: np.ndarray, longest: int) -> Iterator[pa.RecordBatch]:
-    """Exact counts within a slice of the runs that may be frequent, and of all words (as phrase '').
+def counted(g: Grams, short: np.ndarray, long: np.ndarray | None, longest: int) -> Iterator[pa.RecordBatch]:
+    """Exact counts within a slice of the runs that may be frequent by the sketches of short and of long runs, and of all words (as phrase '').
 
     A run is looked up only if both runs one word shorter are in; it is named by the pair of their numbers, so equal
     names are equal words.
     """
     names = ["lang", "phrase", "f"]
-    kinds = pa.array(g.kinds, pa.binary())
+    kinds = g.kinds.cast(pa.binary())
     yield pa.RecordBatch.from_arrays([pa.array([g.lang]), pa.array([b""], pa.binary()).cast(pa.string()), pa.array([int(g.word.sum())], pa.int64())], names)
     number = None
     for n, can, h in g.sizes(longest):
@@ -141,7 +179,7 @@ def counted(g: Grams, bits: np.ndarray, longest: int) -> Iterator[pa.RecordBatch
         else:
             before = number >= 0
             at = np.flatnonzero(before[:-1] & before[1:] & can)
-        at = at[survivors(bits, h[at])]
+        at = at[survivors(short if n <= SHORT else long, h[at])]
         if not len(at):
             return
         code = g.ids[at] if n == 1 else (number[at] << 32) | number[at + 1]
@@ -162,12 +200,12 @@ def frequent(docs: DataFrame, least: int, longest: int) -> DataFrame:
     spark = docs.sparkSession
     size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     width = min(MOST_CELLS, max(LEAST_CELLS, 1 << (size // BYTES_A_CELL).bit_length()))
-    few = max(2 * spark.sparkContext.defaultParallelism, size // TASK_BYTES)
-    bits = spark.sparkContext.broadcast(sketch(docs.coalesce(few), width, least, longest))
+    short = spark.sparkContext.broadcast(sketch(docs, width, least, min(SHORT, longest)))
+    long = spark.sparkContext.broadcast(sketch(docs, width, least, longest, SHORT + 1, short)) if longest > SHORT else None
 
     def run(batches):
         for g in _each(batches, SLICE):
-            yield from counted(g, bits.value, longest)
+            yield from counted(g, short.value, long.value if long else None, longest)
 
     rows = docs.mapInArrow(run, "lang string, phrase string, f long")
     return rows.groupBy("lang", "phrase").agg(F.sum("f").alias("f")).where((F.col("f") >= least) | (F.col("phrase") == ""))
@@ -216,8 +254,9 @@ def collocations(docs: DataFrame, text: str = "text", lang: str = "lang", least:
     of their count go. Null texts have no words, a null language is ``und``. Repeated rows count each time;
     other columns are not read. Ties end at the phrase, by bytes. Without words there are no rows.
 
-    The texts are read three times: for their size, for the sketch and for the exact counts. The sketch has a cell for 16 bytes of text, up to 32 million; past half a gigabyte of text more
-    rare phrases pass it as the input grows, which the exact count then drops: results are the same, with more to shuffle.
+    The texts are read four times: for their size, for the sketch of one and two words, for that of longer runs, and for the exact counts.
+    A sketch has a cell for 64 bytes of text, so that rare phrases pass it no more often as the input grows, up to 512 million cells (128 MB
+    of bitmaps); past 32 GB of text more of them pass, which the exact count then drops: results are the same, with more to shuffle.
     """
     if longest < 2 or least < 1:
         raise ValueError("phrases have two words or more and occur once or more")

@@ -239,3 +239,23 @@ def test_sketch_loses_nothing_frequent(spark):
             g = phrases.Grams(lang, phrase.encode().split(b" "), hashes)
             *_, (_, can, h) = g.sizes(len(g.ids))
             assert can.all() and phrases.survivors(wide, h).all()
+
+
+def test_sketch_keeps_its_share_of_cells(spark, monkeypatch):
+    """Six times the text without a frequent run: no more of its runs pass the sketches, and tasks hold no whole sketch."""
+    asked = []
+    monkeypatch.setattr(phrases, "LEAST_CELLS", phrases.BLOCK)
+    monkeypatch.setattr(phrases, "HELD", 1 << 12)
+    real = phrases.sketch
+    monkeypatch.setattr(phrases, "sketch", lambda docs, width, *more: asked.append((docs, width, real(docs, width, *more))) or asked[-1][2])
+    share = []
+    for n in (1_000, 6_000):
+        rows = [(i, " ".join(f"w{(i * 200 + j) * 7919 % 10_000_019:08}" for j in range(200)) + " in the end" * 2, "en") for i in range(n)]
+        docs = frame(spark, rows).select("lang", "text").repartition(7)
+        got = {x["phrase"]: x["f"] for x in phrases.frequent(docs, 30, 4).collect()}
+        assert got.pop("") == n * 206 and got["in the end in"] == n and len(got) == 12
+        (docs, width, short), (_, _, long) = asked[-2:]
+        assert docs.rdd.getNumPartitions() == 7
+        share.append(width / (n * 2000))
+        assert np.unpackbits(short).sum() <= 2 * 6 and np.unpackbits(long).sum() <= 2 * 6
+    assert share[1] >= share[0] / 2
