@@ -16,7 +16,7 @@ from ..session import cut
 ROOT = -1
 STEP = "struct<e:int,w:int,shared:array<string>>"
 ATOM = "struct<pos:int,bound:array<string>>"
-STAGE = f"struct<steps:array<{STEP}>,join:array<string>,full:array<string>,root:array<string>,core:array<struct<z:string,atoms:array<{ATOM}>>>>"
+STAGE = f"struct<steps:array<{STEP}>,join:array<string>,full:array<string>,root:array<string>,bare:boolean,core:array<struct<z:string,atoms:array<{ATOM}>>>>"
 PLAN = f"k int, twins boolean, stages array<{STAGE}>"
 
 
@@ -25,7 +25,7 @@ def plan(lhs: list) -> tuple:
 
     A stage has the folds (``e`` into ``w`` or the prefix by ``shared`` variables), the variables by which the next atom joins (``full``: once the first
     stage's core is bound too),
-    and, if folding gets stuck, the core: ``root``, the prefix's variables in it, and the order in which others are bound.
+    and, if folding gets stuck, the core: ``root``, the prefix's variables in it (``bare``: all that it has), and the order in which others are bound.
     """
     own = [list(dict.fromkeys(t for t in a["args"] if t.startswith("x"))) for a in lhs]
     kinds = [(a["predicate"], len(a["args"])) for a in lhs]
@@ -53,7 +53,7 @@ def plan(lhs: list) -> tuple:
             core.append({"z": z, "atoms": [{"pos": j, "bound": sorted(vs & bound)} for j, vs in sorted(edges.items()) if z in vs]})
             bound.add(z)
             todo.remove(z)
-        stages.append({"steps": steps, "join": sorted(known & set(own[i + 1])), "full": [], "root": root, "core": core})
+        stages.append({"steps": steps, "join": sorted(known & set(own[i + 1])), "full": [], "root": root, "bare": set(root) == known, "core": core})
     early = {c["z"] for c in stages[0]["core"]} if stages else set()
     for i, st in enumerate(stages):
         st["full"] = sorted(set(own[i + 1]) & early.union(*own[: i + 1]))
@@ -68,6 +68,11 @@ def _has_core() -> Column:
     return F.coalesce(F.size("_st.core") > 0, F.lit(False))  # bodies of one atom have no stage
 
 
+def _names(stage: Column) -> Column:
+    """The variables whose values a core has, in order."""
+    return F.concat(stage["root"], F.transform(stage["core"], lambda c: c["z"]))
+
+
 class Bodies:
     """The relations of all atoms of all rules, ``rel[pos]`` with ``keys``, fact_idx and binding b, and the rules' plans.
 
@@ -84,13 +89,12 @@ class Bodies:
     def _held(self, rows: DataFrame, need: Column, key: Column, among: DataFrame) -> DataFrame:
         """Rows where ``need`` does not hold, or whose key is among ``keys``, _key. A left join, so rows are read once."""
         found = among.withColumn("_in", F.lit(True))
-        out = rows.withColumn("_need", need).withColumn("_key", F.when(F.col("_need"), key)).join(found, [*self.keys, "_key"], "left")
+        out = rows.withColumn("_need", need).withColumn("_key", F.when(F.col("_need"), key)).drop("_st").join(found, [*self.keys, "_key"], "left")  # plans are not shuffled
         return out.where(~F.col("_need") | F.col("_in")).drop("_need", "_key", "_in")
 
     def open_prefixes(self, state: DataFrame, i: int) -> DataFrame:
         """Prefixes of atoms 0 to i that all later atoms can complete, each by itself or, within a cycle, together."""
         rel = list(self.rel)
-        state = self._with_stage(state, i)
         for t in range(self.used["steps"].get(i, 0)):
             step = F.get("_st.steps", F.lit(t))
             for e, w in sorted(p for s, u, *p in self.used["folds"] if (s, u) == (i, t)):
@@ -98,61 +102,73 @@ class Bodies:
                 mine = F.coalesce(mine, F.lit(False))
                 source = self._with_stage(rel[e], i).where(mine).select(*self.keys, values(F.col("b"), step["shared"]).alias("_key")).distinct()
                 if w == ROOT:
-                    state = self._held(state, mine, values(F.col("binding"), step["shared"]), source)
+                    state = self._held(self._with_stage(state, i), mine, values(F.col("binding"), step["shared"]), source)
                 else:
-                    rel[w] = self._held(self._with_stage(rel[w], i), mine, values(F.col("b"), step["shared"]), source).drop("_st")
+                    rel[w] = self._held(self._with_stage(rel[w], i), mine, values(F.col("b"), step["shared"]), source)
         if self.used["core"].get(i):
-            full = self._core(state, rel, i)
+            full = self._core(self._with_stage(state, i), rel, i)
             ok = full.select(*self.keys, F.slice("_vals", F.lit(1), F.col("_n")).alias("_key")).distinct()
-            state = self._held(state, _has_core(), values(F.col("binding"), F.col("_st.root")), ok)
-        return state.drop("_st")
+            state = self._held(self._with_stage(state, i), _has_core(), values(F.col("binding"), F.col("_st.root")), ok)
+        return state
 
-    def closed_cycles(self, state: DataFrame, i: int) -> DataFrame:
-        """Prefixes with every binding of their core's variables, for rules that have one; others as they are."""
+    def closed_cycles(self, state: DataFrame, i: int, used: bool = True) -> DataFrame:
+        """Prefixes with every binding of their core's variables, for rules that have one; others as they are.
+
+        Where ``used`` is not asked for and every prefix's variables are all in its core, the core's values are the bindings.
+        """
         if not self.used["core"].get(i):
             return state
-        state = self._with_stage(state, i)
-        full = self._core(state, self.rel, i).withColumn("_key", F.slice("_vals", F.lit(1), F.col("_n"))).withColumn("_more", F.slice("_vals", F.col("_n") + 1, F.size("_vals"))).drop("_vals", "_n")
-        need = _has_core()
-        out = state.withColumn("_key", F.when(need, values(F.col("binding"), F.col("_st.root")))).join(full, [*self.keys, "_key"], "left").where(~need | F.col("_more").isNotNull())
+        full = self._core(self._with_stage(state, i), self.rel, i)
+        if not used and i == 0 and self.used["bare"]:
+            out = self._with_stage(full, i).join(self.plans.select("rule_id", "k", "twins"), "rule_id")
+            return out.select(*self.keys, "k", "twins", F.map_from_arrays(_names(F.col("_st")), "_vals").alias("binding"), F.array().cast(state.schema["used"].dataType).alias("used"))
+        full = full.withColumn("_key", F.slice("_vals", F.lit(1), F.col("_n"))).withColumn("_more", F.slice("_vals", F.col("_n") + 1, F.size("_vals"))).drop("_vals", "_n")
+        state = self._with_stage(state, i).withColumn("_need", _has_core()).withColumn("_key", F.when(F.col("_need"), values(F.col("binding"), F.col("_st.root")))).drop("_st")
+        out = self._with_stage(state.join(full, [*self.keys, "_key"], "left").where(~F.col("_need") | F.col("_more").isNotNull()), i)
         zs = F.transform("_st.core", lambda c: c["z"])
-        more = F.when(need, F.map_concat("binding", F.map_from_arrays(zs, "_more"))).otherwise(F.col("binding"))
-        return out.withColumn("binding", more).drop("_st", "_key", "_more")
+        more = F.when(F.col("_need"), F.map_concat("binding", F.map_from_arrays(zs, "_more"))).otherwise(F.col("binding"))
+        return out.withColumn("binding", more).drop("_st", "_key", "_more", "_need")
 
     def _core(self, state: DataFrame, rel: list[DataFrame], i: int) -> DataFrame:
         """``keys``, _vals, _n: values of the core's variables, the prefix's ``_n`` first, that all its atoms have together."""
-        names = lambda st: F.concat(st["root"], F.transform(st["core"], lambda c: c["z"]))
         have = state.where(F.size("_st.core") > 0).select(*self.keys, values(F.col("binding"), F.col("_st.root")).alias("_vals")).distinct()
         have = cut(have.withColumn("_n", F.size("_vals")))
         for s, atoms in enumerate(self.used["core"][i]):
-            now = self._with_stage(have, i).withColumn("_c", F.get("_st.core", F.lit(s)))
-            env = F.map_from_arrays(F.slice(names(F.col("_st")), F.lit(1), F.size("_vals")), F.col("_vals"))
-            now = now.withColumn("_env", env)
+            env = F.map_from_arrays(F.slice(_names(F.col("_st")), F.lit(1), F.size("_vals")), F.col("_vals"))
+            at = {pos: F.filter(F.get("_st.core", F.lit(s))["atoms"], lambda a: a["pos"] == pos) for pos in atoms}  # noqa: B023
+            now = self._with_stage(have, i).withColumn("_env", env)
+            now = now.select(*have.columns, *[F.when(F.size(at[p]) > 0, values(F.col("_env"), F.get(at[p], F.lit(0))["bound"])).alias(f"_k{p}") for p in atoms])
             pairs, least = {}, []
             for pos in atoms:
-                atom = F.filter(F.get("_st.core", F.lit(s))["atoms"], lambda a: a["pos"] == pos)  # noqa: B023
+                atom = at[pos]
                 bound, z = F.get(atom, F.lit(0))["bound"], F.get("_st.core", F.lit(s))["z"]
                 part = self._with_stage(rel[pos], i).where(F.size(atom) > 0)
                 pairs[pos] = cut(part.select(*self.keys, values(F.col("b"), bound).alias("_key"), F.element_at("b", z).alias("_z")).distinct())
                 counts = pairs[pos].groupBy(*self.keys, "_key").agg(F.count(F.lit(1)).alias(f"_n{pos}"))
-                now = now.withColumn(f"_k{pos}", F.when(F.size(atom) > 0, values(F.col("_env"), bound)))
                 now = now.join(counts.withColumnRenamed("_key", f"_k{pos}"), [*self.keys, f"_k{pos}"], "left")
                 now = now.where(F.col(f"_k{pos}").isNull() | F.col(f"_n{pos}").isNotNull())
                 least.append(F.when(F.col(f"_k{pos}").isNotNull(), F.struct(F.col(f"_n{pos}").alias("n"), F.lit(pos).alias("pos"))))
             by = F.array_min(F.filter(F.array(*least), lambda x: x.isNotNull()))["pos"]
-            now = cut(now.withColumn("_by", by).drop("_st", "_c", "_env", *[f"_n{p}" for p in atoms]))
-            new = now.where("_by is null").withColumn("_z", F.lit(None).cast("string"))  # rules whose core is done
-            for pos in atoms:
-                new = new.unionByName(now.where(F.col("_by") == pos).join(pairs[pos].withColumnRenamed("_key", f"_k{pos}"), [*self.keys, f"_k{pos}"]))
-            for pos in atoms:
-                found = pairs[pos].withColumnRenamed("_key", f"_k{pos}").withColumn("_in", F.lit(True))
-                new = new.join(found, [*self.keys, f"_k{pos}", "_z"], "left").where(F.col(f"_k{pos}").isNull() | F.col("_in")).drop("_in")
-            have = cut(new.select(*self.keys, F.when(F.col("_by").isNull(), F.col("_vals")).otherwise(F.concat("_vals", F.array("_z"))).alias("_vals"), "_n"))
+            now = cut(now.withColumn("_by", by).drop(*[f"_n{p}" for p in atoms]))
+            kept = [F.col(c) for c in (*self.keys, "_vals", "_n")]
+            done = now.where("_by is null").select(*kept)  # rules whose core is done
+            for pos in atoms:  # the atom with the fewest values binds, the others check
+                new = now.where(F.col("_by") == pos).join(pairs[pos].withColumnRenamed("_key", f"_k{pos}"), [*self.keys, f"_k{pos}"])
+                for other in atoms:
+                    if other != pos:
+                        found = pairs[other].withColumnRenamed("_key", f"_k{other}").withColumn("_in", F.lit(True))
+                        new = new.join(found, [*self.keys, f"_k{other}", "_z"], "left").where(F.col(f"_k{other}").isNull() | F.col("_in")).drop("_in")
+                done = done.unionByName(new.select(*self.keys, F.concat("_vals", F.array("_z")).alias("_vals"), "_n"))
+            have = cut(done)
         return have
 
 
 def used_by(stages: list) -> dict:
-    """From rules' stages: the most folds of a prefix, the folds (stage, place, e, w) and, by stage, the core's atoms by place."""
+    """From rules' stages: the most folds of a prefix, the folds (stage, place, e, w) and, by stage, the core's atoms by place.
+
+    ``bare`` tells whether all rules have a first core with all variables of their first atom, ``closed`` which atoms'
+    variables a first core binds and checks in every rule that has the atom.
+    """
     steps: dict = {}
     folds, core = set(), {}
     for rule in stages:
@@ -163,4 +179,7 @@ def used_by(stages: list) -> dict:
                 places = core.setdefault(i, [])
                 places += [set()] * (s + 1 - len(places))
                 places[s] = places[s] | {a["pos"] for a in c["atoms"]}
-    return {"steps": steps, "folds": folds, "core": {i: [sorted(p) for p in places] for i, places in core.items()}}
+    closed = [{a["pos"] for c in rule[0]["core"] for a in c["atoms"]} if rule else set() for rule in stages]
+    own = {p for p in range(1, 1 + max(map(len, stages), default=0)) if all(p in c for rule, c in zip(stages, closed) if len(rule) >= p)}
+    bare = bool(stages) and all(rule and rule[0]["core"] and rule[0]["bare"] for rule in stages)
+    return {"steps": steps, "folds": folds, "bare": bare, "closed": own, "core": {i: [sorted(p) for p in places] for i, places in core.items()}}

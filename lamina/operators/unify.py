@@ -97,6 +97,8 @@ def _prepared(facts: DataFrame, rules: DataFrame, most_lhs: int, given: DataFram
     keys = ["qid", "rule_id"] + (["gid"] if given is not None else [])
     atoms = rules.where(F.size("lhs").between(1, most_lhs)).select("rule_id", F.posexplode("lhs").alias("pos", "atom")).select("rule_id", "pos", F.col("atom.predicate").alias("p"), F.size("atom.args").alias("arity"), *_shape(F.col("atom.args")))
     facts = facts.select("qid", "fact_idx", F.col("predicate").alias("p"), F.size("args").alias("arity"), "args")
+    if len(used["steps"]) > 1:  # three atoms or more read them, and each in turn is a table
+        facts = cut(facts)
     rel = []
     for pos in range(max(used["steps"], default=-1) + 2):
         own = atoms.where(F.col("pos") == pos).drop("pos")
@@ -105,7 +107,7 @@ def _prepared(facts: DataFrame, rules: DataFrame, most_lhs: int, given: DataFram
     return Bodies(rel, plans, keys, used)
 
 
-def substitutions(facts: DataFrame, rules: DataFrame, most_lhs: int, cap: int | None = 128, once: bool = False, given: DataFrame | None = None) -> DataFrame:
+def substitutions(facts: DataFrame, rules: DataFrame, most_lhs: int, cap: int | None = 128, once: bool = False, given: DataFrame | None = None, used: bool = True) -> DataFrame:
     """qid, rule_id, binding, used for each way in which a rule's left side holds in a query's facts.
 
     ``facts`` (qid, fact_idx, predicate, args) meet the atoms of every rule by predicate and arity; then one more atom at a
@@ -116,8 +118,11 @@ def substitutions(facts: DataFrame, rules: DataFrame, most_lhs: int, cap: int |
     Uncapped bodies with a cycle bind its variables first, by the atom with the fewest values.
     ``given`` (qid, rule_id, gid, need: variable to value) restricts queries to these rules and values; gid tells
     several needs of a query and rule apart. Bodies of no atom or more than ``most_lhs`` match nothing.
+    Without ``used``, that column is left out and a query's facts are taken as distinct: uncapped, an atom all of whose variables a
+    cycle has bound and checked is not joined again for its fact.
     """
-    b = _prepared(facts, rules, most_lhs, given)
+    bare = not used and cap is None and not once
+    b = _prepared(facts.withColumn("fact_idx", F.lit(0)) if bare else facts, rules, most_lhs, given)
     state = b.rel[0].join(b.plans.select("rule_id", "k", "twins"), "rule_id").select(*b.keys, "k", "twins", F.col("b").alias("binding"), F.array("fact_idx").alias("used"))
     done = []
     for i in range(len(b.rel)):
@@ -128,10 +133,13 @@ def substitutions(facts: DataFrame, rules: DataFrame, most_lhs: int, cap: int |
                 n = F.when(F.col("twins") & (F.col("k") > i + 1), 0).otherwise(n)
             state = state.withColumn("_n", n).where(F.col("_n") <= cap).drop("_n")
         elif i == 0:
-            state = b.closed_cycles(state, 0)
+            state = b.closed_cycles(state, 0, used=not bare)
         done.append(state.where(F.col("k") == i + 1))
         if i + 1 == len(b.rel):
             break
+        if bare and i + 1 in b.used["closed"]:
+            state = state.where(F.col("k") > i + 1)
+            continue
         names = F.get("stages", F.lit(i))["full" if cap is None else "join"].alias("_names")
         by = b.plans.select("rule_id", names)
         nxt = b.rel[i + 1].join(by, "rule_id").select(*b.keys, "fact_idx", "b", values(F.col("b"), F.col("_names")).alias("_key"))
@@ -144,7 +152,7 @@ def substitutions(facts: DataFrame, rules: DataFrame, most_lhs: int, cap: int |
     out = done[0]
     for d in done[1:]:
         out = out.unionByName(d)
-    return out.drop("k", "twins")
+    return out.drop("k", "twins") if used else out.drop("k", "twins", "used")
 
 
 def supported(matches: DataFrame, rules: DataFrame) -> DataFrame:

@@ -44,7 +44,7 @@ def unify_triangle(spark, sf_dir):
     li = table(spark, sf_dir, "lineitem").select(F.col("l_linestatus").alias("qid"), "l_orderkey", "l_partkey", "l_suppkey")
     each = F.explode(F.array(atom("r0_1", "l_orderkey", "l_partkey"), atom("r0_2", "l_partkey", "l_suppkey"), atom("r0_3", "l_suppkey", "l_orderkey"))).alias("a")
     facts = li.select("qid", each).select("qid", "a.*").distinct().withColumn("fact_idx", F.xxhash64("predicate", "args"))
-    m = unify.substitutions(facts, unify.bank(spark, ["r0_1(x1,x2) ∧ r0_2(x2,x3) ∧ r0_3(x3,x1) → r1_1(x1,x2,x3)"]), 3, cap=None)
+    m = unify.substitutions(facts, unify.bank(spark, ["r0_1(x1,x2) ∧ r0_2(x2,x3) ∧ r0_3(x3,x1) → r1_1(x1,x2,x3)"]), 3, cap=None, used=False)
     return m.select("qid", *[F.element_at("binding", v).alias(v) for v in ("x1", "x2", "x3")])
 
 

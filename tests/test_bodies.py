@@ -153,3 +153,15 @@ def test_cycles_meet_the_fewer(spark):
     facts = [("a", ["h", f"m{i:03}"]) for i in range(n)] + [("b", [f"m{i:03}", "t"]) for i in range(n)] + [("c", ["t", "h"])] + [("c", [f"o{i:03}", "h"]) for i in range(n)]
     got = unify.substitutions(frame(spark, {0: sorted(facts)}), bank(spark, RULES[:1]), 3, None)
     assert got.count() == n
+
+
+@pytest.mark.parametrize("own", [RULES[:1], [RULES[0], RULES[3]], [RULES[0], RULES[4], RULES[5], RULES[8]], RULES])
+def test_bindings_alone(spark, own):
+    """Without the facts used, the same bindings as often; a triangle's atoms are not joined again after its cycle."""
+    facts = cases(11, 8, 30)
+    b = lambda df: sorted((r["qid"], r["rule_id"], tuple(sorted(r["binding"].items()))) for r in df.collect())
+    bare = unify.substitutions(frame(spark, facts), bank(spark, own), 4, None, used=False)
+    assert sorted(bare.columns) == ["binding", "qid", "rule_id"]
+    assert b(bare) == sorted((q, i, tuple(sorted(s.items()))) for q, fs in facts.items() for i, lhs in enumerate(own) for s, _ in search(lhs, fs))
+    if own == RULES[:1]:
+        assert "SortMergeJoin" not in (plan := bare._jdf.queryExecution().executedPlan().toString()) and "_st" not in plan.split("Exchange")[0]
