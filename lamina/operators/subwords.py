@@ -1,4 +1,4 @@
-"""Words to subword ids by ranked merges of pairs: a fixpoint over the distinct words of a corpus, joined back to its rows."""
+"""Words to subword ids by ranked merges of pairs: over the distinct words of a corpus, joined back to its rows."""
 
 from __future__ import annotations
 
@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.tokens import PAD, pad_or_trim
-from ..session import cut
+from ..session import cut, spread
 
 MOST_BROADCAST = 1_000_000  # rows of a vocabulary or merge table
 #: What a text is cut into: endings after an apostrophe, runs of letters, single digits, runs of anything else but white space.
@@ -69,12 +69,40 @@ def _split(symbols: Column) -> Column:
     return F.split(F.trim(symbols), "  ")
 
 
+def _merge(s: str, ranks: dict[str, int]) -> str:
+    """A piece's symbols after all merges: in turn all places of the pair of least rank, from left to right."""
+    while True:
+        y = s.strip(" ").split("  ")
+        best = min(((ranks[p], p) for p in map(" ".join, zip(y, y[1:])) if p in ranks), default=None)
+        if best is None:
+            return s
+        a, b = best[1].split(" ")
+        s = s.replace(f" {a}  {b} ", f" {a}{b} ")
+
+
 def merged(words: DataFrame, subwords: Subwords) -> DataFrame:
-    """piece, ids: distinct pieces (piece) by the merges of the vocabulary.
+    """piece, ids: distinct pieces (piece) by the merges of the vocabulary. A symbol outside of the vocabulary is an error.
+
+    Merges that are few are broadcast, and tasks merge each piece to its end in one pass; more are joined in ``_rounds``.
+    """
+    head = subwords.merges.limit(MOST_BROADCAST + 1).collect()
+    if len(head) > MOST_BROADCAST:
+        done = _rounds(words, subwords)
+    else:
+        ranks = words.sparkSession.sparkContext.broadcast({r["p"]: r["rank"] for r in sorted(head, key=lambda r: -r["rank"])})
+        ends = F.arrow_udf(lambda s: pa.array([_merge(x, ranks.value) for x in s.to_pylist()], pa.string()), "string")
+        done = spread(words.select("piece").distinct()).select("piece", ends(_symbols(F.col("piece"), subwords.end)).alias("s"))
+    each = done.select("piece", F.posexplode(_split(F.col("s"))).alias("i", "token")).join(subwords.vocabulary, "token", "left")
+    known = F.when(F.col("id").isNull(), F.raise_error(F.concat(F.lit("not in the vocabulary: "), "token")).cast("int")).otherwise(F.col("id"))
+    return each.groupBy("piece").agg(F.array_sort(F.collect_list(F.struct("i", known.alias("id")))).alias("_x")).select("piece", F.transform("_x", lambda x: x["id"]).alias("ids"))
+
+
+def _rounds(words: DataFrame, subwords: Subwords) -> DataFrame:
+    """piece, s: distinct pieces' symbols after all merges, by joins with the table of merges.
 
     A round merges, in each piece that has a pair of symbols with a rank, all places of its pair of least rank from left to
     right, and writes what is left; pieces without such a pair are done. As many rounds as the longest chain of
-    merges, each over the pieces still open. A symbol outside of the vocabulary is an error.
+    merges, each over the pieces still open.
     """
     state, done = cut(words.select("piece").distinct().withColumn("s", _symbols(F.col("piece"), subwords.end))), None
     while True:
@@ -88,10 +116,7 @@ def merged(words: DataFrame, subwords: Subwords) -> DataFrame:
         done = ended if done is None else done.unionByName(ended)
         state = now.where("not end").select("piece", "s")
         if state.isEmpty():
-            break
-    each = done.select("piece", F.posexplode(_split(F.col("s"))).alias("i", "token")).join(subwords.vocabulary, "token", "left")
-    known = F.when(F.col("id").isNull(), F.raise_error(F.concat(F.lit("not in the vocabulary: "), "token")).cast("int")).otherwise(F.col("id"))
-    return each.groupBy("piece").agg(F.array_sort(F.collect_list(F.struct("i", known.alias("id")))).alias("_x")).select("piece", F.transform("_x", lambda x: x["id"]).alias("ids"))
+            return done
 
 
 def subword_ids(rows: DataFrame, text: str, subwords: Subwords, name: str = "ids") -> DataFrame:

@@ -50,3 +50,15 @@ def test_unknown_symbols_are_errors(spark, vocabulary):
     poor = subwords.Subwords(vocabulary.vocabulary.where("token <> 'q</w>'"), vocabulary.merges, vocabulary.end)
     with pytest.raises(Exception, match="not in the vocabulary"):
         subwords.subword_ids(spark.createDataFrame([("q",)], "text string"), "text", poor).select(F.size("ids")).collect()
+
+
+def test_merges_end_in_one_pass(spark, own, vocabulary, monkeypatch):
+    """Only the rows' pieces are written, however long the chain of merges; merges that are many are joined, with the same ids."""
+    written, real = [], subwords.cut
+    monkeypatch.setattr(subwords, "cut", lambda df: written.append(1) or real(df))
+    texts = ["internationalization aaaaaaaaaaaaaaaa", "naïve x" + "ab" * 90]
+    d = spark.createDataFrame([(t,) for t in texts], "text string")
+    want = {t: own.encode(t, add_special_tokens=False).ids for t in texts}
+    assert {r["text"]: r["ids"] for r in subwords.subword_ids(d, "text", vocabulary).collect()} == want and len(written) == 1
+    monkeypatch.setattr(subwords, "MOST_BROADCAST", 10)
+    assert {r["text"]: r["ids"] for r in subwords.subword_ids(d, "text", vocabulary).collect()} == want and len(written) > 2
