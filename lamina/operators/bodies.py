@@ -77,11 +77,11 @@ class Bodies:
     """The relations of all atoms of all rules, ``rel[pos]`` with ``keys``, fact_idx and binding b, and the rules' plans.
 
     ``plans`` has rule_id and the columns ``PLAN``; ``used`` tells which folds and core atoms occur at all, so that
-    no join is made for others. Relations that are read more than twice are written tables.
+    no join is made for others. Relations that are read more than twice are written tables, as are the ``facts`` that several atoms read.
     """
 
-    def __init__(self, rel: list[DataFrame], plans: DataFrame, keys: list[str], used: dict):
-        self.rel, self.plans, self.keys, self.used = rel, plans, keys, used
+    def __init__(self, rel: list[DataFrame], plans: DataFrame, keys: list[str], used: dict, facts: DataFrame):
+        self.rel, self.plans, self.keys, self.used, self.facts = rel, plans, keys, used, facts
 
     def _with_stage(self, rows: DataFrame, i: int) -> DataFrame:
         return rows.join(self.plans.select("rule_id", F.get("stages", F.lit(i)).alias("_st")), "rule_id")

@@ -10,6 +10,7 @@ from ..functions.atoms import RULE_TYPE, is_variable, parse_rule, subset, substi
 from ..session import cut
 from .bodies import PLAN, Bodies, plan, used_by, values
 
+FACTS_A_PART = 100_000  # of capped matching: an atom's choices are many times its facts
 MOST_RULES = 100_000  # a bank is configuration; larger ones are joined without broadcast
 
 
@@ -97,14 +98,14 @@ def _prepared(facts: DataFrame, rules: DataFrame, most_lhs: int, given: DataFram
     keys = ["qid", "rule_id"] + (["gid"] if given is not None else [])
     atoms = rules.where(F.size("lhs").between(1, most_lhs)).select("rule_id", F.posexplode("lhs").alias("pos", "atom")).select("rule_id", "pos", F.col("atom.predicate").alias("p"), F.size("atom.args").alias("arity"), *_shape(F.col("atom.args")))
     facts = facts.select("qid", "fact_idx", F.col("predicate").alias("p"), F.size("args").alias("arity"), "args")
-    if len(used["steps"]) > 1:  # three atoms or more read them, and each in turn is a table
+    if used["steps"]:  # each atom reads them, and of three or more each in turn is a table
         facts = cut(facts)
     rel = []
     for pos in range(max(used["steps"], default=-1) + 2):
         own = atoms.where(F.col("pos") == pos).drop("pos")
         r = relation(facts, F.broadcast(own) if few else own, keys, given)
         rel.append(cut(r) if len(used["steps"]) > 1 else r)
-    return Bodies(rel, plans, keys, used)
+    return Bodies(rel, plans, keys, used, facts)
 
 
 def substitutions(facts: DataFrame, rules: DataFrame, most_lhs: int, cap: int | None = 128, once: bool = False, given: DataFrame | None = None, used: bool = True) -> DataFrame:
@@ -124,6 +125,8 @@ def substitutions(facts: DataFrame, rules: DataFrame, most_lhs: int, cap: int |
     bare = not used and cap is None and not once
     b = _prepared(facts.withColumn("fact_idx", F.lit(0)) if bare else facts, rules, most_lhs, given)
     state = b.rel[0].join(b.plans.select("rule_id", "k", "twins"), "rule_id").select(*b.keys, "k", "twins", F.col("b").alias("binding"), F.array("fact_idx").alias("used"))
+    parts = 1 + b.facts.count() // FACTS_A_PART if cap is not None and len(b.rel) > 1 else 1
+    dealt = lambda df, *by: df.repartition(parts, *b.keys, *by) if parts > 1 else df  # noqa: E731  # else Spark's parts are few, and a task sorts more as facts grow
     done = []
     for i in range(len(b.rel)):
         if cap is not None:
@@ -131,7 +134,7 @@ def substitutions(facts: DataFrame, rules: DataFrame, most_lhs: int, cap: int |
             n = F.row_number().over(Window.partitionBy(*b.keys).orderBy("used"))
             if once:
                 n = F.when(F.col("twins") & (F.col("k") > i + 1), 0).otherwise(n)
-            state = state.withColumn("_n", n).where(F.col("_n") <= cap).drop("_n")
+            state = dealt(state).withColumn("_n", n).where(F.col("_n") <= cap).drop("_n")
         elif i == 0:
             state = b.closed_cycles(state, 0, used=not bare)
         done.append(state.where(F.col("k") == i + 1))
@@ -144,7 +147,7 @@ def substitutions(facts: DataFrame, rules: DataFrame, most_lhs: int, cap: int |
         by = b.plans.select("rule_id", names)
         nxt = b.rel[i + 1].join(by, "rule_id").select(*b.keys, "fact_idx", "b", values(F.col("b"), F.col("_names")).alias("_key"))
         state = state.where(F.col("k") > i + 1).join(by, "rule_id").withColumn("_key", values(F.col("binding"), F.col("_names")))
-        met = state.drop("_names").join(nxt, [*b.keys, "_key"])
+        met = dealt(state.drop("_names"), "_key").join(dealt(nxt, "_key"), [*b.keys, "_key"])
         if once:
             met = met.where(~F.array_contains("used", F.col("fact_idx")))
         fresh = F.map_filter("b", lambda v, _: ~F.map_contains_key(F.col("binding"), v))

@@ -165,3 +165,16 @@ def test_bindings_alone(spark, own):
     assert b(bare) == sorted((q, i, tuple(sorted(s.items()))) for q, fs in facts.items() for i, lhs in enumerate(own) for s, _ in search(lhs, fs))
     if own == RULES[:1]:
         assert "SortMergeJoin" not in (plan := bare._jdf.queryExecution().executedPlan().toString()) and "_st" not in plan.split("Exchange")[0]
+
+
+def test_capped_parts_follow_the_facts(spark, monkeypatch):
+    """Ten times the facts are dealt into ten times the parts, so that no task sorts more; results are those of one part."""
+    rule = bank(spark, [[("a", ["x1", "x2"]), ("a", ["x3", "x4"])]])
+    for n in (10, 100):
+        facts = frame(spark, {q: [("a", [f"k{i}", "k"]) for i in range(4)] for q in range(n)})
+        want = found(unify.substitutions(facts, rule, 2, 5))
+        with monkeypatch.context() as m:
+            m.setattr(unify, "FACTS_A_PART", 10)
+            got = unify.substitutions(facts, rule, 2, 5)
+            assert found(got) == want and len(want) == 5 * n
+            assert got.rdd.getNumPartitions() >= 4 * n // 10
