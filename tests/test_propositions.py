@@ -95,6 +95,23 @@ def test_division_asks_equal_sets_once(spark):
     assert moved < n * n
 
 
+def test_division_writes_little(spark, tmp_path):
+    """2,400,000 pairs of one set of facts and one of needs: their files hold far less than a byte a pair."""
+    n, m = 400, 6000
+    facts = spark.range(n).select(F.col("id").alias("qid"), F.lit("p").alias("fact"))
+    rules = spark.range(m).select((F.col("id") * 7919 % 1000003).alias("rule_id"), F.array(F.lit("p")).alias("need"))
+    division.applicable(facts, rules).write.parquet(str(tmp_path / "out"))
+    out = spark.read.parquet(str(tmp_path / "out"))
+    assert out.count() == out.distinct().count() == n * m
+    assert sum(p.stat().st_size for p in (tmp_path / "out").glob("*.parquet")) < n * m / 4
+
+
+def test_division_keeps_null_ids(spark):
+    facts = spark.createDataFrame([(1, "p"), (None, "p")], "qid long, fact string")
+    rules = spark.createDataFrame([(2, ["p"]), (None, ["p"])], "rule_id int, need array<string>")
+    assert sorted(map(str, division.applicable(facts, rules).collect())) == sorted(f"Row(qid={q}, rule_id={r})" for q in (1, None) for r in (2, None))
+
+
 def test_division_without_broadcast(spark, monkeypatch):
     facts = spark.createDataFrame([(q, f"p{i}") for q in range(20) for i in range(q % 4)] + [(30, None), (None, "p0")], "qid long, fact string")
     rules = spark.createDataFrame([(r, [f"p{i}" for i in range(r % 3)]) for r in range(9)] + [(20, ["p0", None]), (21, None), (22, ["q"])], "rule_id int, need array<string>")
