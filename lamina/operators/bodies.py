@@ -10,9 +10,11 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from ..session import cut
 
+FEW = 1000  # values of a variable that are held as one set
 ROOT = -1
 STEP = "struct<e:int,w:int,shared:array<string>>"
 ATOM = "struct<pos:int,bound:array<string>>"
@@ -183,3 +185,63 @@ def used_by(stages: list) -> dict:
     own = {p for p in range(1, 1 + max(map(len, stages), default=0)) if all(p in c for rule, c in zip(stages, closed) if len(rule) >= p)}
     bare = bool(stages) and all(rule and rule[0]["core"] and rule[0]["bare"] for rule in stages)
     return {"steps": steps, "folds": folds, "bare": bare, "closed": own, "core": {i: [sorted(p) for p in places] for i, places in core.items()}}
+
+
+def closes(lhs: list) -> bool:
+    """Whether a body is its first atom and a cycle that has all its variables and all other atoms."""
+    k, _, stages = plan(lhs)
+    used = used_by([stages])
+    return used["bare"] and used["closed"] == set(range(1, k))
+
+
+def _atom_rows(facts: DataFrame, atom) -> DataFrame:
+    """qid and a column for each variable of the atom, for the facts that agree with it."""
+    rows, first = facts.where((F.col("predicate") == atom["predicate"]) & (F.size("args") == len(atom["args"]))), {}
+    for i, t in enumerate(atom["args"]):
+        value = F.get("args", F.lit(i))
+        if t in first:
+            rows = rows.where(value == first[t])
+        elif t.startswith("x"):
+            first[t] = value
+        else:
+            rows = rows.where(value == t)
+    return rows.select("qid", *[c.alias(t) for t, c in first.items()])
+
+
+def _by_least(rows: DataFrame, pairs: list, z: str) -> DataFrame:
+    """Rows with each value of z that all pairs (rows, their bound columns) have: those with the fewest bind it, the others check."""
+    own = rows.columns
+    for i, (p, on) in enumerate(pairs):
+        rows = rows.join(p.groupBy(*on).agg(F.count(F.lit(1)).alias(f"_n{i}")), on)
+    rows, out = cut(rows.select(*own, F.array_min(F.array(*[F.struct(F.col(f"_n{i}").alias("n"), F.lit(i).alias("i")) for i in range(len(pairs))]))["i"].alias("_by"))), None
+    for i, (p, on) in enumerate(pairs):
+        new = rows.where(F.col("_by") == i).join(p, on)
+        for j, (other, by) in enumerate(pairs):
+            new = new if j == i else new.join(other, [*by, z], "left_semi")
+        out = new.select(*own, z) if out is None else out.unionByName(new.select(*own, z))
+    return out
+
+
+def closed(facts: DataFrame, lhs: list) -> DataFrame:
+    """qid and a column for each variable: all solutions, each once, of a body that ``closes`` in facts (qid, predicate, args).
+
+    Each variable's values are met as sets, one for the values bound of each atom; rows that meet a set of more than ``FEW`` values
+    are joined row by row. Null values are never met.
+    """
+    rows = _atom_rows(facts, lhs[0]).distinct()
+    for c in plan(lhs)[2][0]["core"]:
+        own, z, pairs, common = rows.columns, c["z"], [], None
+        for i, a in enumerate(reversed(c["atoms"])):
+            on = ["qid", *a["bound"]]
+            p = _atom_rows(facts, lhs[a["pos"]]).select(*on, z).where(F.col(z).isNotNull())
+            n = F.dense_rank().over(Window.partitionBy(*on).orderBy(z))
+            sets = p.withColumn("_n", n).where(F.col("_n") <= FEW + 1).groupBy(*on).agg(F.collect_set(z).alias(f"_s{i}"))
+            rows = rows.join(sets, on)
+            pairs.append((p.distinct(), on))
+            common = F.col(f"_s{i}") if common is None else F.array_intersect(common, f"_s{i}")
+        many = F.greatest(*[F.size(f"_s{i}") for i in range(len(pairs))], F.lit(0)) > FEW
+        met = cut(rows.select(*own, F.when(~many, common).alias("_z")).where("_z is null or size(_z) > 0"))
+        rows, open_ = met.where("_z is not null").select(*own, F.explode("_z").alias(z)), met.where("_z is null").select(*own)
+        if not open_.isEmpty():
+            rows = rows.unionByName(_by_least(open_, pairs, z))
+    return rows

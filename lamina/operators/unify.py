@@ -2,15 +2,18 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions.atoms import RULE_TYPE, is_variable, parse_rule, subset, substitute, variables
 from ..session import cut
-from .bodies import PLAN, Bodies, plan, used_by, values
+from .bodies import PLAN, Bodies, closed, closes, plan, used_by, values
 
 FACTS_A_PART = 100_000  # of capped matching: an atom's choices are many times its facts
+FEW_RULES = 8  # a plan of joins for each, where a body is one cycle
 MOST_RULES = 100_000  # a bank is configuration; larger ones are joined without broadcast
 
 
@@ -108,6 +111,12 @@ def _prepared(facts: DataFrame, rules: DataFrame, most_lhs: int, given: DataFram
     return Bodies(rel, plans, keys, used, facts)
 
 
+def _bindings(lhs: list):
+    """The map of a body's variables, of which each is a column."""
+    names = dict.fromkeys(t for a in lhs for t in a["args"] if t.startswith("x"))
+    return F.create_map(*[c for v in names for c in (F.lit(v), F.col(v))]).alias("binding")
+
+
 def substitutions(facts: DataFrame, rules: DataFrame, most_lhs: int, cap: int | None = 128, once: bool = False, given: DataFrame | None = None, used: bool = True) -> DataFrame:
     """qid, rule_id, binding, used for each way in which a rule's left side holds in a query's facts.
 
@@ -120,9 +129,16 @@ def substitutions(facts: DataFrame, rules: DataFrame, most_lhs: int, cap: int |
     ``given`` (qid, rule_id, gid, need: variable to value) restricts queries to these rules and values; gid tells
     several needs of a query and rule apart. Bodies of no atom or more than ``most_lhs`` match nothing.
     Without ``used``, that column is left out and a query's facts are taken as distinct: uncapped, an atom all of whose variables a
-    cycle has bound and checked is not joined again for its fact.
+    cycle has bound and checked is not joined again for its fact. Up to ``FEW_RULES`` rules, each one cycle with all its variables, are met on
+    plain columns; there facts may repeat.
     """
     bare = not used and cap is None and not once
+    if bare and given is None:
+        head = rules.select("rule_id", "lhs").where(F.size("lhs").between(1, most_lhs)).limit(FEW_RULES + 1).collect()
+        if 0 < len(head) <= FEW_RULES and all(closes(r["lhs"]) for r in head):
+            kind = rules.schema["rule_id"].dataType
+            each = [closed(facts, r["lhs"]).select("qid", F.lit(r["rule_id"]).cast(kind).alias("rule_id"), _bindings(r["lhs"])) for r in head]
+            return reduce(DataFrame.unionByName, each)
     b = _prepared(facts.withColumn("fact_idx", F.lit(0)) if bare else facts, rules, most_lhs, given)
     state = b.rel[0].join(b.plans.select("rule_id", "k", "twins"), "rule_id").select(*b.keys, "k", "twins", F.col("b").alias("binding"), F.array("fact_idx").alias("used"))
     parts = 1 + b.facts.count() // FACTS_A_PART if cap is not None and len(b.rel) > 1 else 1

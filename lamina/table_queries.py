@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .functions import propositions as P
@@ -42,10 +45,10 @@ SELECT a.qid, CAST(a.o AS VARCHAR) AS x1, CAST(a.p AS VARCHAR) AS x2, CAST(b.s A
 def unify_triangle(spark, sf_dir):
     """Orders, their parts and those of their suppliers that supply such a part to anyone: a cycle of three atoms in two large queries."""
     li = table(spark, sf_dir, "lineitem").select(F.col("l_linestatus").alias("qid"), "l_orderkey", "l_partkey", "l_suppkey")
-    each = F.explode(F.array(atom("r0_1", "l_orderkey", "l_partkey"), atom("r0_2", "l_partkey", "l_suppkey"), atom("r0_3", "l_suppkey", "l_orderkey"))).alias("a")
-    facts = li.select("qid", each).select("qid", "a.*").distinct().withColumn("fact_idx", F.xxhash64("predicate", "args"))
+    atoms = [atom("r0_1", "l_orderkey", "l_partkey"), atom("r0_2", "l_partkey", "l_suppkey"), atom("r0_3", "l_suppkey", "l_orderkey")]
+    facts = reduce(DataFrame.union, [li.select("qid", a.alias("a")).select("qid", "a.*") for a in atoms])  # one after the other: an atom reads its own part alone
     m = unify.substitutions(facts, unify.bank(spark, ["r0_1(x1,x2) ∧ r0_2(x2,x3) ∧ r0_3(x3,x1) → r1_1(x1,x2,x3)"]), 3, cap=None, used=False)
-    return m.select("qid", *[F.element_at("binding", v).alias(v) for v in ("x1", "x2", "x3")])
+    return m.select("qid", *[F.col("binding")[v].alias(v) for v in ("x1", "x2", "x3")])
 
 
 # --- order: phases, batches by tokens

@@ -3,6 +3,7 @@
 import random
 from itertools import islice
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -178,3 +179,36 @@ def test_capped_parts_follow_the_facts(spark, monkeypatch):
             got = unify.substitutions(facts, rule, 2, 5)
             assert found(got) == want and len(want) == 5 * n
             assert got.rdd.getNumPartitions() >= 4 * n // 10
+
+
+def _lines(spark, lines):
+    """A fact for each two of a line's three values, twice, for one query."""
+    rows = [(0, p, list(a)) for x, y, z in lines for p, a in (("a", (x, y)), ("b", (y, z)), ("c", (z, x)))]
+    return spark.createDataFrame(rows + rows, "qid int, predicate string, args array<string>")
+
+
+@pytest.mark.parametrize("few", [0, 2, 1000])
+def test_cycles_by_sets(spark, monkeypatch, few):
+    """Triangles where all sets are too large to be held, some or none; repeated facts count once, null values and queries are not met."""
+    monkeypatch.setattr(bodies, "FEW", few)
+    r = np.random.default_rng(5)
+    lines = {tuple(f"{k}{v}" for k, v in zip("uvw", t)) for t in r.integers(0, 7, (60, 3))}
+    facts = _lines(spark, lines).unionByName(spark.createDataFrame([(0, "a", ["u0", None]), (0, "a", ["u0"]), (None, "a", ["u0", "v0"])], "qid int, predicate string, args array<string>"))
+    got = unify.substitutions(facts, bank(spark, [[("a", ["x1", "x2"]), ("b", ["x2", "x3"]), ("c", ["x3", "x1"])]]), 3, cap=None, used=False).collect()
+    ab, bc, ca = ({(t[i], t[(i + 1) % 3]) for t in lines} for i in range(3))
+    want = {(x, y, z) for x, y in ab for v, z in bc if v == y and (z, x) in ca}
+    assert sorted((b["x1"], b["x2"], b["x3"]) for b in (row["binding"] for row in got)) == sorted(want) and {(row["qid"], row["rule_id"]) for row in got} == {(0, 0)}
+
+
+def test_cycles_hand_on_few_rows(spark):
+    """No table of facts, of an atom's pairs or of counts is written on the way to a cycle."""
+    n = 3000
+    facts = _lines(spark, [(f"u{i}", f"v{i % 500}", f"w{i % 70}") for i in range(n)]).distinct()
+    rule = bank(spark, [[("a", ["x1", "x2"]), ("b", ["x2", "x3"]), ("c", ["x3", "x1"])]])
+    store, array = spark.sparkContext._jsc.sc().statusStore(), spark.sparkContext._gateway.new_array(spark.sparkContext._jvm.double, 0)
+    written = lambda: sum(s.outputRecords() for s in (all_.apply(i) for all_ in [store.stageList(None, False, False, array, None)] for i in range(all_.size())))
+    before = written()
+    m = unify.substitutions(facts.withColumn("fact_idx", F.xxhash64("predicate", "args")), rule, 3, cap=None, used=False)
+    m.write.format("noop").mode("overwrite").save()
+    made = written() - before
+    assert m.count() >= n and made <= 3 * n
